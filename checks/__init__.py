@@ -2,3 +2,4 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import queries_history  # noqa: E402,F401
+from . import queries_baselines  # noqa: E402,F401

@@ -129,7 +129,7 @@ def prev_year_same_weekday(h, targets, fallback: bool = False) -> DataFrame:
     to three after it (not the nearest one)."""
     reach = range(-3, 4) if fallback else [0]
     hit = _days_back(targets, [364 - d for d in reach]).join(h, ["series_id", "ds"])
-    rank = F.when(F.col("back") == 364, -10).otherwise(-F.col("back"))
+    rank = F.when(F.col("back") == 364, -1000).otherwise(-F.col("back"))
     return (
         hit.groupBy(*IDS)
         .agg(F.min_by("y", rank).alias("yhat"))
