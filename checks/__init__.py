@@ -4,3 +4,4 @@ from .registry import ORACLES, QUERIES  # noqa: F401
 from . import queries_history  # noqa: E402,F401
 from . import queries_baselines  # noqa: E402,F401
 from . import queries_diagnostics, queries_models  # noqa: E402,F401
+from . import queries_analogs  # noqa: E402,F401

@@ -328,21 +328,23 @@ def adf(min_obs: int = 20) -> Callable:
     return per_series(fit, ["adf_stat", "p_value", "lags", "critical_1pct", "critical_5pct", "stationary"])
 
 
-DENSITY_POINTS = 1000
-
-
-def density_mode(values: pd.Series) -> pd.Series:
-    """Highest point of a Gaussian kernel density (Scott bandwidth) between min and max."""
+def density_mode(points: int, least: int) -> Callable:
+    """Highest point of a Gaussian kernel density (Scott bandwidth) between the least and
+    greatest earlier value on the target's weekday."""
 
     def mode(v):
-        v = np.asarray(v, dtype=float)
-        if len(v) < 5 or v.std(ddof=1) == 0:
+        if len(v) < least or v.std(ddof=1) == 0:
             return None
         width = v.std(ddof=1) * len(v) ** -0.2
-        x = np.linspace(v.min(), v.max(), DENSITY_POINTS)
+        x = np.linspace(v.min(), v.max(), points)
         return float(x[np.argmax(np.exp(-0.5 * ((x[:, None] - v) / width) ** 2).sum(axis=1))])
 
-    return values.map(mode)
+    def fit(row):
+        days, y = np.asarray(row.days), np.asarray(row.y)
+        found = ((day, mode(y[(days < day) & ((days - day) % 7 == 0)])) for day in row.targets)
+        return [(int(day), "KDE_Mode", value) for day, value in found if value is not None]
+
+    return per_series(fit, ["day", "model", "yhat"])
 
 
 # The linear congruential generator of ANSI C.
@@ -370,6 +372,41 @@ def bootstrap(rounds: int, seed: int) -> Callable:
     return run
 
 
+# --- best matches within a slice of time ---------------------------------------------
+
+
+def slice_top_k(k: int, kind: str) -> Callable:
+    """For each target the ``k`` best rows of one slice of its series, earlier rows first
+    among equals: least weighted distance, or greatest dot product.  Only those rows
+    leave the task; the pairs exist as a matrix of one slice at a time."""
+
+    def scores(x, target, weight):
+        if kind == "dot":
+            return -(target @ x.T)
+        square = np.zeros((len(target), len(x)))
+        for c in range(x.shape[1]):
+            square += ((target[:, c : c + 1] - x[:, c]) * weight[:, c : c + 1]) ** 2
+        return np.sqrt(square)
+
+    def fit(row):
+        keys, x = np.asarray(row.key), np.array([list(v) for v in row.x])
+        out = []
+        for lo in range(0, len(row.targets), 1024):
+            part = row.targets[lo : lo + 1024]
+            score = scores(x, np.array([list(t["x"]) for t in part]), np.array([list(t["w"]) for t in part]))
+            since, until = (np.array([t[c] for t in part])[:, None] for c in ("since", "until"))
+            score = np.where((keys >= since) & (keys < until), score, np.inf)
+            order = np.argsort(np.round(score, 9), axis=1, kind="stable")[:, :k]
+            for i, t in enumerate(part):
+                out += [
+                    (int(t["day"]), int(keys[j]), float(score[i, j]), list(row.v[j]))
+                    for j in order[i] if np.isfinite(score[i, j])
+                ]
+        return out
+
+    return per_series(fit, ["day", "key", "score", "v"])
+
+
 # --- sequential bias correction ------------------------------------------------------
 
 
@@ -401,12 +438,10 @@ def sequential_correction(memory: int, floor: float, rate: float) -> Callable:
             errors[:, t % memory] = base[:, t] + fixes[:, t] - actual[:, t]
             count += 1
         sizes = [len(v) for v in part.y]
-        return pd.DataFrame(
-            {
-                "series_id": np.repeat(part.series_id.to_numpy(), sizes),
-                "day": np.concatenate([np.asarray(v) for v in part.days]) if len(part) else [],
-                "correction": np.concatenate([fixes[i, :n] for i, n in enumerate(sizes)]) if len(part) else [],
-            }
-        )
+        out = {"series_id": np.repeat(part.series_id.to_numpy(), sizes)}
+        for column in ("days", "base", "p1", "y"):
+            out[column] = np.concatenate([np.asarray(v) for v in part[column]])
+        out["correction"] = np.concatenate([fixes[i, :n] for i, n in enumerate(sizes)])
+        return pd.DataFrame(out)
 
     return run

@@ -8,32 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.columns import by_day
 from .asof import asof_attach
-from .baselines import IDS, with_keys
+from .baselines import IDS
+from .packed import fit_each
 
 
-def kde_mode(h: DataFrame, targets: DataFrame) -> DataFrame:
-    """Most likely value among the earlier days on the target's weekday (five or more).
-
-    Values are gathered per target from yearly pieces, so no list is longer than the
-    days of one weekday and the gathering itself is spread over the years of a series.
-    """
-    hk = with_keys(h, ["weekday", "year"], "ds")
-    first = h.groupBy("series_id").agg(F.min(F.year("ds")).alias("_y0"))
-    tk = with_keys(targets.select(*IDS).distinct(), ["weekday"], "target_ds").join(first, "series_id")
-    tk = tk.filter(F.col("_y0") <= F.year("target_ds")).withColumn(
-        "year", F.explode(F.sequence("_y0", F.year("target_ds")))
-    )
-    values = (
-        tk.join(hk, ["series_id", "weekday", "year"])
-        .filter(F.col("ds") < F.col("target_ds"))
-        .groupBy(*IDS)
-        .agg(F.collect_list("y").alias("v"))
-        .filter(F.size("v") >= 5)
-    )
-    mode = F.pandas_udf(kernels.density_mode, "double")
-    return values.select(
-        *IDS, F.lit("KDE_Mode").alias("model"), mode("v").alias("yhat"), F.lit("estimate").alias("family")
-    ).filter(F.col("yhat").isNotNull())
+def kde_mode(h: DataFrame, targets: DataFrame, points: int = 1000, least: int = 5) -> DataFrame:
+    """Most likely value among the earlier days on the target's weekday (five or more)."""
+    return fit_each(h, targets, kernels.density_mode(points, least), "estimate")
 
 
 def bootstrap(h: DataFrame, targets: DataFrame, rounds: int = 1000, recent: int = 30, seed: int = 42) -> DataFrame:

@@ -138,11 +138,11 @@ def backtest_base(h: DataFrame, years: int = 2, min_obs: int = 30) -> DataFrame:
 def backtest_corrected(base: DataFrame) -> DataFrame:
     """Run the bias correction through a back-test in date order: each day is corrected
     from the last ten corrected errors.  Gives ledger rows (band 15 %, score 70)."""
-    packed = pack(base, "base", "y")
-    fixes = packed.mapInPandas(
-        kernels.sequential_correction(MEMORY, FLOOR, RATE), "series_id string, day int, correction double"
-    ).select("series_id", F.date_from_unix_date("day").alias("ds"), "correction")
-    x = base.join(fixes, ["series_id", "ds"]).withColumn("final_prediction", F.col("base") + F.col("correction"))
+    x = pack(base, "base", "p1", "y").mapInPandas(
+        kernels.sequential_correction(MEMORY, FLOOR, RATE),
+        "series_id string, days int, base double, p1 double, y double, correction double",
+    ).withColumn("ds", F.date_from_unix_date("days"))
+    x = x.withColumn("final_prediction", F.col("base") + F.col("correction"))
     error = F.col("final_prediction") - F.col("y")
     return x.select(
         "series_id", F.col("ds").alias("prediction_date"), "final_prediction",
