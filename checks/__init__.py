@@ -5,3 +5,4 @@ from . import queries_history  # noqa: E402,F401
 from . import queries_baselines  # noqa: E402,F401
 from . import queries_diagnostics, queries_models  # noqa: E402,F401
 from . import queries_analogs  # noqa: E402,F401
+from . import queries_ensemble  # noqa: E402,F401

@@ -377,12 +377,17 @@ def bootstrap(rounds: int, seed: int) -> Callable:
 
 def slice_top_k(k: int, kind: str) -> Callable:
     """For each target the ``k`` best rows of one slice of its series, earlier rows first
-    among equals: least weighted distance, or greatest dot product.  Only those rows
-    leave the task; the pairs exist as a matrix of one slice at a time."""
+    among equals: least weighted distance, or greatest correlation (0 for a flat run).
+    Only those rows leave the task; pairs exist as a matrix of one slice at a time."""
+
+    def unit(x):
+        left = x - x.mean(axis=1, keepdims=True)
+        norm = np.sqrt((left**2).sum(axis=1, keepdims=True))
+        return np.where(norm > 1e-8, left / np.maximum(norm, 1e-8), 0.0)
 
     def scores(x, target, weight):
-        if kind == "dot":
-            return -(target @ x.T)
+        if kind == "correlation":
+            return -(unit(target) @ unit(x).T)
         square = np.zeros((len(target), len(x)))
         for c in range(x.shape[1]):
             square += ((target[:, c : c + 1] - x[:, c]) * weight[:, c : c + 1]) ** 2
@@ -407,6 +412,31 @@ def slice_top_k(k: int, kind: str) -> Callable:
     return per_series(fit, ["day", "key", "score", "v"])
 
 
+def similar(k: int, weights: list[float]) -> Callable:
+    """The ``k`` nearest earlier days of each target with their distance, and the mean
+    growth of yearly means (within -15 %..25 %) over the days the target sees."""
+
+    def fit(row):
+        key, x = np.asarray(row.key), np.array([list(v) for v in row.x])
+        y, year, out = np.asarray(row.y), np.asarray(row.year), []
+        for t in row.targets:
+            lo, hi = np.searchsorted(key, [t["since"], t["day"]])
+            lo = lo if hi - lo >= 10 else 0
+            if hi == 0:
+                continue
+            seen, sd = x[lo:hi], x[lo:hi].std(axis=0)
+            scale = np.array(weights) / np.where(sd > 1e-6, sd, 1.0)
+            distance = np.sqrt((((seen - np.asarray(t["x"])) * scale) ** 2).sum(axis=1))
+            best = lo + np.argsort(np.round(distance, 9), kind="stable")[:k]
+            starts = np.unique(year[lo:hi], return_index=True)[1]
+            means = np.add.reduceat(y[lo:hi], starts) / np.diff(np.append(starts, hi - lo))
+            growth = np.clip(np.mean(means[1:] / means[:-1] - 1), -0.15, 0.25) if len(means) > 1 else 0.0
+            out += [(int(t["day"]), float(growth), float(distance[j - lo]), int(year[j]), float(y[j])) for j in best]
+        return out
+
+    return per_series(fit, ["day", "growth", "distance", "year", "y"])
+
+
 # --- sequential bias correction ------------------------------------------------------
 
 

@@ -69,82 +69,39 @@ def vector(*columns: Column) -> Column:
     return F.array(*[c.cast("double") for c in columns])
 
 
-def count_before(h: DataFrame, targets: DataFrame, day: Column, name: str) -> DataFrame:
-    """Number of history days before ``day`` for each target."""
-    state = h.select("series_id", "ds", F.row_number().over(by_day()).alias("_c"))
-    probe = targets.withColumn("_t", F.col("target_ds")).withColumn("target_ds", day)
-    at = asof_attach(state, probe).drop("ds", "target_ds").withColumnRenamed("_t", "target_ds")
-    return at.withColumn(name, F.coalesce("_c", F.lit(0))).drop("_c")
-
-
-def window_moments(h: DataFrame, wanted: DataFrame, features: dict[str, Column]) -> DataFrame:
-    """Per (target, year) with ``lo <= ds < hi``: count, sum of y, and sum and square sum
-    of each feature, as differences of running sums looked up at both ends."""
-    running = by_day().rowsBetween(Window.unboundedPreceding, 0)
-    rows = h.withColumns(features)
-    parts = {"n": F.lit(1.0), "sy": F.col("y")}
-    for c in features:
-        parts |= {f"s_{c}": F.col(c), f"q_{c}": F.col(c) * F.col(c)}
-    state = rows.select("series_id", "ds", *[F.sum(v).over(running).alias(c) for c, v in parts.items()])
-
-    def at(df: DataFrame, end: str, prefix: str) -> DataFrame:
-        kept = [c for c in df.columns if c not in ("series_id", "target_ds")]
-        probe = df.withColumn("_keep", F.col("target_ds")).withColumn("target_ds", F.col(end))
-        return asof_attach(state, probe).select(
-            "series_id", F.col("_keep").alias("target_ds"), *kept,
-            *[F.coalesce(c, F.lit(0.0)).alias(f"{prefix}{c}") for c in parts],
-        )
-
-    both = at(at(wanted, "hi", "b_"), "lo", "a_")
-    return both.select(*IDS, "year", *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in parts])
-
-
 def similar_days(h: DataFrame, targets: DataFrame, years: int = 3, k: int = 20) -> DataFrame:
-    """Weighted mean of the ``k`` days nearest in calendar features, scaled to the
-    history each target sees, times the clipped growth of yearly means."""
-    names, cut = list(DAY_WEIGHTS), F.add_months("target_ds", -12 * years)
-    t = targets.select(*IDS).distinct()
-    t = count_before(h, count_before(h, t, F.col("target_ds"), "_n"), cut, "_old")
-    first = h.groupBy("series_id").agg(F.min("ds").alias("_first"))
-    t = t.join(first, "series_id").filter(F.col("_n") > 0)
-    # with fewer than ten recent days, all of history
-    since = F.when(F.col("_n") - F.col("_old") >= 10, F.greatest(cut, F.col("_first"))).otherwise(F.col("_first"))
-    t = t.select(*IDS, since.alias("_since")).withColumn(
-        "year", F.explode(F.sequence(F.year("_since"), F.year("target_ds")))
-    )
-    jan1 = F.make_date("year", F.lit(1), F.lit(1))
-    t = t.withColumns(
-        {"lo": F.greatest(F.col("_since"), jan1), "hi": F.least(F.col("target_ds"), F.add_months(jan1, 12))}
-    )
-    per_year = window_moments(h, t, day_features("ds")).filter(F.col("n") > 0)
-    means = F.transform(F.sort_array(F.collect_list(F.struct("year", (F.col("sy") / F.col("n")).alias("m")))),
-                        lambda s: s["m"])
-    scale = per_year.groupBy(*IDS).agg(
-        F.sum("n").alias("n"), means.alias("ym"),
-        *[F.sum(f"{m}_{c}").alias(f"{m}_{c}") for c in names for m in "sq"],
-    )
-    more = F.greatest(F.size("ym") - 1, F.lit(0))
-    steps = F.zip_with(F.slice("ym", F.lit(2), more), F.slice("ym", F.lit(1), more), lambda b, a: b / a - 1)
-    growth = F.coalesce(F.try_divide(array_sum(steps), F.size(steps)), F.lit(0.0))
-    spread = {c: F.col(f"q_{c}") / F.col("n") - F.pow(F.col(f"s_{c}") / F.col("n"), F.lit(2.0)) for c in names}
-    scale = scale.select(
-        *IDS, clip(growth, -0.15, 0.25).alias("growth"),
-        vector(*[F.lit(DAY_WEIGHTS[c]) / F.when(v > 1e-12, F.sqrt(v)).otherwise(1.0) for c, v in spread.items()]).alias("w"),
-    )
+    """Weighted mean of the ``k`` days nearest in calendar features, times the clipped
+    growth of yearly means.
+
+    A target sees the last ``years`` years, or all earlier days if those hold fewer than
+    ten, and features are scaled to what it sees.  That scale moves with every target, so
+    the search runs on the packed series; only the ``k`` days found come back as rows.
+    """
     rows = h.select(
-        "series_id", F.year("ds").alias("_slice"), F.unix_date("ds").alias("key"),
-        vector(*day_features("ds").values()).alias("x"), vector(F.col("y"), F.year("ds")).alias("v"),
+        "series_id", F.unix_date("ds").alias("key"), F.year("ds").alias("year"), "y",
+        vector(*day_features("ds").values()).alias("x"),
     )
-    wanted = t.join(scale, IDS).select(
-        *IDS, F.col("year").alias("_slice"), F.unix_date("_since").alias("since"),
-        F.unix_date("target_ds").alias("until"), vector(*day_features("target_ds").values()).alias("x"), "w",
+    packed = rows.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("key", "year", "y", "x"))).alias("r")
     )
-    weight = 1 / (F.col("score") + 0.01)
-    g = nearest(rows, wanted, k, "distance", 2).groupBy(*IDS).agg(
-        (F.sum(F.col("v0") * weight) / F.sum(weight)).alias("v"), F.avg("v1").alias("_y")
+    cut = F.unix_date(F.add_months("target_ds", -12 * years))
+    asked = targets.select(
+        "series_id",
+        F.struct(
+            F.unix_date("target_ds").alias("day"), cut.alias("since"),
+            vector(*day_features("target_ds").values()).alias("x"),
+        ).alias("t"),
+    ).groupBy("series_id").agg(F.collect_set("t").alias("targets"))
+    found = packed.join(asked, "series_id").select("series_id", "r.key", "r.year", "r.y", "r.x", "targets").mapInPandas(
+        kernels.similar(k, list(DAY_WEIGHTS.values())),
+        "series_id string, day int, growth double, distance double, year int, y double",
     )
+    weight = 1 / (F.col("distance") + 0.01)
+    g = found.groupBy("series_id", "day", "growth").agg(
+        (F.sum(F.col("y") * weight) / F.sum(weight)).alias("v"), F.avg("year").alias("_y")
+    ).withColumn("target_ds", F.date_from_unix_date("day"))
     factor = clip(F.pow(1 + F.col("growth"), F.year("target_ds") - F.col("_y")), 0.7, 1.5)
-    return g.join(scale.select(*IDS, "growth"), IDS).select(
+    return g.select(
         *IDS, F.lit("similar").alias("model"), (F.col("v") * factor).alias("yhat"), F.lit("analog").alias("family")
     )
 
@@ -157,30 +114,21 @@ def pattern_match(h: DataFrame, targets: DataFrame, m: int = 7, k: int = 10, str
     A target with too short a history gets the mean of what is there.
     """
     w = by_day()
-    back = [f"_b{j}" for j in range(m)]
-
-    def unit() -> tuple[Column, Column]:
-        """The run scaled to length one around its mean (zeros if flat), and the mean."""
-        values = [F.col(b) for b in back]
-        mean = sum(values) / m
-        norm = F.sqrt(sum((v - mean) * (v - mean) for v in values))
-        scaled = [F.when(norm <= 1e-8, 0.0).otherwise(F.try_divide(v - mean, norm)) for v in values]
-        return vector(*scaled), mean
-
-    rows = h.withColumn("key", (F.row_number().over(w) - 1).cast("int"))
-    rows = rows.withColumns({b: F.lag("y", m - j).over(w) for j, b in enumerate(back)})
-    x, mean = unit()
+    before, upto = w.rowsBetween(-m, -1), w.rowsBetween(1 - m, 0)
+    rows = h.select(
+        "series_id", (F.row_number().over(w) - 1).cast("int").alias("key"), "y",
+        F.collect_list("y").over(before).alias("x"), F.avg("y").over(before).alias("mean"),
+    )
     runs = rows.filter(F.col("key") >= m).select(
         "series_id", F.floor(F.col("key") / SLICE).cast("int").alias("_slice"), "key",
-        x.alias("x"), vector(F.col("y"), mean).alias("v"),
+        "x", vector(F.col("y"), F.col("mean")).alias("v"),
     )
     state = h.select(
         "series_id", "ds", F.row_number().over(w).alias("_n"),
         F.avg("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_all"),
-        *[F.lag("y", m - 1 - j).over(w).alias(b) for j, b in enumerate(back)],
+        F.collect_list("y").over(upto).alias("x"), F.avg("y").over(upto).alias("t_mean"),
     )
     t = asof_attach(state, targets.select(*IDS).distinct())
-    t = t.withColumns({"x": x, "t_mean": mean})
     if strict:
         t = t.withColumn("_total", F.col("_n"))
     else:
@@ -193,7 +141,7 @@ def pattern_match(h: DataFrame, targets: DataFrame, m: int = 7, k: int = 10, str
         *IDS, "x", vector().alias("w"), F.lit(m).alias("since"), until.alias("until"),
         F.explode(F.sequence(F.lit(0), F.floor((until - 1) / SLICE).cast("int"))).alias("_slice"),
     )
-    top = nearest(runs, wanted, k, "dot", 2).join(t.select(*IDS, "t_mean"), IDS)
+    top = nearest(runs, wanted, k, "correlation", 2).join(t.select(*IDS, "t_mean"), IDS)
     weight = (1 - F.col("score")) / 2
     level = clip(F.col("t_mean") / (F.col("v1") + 1e-8), 0.5, 2.0)
     g = top.groupBy(*IDS).agg(
