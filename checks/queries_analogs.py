@@ -126,7 +126,7 @@ def _(spark, d):
 
     h = supplier_panel(spark, d)
     t = targets(h)
-    return rounded(a.with_fallback(prev_year_same_day(h, t), h, t, ["PrevYear_SameDay", "similar"], 1000.0))
+    return rounded(a.with_fallback(prev_year_same_day(h, t), h, t, ["PrevYear_SameDay", "similar"], 1000.0).drop("lo", "hi"))
 
 
 KNN = f"""{ORDERS}, {TARGETS}, f as (select *, lag(y) over w as l1, lag(y, 7) over w as l7 from h window w as (partition by series_id order by ds)),
@@ -141,7 +141,7 @@ def _knn(spark, d, k, weights):
     w = features.lags(calendar(orders_panel(spark, d), parts=["weekday", "month"]), [1, 7])
     rows = w.filter(F.col("lag_7").isNotNull())
     wanted = rows.drop("y").withColumnRenamed("ds", "target_ds")
-    return rounded(a.nearest_neighbours(rows, wanted, ["weekday", "month", "lag_1", "lag_7"], k, weights).drop("family"))
+    return rounded(a.nearest_neighbours(rows, wanted, ["weekday", "month", "lag_1", "lag_7"], k, weights).drop("family", "lo", "hi"))
 
 
 @query("knn", long_sql([("KNN", """select series_id, target_ds, coalesce(avg(y) filter (where d = 0),

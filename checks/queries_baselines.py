@@ -29,9 +29,10 @@ def tail(agg, n, need=None):
     return f"select series_id, target_ds, {agg} as yhat from p where r <= {n} group by 1, 2{having}"
 
 
-def run(spark, d, fn, *args, panel=supplier_panel, nudge=0.0, **kw):
+def run(spark, d, fn, *args, panel=supplier_panel, nudge=0.0, banded=False, **kw):
     h = panel(spark, d)
-    return rounded(fn(h, targets(h), *args, **kw).drop("family"), nudge=nudge)
+    out = fn(h, targets(h), *args, **kw).drop("family")
+    return rounded(out if banded else out.drop("lo", "hi"), nudge=nudge)
 
 
 @query("sma", long_sql([(f"SMA_{n}", tail("avg(y)", n, n)) for n in (3, 5, 7, 14, 21, 30)]))
@@ -136,7 +137,7 @@ def t_list():
           list_extract({t_list()}, count(*) - 1) * stddev_samp(y) / sqrt(count(*)) end as half
         from p where {WD} and rw <= 8 group by 1, 2)""")], values=("yhat", "lo", "hi")))
 def _(spark, d):
-    return run(spark, d, b.weekday_recent)
+    return run(spark, d, b.weekday_recent, banded=True)
 
 
 def back(days):
@@ -191,7 +192,7 @@ def _(spark, d):
       avg(y) filter (where r <= 14) as m1, 14 / nullif(var_samp(y) filter (where r <= 14), 0) as p1
     from p group by 1, 2)""")], values=("yhat", "lo", "hi")))
 def _(spark, d):
-    return run(spark, d, b.bayes_posterior)
+    return run(spark, d, b.bayes_posterior, banded=True)
 
 
 @query("recent_median", long_sql([(f"Median_{n}", tail("median(y)", n)) for n in (7, 14, 30)]))

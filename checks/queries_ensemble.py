@@ -31,7 +31,7 @@ def predictions(spark, d) -> DataFrame:
     t = targets(h)
     parts = [b.sma(h, t), b.wma(h, t), b.recent_median(h, t, (7, 30)), b.weekday_mean(h, t),
              b.weekday_month_mean(h, t), b.prev_year_same_weekday(h, t)]
-    p = reduce(DataFrame.unionByName, parts)
+    p = reduce(DataFrame.unionByName, parts).drop("lo", "hi")
     ml = F.col("model").startswith("WMA") | F.col("model").startswith("Median")
     return p.withColumn("family", F.when(ml, "ml").otherwise(F.col("family")))
 
@@ -141,7 +141,8 @@ RECORD = [*IDS, "final_prediction", "pred_lower", "pred_upper"]
 INTERVALS = {
     "percentile": ("p_low", "p_high"),
     "sigma": ("greatest(0, yhat - 1.96::double * std)", "yhat + 1.96::double * std"),
-    "relative": ("greatest(0, yhat - 1.96::double * (yhat * 0.08::double + std) / 2)", "yhat + 1.96::double * (yhat * 0.08::double + std) / 2"),
+    "relative": tuple(f"{side} 1.96::double * case when std > 1e-9 then (yhat * 0.08::double + std) / 2 else yhat * 0.08::double end{end}"
+                 for side, end in (("greatest(0, yhat -", ")"), ("yhat +", ""))),
 }
 for _kind, (_lo, _hi) in INTERVALS.items():
 

@@ -81,12 +81,12 @@ def _(spark, d):
 
 @query("fourier_forecast")
 def _(spark, d):
-    return run(spark, d, lagreg.fourier_forecast, panel=orders_panel)
+    return run(spark, d, lagreg.fourier_forecast, panel=orders_panel, banded=True)
 
 
 @query("lag_regression")
 def _(spark, d):
-    return run(spark, d, lagreg.lag_regression, panel=orders_panel)
+    return run(spark, d, lagreg.lag_regression, panel=orders_panel, banded=True)
 
 
 @query("kde_mode", long_sql([("KDE_Mode", """
@@ -113,4 +113,4 @@ def _(spark, d):
                 select series_id, target_ds, list(y order by ds) as ys from p where r <= 30 group by 1, 2))))))
     group by 1, 2, 3) group by 1, 2""")], f"{ORDERS}, {TARGETS}, {PAST}", ("yhat", "lo", "hi")))
 def _(spark, d):
-    return run(spark, d, estimates.bootstrap, panel=orders_panel)
+    return run(spark, d, estimates.bootstrap, panel=orders_panel, banded=True)

@@ -48,8 +48,17 @@ def null_inf(df: DataFrame) -> DataFrame:
     )
 
 
-def to_long(df: DataFrame, ids: list[str], family: str | None = None) -> DataFrame:
-    """Turn one column per model into (ids, model, yhat) rows, leaving out nulls."""
-    models = [c for c in df.columns if c not in ids]
-    long = df.unpivot(ids, models, "model", "yhat").filter(F.col("yhat").isNotNull())
-    return long.withColumn("family", F.lit(family)) if family else long
+def prediction(model: str, yhat: Column, family: str, lo: Column | None = None, hi: Column | None = None) -> list[Column]:
+    """The columns every forecaster returns next to ``series_id, target_ds``."""
+    none = F.lit(None).cast("double")
+    return [
+        F.lit(model).alias("model"), yhat.cast("double").alias("yhat"),
+        (none if lo is None else lo).alias("lo"), (none if hi is None else hi).alias("hi"),
+        F.lit(family).alias("family"),
+    ]
+
+
+def one_model(df: DataFrame, model: str, yhat: Column, family: str, lo=None, hi=None) -> DataFrame:
+    """Prediction rows of one model, leaving out targets without a value."""
+    out = df.select("series_id", "target_ds", *prediction(model, yhat, family, lo, hi))
+    return out.filter(F.col("yhat").isNotNull())

@@ -30,6 +30,18 @@ def per_series(fn: Callable, columns: list[str]) -> Callable:
     return run
 
 
+def chained(fns: list[tuple[Callable, str]]) -> Callable:
+    """Run several forecast kernels over the same packed series, naming each family."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for fn, family in fns:
+                for out in fn(iter([pdf])):
+                    yield out.reindex(columns=["series_id", "day", "model", "yhat", "lo", "hi"]).assign(family=family)
+
+    return run
+
+
 def padded(arrays: list, fill: float = np.nan) -> np.ndarray:
     """Arrays of different lengths as one matrix, one row per array."""
     out = np.full((len(arrays), max((len(a) for a in arrays), default=0)), fill)
@@ -365,6 +377,9 @@ def bootstrap(rounds: int, seed: int) -> Callable:
         out = []
         for v in values:
             v = np.asarray(v, dtype=float)
+            if not len(v):
+                out.append((None, None, None))
+                continue
             means = v[resample_index(len(v), rounds, seed)].mean(axis=1)
             out.append((means.mean(), *np.percentile(means, [2.5, 97.5])))
         return pd.DataFrame(out, columns=["yhat", "lo", "hi"])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.columns import array_sum, by_day, clip, week_of_month
+from ..functions.columns import by_day, clip, one_model, week_of_month
 from .asof import asof_attach
 from .baselines import IDS, with_keys, year_means, year_to_date
 
@@ -101,9 +101,7 @@ def similar_days(h: DataFrame, targets: DataFrame, years: int = 3, k: int = 20)
         (F.sum(F.col("y") * weight) / F.sum(weight)).alias("v"), F.avg("year").alias("_y")
     ).withColumn("target_ds", F.date_from_unix_date("day"))
     factor = clip(F.pow(1 + F.col("growth"), F.year("target_ds") - F.col("_y")), 0.7, 1.5)
-    return g.select(
-        *IDS, F.lit("similar").alias("model"), (F.col("v") * factor).alias("yhat"), F.lit("analog").alias("family")
-    )
+    return one_model(g, "similar", F.col("v") * factor, "analog")
 
 
 def pattern_match(h: DataFrame, targets: DataFrame, m: int = 7, k: int = 10, strict: bool = True) -> DataFrame:
@@ -149,12 +147,8 @@ def pattern_match(h: DataFrame, targets: DataFrame, m: int = 7, k: int = 10, str
             F.try_divide(F.sum(F.col("v0") * level * weight), F.sum(weight)), F.avg(F.col("v0") * level)
         ).alias("v")
     )
-    return (
-        t.select(*IDS, "_all").join(g, IDS, "left")
-        .select(*IDS, F.lit("pattern").alias("model"), F.coalesce("v", "_all").alias("yhat"),
-                F.lit("analog").alias("family"))
-        .filter(F.col("yhat").isNotNull())
-    )
+    at = t.select(*IDS, "_all").join(g, IDS, "left")
+    return one_model(at, "pattern", F.coalesce("v", "_all"), "analog")
 
 
 def prev_year_trend(h: DataFrame, targets: DataFrame, strict: bool = True) -> DataFrame:
@@ -177,8 +171,7 @@ def prev_year_trend(h: DataFrame, targets: DataFrame, strict: bool = True) -> Da
     at = with_keys(means, ["year", "month"], "target_ds").join(month, ["series_id", "year", "month"], "left")
     growth = F.coalesce(clip(F.try_divide("this_year", "last_year"), 0.8, 1.3), F.lit(1.0))
     yhat = F.coalesce(F.col("_m") * growth, F.col("overall"))
-    return at.select(*IDS, F.lit("prev_year").alias("model"), yhat.alias("yhat"),
-                     F.lit("analog").alias("family")).filter(F.col("yhat").isNotNull())
+    return one_model(at, "prev_year", yhat, "analog")
 
 
 def recent_trend(h: DataFrame, targets: DataFrame, strict: bool = True) -> DataFrame:
@@ -222,8 +215,7 @@ def recent_trend(h: DataFrame, targets: DataFrame, strict: bool = True) -> DataF
     ratio = F.coalesce(clip(F.try_divide(now, overall), 0.7, 1.5), F.lit(1.0))
     past = F.coalesce("_same", "_wd")
     yhat = F.when(now.isNull(), overall).otherwise(F.coalesce(past * ratio, now))
-    return x.select(*IDS, F.lit("trend").alias("model"), yhat.alias("yhat"),
-                    F.lit("analog").alias("family")).filter(F.col("yhat").isNotNull())
+    return one_model(x, "trend", yhat, "analog")
 
 
 def with_fallback(p: DataFrame, h: DataFrame, targets: DataFrame, models: Sequence[str], default: float | None = None) -> DataFrame:
@@ -235,7 +227,7 @@ def with_fallback(p: DataFrame, h: DataFrame, targets: DataFrame, models: Sequen
         *IDS, F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "_all"
     )
     return full.join(p, [*IDS, "model"], "left").select(
-        *IDS, "model", F.coalesce("yhat", "_all", F.lit(default).cast("double")).alias("yhat"),
+        *IDS, "model", F.coalesce("yhat", "_all", F.lit(default).cast("double")).alias("yhat"), "lo", "hi",
         F.coalesce("family", F.lit("fallback")).alias("family"),
     ).filter(F.col("yhat").isNotNull())
 
@@ -263,6 +255,4 @@ def nearest_neighbours(
         near = F.when(F.col("score") > 0, 1 / F.col("score"))
         exact = F.avg(F.when(F.col("score") == 0, F.col("v0")))
         value = F.coalesce(exact, F.sum(F.col("v0") * near) / F.sum(near))
-    return top.groupBy(*IDS).agg(value.alias("yhat")).select(
-        *IDS, F.lit("KNN").alias("model"), "yhat", F.lit("ml").alias("family")
-    )
+    return one_model(top.groupBy(*IDS).agg(value.alias("_v")), "KNN", F.col("_v"), "ml")

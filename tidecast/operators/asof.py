@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_day, to_long
+from ..functions.columns import by_day, prediction
 
 
 def asof_attach(state: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -52,22 +53,37 @@ def eligible_targets(h: DataFrame, targets: DataFrame, min_obs: int = 14) -> Dat
     )
 
 
-def window_forecast(
-    h: DataFrame,
-    targets: DataFrame,
-    models: Mapping[str, Column],
-    family: str,
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Forecasts that are windows ending at the last known day.
+@dataclass(frozen=True)
+class Recipe:
+    """Forecasts that only need the last known day: ``state`` is evaluated for every
+    history day, ``models`` (value, or value with bounds) on the state of that day."""
 
-    ``models`` are evaluated once for every history day, so one pass serves any
-    number of targets; ``keys`` must be columns of both sides.
-    """
-    state = h.select("series_id", *keys, "ds", *[c.alias(m) for m, c in models.items()])
-    ids = ["series_id", "target_ds"]
-    attached = asof_attach(state, targets.select(*ids, *keys), keys)
-    return to_long(attached.select(*ids, *models), ids, family)
+    family: str
+    state: Mapping[str, Column]
+    models: Mapping[str, Column | tuple[Column, Column, Column]]
+
+
+def windows(family: str, models: Mapping[str, Column]) -> Recipe:
+    """Recipe of forecasts that are plain windows."""
+    return Recipe(family, models, {m: F.col(m) for m in models})
+
+
+def forecast_asof(
+    h: DataFrame, targets: DataFrame, recipes: Sequence[Recipe], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Run any number of recipes in one pass over history and one as-of attach; ``keys``
+    must be columns of both sides.  Models without a value leave no row."""
+    state: dict[str, Column] = {}
+    for r in recipes:
+        state |= r.state
+    kept = h.select("series_id", *keys, "ds", *[c.alias(n) for n, c in state.items()])
+    at = asof_attach(kept, targets.select("series_id", "target_ds", *keys), keys)
+    rows = [
+        F.struct(*prediction(m, *((v[0], r.family, v[1], v[2]) if isinstance(v, tuple) else (v, r.family))))
+        for r in recipes for m, v in r.models.items()
+    ]
+    long = at.select("series_id", "target_ds", F.explode(F.array(*rows)).alias("_p"))
+    return long.select("series_id", "target_ds", "_p.*").filter(F.col("yhat").isNotNull())
 
 
 def lookup(h: DataFrame, targets: DataFrame) -> DataFrame:

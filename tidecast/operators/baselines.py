@@ -1,8 +1,9 @@
 """Averages, seasonal means and previous-year lookups.
 
-Each function returns ``(series_id, target_ds, model, yhat, family)``.  History is
-strictly before the target unless ``strict=False``, which reproduces profiles taken
-over the whole series.
+Each function returns ``(series_id, target_ds, model, yhat, lo, hi, family)``.  History
+is strictly before the target unless ``strict=False``, which reproduces profiles taken
+over the whole series.  The ``*_recipe`` functions hold the expressions, so that a plan
+can run all of them in one pass.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR
-from ..functions.columns import array_sum, by_day, clip, to_long, trimmed_mean
+from ..functions.columns import array_sum, by_day, clip, one_model, trimmed_mean
 from ..functions.distributions import t_quantile
-from .asof import asof_attach, window_forecast
+from .asof import Recipe, asof_attach, forecast_asof, windows as window_recipe
 from .features import exponential_mean, mean_over
 
 IDS = ["series_id", "target_ds"]
@@ -30,49 +31,63 @@ def with_keys(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     return df.withColumns({k: CALENDAR[k](F.col(day)) for k in keys})
 
 
-def sma_models(windows: Sequence[int], require_full: bool) -> dict[str, Column]:
-    return {
-        f"SMA_{n}": F.when(position() >= n, mean_over(n)) if require_full else mean_over(n)
-        for n in windows
-    }
+def sma_recipe(sizes=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> Recipe:
+    return window_recipe("moving_average", {
+        f"SMA_{n}": F.when(position() >= n, mean_over(n)) if require_full else mean_over(n) for n in sizes
+    })
 
 
-def sma(h, targets, windows=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> DataFrame:
-    return window_forecast(h, targets, sma_models(windows, require_full), "moving_average")
+def sma(h, targets, sizes=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> DataFrame:
+    return forecast_asof(h, targets, [sma_recipe(sizes, require_full)])
 
 
-def wma_model(n: int = 7) -> dict[str, Column]:
+def wma_recipe(n: int = 7) -> Recipe:
     weighted = sum(F.lag("y", i).over(by_day()) * (n - i) for i in range(n))
-    return {f"WMA_{n}": weighted / (n * (n + 1) / 2)}
+    return window_recipe("moving_average", {f"WMA_{n}": weighted / (n * (n + 1) / 2)})
 
 
 def wma(h, targets, n: int = 7) -> DataFrame:
-    return window_forecast(h, targets, wma_model(n), "moving_average")
+    return forecast_asof(h, targets, [wma_recipe(n)])
 
 
-def tma_model(n: int = 7) -> dict[str, Column]:
+def tma_recipe(n: int = 7) -> Recipe:
     """A mean of means is one triangular set of weights over 2n-1 rows."""
     weighted = sum(F.lag("y", i).over(by_day()) * min(i + 1, 2 * n - 1 - i) for i in range(2 * n - 1))
-    return {f"TMA_{n}": weighted / (n * n)}
+    return window_recipe("moving_average", {f"TMA_{n}": weighted / (n * n)})
 
 
 def tma(h, targets, n: int = 7) -> DataFrame:
-    return window_forecast(h, targets, tma_model(n), "moving_average")
+    return forecast_asof(h, targets, [tma_recipe(n)])
+
+
+def ema_recipe(spans=(7, 14, 21)) -> Recipe:
+    """Reads the columns ``EMA_n`` that ``exponential_mean`` adds to the history."""
+    return window_recipe("moving_average", {f"EMA_{s}": F.col(f"EMA_{s}") for s in spans})
 
 
 def ema_forecast(h, targets, spans=(7, 14, 21), adjust: bool = True) -> DataFrame:
-    state = exponential_mean(h, spans, adjust, "EMA_")
-    return window_forecast(state, targets, {f"EMA_{s}": F.col(f"EMA_{s}") for s in spans}, "moving_average")
+    return forecast_asof(exponential_mean(h, spans, adjust, "EMA_"), targets, [ema_recipe(spans)])
+
+
+def mean_so_far(model: str, keys: Sequence[str]) -> Recipe:
+    seen = by_day(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return window_recipe("seasonal", {model: F.avg("y").over(seen)})
+
+
+def keyed_forecast(h, targets, keys: Sequence[str], recipes: Sequence[Recipe]) -> DataFrame:
+    """Recipes evaluated among the days that share the target's calendar keys."""
+    return forecast_asof(
+        with_keys(h, keys, "ds"), with_keys(targets.select(*IDS), keys, "target_ds"), recipes, keys
+    )
 
 
 def calendar_mean(h, targets, keys: Sequence[str], model: str, strict: bool = True) -> DataFrame:
     """Mean of the days sharing the target's calendar keys."""
-    hk, tk = with_keys(h, keys, "ds"), with_keys(targets.select(*IDS), keys, "target_ds")
     if strict:
-        seen = by_day(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        return window_forecast(hk, tk, {model: F.avg("y").over(seen)}, "seasonal", keys)
-    profile = hk.groupBy("series_id", *keys).agg(F.avg("y").alias(model))
-    return to_long(tk.join(profile, ["series_id", *keys]).select(*IDS, model), IDS, "seasonal")
+        return keyed_forecast(h, targets, keys, [mean_so_far(model, keys)])
+    profile = with_keys(h, keys, "ds").groupBy("series_id", *keys).agg(F.avg("y").alias("_m"))
+    hit = with_keys(targets.select(*IDS), keys, "target_ds").join(profile, ["series_id", *keys])
+    return one_model(hit, model, F.col("_m"), "seasonal")
 
 
 def weekday_mean(h, targets, strict: bool = True) -> DataFrame:
@@ -91,25 +106,22 @@ def week_of_month_mean(h, targets, strict: bool = True) -> DataFrame:
     return calendar_mean(h, targets, ["week_of_month"], "WeekOfMonth_Mean", strict)
 
 
+def weekday_recent_recipe(ks=(4, 8), conf: float = 0.95) -> Recipe:
+    """Mean of the last ``k`` values on the weekday; the longest ``k`` carries a t
+    interval once four values are known."""
+    frames = {k: by_day("weekday").rowsBetween(-(k - 1), 0) for k in ks}
+    widest = max(ks)
+    state = {f"Weekday_Recent{k}": F.avg("y").over(frames[k]) for k in ks}
+    models: dict = {m: F.col(m) for m in state}
+    state |= {"_wn": F.count("y").over(frames[widest]), "_wsd": F.stddev_samp("y").over(frames[widest])}
+    half = F.when(F.col("_wn") >= 4, t_quantile(F.col("_wn") - 1, conf) * F.col("_wsd") / F.sqrt("_wn"))
+    mean = F.col(f"Weekday_Recent{widest}")
+    models[f"Weekday_Recent{widest}"] = (mean, mean - half, mean + half)
+    return Recipe("seasonal", state, models)
+
+
 def weekday_recent(h, targets, ks=(4, 8), conf: float = 0.95) -> DataFrame:
-    """Mean of the last ``k`` values on the target's weekday; the longest ``k`` carries
-    a t interval once four values are known."""
-    key, widest = ["weekday"], max(ks)
-    hk, tk = with_keys(h, key, "ds"), with_keys(targets.select(*IDS), key, "target_ds")
-    frames = {k: by_day(*key).rowsBetween(-(k - 1), 0) for k in ks}
-    state = hk.select(
-        "series_id", *key, "ds",
-        *[F.avg("y").over(frames[k]).alias(f"Weekday_Recent{k}") for k in ks],
-        F.count("y").over(frames[widest]).alias("_n"),
-        F.stddev_samp("y").over(frames[widest]).alias("_sd"),
-    )
-    at = asof_attach(state, tk, key)
-    half = t_quantile(F.col("_n") - 1, conf) * F.col("_sd") / F.sqrt("_n")
-    at = at.withColumn("_half", F.when(F.col("_n") >= 4, half))
-    long = at.select(*IDS, "_half", *[f"Weekday_Recent{k}" for k in ks])
-    long = to_long(long, [*IDS, "_half"], "seasonal")
-    half = F.when(F.col("model") == f"Weekday_Recent{widest}", F.col("_half"))
-    return long.withColumns({"lo": F.col("yhat") - half, "hi": F.col("yhat") + half}).drop("_half")
+    return keyed_forecast(h, targets, ["weekday"], [weekday_recent_recipe(ks, conf)])
 
 
 def _days_back(targets: DataFrame, days: Sequence[int]) -> DataFrame:
@@ -118,44 +130,48 @@ def _days_back(targets: DataFrame, days: Sequence[int]) -> DataFrame:
     return targets.select(*IDS, back).withColumn("ds", F.date_sub("target_ds", F.col("back")))
 
 
-def prev_year_same_day(h, targets) -> DataFrame:
-    hit = _days_back(targets, [365]).join(h, ["series_id", "ds"])
-    return hit.select(*IDS, F.lit("PrevYear_SameDay").alias("model"), F.col("y").alias("yhat"),
-                      F.lit("previous_year").alias("family"))
+def prev_year_days(h, targets, days: Sequence[int]) -> DataFrame:
+    """Targets with the known days among some look-backs as ``near`` (a short array)."""
+    hit = _days_back(targets, days).join(h.select("series_id", "ds", "y"), ["series_id", "ds"])
+    return hit.groupBy(*IDS).agg(F.sort_array(F.collect_list(F.struct("ds", "back", "y"))).alias("near"))
 
 
-def prev_year_same_weekday(h, targets, fallback: bool = False) -> DataFrame:
+def _value_at(back: int) -> Column:
+    return F.get(F.filter("near", lambda p: p["back"] == back), F.lit(0))["y"]
+
+
+def same_day_value() -> Column:
+    return _value_at(365)
+
+
+def same_weekday_value(fallback: bool = False) -> Column:
     """The value 364 days back; with ``fallback`` the first known day from three before
     to three after it (not the nearest one)."""
-    reach = range(-3, 4) if fallback else [0]
-    hit = _days_back(targets, [364 - d for d in reach]).join(h, ["series_id", "ds"])
-    rank = F.when(F.col("back") == 364, -1000).otherwise(-F.col("back"))
-    return (
-        hit.groupBy(*IDS)
-        .agg(F.min_by("y", rank).alias("yhat"))
-        .select(*IDS, F.lit("PrevYear_SameWeekday").alias("model"), "yhat",
-                F.lit("previous_year").alias("family"))
-    )
+    if not fallback:
+        return _value_at(364)
+    around = F.filter("near", lambda p: p["back"].between(361, 367))
+    return F.coalesce(_value_at(364), F.get(around, F.lit(0))["y"])
 
 
-def prev_year_nearby(h, targets) -> DataFrame:
+def nearby_value() -> Column:
     """Centre: first known day within three of the day 365 back; mean of the known days
-    within three of that centre.  One equality join on the 13 days involved."""
-    hit = (
-        _days_back(targets, range(359, 372))
-        .join(h, ["series_id", "ds"])
-        .withColumn("off", 365 - F.col("back"))
-        .groupBy(*IDS)
-        .agg(
-            F.min(F.when(F.col("off").between(-3, 3), F.col("off"))).alias("centre"),
-            F.collect_list(F.struct("off", "y")).alias("near"),
-        )
-        .filter(F.col("centre").isNotNull())
-    )
-    kept = F.filter("near", lambda p: F.abs(p["off"] - F.col("centre")) <= 3)
-    mean = array_sum(F.transform(kept, lambda p: p["y"])) / F.size(kept)
-    return hit.select(*IDS, F.lit("PrevYear_Nearby").alias("model"), mean.alias("yhat"),
-                      F.lit("previous_year").alias("family"))
+    within three of that centre."""
+    centre = F.get(F.filter("near", lambda p: p["back"].between(362, 368)), F.lit(0))["back"]
+    kept = F.filter("near", lambda p: F.abs(p["back"] - centre) <= 3)
+    return F.when(centre.isNotNull(), F.try_divide(array_sum(F.transform(kept, lambda p: p["y"])), F.size(kept)))
+
+
+def prev_year_same_day(h, targets) -> DataFrame:
+    return one_model(prev_year_days(h, targets, [365]), "PrevYear_SameDay", same_day_value(), "previous_year")
+
+
+def prev_year_same_weekday(h, targets, fallback: bool = False) -> DataFrame:
+    near = prev_year_days(h, targets, range(361, 368) if fallback else [364])
+    return one_model(near, "PrevYear_SameWeekday", same_weekday_value(fallback), "previous_year")
+
+
+def prev_year_nearby(h, targets) -> DataFrame:
+    return one_model(prev_year_days(h, targets, range(359, 372)), "PrevYear_Nearby", nearby_value(), "previous_year")
 
 
 def year_means(h: DataFrame, by_month: bool = False) -> DataFrame:
@@ -168,8 +184,7 @@ def prev_year_month_mean(h, targets) -> DataFrame:
     hit = with_keys(targets.select(*IDS), ["year", "month"], "target_ds").join(
         last_year, ["series_id", "year", "month"]
     )
-    return hit.select(*IDS, F.lit("PrevYear_MonthMean").alias("model"), F.col("mean").alias("yhat"),
-                      F.lit("previous_year").alias("family"))
+    return one_model(hit, "PrevYear_MonthMean", F.col("mean"), "previous_year")
 
 
 def year_to_date(h: DataFrame, targets: DataFrame) -> DataFrame:
@@ -190,77 +205,68 @@ def year_to_date(h: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def growth_value(base: Column) -> Column:
+    now, then = F.coalesce("this_year", "overall"), F.coalesce("last_year", "overall")
+    return base * clip(F.when(then > 0, now / then).otherwise(1.0), 0.8, 1.3)
+
+
 def prev_year_growth(h, targets) -> DataFrame:
     """Previous-year same day times the clipped growth of yearly means."""
-    base = prev_year_same_day(h, targets).select(*IDS, F.col("yhat").alias("base"))
-    means = year_to_date(h, targets)
-    now = F.coalesce("this_year", "overall")
-    then = F.coalesce("last_year", "overall")
-    growth = clip(F.when(then > 0, now / then).otherwise(1.0), 0.8, 1.3)
-    return base.join(means, IDS).select(
-        *IDS, F.lit("PrevYear_GrowthAdj").alias("model"), (F.col("base") * growth).alias("yhat"),
-        F.lit("previous_year").alias("family"),
-    )
+    at = prev_year_days(h, targets, [365]).join(year_to_date(h, targets), IDS)
+    return one_model(at, "PrevYear_GrowthAdj", growth_value(same_day_value()), "previous_year")
 
 
-def bayes_posterior(h, targets, recent: int = 14) -> DataFrame:
+def bayes_recipe(recent: int = 14) -> Recipe:
     """Precision-weighted mean of all history and the last ``recent`` days."""
     seen = by_day().rowsBetween(Window.unboundedPreceding, 0)
     tail = by_day().rowsBetween(-(recent - 1), 0)
-    state = h.select(
-        "series_id", "ds",
-        F.avg("y").over(seen).alias("m0"), F.stddev_samp("y").over(seen).alias("s0"),
-        F.avg("y").over(tail).alias("m1"), F.stddev_samp("y").over(tail).alias("s1"),
-    )
-    at = asof_attach(state, targets.select(*IDS))
-    p0 = F.try_divide(F.lit(1.0), F.col("s0") * F.col("s0"))
-    se = F.col("s1") / F.sqrt(F.lit(float(recent)))
+    state = {
+        "_m0": F.avg("y").over(seen), "_s0": F.stddev_samp("y").over(seen),
+        "_m1": F.avg("y").over(tail), "_s1": F.stddev_samp("y").over(tail),
+    }
+    p0 = F.try_divide(F.lit(1.0), F.col("_s0") * F.col("_s0"))
+    se = F.col("_s1") / F.sqrt(F.lit(float(recent)))
     p1 = F.try_divide(F.lit(1.0), se * se)
-    mean = (F.col("m0") * p0 + F.col("m1") * p1) / (p0 + p1)
-    half = 1.96 / F.sqrt(p0 + p1)
-    return at.select(
-        *IDS, F.lit("Bayes_Posterior").alias("model"), mean.alias("yhat"),
-        (mean - half).alias("lo"), (mean + half).alias("hi"), F.lit("estimate").alias("family"),
-    ).filter(F.col("yhat").isNotNull())
+    mean, half = (F.col("_m0") * p0 + F.col("_m1") * p1) / (p0 + p1), 1.96 / F.sqrt(p0 + p1)
+    return Recipe("estimate", state, {"Bayes_Posterior": (mean, mean - half, mean + half)})
+
+
+def bayes_posterior(h, targets, recent: int = 14) -> DataFrame:
+    return forecast_asof(h, targets, [bayes_recipe(recent)])
 
 
-def median_models(ns: Sequence[int]) -> dict[str, Column]:
-    return {
+def median_recipe(ns: Sequence[int] = (7, 14, 30)) -> Recipe:
+    return window_recipe("robust", {
         f"Median_{n}": F.percentile("y", F.lit(0.5)).over(by_day().rowsBetween(-(n - 1), 0)) for n in ns
-    }
+    })
 
 
 def recent_median(h, targets, ns=(7, 14, 30)) -> DataFrame:
-    return window_forecast(h, targets, median_models(ns), "robust")
+    return forecast_asof(h, targets, [median_recipe(ns)])
 
 
-def trim_mean(h, targets, cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.2}, n: int = 30) -> DataFrame:
+def recent_values(n: int = 30) -> Column:
+    return F.collect_list("y").over(by_day().rowsBetween(-(n - 1), 0))
+
+
+def trim_recipe(cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.2}, n: int = 30) -> Recipe:
     """Trimmed means of the last ``n`` days; the trimming runs on target rows only."""
-    state = h.select("series_id", "ds", F.collect_list("y").over(by_day().rowsBetween(-(n - 1), 0)).alias("tail"))
-    at = asof_attach(state, targets.select(*IDS)).filter(F.col("tail").isNotNull())
-    wide = at.select(*IDS, *[trimmed_mean(F.col("tail"), p).alias(f"TrimMean_{k}") for k, p in cuts.items()])
-    return to_long(wide, IDS, "robust")
+    return Recipe("robust", {"_tail": recent_values(n)},
+                  {f"TrimMean_{k}": trimmed_mean(F.col("_tail"), p) for k, p in cuts.items()})
 
 
-def trend_change_model() -> dict[str, Column]:
+def trim_mean(h, targets, cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.2}, n: int = 30) -> DataFrame:
+    return forecast_asof(h, targets, [trim_recipe(cuts, n)])
+
+
+def trend_change_recipe() -> Recipe:
     """Least-squares slope of seven equally spaced values is a fixed weighted sum."""
     w = by_day()
     slope = sum(F.lag("y", k).over(w) * (3 - k) for k in range(7))
     older = sum(F.lag("y", k + 7).over(w) * (3 - k) for k in range(7))
     factor = F.when(slope > older, 1.02).when(slope < older, 0.98).otherwise(1.0)
-    return {"TrendChange_Adj": F.when(position() >= 14, mean_over(7) * factor)}
+    return window_recipe("robust", {"TrendChange_Adj": F.when(position() >= 14, mean_over(7) * factor)})
 
 
 def trend_change(h, targets) -> DataFrame:
-    return window_forecast(h, targets, trend_change_model(), "robust")
-
-
-def window_models(require_full: bool = True) -> dict[str, Column]:
-    """The forecasts that are plain windows over the series; together they cost one sort."""
-    return (
-        sma_models((3, 5, 7, 14, 21, 30), require_full)
-        | wma_model(7)
-        | tma_model(7)
-        | median_models((7, 14, 30))
-        | trend_change_model()
-    )
+    return forecast_asof(h, targets, [trend_change_recipe()])

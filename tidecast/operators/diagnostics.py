@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.calendar import calendar
-from ..functions.columns import array_sum, by_day, to_long
+from ..functions.columns import array_sum, by_day
 from ..functions.distributions import chi2_tail_even, t_quantile
-from .asof import asof_attach
+from .asof import Recipe, forecast_asof
 from .packed import pack
 
 
@@ -193,41 +193,50 @@ def strength(decomposed: DataFrame) -> DataFrame:
     )
 
 
-def decompose_forecast(h: DataFrame, targets: DataFrame, period: int = 7, strict: bool = True) -> DataFrame:
+def with_remainder(h: DataFrame, period: int = 7) -> DataFrame:
+    """History with its phase, the remainder from full centred frames and the mean
+    remainder of its phase so far."""
+    w, half = by_day(), period // 2
+    rows = h.withColumn("_phase", (F.row_number().over(w) - 1) % period)
+    rows = rows.withColumn("_left", F.col("y") - F.avg("y").over(w.rowsBetween(-half, half)))
+    same = by_day("_phase").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_season", F.avg("_left").over(same))
+
+
+def decompose_recipe(period: int = 7) -> Recipe:
     """Last trend plus its mean step over a period (``STL_Trend``), the same with the
     season of the coming day (``STL_Combined``) and the last trend with the season but
-    without the step (``STL_Level``).
+    without the step (``STL_Level``); on the columns of ``with_remainder``.
 
-    Strict values equal a decomposition of only the days before the target: the trend
-    of the last rows is re-taken over the rows that exist, the season of a phase is
-    known from full frames only, and the centring sums the full part and those rows.
+    The values equal a decomposition of only the days up to the last one: the trend of
+    the last rows is re-taken over the rows that exist, the season of a phase is known
+    from full frames only, and the centring sums the full part and those rows.
     """
-    ids, w = ["series_id", "target_ds"], by_day()
-    half = period // 2
-    rows = h.withColumn("_n", F.row_number().over(w))
-    rows = rows.withColumn("_phase", (F.col("_n") - 1) % period)
-    full = F.avg("y").over(w.rowsBetween(-half, half))
-    rows = rows.withColumn("_left", F.col("y") - full)
-    same = by_day("_phase").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_season", F.avg("_left").over(same))
+    w, half = by_day(), period // 2
     # remainders of the last rows, whose frames end at the last known day
     edge = sum(F.lag("y", k).over(w) - F.avg("y").over(w.rowsBetween(-half - k, 0)) for k in range(half))
     settled = F.coalesce(F.sum("_left").over(w.rowsBetween(Window.unboundedPreceding, -half)), F.lit(0.0))
     last = F.avg("y").over(w.rowsBetween(-half, 0))
     before = F.avg("y").over(w.rowsBetween(-half - period, half - period))
-    state = rows.select(
-        "series_id", "ds", "_n", last.alias("_last"), ((last - before) / period).alias("_step"),
-        (F.lag("_season", period - 1).over(w) - (settled + edge) / F.col("_n")).alias("_s"),
-    )
+    count = F.row_number().over(w)
+    state = {
+        "_tn": count, "_last": last, "_step": (last - before) / period,
+        "_s": F.lag("_season", period - 1).over(w) - (settled + edge) / count,
+    }
+    enough = F.col("_tn") >= 2 * period
+    return Recipe("decomposition", state, {
+        "STL_Trend": F.when(enough, F.col("_last") + F.col("_step")),
+        "STL_Combined": F.when(enough, F.col("_last") + F.col("_step") + F.col("_s")),
+        "STL_Level": F.when(enough, F.col("_last") + F.col("_s")),
+    })
+
+
+def decompose_forecast(h: DataFrame, targets: DataFrame, period: int = 7, strict: bool = True) -> DataFrame:
+    """Decomposition forecasts from the days before each target, or with
+    ``strict=False`` from the end of the whole series."""
+    rows, recipe = with_remainder(h, period), decompose_recipe(period)
     if strict:
-        at = asof_attach(state, targets.select(*ids))
-    else:
-        ends = state.groupBy("series_id").agg(F.max_by(F.struct("_n", "_last", "_step", "_s"), "ds").alias("e"))
-        at = targets.select(*ids).join(ends.select("series_id", "e.*"), "series_id")
-    at = at.filter(F.col("_n") >= 2 * period)
-    wide = at.select(
-        *ids, (F.col("_last") + F.col("_step")).alias("STL_Trend"),
-        (F.col("_last") + F.col("_step") + F.col("_s")).alias("STL_Combined"),
-        (F.col("_last") + F.col("_s")).alias("STL_Level"),
-    )
-    return to_long(wide, ids, "decomposition")
+        return forecast_asof(rows, targets, [recipe])
+    end = h.groupBy("series_id").agg(F.date_add(F.max("ds"), 1).alias("_end"))
+    at_end = forecast_asof(rows, end.withColumnRenamed("_end", "target_ds"), [recipe])
+    return targets.select("series_id", "target_ds").join(at_end.drop("target_ds"), "series_id")

@@ -157,7 +157,7 @@ def interval(df: DataFrame, kind: str) -> DataFrame:
         half = 1.96 * F.col("std")
     else:
         own = y * 0.08
-        has = F.col("std").isNotNull() & (F.col("std") != 0)
+        has = F.col("std") > 1e-9
         half = 1.96 * F.when(has, (own + F.col("std")) / 2).otherwise(own)
     return df.withColumns({"lo": F.greatest(F.lit(0.0), y - half), "hi": y + half})
 

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.columns import by_day
-from .asof import asof_attach
-from .baselines import IDS
+from .asof import Recipe, forecast_asof
+from .baselines import recent_values
 from .packed import fit_each
 
 
+def kde_kernel(points: int = 1000, least: int = 5) -> tuple[Callable, str]:
+    return kernels.density_mode(points, least), "estimate"
+
+
 def kde_mode(h: DataFrame, targets: DataFrame, points: int = 1000, least: int = 5) -> DataFrame:
     """Most likely value among the earlier days on the target's weekday (five or more)."""
-    return fit_each(h, targets, kernels.density_mode(points, least), "estimate")
+    return fit_each(h, targets, [kde_kernel(points, least)])
 
 
-def bootstrap(h: DataFrame, targets: DataFrame, rounds: int = 1000, recent: int = 30, seed: int = 42) -> DataFrame:
+def bootstrap_recipe(rounds: int = 1000, recent: int = 30, seed: int = 42) -> Recipe:
     """Mean and 2.5/97.5 percentiles of ``rounds`` resampled means of the last days.
 
     Positions come from a fixed generator, so a rerun or a retried task draws the same.
     """
-    tail = F.collect_list("y").over(by_day().rowsBetween(-(recent - 1), 0))
-    at = asof_attach(h.select("series_id", "ds", tail.alias("v")), targets.select(*IDS))
     draw = F.pandas_udf(kernels.bootstrap(rounds, seed), "yhat double, lo double, hi double")
-    return at.filter(F.col("v").isNotNull()).withColumn("r", draw("v")).select(
-        *IDS, F.lit("Bootstrap_Mean").alias("model"), "r.*", F.lit("estimate").alias("family")
-    )
+    drawn = draw(F.coalesce("_tail", F.array().cast("array<double>")))
+    return Recipe("estimate", {"_tail": recent_values(recent)},
+                  {"Bootstrap_Mean": (drawn["yhat"], drawn["lo"], drawn["hi"])})
+
+
+def bootstrap(h: DataFrame, targets: DataFrame, rounds: int = 1000, recent: int = 30, seed: int = 42) -> DataFrame:
+    return forecast_asof(h, targets, [bootstrap_recipe(rounds, recent, seed)])

@@ -2,70 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.calendar import CALENDAR
-from ..functions.columns import by_day, to_long
-from .asof import asof_attach
+from ..functions.columns import by_day
+from .asof import Recipe, asof_attach, forecast_asof
 from .features import lags
-from .packed import BANDED, fit_each
+from .packed import FORECAST, as_predictions, fit_each
 
 IDS = ["series_id", "target_ds"]
 ORDERS = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 2), (0, 1, 1))
 SEASONAL = (((1, 1, 1), (1, 1, 1, 7)), ((1, 1, 1), (0, 1, 1, 7)), ((2, 1, 1), (1, 1, 0, 7)))
 
 
-def first_order(h: DataFrame, targets: DataFrame, min_obs: int = 30) -> DataFrame:
+DIRECT = {(1, 0, 0): "ARIMA_100", (1, 1, 0): "ARIMA_110"}
+
+
+def first_order_recipe(min_obs: int = 30) -> Recipe:
     """ARIMA_100 and ARIMA_110 as running least squares, without leaving Spark: the
-    slope of each value on the one before, and of each change on the one before."""
+    slope of each value on the one before, and of each change on the one before.
+    Reads the columns ``_x, _d, _dx`` of ``with_changes``."""
     w = by_day()
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
+    state = {
+        "_y": F.col("y"), "_d": F.col("_d"), "_n": F.row_number().over(w),
+        "_b": F.regr_slope("y", "_x").over(seen), "_a": F.regr_intercept("y", "_x").over(seen),
+        "_num": F.sum(F.col("_d") * F.col("_dx")).over(seen),
+        "_den": F.sum(F.when(F.col("_d").isNotNull(), F.col("_dx") * F.col("_dx"))).over(seen),
+    }
+    enough = F.col("_n") >= min_obs
+    return Recipe("arima", state, {
+        "ARIMA_100": F.when(enough, F.col("_a") + F.col("_b") * F.col("_y")),
+        "ARIMA_110": F.when(enough, F.col("_y") + F.try_divide("_num", "_den") * F.col("_d")),
+    })
+
+
+def with_changes(h: DataFrame) -> DataFrame:
+    w = by_day()
     x = h.withColumn("_x", F.lag("y").over(w)).withColumn("_d", F.col("y") - F.col("_x"))
-    x = x.withColumn("_dx", F.lag("_d").over(w))
-    pairs = x.select(
-        "series_id", "ds", "y", "_d",
-        F.row_number().over(w).alias("_n"),
-        F.regr_slope("y", "_x").over(seen).alias("_b"),
-        F.regr_intercept("y", "_x").over(seen).alias("_a"),
-        F.sum(F.col("_d") * F.col("_dx")).over(seen).alias("_num"),
-        F.sum(F.when(F.col("_d").isNotNull(), F.col("_dx") * F.col("_dx"))).over(seen).alias("_den"),
-    )
-    at = asof_attach(pairs, targets.select(*IDS)).filter(F.col("_n") >= min_obs)
-    wide = at.select(
-        *IDS,
-        (F.col("_a") + F.col("_b") * F.col("y")).alias("ARIMA_100"),
-        (F.col("y") + F.try_divide("_num", "_den") * F.col("_d")).alias("ARIMA_110"),
-    )
-    return to_long(wide, IDS, "arima")
+    return x.withColumn("_dx", F.lag("_d").over(w))
 
 
-def ar_forecast(h: DataFrame, targets: DataFrame, orders=ORDERS, min_obs: int = 30) -> DataFrame:
-    """One-step forecasts of ARIMA type; first-order models stay in Spark, the others
-    take two least-squares stages per series and target."""
-    direct = {(1, 0, 0): "ARIMA_100", (1, 1, 0): "ARIMA_110"}
+def first_order(h: DataFrame, targets: DataFrame, min_obs: int = 30) -> DataFrame:
+    return forecast_asof(with_changes(h), targets, [first_order_recipe(min_obs)])
+
+
+def ar_kernel(orders=ORDERS, min_obs: int = 30) -> tuple[Callable, str]:
     specs = [
         (f"ARIMA_{p}{d}{q}", d, 0, list(range(1, p + 1)), list(range(1, q + 1)))
-        for p, d, q in orders if (p, d, q) not in direct
+        for p, d, q in orders if (p, d, q) not in DIRECT
     ]
-    parts = []
-    if names := [direct[o] for o in orders if o in direct]:
-        parts.append(first_order(h, targets, min_obs).filter(F.col("model").isin(names)))
-    if specs:
-        parts.append(fit_each(h, targets, kernels.arma(specs, min_obs), "arima"))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+    return kernels.arma(specs, min_obs), "arima"
 
 
-def seasonal_ar_forecast(h: DataFrame, targets: DataFrame, configs=SEASONAL, min_obs: int = 60) -> DataFrame:
-    """Seasonal ARIMA type on the series differenced once and over a week.  A factor at
-    lag 1 and one at lag 7 multiply, which brings in lag 8."""
+def ar_forecast(h: DataFrame, targets: DataFrame, orders=ORDERS, min_obs: int = 30) -> DataFrame:
+    """One-step forecasts of ARIMA type; first-order models stay in Spark, the others
+    take two least-squares stages per series and target."""
+    names = [DIRECT[o] for o in orders if o in DIRECT]
+    direct = first_order(h, targets, min_obs).filter(F.col("model").isin(names))
+    if len(names) == len(orders):
+        return direct
+    fitted = fit_each(h, targets, [ar_kernel(orders, min_obs)])
+    return direct.unionByName(fitted) if names else fitted
 
+
+def seasonal_ar_kernel(configs=SEASONAL, min_obs: int = 60) -> tuple[Callable, str]:
     def spread(short: int, long: int, s: int) -> list[int]:
         near = list(range(1, short + 1))
         far = [s * j for j in range(1, long + 1)]
@@ -75,12 +80,22 @@ def seasonal_ar_forecast(h: DataFrame, targets: DataFrame, configs=SEASONAL, min
         (f"SARIMA_{p}{d}{q}_{sp}{sd}{sq}", d, s * sd, spread(p, sp, s), spread(q, sq, s))
         for (p, d, q), (sp, sd, sq, s) in configs
     ]
-    return fit_each(h, targets, kernels.arma(specs, min_obs), "arima")
+    return kernels.arma(specs, min_obs), "arima"
+
+
+def seasonal_ar_forecast(h: DataFrame, targets: DataFrame, configs=SEASONAL, min_obs: int = 60) -> DataFrame:
+    """Seasonal ARIMA type on the series differenced once and over a week.  A factor at
+    lag 1 and one at lag 7 multiply, which brings in lag 8."""
+    return fit_each(h, targets, [seasonal_ar_kernel(configs, min_obs)])
+
+
+def fourier_kernel(yearly_k: int = 10, weekly_k: int = 3, min_obs: int = 30) -> tuple[Callable, str]:
+    return kernels.fourier(yearly_k, weekly_k, "Prophet", min_obs), "fourier"
 
 
 def fourier_forecast(h: DataFrame, targets: DataFrame, yearly_k: int = 10, weekly_k: int = 3) -> DataFrame:
     """Linear trend, yearly and weekly Fourier terms by least squares, with a band."""
-    return fit_each(h, targets, kernels.fourier(yearly_k, weekly_k, "Prophet", 30), "fourier", banded=True)
+    return fit_each(h, targets, [fourier_kernel(yearly_k, weekly_k)])
 
 
 def lag_regression(
@@ -116,8 +131,5 @@ def lag_regression(
         F.collect_list(F.struct("days", "y", "x")).alias("r"),
     ).join(wanted.groupBy("series_id").agg(F.collect_list("t").alias("targets")), "series_id")
     packed = packed.select("series_id", "r.days", "r.y", "r.x", "targets")
-    out = packed.mapInPandas(kernels.lag_regression(list(kinds), min_rows), BANDED)
-    return out.select(
-        "series_id", F.date_from_unix_date("day").alias("target_ds"), "model", "yhat", "lo", "hi",
-        F.lit("regression").alias("family"),
-    )
+    fn = kernels.chained([(kernels.lag_regression(list(kinds), min_rows), "regression")])
+    return as_predictions(packed.mapInPandas(fn, FORECAST))

@@ -7,13 +7,14 @@ series spread over the cluster by hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FORECAST = "series_id string, day int, model string, yhat double"
-BANDED = FORECAST + ", lo double, hi double"
+from ..functions import kernels
+
+FORECAST = "series_id string, day int, model string, yhat double, lo double, hi double, family string"
 
 
 def pack(h: DataFrame, *columns: str) -> DataFrame:
@@ -28,11 +29,15 @@ def pack_targets(targets: DataFrame) -> DataFrame:
     return targets.groupBy("series_id").agg(days.alias("targets"))
 
 
-def fit_each(h: DataFrame, targets: DataFrame, fn: Callable, family: str, banded: bool = False) -> DataFrame:
-    """Run a kernel over the packed series that have targets; forecasts in long form."""
+def fit_each(h: DataFrame, targets: DataFrame, kernels_by_family: Sequence[tuple[Callable, str]]) -> DataFrame:
+    """Run kernels over the packed series that have targets, all in one pass over them;
+    forecasts in long form."""
     packed = pack(h, "y").join(pack_targets(targets), "series_id")
-    out = packed.mapInPandas(fn, BANDED if banded else FORECAST)
+    out = packed.mapInPandas(kernels.chained(list(kernels_by_family)), FORECAST)
+    return as_predictions(out)
+
+
+def as_predictions(out: DataFrame) -> DataFrame:
     return out.select(
-        "series_id", F.date_from_unix_date("day").alias("target_ds"), "model", "yhat",
-        *(["lo", "hi"] if banded else []), F.lit(family).alias("family"),
+        "series_id", F.date_from_unix_date("day").alias("target_ds"), "model", "yhat", "lo", "hi", "family"
     )

@@ -6,6 +6,7 @@ parameters from a fixed grid, and ties go to the earlier grid point.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -26,9 +27,13 @@ KINDS = {
 }
 
 
+def smooth_kernel(kind: str, period: int = 7) -> tuple[Callable, str]:
+    model, least, grid = KINDS[kind]
+    least = max(least, 2 * period if kind.startswith("hw") else 0)
+    return kernels.smoothing(kind, model, np.array(grid), period, least), "smoothing"
+
+
 def smooth(h: DataFrame, targets: DataFrame, kind: str, period: int = 7) -> DataFrame:
     """``ses``, ``holt``, ``damped``, ``hw_add`` or ``hw_mul``; history strictly before
     each target, all targets of a series served by one walk over its days."""
-    model, least, grid = KINDS[kind]
-    fn = kernels.smoothing(kind, model, np.array(grid), period, max(least, 2 * period if kind[:2] == "hw" else 0))
-    return fit_each(h, targets, fn, "smoothing")
+    return fit_each(h, targets, [smooth_kernel(kind, period)])
