@@ -232,6 +232,18 @@ def bayes_ridge(gram, cross, square, n, rounds: int = 300, tol: float = 1e-3):
     return weights, cov, 1.0 / noise
 
 
+def gram_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of ``z z'`` over all rows of a task, as one row per matrix entry."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            z = np.vstack(pdf.z.to_numpy())
+            total = z.T @ z if total is None else total + z.T @ z
+    if total is not None:
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+
 def huber(x, y, eps: float = 1.35, alpha: float = 1e-4, rounds: int = 100):
     """Huber regression with a jointly estimated scale, by re-weighted least squares."""
     x1 = np.column_stack([x, np.ones(len(y))])
@@ -490,3 +502,22 @@ def sequential_correction(memory: int, floor: float, rate: float) -> Callable:
         return pd.DataFrame(out)
 
     return run
+
+
+def running_correction(memory: int, floor: float, rate: float) -> Callable:
+    """The same walk for a stream: the last errors of a series are its state."""
+
+    def update(key, batches, state):
+        errors = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("ds")
+        fixes = []
+        for base, y in zip(rows.base, rows.y):
+            held = np.full((1, memory), np.nan)
+            held[0, : len(errors)] = errors
+            fix = float(bias_step(held, np.array([len(errors)]), floor, rate)[0])
+            errors = [*errors, base + fix - y][-memory:]
+            fixes.append(fix)
+        state.update((errors,))
+        yield rows.assign(series_id=key[0], correction=fixes)[["series_id", "ds", "base", "y", "correction"]]
+
+    return update

@@ -233,20 +233,22 @@ def with_fallback(p: DataFrame, h: DataFrame, targets: DataFrame, models: Sequen
 
 
 def nearest_neighbours(
-    train: DataFrame, wanted: DataFrame, features: Sequence[str], k: int = 10, weights: str = "distance"
+    train: DataFrame, wanted: DataFrame, features: Sequence[str] | str, k: int = 10, weights: str = "distance"
 ) -> DataFrame:
     """k nearest rows of the same series: ``train(series_id, ds, y, features...)`` against
     ``wanted(series_id, target_ds, features...)``; only rows before the target vote.
-    An exact match outvotes everything when weighting by distance."""
+    ``features`` names columns or one array column.  An exact match outvotes everything
+    when weighting by distance."""
+    x = F.col(features) if isinstance(features, str) else vector(*[F.col(f) for f in features])
     rows = train.select(
-        "series_id", F.year("ds").alias("_slice"), F.unix_date("ds").alias("key"),
-        vector(*[F.col(f) for f in features]).alias("x"), vector(F.col("y")).alias("v"),
+        "series_id", F.year("ds").alias("_slice"), F.unix_date("ds").alias("key"), x.alias("x"),
+        vector(F.col("y")).alias("v"),
     )
     first = train.groupBy("series_id").agg(F.year(F.min("ds")).alias("_first"))
     asked = wanted.join(first, "series_id").filter(F.col("_first") <= F.year("target_ds")).select(
         *IDS, F.explode(F.sequence("_first", F.year("target_ds"))).alias("_slice"),
         F.lit(-(2**31)).alias("since"), F.unix_date("target_ds").alias("until"),
-        vector(*[F.col(f) for f in features]).alias("x"), vector(*[F.lit(1.0)] * len(features)).alias("w"),
+        x.alias("x"), F.transform(x, lambda v: F.lit(1.0)).alias("w"),
     )
     top = nearest(rows, asked, k, "distance", 1)
     if weights == "uniform":

@@ -27,9 +27,11 @@ LEAKY = ("diff_", "pct_change_", "weekday_mean", "weekday_std", "month_mean", "m
          "week_of_month_mean", "weekday_month_mean")
 
 
-def lags(h: DataFrame, ns: Sequence[int]) -> DataFrame:
+def lags(h: DataFrame, ns: Sequence[int], ahead: int = 0) -> DataFrame:
+    """Values ``n`` rows back.  With ``ahead=1`` each row gets what the row after it
+    would see, which is the state a forecast starts from."""
     w = by_day()
-    return h.withColumns({f"lag_{n}": F.lag("y", n).over(w) for n in ns})
+    return h.withColumns({f"lag_{n}": F.lag("y", n - ahead).over(w) for n in ns})
 
 
 def rolling(
@@ -37,11 +39,12 @@ def rolling(
     windows: Sequence[int],
     stats: Sequence[str] = ("mean", "std", "min", "max"),
     min_periods: int | None = 1,
+    ahead: int = 0,
 ) -> DataFrame:
     """Statistics of the previous ``n`` rows; ``min_periods=None`` asks for a full window."""
     out = {}
     for n in windows:
-        frame = by_day().rowsBetween(-n, -1)
+        frame = by_day().rowsBetween(ahead - n, ahead - 1)
         need = n if min_periods is None else min_periods
         for s in stats:
             value = ROLLING[s](F.col("y")).over(frame)
@@ -117,12 +120,13 @@ def exponential_mean(h: DataFrame, spans: Sequence[int], adjust: bool, prefix: s
     return out.drop("_i")
 
 
-def ema(h: DataFrame, spans: Sequence[int], adjust: bool, prefix: str = "ema_") -> DataFrame:
+def ema(h: DataFrame, spans: Sequence[int], adjust: bool, prefix: str = "ema_", ahead: int = 0) -> DataFrame:
     """Exponentially weighted mean of the rows before each row."""
+    out = exponential_mean(h, spans, adjust, prefix)
+    if ahead:
+        return out
     w = by_day()
-    return exponential_mean(h, spans, adjust, prefix).withColumns(
-        {f"{prefix}{s}": F.lag(f"{prefix}{s}").over(w) for s in spans}
-    )
+    return out.withColumns({f"{prefix}{s}": F.lag(f"{prefix}{s}").over(w) for s in spans})
 
 
 def diff(h: DataFrame, ns: Sequence[int]) -> DataFrame:
