@@ -26,10 +26,10 @@ def local_session(cores: str | int = "*", name: str = "tidecast") -> SparkSessio
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is set."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    jvm = spark.sparkContext._jsc.sc()
-    if jvm.getCheckpointDir().isDefined():
-        return jvm.getCheckpointDir().get()
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
