@@ -28,6 +28,28 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def array_mean(a: Column) -> Column:
+    return F.try_divide(array_sum(a), F.size(a))
+
+
+def last_of(a: Column, n: int) -> Column:
+    """The last ``n`` elements, or all if there are fewer."""
+    return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n))
+
+
+def array_median(a: Column) -> Column:
+    """Middle of an array, the mean of the two middle values for an even size."""
+    ordered, n = F.sort_array(a), F.size(a)
+    low, high = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
+    return F.when(n > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+
+
+def array_dot(a: Column, weights: list[float]) -> Column:
+    """Weighted sum of an array of the same length; null for any other length."""
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    return F.when(F.size(a) == len(weights), array_sum(F.zip_with(a, w, lambda x, y: x * y)))
+
+
 def trimmed_mean(values: Column, cut: float) -> Column:
     """Mean of an array after dropping ``int(cut * n)`` values at each end."""
     n = F.size(values)

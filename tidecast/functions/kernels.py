@@ -269,9 +269,8 @@ def lag_regression(kinds: list[str], min_rows: int) -> Callable:
     """Regressions on standardised features of each series, refitted before each target."""
 
     def fit(row):
-        order = np.argsort(row.days)
-        x, y = np.array([list(v) for v in row.x])[order], np.asarray(row.y)[order]
-        days, out = np.asarray(row.days)[order], []
+        days, y, out = np.asarray(row.days), np.asarray(row.y), []
+        x = np.asarray(row.x).reshape(len(days), -1)
         for target in row.targets:
             day, x0 = target["day"], np.asarray(target["x"], dtype=float)
             n = int(np.searchsorted(days, day))
@@ -421,7 +420,8 @@ def slice_top_k(k: int, kind: str) -> Callable:
         return np.sqrt(square)
 
     def fit(row):
-        keys, x = np.asarray(row.key), np.array([list(v) for v in row.x])
+        keys = np.asarray(row.key)
+        x, v = (np.asarray(a).reshape(len(keys), -1) for a in (row.x, row.v))
         out = []
         for lo in range(0, len(row.targets), 1024):
             part = row.targets[lo : lo + 1024]
@@ -431,7 +431,7 @@ def slice_top_k(k: int, kind: str) -> Callable:
             order = np.argsort(np.round(score, 9), axis=1, kind="stable")[:, :k]
             for i, t in enumerate(part):
                 out += [
-                    (int(t["day"]), int(keys[j]), float(score[i, j]), list(row.v[j]))
+                    (int(t["day"]), int(keys[j]), float(score[i, j]), list(v[j]))
                     for j in order[i] if np.isfinite(score[i, j])
                 ]
         return out
@@ -444,7 +444,8 @@ def similar(k: int, weights: list[float]) -> Callable:
     growth of yearly means (within -15 %..25 %) over the days the target sees."""
 
     def fit(row):
-        key, x = np.asarray(row.key), np.array([list(v) for v in row.x])
+        key = np.asarray(row.key)
+        x = np.asarray(row.x).reshape(len(key), -1)
         y, year, out = np.asarray(row.y), np.asarray(row.year), []
         for t in row.targets:
             lo, hi = np.searchsorted(key, [t["since"], t["day"]])

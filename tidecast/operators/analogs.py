@@ -17,6 +17,7 @@ from ..functions import kernels
 from ..functions.columns import by_day, clip, one_model, week_of_month
 from .asof import asof_attach
 from .baselines import IDS, with_keys, year_means, year_to_date
+from .packed import spread
 
 # Weight of each calendar feature in the distance between two days.
 DAY_WEIGHTS = {
@@ -51,11 +52,13 @@ def nearest(rows: DataFrame, wanted: DataFrame, k: int, kind: str, n_values: int
     the carried values ``v0..``.
     """
     by = ["series_id", "_slice"]
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", "x", "v"))).alias("r"))
+    packed = spread(rows, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", "x", "v"))).alias("r"))
     asked = wanted.groupBy(*by).agg(
         F.collect_list(F.struct(F.unix_date("target_ds").alias("day"), "since", "until", "x", "w")).alias("targets")
     )
-    both = packed.join(asked, by).select("series_id", "r.key", "r.x", "r.v", "targets")
+    both = packed.join(asked, by).select(
+        "series_id", "r.key", F.flatten("r.x").alias("x"), F.flatten("r.v").alias("v"), "targets"
+    )
     found = both.mapInPandas(
         kernels.slice_top_k(k, kind), "series_id string, day int, key int, score double, v array<double>"
     ).withColumn("target_ds", F.date_from_unix_date("day"))
@@ -81,7 +84,7 @@ def similar_days(h: DataFrame, targets: DataFrame, years: int = 3, k: int = 20)
         "series_id", F.unix_date("ds").alias("key"), F.year("ds").alias("year"), "y",
         vector(*day_features("ds").values()).alias("x"),
     )
-    packed = rows.groupBy("series_id").agg(
+    packed = spread(rows, "series_id").groupBy("series_id").agg(
         F.sort_array(F.collect_list(F.struct("key", "year", "y", "x"))).alias("r")
     )
     cut = F.unix_date(F.add_months("target_ds", -12 * years))
@@ -92,7 +95,9 @@ def similar_days(h: DataFrame, targets: DataFrame, years: int = 3, k: int = 20)
             vector(*day_features("target_ds").values()).alias("x"),
         ).alias("t"),
     ).groupBy("series_id").agg(F.collect_set("t").alias("targets"))
-    found = packed.join(asked, "series_id").select("series_id", "r.key", "r.year", "r.y", "r.x", "targets").mapInPandas(
+    found = packed.join(asked, "series_id").select(
+        "series_id", "r.key", "r.year", "r.y", F.flatten("r.x").alias("x"), "targets"
+    ).mapInPandas(
         kernels.similar(k, list(DAY_WEIGHTS.values())),
         "series_id string, day int, growth double, distance double, year int, y double",
     )

@@ -14,27 +14,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR
-from ..functions.columns import array_sum, by_day, clip, one_model, trimmed_mean
+from ..functions.columns import (
+    array_dot,
+    array_mean,
+    array_median,
+    array_sum,
+    by_day,
+    clip,
+    last_of,
+    one_model,
+    trimmed_mean,
+)
 from ..functions.distributions import t_quantile
 from .asof import Recipe, asof_attach, forecast_asof, windows as window_recipe
-from .features import exponential_mean, mean_over
+from .features import exponential_mean
 
 IDS = ["series_id", "target_ds"]
 
 
-def position() -> Column:
-    """Number of days of the series up to this row."""
-    return F.row_number().over(by_day())
-
-
 def with_keys(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     return df.withColumns({k: CALENDAR[k](F.col(day)) for k in keys})
 
 
+TAIL = 30
+
+
+def recent_values(n: int = TAIL) -> dict[str, Column]:
+    """State shared by every forecast from the last days: their values in date order.
+    The forecasts themselves are then worked out for target rows only."""
+    return {f"_tail{n}": F.collect_list("y").over(by_day().rowsBetween(-(n - 1), 0))}
+
+
+def last_values(n: int, tail: int = TAIL) -> Column:
+    return last_of(F.col(f"_tail{tail}"), n)
+
+
 def sma_recipe(sizes=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> Recipe:
-    return window_recipe("moving_average", {
-        f"SMA_{n}": F.when(position() >= n, mean_over(n)) if require_full else mean_over(n) for n in sizes
-    })
+    tail = max(TAIL, *sizes)
+    models = {}
+    for n in sizes:
+        values = last_values(n, tail)
+        mean = array_mean(values)
+        models[f"SMA_{n}"] = F.when(F.size(values) >= n, mean) if require_full else mean
+    return Recipe("moving_average", recent_values(tail), models)
 
 
 def sma(h, targets, sizes=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> DataFrame:
@@ -42,8 +64,9 @@ def sma(h, targets, sizes=(3, 5, 7, 14, 21, 30), require_full: bool = True) -> D
 
 
 def wma_recipe(n: int = 7) -> Recipe:
-    weighted = sum(F.lag("y", i).over(by_day()) * (n - i) for i in range(n))
-    return window_recipe("moving_average", {f"WMA_{n}": weighted / (n * (n + 1) / 2)})
+    weights, tail = list(range(1, n + 1)), max(TAIL, n)
+    value = array_dot(last_values(n, tail), weights) / sum(weights)
+    return Recipe("moving_average", recent_values(tail), {f"WMA_{n}": value})
 
 
 def wma(h, targets, n: int = 7) -> DataFrame:
@@ -52,8 +75,10 @@ def wma(h, targets, n: int = 7) -> DataFrame:
 
 def tma_recipe(n: int = 7) -> Recipe:
     """A mean of means is one triangular set of weights over 2n-1 rows."""
-    weighted = sum(F.lag("y", i).over(by_day()) * min(i + 1, 2 * n - 1 - i) for i in range(2 * n - 1))
-    return window_recipe("moving_average", {f"TMA_{n}": weighted / (n * n)})
+    rows = 2 * n - 1
+    tail = max(TAIL, rows)
+    value = array_dot(last_values(rows, tail), [min(i + 1, rows - i) for i in range(rows)]) / (n * n)
+    return Recipe("moving_average", recent_values(tail), {f"TMA_{n}": value})
 
 
 def tma(h, targets, n: int = 7) -> DataFrame:
@@ -218,16 +243,15 @@ def prev_year_growth(h, targets) -> DataFrame:
 
 def bayes_recipe(recent: int = 14) -> Recipe:
     """Precision-weighted mean of all history and the last ``recent`` days."""
-    seen = by_day().rowsBetween(Window.unboundedPreceding, 0)
-    tail = by_day().rowsBetween(-(recent - 1), 0)
-    state = {
-        "_m0": F.avg("y").over(seen), "_s0": F.stddev_samp("y").over(seen),
-        "_m1": F.avg("y").over(tail), "_s1": F.stddev_samp("y").over(tail),
-    }
-    p0 = F.try_divide(F.lit(1.0), F.col("_s0") * F.col("_s0"))
-    se = F.col("_s1") / F.sqrt(F.lit(float(recent)))
-    p1 = F.try_divide(F.lit(1.0), se * se)
-    mean, half = (F.col("_m0") * p0 + F.col("_m1") * p1) / (p0 + p1), 1.96 / F.sqrt(p0 + p1)
+    seen, tail = by_day().rowsBetween(Window.unboundedPreceding, 0), max(TAIL, recent)
+    state = {"_m0": F.avg("y").over(seen), "_v0": F.var_samp("y").over(seen), **recent_values(tail)}
+    values = last_values(recent, tail)
+    m1 = array_mean(values)
+    left = F.transform(values, lambda v: (v - m1) * (v - m1))
+    v1 = F.try_divide(array_sum(left), F.size(values) - 1)
+    p0 = F.try_divide(F.lit(1.0), F.col("_v0"))
+    p1 = F.try_divide(F.lit(float(recent)), v1)
+    mean, half = (F.col("_m0") * p0 + m1 * p1) / (p0 + p1), 1.96 / F.sqrt(p0 + p1)
     return Recipe("estimate", state, {"Bayes_Posterior": (mean, mean - half, mean + half)})
 
 
@@ -236,23 +260,19 @@ def bayes_posterior(h, targets, recent: int = 14) -> DataFrame:
 
 
 def median_recipe(ns: Sequence[int] = (7, 14, 30)) -> Recipe:
-    return window_recipe("robust", {
-        f"Median_{n}": F.percentile("y", F.lit(0.5)).over(by_day().rowsBetween(-(n - 1), 0)) for n in ns
-    })
+    tail = max(TAIL, *ns)
+    return Recipe("robust", recent_values(tail), {f"Median_{n}": array_median(last_values(n, tail)) for n in ns})
 
 
 def recent_median(h, targets, ns=(7, 14, 30)) -> DataFrame:
     return forecast_asof(h, targets, [median_recipe(ns)])
 
 
-def recent_values(n: int = 30) -> Column:
-    return F.collect_list("y").over(by_day().rowsBetween(-(n - 1), 0))
-
-
 def trim_recipe(cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.2}, n: int = 30) -> Recipe:
-    """Trimmed means of the last ``n`` days; the trimming runs on target rows only."""
-    return Recipe("robust", {"_tail": recent_values(n)},
-                  {f"TrimMean_{k}": trimmed_mean(F.col("_tail"), p) for k, p in cuts.items()})
+    """Trimmed means of the last ``n`` days."""
+    tail = max(TAIL, n)
+    models = {f"TrimMean_{k}": trimmed_mean(last_values(n, tail), p) for k, p in cuts.items()}
+    return Recipe("robust", recent_values(tail), models)
 
 
 def trim_mean(h, targets, cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.2}, n: int = 30) -> DataFrame:
@@ -260,12 +280,15 @@ def trim_mean(h, targets, cuts: Mapping[str, float] = {"10pct": 0.1, "20pct": 0.
 
 
 def trend_change_recipe() -> Recipe:
-    """Least-squares slope of seven equally spaced values is a fixed weighted sum."""
-    w = by_day()
-    slope = sum(F.lag("y", k).over(w) * (3 - k) for k in range(7))
-    older = sum(F.lag("y", k + 7).over(w) * (3 - k) for k in range(7))
+    """Mean of the last week, raised or lowered by 2 % as its slope is above or below
+    that of the week before.  The least-squares slope of seven equally spaced values is
+    a fixed weighted sum."""
+    weights = [k - 3 for k in range(7)]
+    week, before = last_values(7), F.slice(last_values(14), 1, 7)
+    slope, older = array_dot(week, weights), array_dot(before, weights)
     factor = F.when(slope > older, 1.02).when(slope < older, 0.98).otherwise(1.0)
-    return window_recipe("robust", {"TrendChange_Adj": F.when(position() >= 14, mean_over(7) * factor)})
+    enough = F.size(last_values(14)) == 14
+    return Recipe("robust", recent_values(), {"TrendChange_Adj": F.when(enough, array_mean(week) * factor)})
 
 
 def trend_change(h, targets) -> DataFrame:

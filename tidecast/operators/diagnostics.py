@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.calendar import calendar
-from ..functions.columns import array_sum, by_day
+from ..functions.columns import array_mean, array_sum, by_day
 from ..functions.distributions import chi2_tail_even, t_quantile
 from .asof import Recipe, forecast_asof
+from .baselines import TAIL, last_values, recent_values
 from .packed import pack
 
 
@@ -213,21 +214,29 @@ def decompose_recipe(period: int = 7) -> Recipe:
     from full frames only, and the centring sums the full part and those rows.
     """
     w, half = by_day(), period // 2
+    tail = max(TAIL, 2 * period)
+
+    def mean_back(first: int, last: int) -> Column:
+        """Mean of the values ``first`` to ``last`` rows before the last one."""
+        values = last_values(first + 1, tail)
+        return array_mean(F.slice(values, 1, first - last + 1))
+
     # remainders of the last rows, whose frames end at the last known day
-    edge = sum(F.lag("y", k).over(w) - F.avg("y").over(w.rowsBetween(-half - k, 0)) for k in range(half))
-    settled = F.coalesce(F.sum("_left").over(w.rowsBetween(Window.unboundedPreceding, -half)), F.lit(0.0))
-    last = F.avg("y").over(w.rowsBetween(-half, 0))
-    before = F.avg("y").over(w.rowsBetween(-half - period, half - period))
+    edge = sum(mean_back(k, k) - mean_back(half + k, 0) for k in range(half))
+    last, before = mean_back(half, 0), mean_back(half + period, period - half)
     count = F.row_number().over(w)
+    settled = F.sum("_left").over(w.rowsBetween(Window.unboundedPreceding, -half))
     state = {
-        "_tn": count, "_last": last, "_step": (last - before) / period,
-        "_s": F.lag("_season", period - 1).over(w) - (settled + edge) / count,
+        "_tn": count, "_settled": F.coalesce(settled, F.lit(0.0)),
+        "_phase_mean": F.lag("_season", period - 1).over(w), **recent_values(tail),
     }
+    step = (last - before) / period
+    season = F.col("_phase_mean") - (F.col("_settled") + edge) / F.col("_tn")
     enough = F.col("_tn") >= 2 * period
     return Recipe("decomposition", state, {
-        "STL_Trend": F.when(enough, F.col("_last") + F.col("_step")),
-        "STL_Combined": F.when(enough, F.col("_last") + F.col("_step") + F.col("_s")),
-        "STL_Level": F.when(enough, F.col("_last") + F.col("_s")),
+        "STL_Trend": F.when(enough, last + step),
+        "STL_Combined": F.when(enough, last + step + season),
+        "STL_Level": F.when(enough, last + season),
     })
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from .asof import Recipe, forecast_asof
-from .baselines import recent_values
+from .baselines import TAIL, last_values, recent_values
 from .packed import fit_each
 
 
@@ -27,10 +27,9 @@ def bootstrap_recipe(rounds: int = 1000, recent: int = 30, seed: int = 42) -> Re
 
     Positions come from a fixed generator, so a rerun or a retried task draws the same.
     """
-    draw = F.pandas_udf(kernels.bootstrap(rounds, seed), "yhat double, lo double, hi double")
-    drawn = draw(F.coalesce("_tail", F.array().cast("array<double>")))
-    return Recipe("estimate", {"_tail": recent_values(recent)},
-                  {"Bootstrap_Mean": (drawn["yhat"], drawn["lo"], drawn["hi"])})
+    draw, tail = F.pandas_udf(kernels.bootstrap(rounds, seed), "yhat double, lo double, hi double"), max(TAIL, recent)
+    drawn = draw(F.coalesce(last_values(recent, tail), F.array().cast("array<double>")))
+    return Recipe("estimate", recent_values(tail), {"Bootstrap_Mean": (drawn["yhat"], drawn["lo"], drawn["hi"])})
 
 
 def bootstrap(h: DataFrame, targets: DataFrame, rounds: int = 1000, recent: int = 30, seed: int = 42) -> DataFrame:

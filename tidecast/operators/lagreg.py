@@ -12,7 +12,7 @@ from ..functions.calendar import CALENDAR
 from ..functions.columns import by_day
 from .asof import Recipe, asof_attach, forecast_asof
 from .features import lags
-from .packed import FORECAST, as_predictions, fit_each
+from .packed import FORECAST, as_predictions, fit_each, spread
 
 IDS = ["series_id", "target_ds"]
 ORDERS = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 2), (0, 1, 1))
@@ -127,9 +127,9 @@ def lag_regression(
             vector(F.col("target_ds"), F.col("_n"), [F.col(f"_lag{b}") for b in back]).alias("x"),
         ).alias("t"),
     )
-    packed = train.groupBy("series_id").agg(
-        F.collect_list(F.struct("days", "y", "x")).alias("r"),
+    packed = spread(train, "series_id").groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("days", "y", "x"))).alias("r")
     ).join(wanted.groupBy("series_id").agg(F.collect_list("t").alias("targets")), "series_id")
-    packed = packed.select("series_id", "r.days", "r.y", "r.x", "targets")
+    packed = packed.select("series_id", "r.days", "r.y", F.flatten("r.x").alias("x"), "targets")
     fn = kernels.chained([(kernels.lag_regression(list(kinds), min_rows), "regression")])
     return as_predictions(packed.mapInPandas(fn, FORECAST))

@@ -17,11 +17,17 @@ from ..functions import kernels
 FORECAST = "series_id string, day int, model string, yhat double, lo double, hi double, family string"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by key over the cluster's planned number of tasks.  Series are
+    small in bytes and long in work, so they must not be merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pack(h: DataFrame, *columns: str) -> DataFrame:
     """Arrays in date order: ``days`` (days since 1970) and one per column."""
-    row = F.struct(F.unix_date("ds").alias("days"), *columns)
-    rows = h.groupBy("series_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return rows.select("series_id", *[F.col(f"_rows.{c}").alias(c) for c in ("days", *columns)])
+    rows = spread(h.select("series_id", F.struct(F.unix_date("ds").alias("days"), *columns).alias("r")), "series_id")
+    lists = rows.groupBy("series_id").agg(F.sort_array(F.collect_list("r")).alias("_rows"))
+    return lists.select("series_id", *[F.col(f"_rows.{c}").alias(c) for c in ("days", *columns)])
 
 
 def pack_targets(targets: DataFrame) -> DataFrame:
