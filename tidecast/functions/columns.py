@@ -41,7 +41,7 @@ def array_median(a: Column) -> Column:
     """Middle of an array, the mean of the two middle values for an even size."""
     ordered, n = F.sort_array(a), F.size(a)
     low, high = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
-    return F.when(n > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+    return (F.get(ordered, low) + F.get(ordered, high)) / 2
 
 
 def array_dot(a: Column, weights: list[float]) -> Column:

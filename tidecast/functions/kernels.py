@@ -384,16 +384,24 @@ def resample_index(n: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def bootstrap(rounds: int, seed: int) -> Callable:
+    """Mean and outer percentiles of resampled means.  How often each position is drawn
+    is the same for all targets with as many values, so a batch is one matrix product."""
+
+    def drawn(n: int) -> np.ndarray:
+        counts = np.zeros((rounds, n))
+        np.add.at(counts, (np.arange(rounds)[:, None], resample_index(n, rounds, seed)), 1.0)
+        return counts
+
     def run(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in values:
-            v = np.asarray(v, dtype=float)
-            if not len(v):
-                out.append((None, None, None))
-                continue
-            means = v[resample_index(len(v), rounds, seed)].mean(axis=1)
-            out.append((means.mean(), *np.percentile(means, [2.5, 97.5])))
-        return pd.DataFrame(out, columns=["yhat", "lo", "hi"])
+        out = np.full((len(values), 3), np.nan)
+        sizes = np.array([len(v) for v in values], dtype=int)
+        for n in set(sizes.tolist()) - {0}:
+            counts, rows = drawn(n), np.flatnonzero(sizes == n)
+            for part in np.array_split(rows, 1 + len(rows) // 4096):
+                means = np.vstack([values.iloc[i] for i in part]) @ counts.T / n
+                out[part, 0] = means.mean(axis=1)
+                out[part, 1], out[part, 2] = np.percentile(means, [2.5, 97.5], axis=1)
+        return pd.DataFrame(out, columns=["yhat", "lo", "hi"]).astype(object).where(~np.isnan(out), None)
 
     return run
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,11 +56,13 @@ def eligible_targets(h: DataFrame, targets: DataFrame, min_obs: int = 14) -> Dat
 @dataclass(frozen=True)
 class Recipe:
     """Forecasts that only need the last known day: ``state`` is evaluated for every
-    history day, ``models`` (value, or value with bounds) on the state of that day."""
+    history day; on the state of that day, ``derived`` values shared by several models
+    and then the ``models`` (value, or value with bounds)."""
 
     family: str
     state: Mapping[str, Column]
     models: Mapping[str, Column | tuple[Column, Column, Column]]
+    derived: Mapping[str, Column] = field(default_factory=dict)
 
 
 def windows(family: str, models: Mapping[str, Column]) -> Recipe:
@@ -78,6 +80,8 @@ def forecast_asof(
         state |= r.state
     kept = h.select("series_id", *keys, "ds", *[c.alias(n) for n, c in state.items()])
     at = asof_attach(kept, targets.select("series_id", "target_ds", *keys), keys)
+    if derived := {n: c for r in recipes for n, c in r.derived.items()}:
+        at = at.withColumns(derived)
     rows = [
         F.struct(*prediction(m, *((v[0], r.family, v[1], v[2]) if isinstance(v, tuple) else (v, r.family))))
         for r in recipes for m, v in r.models.items()

@@ -245,14 +245,19 @@ def bayes_recipe(recent: int = 14) -> Recipe:
     """Precision-weighted mean of all history and the last ``recent`` days."""
     seen, tail = by_day().rowsBetween(Window.unboundedPreceding, 0), max(TAIL, recent)
     state = {"_m0": F.avg("y").over(seen), "_v0": F.var_samp("y").over(seen), **recent_values(tail)}
-    values = last_values(recent, tail)
-    m1 = array_mean(values)
-    left = F.transform(values, lambda v: (v - m1) * (v - m1))
-    v1 = F.try_divide(array_sum(left), F.size(values) - 1)
-    p0 = F.try_divide(F.lit(1.0), F.col("_v0"))
-    p1 = F.try_divide(F.lit(float(recent)), v1)
-    mean, half = (F.col("_m0") * p0 + m1 * p1) / (p0 + p1), 1.96 / F.sqrt(p0 + p1)
-    return Recipe("estimate", state, {"Bayes_Posterior": (mean, mean - half, mean + half)})
+    # mean and spread of the recent days in one fold (Welford), worked out once
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, v: Column) -> Column:
+        m = a["m"] + (v - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), m.alias("m"), (a["s"] + (v - a["m"]) * (v - m)).alias("s"))
+
+    one = F.lit(1.0)
+    derived = {"_recent": F.aggregate(last_values(recent, tail), start, step)}
+    v1 = F.try_divide(F.col("_recent.s"), F.col("_recent.n") - 1)
+    p0, p1 = F.try_divide(one, F.col("_v0")), F.try_divide(F.lit(float(recent)), v1)
+    mean, half = (F.col("_m0") * p0 + F.col("_recent.m") * p1) / (p0 + p1), 1.96 / F.sqrt(p0 + p1)
+    return Recipe("estimate", state, {"Bayes_Posterior": (mean, mean - half, mean + half)}, derived)
 
 
 def bayes_posterior(h, targets, recent: int = 14) -> DataFrame:

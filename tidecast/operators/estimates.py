@@ -28,8 +28,9 @@ def bootstrap_recipe(rounds: int = 1000, recent: int = 30, seed: int = 42) -> Re
     Positions come from a fixed generator, so a rerun or a retried task draws the same.
     """
     draw, tail = F.pandas_udf(kernels.bootstrap(rounds, seed), "yhat double, lo double, hi double"), max(TAIL, recent)
-    drawn = draw(F.coalesce(last_values(recent, tail), F.array().cast("array<double>")))
-    return Recipe("estimate", recent_values(tail), {"Bootstrap_Mean": (drawn["yhat"], drawn["lo"], drawn["hi"])})
+    values = F.coalesce(last_values(recent, tail), F.array().cast("array<double>"))
+    bounds = tuple(F.col(f"_drawn.{c}") for c in ("yhat", "lo", "hi"))
+    return Recipe("estimate", recent_values(tail), {"Bootstrap_Mean": bounds}, {"_drawn": draw(values)})
 
 
 def bootstrap(h: DataFrame, targets: DataFrame, rounds: int = 1000, recent: int = 30, seed: int = 42) -> DataFrame:

@@ -40,20 +40,24 @@ def rolling(
     Medians of all window lengths are taken from one list of the longest window, which
     costs a fraction of an exact percentile per frame.
     """
-    out = {}
+    out, medians = {}, {}
     for n in windows:
         frame = by_day().rowsBetween(ahead - n, ahead - 1)
         need = n if min_periods is None else min_periods
+
+        def known(value, count):
+            return F.when(count >= need, value) if need > 1 else value
+
         for s in stats:
             if s == "median":
                 tail = last_of(F.col("_tail"), n)
-                value, known = array_median(tail), F.size(tail)
+                medians[f"rolling_median_{n}"] = known(array_median(tail), F.size(tail))
             else:
-                value, known = ROLLING[s](F.col("y")).over(frame), F.count("y").over(frame)
-            out[f"rolling_{s}_{n}"] = F.when(known >= need, value) if need > 1 else value
-    if "median" in stats:
+                out[f"rolling_{s}_{n}"] = known(ROLLING[s](F.col("y")).over(frame), F.count("y").over(frame))
+    if medians:
+        # taken first and dropped, so that the lists do not travel through the other windows
         longest = by_day().rowsBetween(ahead - max(windows), ahead - 1)
-        return h.withColumn("_tail", F.collect_list("y").over(longest)).withColumns(out).drop("_tail")
+        h = h.withColumn("_tail", F.collect_list("y").over(longest)).withColumns(medians).drop("_tail")
     return h.withColumns(out)
 
 

@@ -15,11 +15,12 @@ from .presets import FEATURES
 
 def _row_features(h: DataFrame, p: dict, ahead: int) -> DataFrame:
     """Features that come from the values before a row."""
-    known = Window.unboundedPreceding, ahead - 1
-    out = h.withColumn("level", F.avg("y").over(by_day().rowsBetween(*known)))
-    out = ft.lags(out, p["lags"], ahead)
+    # widest last: the narrow rows go through the operators that need several passes
+    out = ft.ema(h, p["ema"], p["adjust"], ahead=ahead)
     out = ft.rolling(out, p["rolling"], p["stats"], p["min_periods"], ahead)
-    out = ft.ema(out, p["ema"], p["adjust"], ahead=ahead)
+    out = ft.lags(out, p["lags"], ahead)
+    known = by_day().rowsBetween(Window.unboundedPreceding, ahead - 1)
+    out = out.withColumn("level", F.avg("y").over(known))
     if p["trend"]:
         out = out.withColumn("trend", F.row_number().over(by_day()) - 1 + ahead)
     return out
