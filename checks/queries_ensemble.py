@@ -97,7 +97,7 @@ for _rule, (_m, _mw, _s, _sw) in e.BLENDS.items():
 
 @query("blend_statistical", key_rounded(PRED, "select series_id, target_ds, median(yhat) as yhat from pr group by 1, 2", IDS, ["yhat"]))
 def _(spark, d):
-    return rounded(e.blend(predictions(spark, d), "statistical"))
+    return rounded(e.blend(predictions(spark, d), "statistical").select(*IDS, "yhat"))
 
 
 FOUR = {"similar": "SMA_7", "pattern": "SMA_14", "prev_year": "Weekday_Mean", "trend": "SMA_30"}

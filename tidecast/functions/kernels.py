@@ -125,25 +125,30 @@ def smoothing(kind: str, model: str, grid: np.ndarray, period: int, min_obs: int
 # --- regressions ---------------------------------------------------------------------
 
 
+def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Normal equations of a tall, narrow matrix, with a trace of ridge for flat series."""
+    gram = x.T @ x
+    return np.linalg.solve(gram + np.eye(len(gram)) * (1e-10 * np.trace(gram) + 1e-12), x.T @ y)
+
+
 def hannan_rissanen(z: np.ndarray, ar_lags: list[int], ma_lags: list[int], const: bool) -> float:
     """One-step forecast: residuals of a long autoregression, then one least-squares fit
     on lagged values and lagged residuals.  NaN when there are too few rows."""
     n, deepest = len(z), max([0, *ar_lags, *ma_lags])
     long = min(max(deepest + 3, 10), max(n // 4, 1)) if ma_lags else 0
+    first = long + deepest
+    if n - first < len(ar_lags) + len(ma_lags) + const + 5:
+        return float("nan")
     resid = np.zeros(n)
     if ma_lags:
         past = np.column_stack([np.ones(n - long)] + [z[long - k : n - k] for k in range(1, long + 1)])
-        resid[long:] = z[long:] - past @ np.linalg.lstsq(past, z[long:], rcond=None)[0]
-    first = long + deepest
-    width = len(ar_lags) + len(ma_lags) + const
-    if n - first < width + 5:
-        return float("nan")
+        resid[long:] = z[long:] - past @ least_squares(past, z[long:])
 
     def design(rows):
         cols = [z[rows - k] for k in ar_lags] + [resid[rows - k] for k in ma_lags]
         return np.column_stack(cols + ([np.ones(len(rows))] if const else []))
 
-    beta = np.linalg.lstsq(design(np.arange(first, n)), z[first:], rcond=None)[0]
+    beta = least_squares(design(np.arange(first, n)), z[first:])
     return float((design(np.array([n])) @ beta)[0])
 
 
@@ -244,25 +249,24 @@ def gram_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
 
-def huber(x, y, eps: float = 1.35, alpha: float = 1e-4, rounds: int = 100):
-    """Huber regression with a jointly estimated scale, by re-weighted least squares."""
+def huber(x, y, start=None, eps: float = 1.35, alpha: float = 1e-4, rounds: int = 200, tol: float = 1e-7):
+    """Huber regression with a jointly estimated scale, by re-weighted least squares:
+    weights (intercept last) and scale, from ``start`` if given."""
     x1 = np.column_stack([x, np.ones(len(y))])
     penalty = np.diag([alpha] * x.shape[1] + [0.0])
-    w, sigma = np.ones(len(y)), 1.0
-    beta = np.zeros(x1.shape[1])
+    beta, sigma = start if start is not None else (least_squares(x1, y), np.std(y))
     for _ in range(rounds):
-        xw = x1 * w[:, None]
-        new = np.linalg.solve(xw.T @ x1 / sigma + penalty + 1e-10 * np.eye(len(beta)), xw.T @ y / sigma)
-        r = np.abs(y - x1 @ new)
-        for _ in range(20):
-            inside = r <= eps * sigma
-            left = max(len(y) - eps**2 * np.sum(~inside), 1e-3 * len(y))
-            sigma = max(np.sqrt(np.sum(r[inside] ** 2) / left), 1e-8)
+        r = np.abs(y - x1 @ beta)
+        inside = r <= eps * sigma
+        left = max(len(y) - eps**2 * np.count_nonzero(~inside), 1e-3 * len(y))
+        sigma = max(np.sqrt(r[inside] @ r[inside] / left), 1e-8)
         w = np.minimum(1.0, eps * sigma / np.maximum(r, 1e-12))
+        xw = x1 * w[:, None]
+        new = np.linalg.solve(xw.T @ x1 + penalty * sigma + 1e-10 * np.eye(len(beta)), xw.T @ y)
         moved, beta = np.abs(new - beta).max(), new
-        if moved < 1e-8:
+        if moved < tol * (1 + np.abs(beta).max()):
             break
-    return beta[:-1], beta[-1]
+    return beta, sigma
 
 
 def lag_regression(kinds: list[str], min_rows: int) -> Callable:
@@ -270,8 +274,8 @@ def lag_regression(kinds: list[str], min_rows: int) -> Callable:
 
     def fit(row):
         days, y, out = np.asarray(row.days), np.asarray(row.y), []
-        x = np.asarray(row.x).reshape(len(days), -1)
-        for target in row.targets:
+        x, warm = np.asarray(row.x).reshape(len(days), -1), None
+        for target in sorted(row.targets, key=lambda t: t["day"]):
             day, x0 = target["day"], np.asarray(target["x"], dtype=float)
             n = int(np.searchsorted(days, day))
             if n < min_rows or np.isnan(x0).any():
@@ -288,8 +292,8 @@ def lag_regression(kinds: list[str], min_rows: int) -> Callable:
                 value, half = z @ w + ymean, 1.96 * np.sqrt(z @ cov @ z + noise)
                 out.append((int(day), "BayesRidge", float(value), float(value - half), float(value + half)))
             if "huber" in kinds:
-                w, b = huber(xs, y[:n])
-                out.append((int(day), "Huber_Regression", float(z @ w + b), None, None))
+                warm = huber(xs, y[:n], warm)
+                out.append((int(day), "Huber_Regression", float(z @ warm[0][:-1] + warm[0][-1]), None, None))
         return out
 
     return per_series(fit, ["day", "model", "yhat", "lo", "hi"])

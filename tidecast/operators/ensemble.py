@@ -46,24 +46,40 @@ def valid(p: DataFrame) -> DataFrame:
     return p.filter(y.isNotNull() & (y > 0) & ~F.isnan(y) & (F.abs(y) != float("inf")))
 
 
-def ensemble_stats(p: DataFrame) -> DataFrame:
-    """Mean, median, trimmed mean, mean inside the quartiles, spread and outer
-    percentiles of the models of each target, in one aggregation."""
-    q = F.percentile("yhat", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.75, 0.975)]))
+STATS = ["model_count", "mean", "median", "std", "trimmed", "iqr_mean", "p_low", "p_high"]
+
+
+def combine(p: DataFrame, rule: str = "statistical") -> DataFrame:
+    """Everything a forecast takes from its models, in one aggregation: mean, median,
+    trimmed mean, mean inside the quartiles, spread and outer percentiles, and the blend
+    ``yhat`` of the machine-learning and statistical centres (the one side that exists
+    if the other is missing; ``statistical`` is the plain median)."""
+    centre = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    ml_stat, ml_weight, stat_stat, stat_weight = BLENDS.get(rule, ("median", 0.0, "median", 1.0))
+    is_ml, y = F.col("family") == "ml", F.col("yhat")
     g = p.groupBy(*IDS).agg(
-        F.count("yhat").alias("model_count"), F.avg("yhat").alias("mean"),
-        F.percentile("yhat", F.lit(0.5)).alias("median"), F.stddev_pop("yhat").alias("std"),
-        q.alias("q"), F.collect_list("yhat").alias("v"),
+        F.count(y).alias("model_count"), F.avg(y).alias("mean"), centre["median"](y).alias("median"),
+        F.stddev_pop(y).alias("std"),
+        F.percentile(y, F.array(*[F.lit(x) for x in (0.025, 0.25, 0.75, 0.975)])).alias("q"),
+        F.sort_array(F.collect_list(y)).alias("v"),
+        centre[ml_stat](F.when(is_ml, y)).alias("ml"),
+        centre[stat_stat](F.when(~is_ml, y)).alias("stat"),
     )
     inner = F.filter("v", lambda x: (x >= F.get("q", F.lit(1))) & (x <= F.get("q", F.lit(2))))
+    both = F.col("ml") * ml_weight + F.col("stat") * stat_weight
     return g.select(
         *IDS, "model_count", "mean", "median", "std",
         trimmed_mean(F.col("v"), 0.1).alias("trimmed"),
-        F.coalesce(F.try_divide(array_sum(F.sort_array(inner)), F.size(inner)), "median").alias("iqr_mean"),
-        F.get("q", F.lit(0)).alias("p_low"), F.get("q", F.lit(3)).alias("p_high"),
+        F.coalesce(F.try_divide(array_sum(inner), F.size(inner)), "median").alias("iqr_mean"),
+        F.get("q", F.lit(0)).alias("p_low"), F.get("q", F.lit(3)).alias("p_high"), "ml", "stat",
+        (F.col("median") if rule == "statistical" else F.coalesce(both, "ml", "stat")).alias("yhat"),
     )
 
 
+def ensemble_stats(p: DataFrame) -> DataFrame:
+    return combine(p).select(*IDS, *STATS)
+
+
 def category_summary(
     p: DataFrame, rules: Mapping[str, Sequence[str]] = CATEGORIES, exclusive: bool = False
 ) -> DataFrame:
@@ -86,22 +102,8 @@ def category_summary(
 
 
 def blend(p: DataFrame, rule: str) -> DataFrame:
-    """``yhat`` per target: weighted machine-learning and statistical centres, or the one
-    side that exists; ``statistical`` is the plain median."""
-    centre = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
-    if rule == "statistical":
-        return p.groupBy(*IDS).agg(centre["median"](F.col("yhat")).alias("yhat"))
-    ml_stat, ml_weight, stat_stat, stat_weight = BLENDS[rule]
-    is_ml = F.col("family") == "ml"
-    g = p.groupBy(*IDS).agg(
-        centre[ml_stat](F.when(is_ml, F.col("yhat"))).alias("ml"),
-        centre[stat_stat](F.when(~is_ml, F.col("yhat"))).alias("stat"),
-        centre["median"](F.col("yhat")).alias("overall"),
-    )
-    both = F.col("ml") * ml_weight + F.col("stat") * stat_weight
-    # the complete blend falls back to the median of all models, the same thing when
-    # only one side is there
-    return g.select(*IDS, "ml", "stat", F.coalesce(both, "ml", "stat", "overall").alias("yhat"))
+    """``yhat`` per target by one of ``BLENDS``, with both sides."""
+    return combine(p, rule).select(*IDS, "ml", "stat", "yhat")
 
 
 def blend_fixed(analogs: DataFrame, ml: DataFrame | None = None) -> DataFrame:

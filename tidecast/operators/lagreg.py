@@ -12,7 +12,7 @@ from ..functions.calendar import CALENDAR
 from ..functions.columns import by_day
 from .asof import Recipe, asof_attach, forecast_asof
 from .features import lags
-from .packed import FORECAST, as_predictions, fit_each, spread
+from .packed import FORECAST, as_predictions, deal, fit_each, spread
 
 IDS = ["series_id", "target_ds"]
 ORDERS = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 2), (0, 1, 1))
@@ -132,4 +132,4 @@ def lag_regression(
     ).join(wanted.groupBy("series_id").agg(F.collect_list("t").alias("targets")), "series_id")
     packed = packed.select("series_id", "r.days", "r.y", F.flatten("r.x").alias("x"), "targets")
     fn = kernels.chained([(kernels.lag_regression(list(kinds), min_rows), "regression")])
-    return as_predictions(packed.mapInPandas(fn, FORECAST))
+    return as_predictions(deal(packed).mapInPandas(fn, FORECAST))

@@ -35,10 +35,22 @@ def pack_targets(targets: DataFrame) -> DataFrame:
     return targets.groupBy("series_id").agg(days.alias("targets"))
 
 
+TARGETS_PER_TASK = 64
+
+
+def deal(packed: DataFrame) -> DataFrame:
+    """Split the targets of a packed series over several rows, each with the whole series,
+    so that a series with many targets is worked on by many tasks."""
+    first = F.explode(F.sequence(F.lit(1), F.size("targets"), F.lit(TARGETS_PER_TASK)))
+    parts = packed.withColumn("_first", first)
+    parts = parts.withColumn("targets", F.slice("targets", F.col("_first"), F.lit(TARGETS_PER_TASK)))
+    return spread(parts, "series_id", "_first").drop("_first")
+
+
 def fit_each(h: DataFrame, targets: DataFrame, kernels_by_family: Sequence[tuple[Callable, str]]) -> DataFrame:
     """Run kernels over the packed series that have targets, all in one pass over them;
     forecasts in long form."""
-    packed = pack(h, "y").join(pack_targets(targets), "series_id")
+    packed = deal(pack(h, "y").join(pack_targets(targets), "series_id"))
     out = packed.mapInPandas(kernels.chained(list(kernels_by_family)), FORECAST)
     return as_predictions(out)
 

@@ -193,8 +193,7 @@ def forecast(
             # the weighted ensemble stands among the models it came from
             ml = ml.unionByName(_as_model(ml_ensemble(trained, ml), "ML_Ensemble"))
         p = p.unionByName(ml)
-    p = ensemble.valid(p)
-    out = ensemble.blend(p, version).join(ensemble.ensemble_stats(p), IDS)
+    out = ensemble.combine(ensemble.valid(p), version)
     if ledger is not None:
         if version == "hybrid":
             out = feedback.apply_correction(out, feedback.detect_bias(ledger, 30))
