@@ -20,7 +20,7 @@ from tidecast.operators import analogs, baselines, diagnostics, feedback, learne
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
 from tidecast.session import local_session
-from tidecast.sources.history import daily_rollup
+from tidecast.sources.history import daily_rollup, materialise
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -36,6 +36,11 @@ def nation_segment(spark, d):
     return daily_rollup(facts, "o_orderdate", ["c_nationkey", "c_mktsegment"], F.floor(F.col("o_totalprice") / 1000))
 
 
+def whole_forecast(h, dates, version="statistical"):
+    h = materialise(h)
+    return plan.forecast(h, targets(h, dates), version)
+
+
 def cross_validation(h):
     rows = learners.assemble(pf.feature_frame(h, "complete"), pf.model_features("complete"), "drop")
     return learners.ts_cv(rows.select("series_id", "ds", "y", "raw"), {"GBT": ("gbt", dict(maxIter=20, maxDepth=5))}, 5)
@@ -56,9 +61,10 @@ def jobs(spark, d):
         "acf_1000": lambda: diagnostics.acf(many),
         "decompose_1000": lambda: diagnostics.decompose(many),
         "backtest_1000": lambda: feedback.backtest_corrected(feedback.backtest_base(many)),
-        "forecast_statistical_1": lambda: plan.forecast(one, targets(one, THIRTY)),
-        "forecast_statistical_5": lambda: plan.forecast(orders_panel(spark, d), targets(orders_panel(spark, d), THIRTY)),
-        "forecast_analogs_1000": lambda: plan.forecast(many, targets(many, THIRTY[:6]), "enhanced"),
+        "forecast_statistical_1": lambda: whole_forecast(one, THIRTY),
+        "forecast_statistical_5": lambda: whole_forecast(orders_panel(spark, d), THIRTY),
+        "forecast_statistical_1000": lambda: whole_forecast(many, THIRTY[:6]),
+        "forecast_analogs_1000": lambda: whole_forecast(many, THIRTY[:6], "enhanced"),
         "boosted_cv_125": lambda: cross_validation(few),
     }
 

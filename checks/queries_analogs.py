@@ -64,10 +64,14 @@ def pattern_sql(strict):
   g as (select series_id, target_ds, sum(y * sc * (r + 1) / 2) / sum((r + 1) / 2) as v from tk where k <= 10 group by 1, 2)"""
 
 
-for _name, _strict in (("pattern_match", True), ("pattern_match_whole", False)):
+_STRICT_ROWS = """select x1.series_id, x1.target_ds, coalesce(v, overall) as yhat
+      from x1 left join g on g.series_id = x1.series_id and g.target_ds = x1.target_ds"""
+_WHOLE_ROWS = """select t.series_id, t.target_ds, coalesce(v, (select avg(y) from h where h.series_id = t.series_id)) as yhat
+      from t left join g on g.series_id = t.series_id and g.target_ds = t.target_ds"""
 
-    @query(_name, long_sql([("pattern", """select x1.series_id, x1.target_ds, coalesce(v, overall) as yhat
-      from x1 left join g on g.series_id = x1.series_id and g.target_ds = x1.target_ds""")], pattern_sql(_strict)))
+for _name, _strict, _rows in (("pattern_match", True, _STRICT_ROWS), ("pattern_match_whole", False, _WHOLE_ROWS)):
+
+    @query(_name, long_sql([("pattern", _rows)], pattern_sql(_strict)))
     def _(spark, d, strict=_strict):
         return run(spark, d, a.pattern_match, strict=strict, panel=orders_panel)
 

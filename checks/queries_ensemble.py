@@ -116,7 +116,8 @@ def _(spark, d):
     for ours, theirs in FOUR.items():
         names = F.when(F.col("model") == theirs, ours).otherwise(names)
     four = p.withColumn("model", names).filter(F.col("model").isNotNull())
-    return rounded(e.blend_fixed(four, p.filter(F.col("model") == "WMA_7")))
+    one = p.filter(F.col("model") == "WMA_7").withColumn("std", F.lit(0.0))
+    return rounded(e.blend_fixed(four, one).drop("std"))
 
 
 NOON = f"""{EVENTS}, ra as (select series_id, coalesce(avg(partial_y / y) filter (where partial_y > 0 and y > 0), 0.45::double) as ratio from h group by 1)"""

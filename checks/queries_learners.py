@@ -8,6 +8,7 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import learners as ml
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
+from tidecast.sources.history import materialise
 
 from .panels import SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
 from .queries_baselines import BASE
@@ -182,7 +183,7 @@ def _(spark, d):
 
 
 def _trained(spark, d, version):
-    h = orders_panel(spark, d)
+    h = materialise(orders_panel(spark, d))
     return h, plan.train(h, version, QUICK)
 
 
@@ -194,13 +195,13 @@ def _(spark, d):
 
 @query("statistical_predictions")
 def _(spark, d):
-    h = orders_panel(spark, d)
+    h = materialise(orders_panel(spark, d))
     return plan.statistical_predictions(h, targets(h))
 
 
 @query("forecast_statistical")
 def _(spark, d):
-    h = orders_panel(spark, d)
+    h = materialise(orders_panel(spark, d))
     return plan.forecast(h, targets(h))
 
 
@@ -230,5 +231,5 @@ def _(spark, d):
 
 @query("forecast_analogs")
 def _(spark, d):
-    h = supplier_panel(spark, d)
+    h = materialise(supplier_panel(spark, d))
     return plan.forecast(h, targets(h), "enhanced", ledger=ledger(spark, d))

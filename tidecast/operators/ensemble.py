@@ -108,7 +108,8 @@ def blend(p: DataFrame, rule: str) -> DataFrame:
 
 def blend_fixed(analogs: DataFrame, ml: DataFrame | None = None) -> DataFrame:
     """Fixed weights over the four analog forecasts, then 65/35 with the ML ensemble
-    where there is one; ``uncertainty`` is the spread over the mean of all values."""
+    ``(.., yhat, std)`` where there is one; ``uncertainty`` is the spread over the mean
+    of all values, ``std`` the spread of the ML models."""
     weight = F.lit(0.0)
     for name, w in ANALOG_WEIGHTS.items():
         weight = F.when(F.col("model") == name, w).otherwise(weight)
@@ -116,14 +117,15 @@ def blend_fixed(analogs: DataFrame, ml: DataFrame | None = None) -> DataFrame:
         F.sum(F.col("yhat") * weight).alias("stat"), F.sort_array(F.collect_list("yhat")).alias("v")
     )
     if ml is None:
-        g = g.withColumn("ml", F.lit(None).cast("double"))
+        none = F.lit(None).cast("double")
+        g = g.withColumns({"ml": none, "std": none})
     else:
-        g = g.join(ml.select(*IDS, F.col("yhat").alias("ml")), IDS, "left")
+        g = g.join(ml.select(*IDS, F.col("yhat").alias("ml"), "std"), IDS, "left")
     values = F.when(F.col("ml").isNull(), F.col("v")).otherwise(F.concat("v", F.array("ml")))
     g = g.withColumn("v", values).withColumn("_m", array_sum(F.col("v")) / F.size("v"))
     spread = F.sqrt(array_sum(F.transform("v", lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / F.size("v"))
     return g.select(
-        *IDS, "ml", "stat",
+        *IDS, "ml", "stat", "std",
         F.coalesce(F.col("ml") * 0.65 + F.col("stat") * 0.35, "stat").alias("yhat"),
         (spread / (F.col("_m") + 1e-8)).alias("uncertainty"),
     )

@@ -219,12 +219,15 @@ def ts_cv(
     ``y`` and ``ds``.  The scaler is fitted inside each fold; fits run side by side."""
     folds = fold_ids(df, k).persist()
     try:
+        def prepare(fold):
+            train, test = folds.filter(F.col("fold") < fold), folds.filter(F.col("fold") == fold)
+            prep = Pipeline(stages=[scaler(scale)]).fit(train)
+            return prep.transform(train), prep.transform(test)
+
         def one(job):
             fold, name = job
             kind, settings = models[name]
-            train, test = folds.filter(F.col("fold") < fold), folds.filter(F.col("fold") == fold)
-            prep = Pipeline(stages=[scaler(scale)]).fit(train)
-            train, test = prep.transform(train), prep.transform(test)
+            train, test = prepared[fold - 1]
             if kind == "knn":
                 asked = test.withColumnRenamed("ds", "target_ds")
                 found = neighbours(train, asked, settings)
@@ -237,6 +240,7 @@ def ts_cv(
             return name, fold, err.first()["mae"]
 
         with ThreadPoolExecutor(parallelism) as pool:
+            prepared = list(pool.map(prepare, range(1, k + 1)))
             scores = list(pool.map(one, [(f, m) for f in range(1, k + 1) for m in models]))
     finally:
         folds.unpersist()
@@ -304,5 +308,20 @@ def weighted_ensemble(p: DataFrame, weights: DataFrame, renormalise: bool = True
     )
 
 
+def with_ensemble(p: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """The predictions plus one row per target with their weighted mean, in one pass."""
+    ids = ["series_id", "target_ds"]
+    x = p.join(weights.select("model", "weight"), "model", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    g = x.groupBy(*ids).agg(
+        F.collect_list(F.struct("model", "yhat")).alias("all"),
+        F.try_divide(F.sum(F.col("yhat") * F.col("weight")), F.sum("weight")).alias("mean"),
+    )
+    rows = F.concat("all", F.array(F.struct(F.lit(name).alias("model"), F.col("mean").alias("yhat"))))
+    none = F.lit(None).cast("double")
+    return g.select(*ids, F.explode(rows).alias("r")).select(
+        *ids, "r.*", none.alias("lo"), none.alias("hi"), F.lit("ml").alias("family")
+    ).filter(F.col("yhat").isNotNull())
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -156,13 +156,16 @@ def ml_predictions(
     return learners.union_all(parts)
 
 
-def ml_ensemble(trained: Trained, predictions: DataFrame) -> DataFrame:
-    """Weighted mean of the models, equal weights where there was no validation."""
+def ensemble_weights(trained: Trained) -> DataFrame:
+    """Weights by validation error, equal where there was no validation."""
     if trained.summary is None:
-        weights = predictions.select("model").distinct().withColumn("weight", F.lit(1.0))
-    else:
-        weights = learners.mae_weights(trained.summary).withColumn("model", F.concat(F.lit("ML_"), "model"))
-    return learners.weighted_ensemble(predictions, weights)
+        names = [(f"ML_{m}", 1.0) for m in trained.specs]
+        return trained.rows.sparkSession.createDataFrame(names, "model string, weight double")
+    return learners.mae_weights(trained.summary).withColumn("model", F.concat(F.lit("ML_"), "model"))
+
+
+def ml_ensemble(trained: Trained, predictions: DataFrame) -> DataFrame:
+    return learners.weighted_ensemble(predictions, ensemble_weights(trained))
 
 
 def _as_model(df: DataFrame, name: str) -> DataFrame:
@@ -191,7 +194,7 @@ def forecast(
             ml = _as_model(ml_ensemble(trained, ml), "ML")
         elif version == "hybrid":
             # the weighted ensemble stands among the models it came from
-            ml = ml.unionByName(_as_model(ml_ensemble(trained, ml), "ML_Ensemble"))
+            ml = learners.with_ensemble(ml, ensemble_weights(trained), "ML_Ensemble")
         p = p.unionByName(ml)
     out = ensemble.combine(ensemble.valid(p), version)
     if ledger is not None:
@@ -228,10 +231,6 @@ def analog_predictions(h: DataFrame, targets: DataFrame) -> DataFrame:
 def _enhanced(h, targets, trained, ledger, actuals, holidays) -> DataFrame:
     ml = ml_ensemble(trained, ml_predictions(trained, h, targets, holidays=holidays)) if trained else None
     out = ensemble.blend_fixed(analog_predictions(h, targets), ml)
-    if ml is None:
-        out = out.withColumn("std", F.lit(None).cast("double"))
-    else:
-        out = out.join(ml.select(*IDS, "std"), IDS, "left")
     if ledger is None:
         out = out.withColumns({"correction": F.lit(0.0), "mae_pct": F.lit(None).cast("double")})
     else:

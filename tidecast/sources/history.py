@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 # Column names accepted for the date, the total and the noon count.
 DATE_NAMES = ("Date", "日付", "date")
 TOTAL_NAME = "合計"
@@ -119,6 +121,19 @@ def daily_rollup(
     )
 
 
+def materialise(h: DataFrame) -> DataFrame:
+    """Write a history that came from a query to the cluster's checkpoint folder, hash
+    partitioned by series.
+
+    Every pass over it then starts from the daily rows, not from the facts, finds its
+    series already together (Spark keeps the partitioning, so windows need no shuffle),
+    and survives a lost executor by reading the files again.
+    """
+    ensure_checkpoint_dir(h.sparkSession)
+    tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return h.repartition(tasks, "series_id").checkpoint()
+
+
 def overview(h: DataFrame) -> DataFrame:
     """First and last day, number of days, mean and standard deviation per series."""
     return h.groupBy("series_id").agg(
