@@ -36,36 +36,49 @@ def nation_segment(spark, d):
     return daily_rollup(facts, "o_orderdate", ["c_nationkey", "c_mktsegment"], F.floor(F.col("o_totalprice") / 1000))
 
 
-def whole_forecast(h, dates, version="statistical"):
-    h = materialise(h)
-    return plan.forecast(h, targets(h, dates), version)
-
-
 def cross_validation(h):
     rows = learners.assemble(pf.feature_frame(h, "complete"), pf.model_features("complete"), "drop")
     return learners.ts_cv(rows.select("series_id", "ds", "y", "raw"), {"GBT": ("gbt", dict(maxIter=20, maxDepth=5))}, 5)
 
 
 def jobs(spark, d):
-    one, few, many = one_series(spark, d), nation_segment(spark, d), supplier_panel(spark, d)
+    """Roll facts up to a history table first, as a user would, then run on the tables."""
+    h = {}
+
+    def build(size, panel):
+        def job():
+            h[size] = materialise(panel(spark, d))
+            return h[size]
+
+        return job
+
+    def on(size, fn, dates=THIRTY):
+        return lambda: fn(h[size], targets(h[size], dates))
+
+    def previous_year(many, t):
+        return learners.union_all(plan.previous_year_part(many, t, "statistical"))
+
     return {
-        "daily_rollup_1000": lambda: many,
-        "features_125": lambda: pf.feature_frame(few, "enhanced"),
-        "features_1000": lambda: pf.feature_frame(many, "enhanced"),
-        "window_models_1000": lambda: plan.window_part(many, targets(many, THIRTY), "statistical"),
-        "previous_year_1000": lambda: learners.union_all(plan.previous_year_part(many, targets(many, THIRTY), "statistical")),
-        "weekday_mean_1000": lambda: baselines.weekday_mean(many, targets(many, THIRTY)),
-        "similar_days_125": lambda: analogs.similar_days(few, targets(few, THIRTY)),
-        "pattern_match_125": lambda: analogs.pattern_match(few, targets(few, THIRTY)),
-        "holt_winters_1000": lambda: smoothing.smooth(many, targets(many, THIRTY), "hw_add"),
-        "acf_1000": lambda: diagnostics.acf(many),
-        "decompose_1000": lambda: diagnostics.decompose(many),
-        "backtest_1000": lambda: feedback.backtest_corrected(feedback.backtest_base(many)),
-        "forecast_statistical_1": lambda: whole_forecast(one, THIRTY),
-        "forecast_statistical_5": lambda: whole_forecast(orders_panel(spark, d), THIRTY),
-        "forecast_statistical_1000": lambda: whole_forecast(many, THIRTY[:6]),
-        "forecast_analogs_1000": lambda: whole_forecast(many, THIRTY[:6], "enhanced"),
-        "boosted_cv_125": lambda: cross_validation(few),
+        "build_history_1": build(1, one_series),
+        "build_history_5": build(5, orders_panel),
+        "build_history_125": build(125, nation_segment),
+        "build_history_1000": build(1000, supplier_panel),
+        "features_125": lambda: pf.feature_frame(h[125], "enhanced"),
+        "features_1000": lambda: pf.feature_frame(h[1000], "enhanced"),
+        "window_models_1000": on(1000, lambda m, t: plan.window_part(m, t, "statistical")),
+        "previous_year_1000": on(1000, previous_year),
+        "weekday_mean_1000": on(1000, baselines.weekday_mean),
+        "similar_days_125": on(125, analogs.similar_days),
+        "pattern_match_125": on(125, analogs.pattern_match),
+        "holt_winters_1000": on(1000, lambda m, t: smoothing.smooth(m, t, "hw_add")),
+        "acf_1000": lambda: diagnostics.acf(h[1000]),
+        "decompose_1000": lambda: diagnostics.decompose(h[1000]),
+        "backtest_1000": lambda: feedback.backtest_corrected(feedback.backtest_base(h[1000])),
+        "forecast_statistical_1": on(1, plan.forecast),
+        "forecast_statistical_5": on(5, plan.forecast),
+        "forecast_statistical_1000": on(1000, plan.forecast, THIRTY[:6]),
+        "forecast_analogs_1000": on(1000, lambda m, t: plan.forecast(m, t, "enhanced"), THIRTY[:6]),
+        "boosted_cv_125": lambda: cross_validation(h[125]),
     }
 
 

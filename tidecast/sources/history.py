@@ -8,6 +8,7 @@ one row per calendar day.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,16 +123,21 @@ def daily_rollup(
 
 
 def materialise(h: DataFrame) -> DataFrame:
-    """Write a history that came from a query to the cluster's checkpoint folder, hash
-    partitioned by series.
+    """Write a history that came from a query as a table bucketed by series, in the
+    cluster's checkpoint folder.
 
     Every pass over it then starts from the daily rows, not from the facts, finds its
-    series already together (Spark keeps the partitioning, so windows need no shuffle),
-    and survives a lost executor by reading the files again.
+    series already together (windows over a bucketed table need no shuffle), and
+    survives a lost executor by reading the files again.
     """
-    ensure_checkpoint_dir(h.sparkSession)
-    tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return h.repartition(tasks, "series_id").checkpoint()
+    spark, name = h.sparkSession, f"history_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        h.repartition(tasks, "series_id").write.bucketBy(tasks, "series_id").sortBy("series_id", "ds")
+        .option("path", folder).saveAsTable(name)
+    )
+    return spark.table(name)
 
 
 def overview(h: DataFrame) -> DataFrame:
