@@ -43,7 +43,7 @@ def scaler(kind: str):
     """``robust`` centres on the median and divides by the quartile range (approximate
     quantiles); ``standard`` uses mean and sample deviation."""
     if kind == "robust":
-        return RobustScaler(inputCol="raw", outputCol="features", withCentering=True, relativeError=1e-4)
+        return RobustScaler(inputCol="raw", outputCol="features", withCentering=True)
     return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
 
 

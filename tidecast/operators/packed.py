@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..session import planned_tasks
 
 FORECAST = "series_id string, day int, model string, yhat double, lo double, hi double, family string"
 
@@ -20,7 +21,7 @@ FORECAST = "series_id string, day int, model string, yhat double, lo double, hi
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partition by key over the cluster's planned number of tasks.  Series are
     small in bytes and long in work, so they must not be merged into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(planned_tasks(df.sparkSession), *keys)
 
 
 def pack(h: DataFrame, *columns: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, planned_tasks
 
 # Column names accepted for the date, the total and the noon count.
 DATE_NAMES = ("Date", "日付", "date")
@@ -132,7 +132,7 @@ def materialise(h: DataFrame) -> DataFrame:
     """
     spark, name = h.sparkSession, f"history_{uuid.uuid4().hex}"
     folder = f"{ensure_checkpoint_dir(spark)}/{name}"
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = planned_tasks(spark)
     (
         h.repartition(tasks, "series_id").write.bucketBy(tasks, "series_id").sortBy("series_id", "ds")
         .option("path", folder).saveAsTable(name)
