@@ -6,7 +6,7 @@ from tidecast.functions.calendar import calendar
 from tidecast.operators import analogs as a
 from tidecast.operators import features
 
-from .panels import ORDERS, SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
+from .panels import ORDERS, TARGETS, orders_panel, supplier_panel, targets
 from .queries_baselines import BASE, PAST, long_sql, run
 from .registry import query, rounded, select_rounded
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.distributions import t_series
 from tidecast.operators import diagnostics as g
 
-from .panels import ORDERS, SUPPLIERS, orders_panel, supplier_panel, targets
+from .panels import SUPPLIERS, supplier_panel
 from .queries_baselines import BASE, long_sql, run, t_list
 from .registry import query, rounded, select_rounded
 

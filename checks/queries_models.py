@@ -1,10 +1,10 @@
 """Smoothing, autoregression, Fourier and lag regressions, densities and resampling."""
 
-from tidecast.operators import baselines, estimates, lagreg, smoothing
+from tidecast.operators import estimates, lagreg, smoothing
 
-from .panels import ORDERS, TARGETS, orders_panel, targets
+from .panels import ORDERS, TARGETS, orders_panel
 from .queries_baselines import BASE, PAST, long_sql, run
-from .registry import query, rounded
+from .registry import query
 
 
 def _grid(kind):

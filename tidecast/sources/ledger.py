@@ -6,6 +6,7 @@ take the latest run unless they name one, so a repeated back-test is not counted
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,12 @@ def append_ledger(df: DataFrame, path: str, run_id: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """One run of a ledger (the latest by name unless given); empty if nothing is there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        every = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
-    every = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     if run_id is None:
         latest = every.agg(F.max("run_id").alias("run_id"))
         return every.join(latest, "run_id").select(*COLUMNS)
