@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secret_scan, simhash
+from . import bpe, mixing, quality_rules, secret_scan, simhash
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
 VOCABULARY = "byte_bpe_50k.json"
 
+#: Target weights: the largest source is held down to a fifth, the other named ones have equal parts.
+MIX = {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)}
+#: Target weight of all other sources together.
+MIX_REST = 0.04
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,3 +51,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_order(table(spark, sf_dir, "documents"), MIX, MIX_REST)
