@@ -135,14 +135,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
+def _verdict(threshold: float) -> Column:
+    return ~base_failed() & F.coalesce(F.col("score") >= threshold, F.lit(False))
+
+
+def good_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass."""
+    ratios = log_ratios(bucket_counts(docs, trusted))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    # The partition number is in no way part of the verdict: an expression that is not deterministic keeps
+    # the filter above the measures, which would otherwise be computed again inside their own lambdas.
+    out = measures(rows, ratios, "row").withColumn("part", F.spark_partition_id())
+    return out.where(_verdict(threshold) & (F.col("part") >= 0)).select("row.*")
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     ``trusted`` has the ids of trusted documents (``trusted_ids`` bounds them)."""
     ratios = log_ratios(bucket_counts(docs, trusted))
     out = measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, "doc_id")
-    verdict = ~base_failed() & F.coalesce(F.col("score") >= threshold, F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), verdict.alias("kept"), "score",
+        base_failed().alias("base_failed"), _verdict(threshold).alias("kept"), "score",
     )

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, per_document
@@ -79,13 +80,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
+    """(doc_id, tie, fp): one row per document, hash of its text and fingerprint as signed longs."""
 
     def work(batch: pa.RecordBatch) -> list:
-        fps = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        return [batch.column("doc_id"), pa.array(fps.view(np.int64))]
+        texts = batch.column("text").to_pylist()
+        fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+        ties = np.fromiter((xxhash.xxh64_intdigest((t or "").encode(), SEED) for t in texts), np.uint64, len(texts))
+        return [batch.column("doc_id"), pa.array(ties.view(np.int64)), pa.array(fps.view(np.int64))]
 
-    return per_document(docs, {"doc_id": "long", "text": "string"}, "doc_id long, fp long", work)
+    return per_document(docs, {"doc_id": "long", "text": "string"}, "doc_id long, tie long, fp long", work)
 
 
 def unary(fp: np.ndarray) -> np.ndarray:
@@ -188,7 +191,7 @@ def links(points: DataFrame, most_bits: int = MOST_BITS, groups: int = GROUPS, c
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp (signed long), root (fingerprint that stands for the component), component_id."""
+    """doc_id, tie (hash of the text), fp, root (fingerprint that stands for the component), component_id."""
     prints = kept(fingerprints(docs))
     points = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected(links(points.select("fp"), most_bits))
@@ -202,7 +205,9 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         )
     )
     # A fingerprint of very many copies is a hot key of the left side; both sides are stored rows.
-    return prints.join(classes, F.col("fp") == F.col("at")).select("doc_id", "fp", "root", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("at")).select(
+        "doc_id", "tie", "fp", "root", "component_id"
+    )
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -210,3 +215,21 @@ def components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the smallest id, the text of the
+    smallest hash where an id has several, and one row where rows repeat; without ids, by the hash alone."""
+    first = near_duplicates(docs, most_bits).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")).alias("s")
+    )
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
+    )
+    keys = ["id", "none", "tie"]
+    found = rows.join(first.select("s.*"), keys, "left_semi")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    return found.withColumn("place", place).where("place = 1").select("row.*")
