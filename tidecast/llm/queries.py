@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, secret_scan, simhash
+from . import bpe, mixing, quality_rules, secret_scan, simhash, token_files
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
@@ -56,3 +56,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(table(spark, sf_dir, "documents"), MIX, MIX_REST)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
