@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, secret_scan, simhash, token_files
+from . import bpe, html_text, mixing, quality_rules, secret_scan, simhash, token_files
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
@@ -61,3 +61,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
