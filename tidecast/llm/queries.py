@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, quality_rules, secret_scan, simhash, token_files, topk, toxicity
+from . import bpe, html_text, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, topk, toxicity
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
@@ -95,3 +95,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
