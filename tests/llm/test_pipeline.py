@@ -1,0 +1,63 @@
+import hashlib
+
+import corpus_pipeline
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tidecast.llm import queries, quality_rules, secret_scan
+
+from .test_quality import plain_measures
+from .test_secrets import plain_base
+from .test_simhash import plain_components, plain_fingerprint
+
+
+def staged(spark, docs, sf, folder):
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        out.append(docs)
+    return out
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good, distinct, clean, order, ids = staged(spark, docs, sf, tmp_path)
+    for stage in (good, distinct, clean, order):
+        assert stage.columns == docs.columns
+    verdict = {r.doc_id: r for r in quality_rules.quality_rules(docs, queries.trusted(spark, sf)).collect()}
+    kept = {r.doc_id: r for r in good.collect()}
+    for r in docs.collect():
+        m = plain_measures(r.text)
+        failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
+        assert (r.doc_id in kept) == (not failed and verdict[r.doc_id].score >= quality_rules.THRESHOLD)
+    rows = sorted(kept.values(), key=lambda r: r.doc_id)
+    first = {rows[k].doc_id for k in plain_components([plain_fingerprint(r.text) for r in rows])}
+    assert sorted(r.doc_id for r in distinct.collect()) == sorted(first)
+    safe = {r.doc_id: r for r in clean.collect()}
+    assert set(safe) == first
+    for i in first:
+        if plain_base(kept[i].text):
+            assert not plain_base(safe[i].text) and safe[i].n_chars == len(safe[i].text)
+        elif safe[i] != kept[i]:
+            assert next(iter(secret_scan.scan(__import__("pyarrow").array([kept[i].text]))))[1]
+    assert sorted(order.collect()) == sorted(safe.values())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in ids.collect()}
+    assert set(got) == first
+    for i, r in got.items():
+        want = library.encode(safe[i].text, add_special_tokens=False).ids
+        assert r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(safe[i].text.encode()).hexdigest()
+    assert sorted(corpus_pipeline.run(spark, sf).collect()) == sorted(got.values())
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, no_docs, tmp_path):
+    out = staged(spark, odd, sf, tmp_path / "odd")
+    assert all(stage.columns == odd.columns for stage in out[:-1])
+    empty = staged(spark, no_docs, sf, tmp_path / "none")
+    assert [stage.count() for stage in empty] == [0] * 5
+    for _, stage in corpus_pipeline.STAGES[1:]:  # rows that the first stage would drop
+        assert stage(spark, odd, sf).count() > 0

@@ -109,14 +109,14 @@ def tree(page: str) -> Element:
         if start < 0:
             text(page[at:])
             return root
+        text(page[at:start])
         m = TAG.match(page, start) or BROKEN.match(page, start)
         if m is None and UNENDED.match(page, start):  # the page ends within a tag
             return root
         if m is None:  # a stray sign is text
-            text(page[at : start + 1])
+            text("<")
             at = start + 1
             continue
-        text(page[at:start])
         at = m.end()
         name = m["name"]
         if not name:
@@ -265,6 +265,8 @@ def _flow(children: list, out: Lines, keep: bool) -> None:
             block = _lines(child.children, True)
             while block and not block[0].strip():
                 block.pop(0)
+            while block and not block[-1].strip():
+                block.pop()
             for line in block:
                 out.line(line)
         elif name in ("blockquote", "dd"):
