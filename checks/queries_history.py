@@ -1,10 +1,13 @@
 """Sources, cleaning, calendar and window features."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.functions.columns import null_inf
 from tidecast.operators import asof, diagnostics, features
+from tidecast.session import ensure_checkpoint_dir
 from tidecast.sources import history
 
 from .panels import EVENTS, ORDERS, SUPPLIERS, TARGETS, events_panel, orders_panel, supplier_panel, table, targets
@@ -21,6 +24,19 @@ def _(spark, d):
                       F.col("o_totalprice").alias("y"))
 
 
+@query("read_history_csv", """select 'all' as series_id, cast(o_orderdate as date) as ds,
+  cast(sum(floor(o_totalprice)) as double) as y from orders group by 2 having sum(floor(o_totalprice)) > 0""")
+def _(spark, d):
+    """The orders as the CSV files a user would hand in, then read, renamed and cleaned."""
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias(history.DATE_NAMES[1]),
+                  F.floor("o_totalprice").alias(history.TOTAL_NAME)).write.option("header", True).csv(folder)
+    schema = f"`{history.DATE_NAMES[1]}` string, `{history.TOTAL_NAME}` string"
+    raw = history.read_history(spark, folder, "csv", schema)
+    return history.clean_history(history.normalise_columns(raw)).select("series_id", "ds", "y")
+
+
 @query("normalise_columns", "select cast(o_orderdate as date) as ds, cast(o_custkey as varchar) as series_id, "
        "o_totalprice as y from orders")
 def _(spark, d):
@@ -150,6 +166,14 @@ def _(spark, d):
     return cal.edge_flags(orders_panel(spark, d).select(*H), 5, 25)
 
 
+for _lo, _hi in ((3, 28), (3, 25)):
+
+    @query(f"edge_flags_{_lo}_{_hi}", f"with {ORDERS} select series_id, ds, " + _flags(
+        ("is_month_start", f"day(ds) <= {_lo}"), ("is_month_end", f"day(ds) >= {_hi}")) + " from h")
+    def _(spark, d, lo=_lo, hi=_hi):
+        return cal.edge_flags(orders_panel(spark, d).select(*H), lo, hi)
+
+
 @query("day_flags", f"with {ORDERS} select series_id, ds, " + _flags(
     ("is_weekend", "isodow(ds) >= 6"), ("is_monday", "isodow(ds) = 1"), ("is_friday", "isodow(ds) = 5")) + " from h")
 def _(spark, d):

@@ -8,6 +8,7 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import learners as ml
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
+from tidecast.plans.presets import MODELS
 from tidecast.sources.history import materialise
 
 from .panels import SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
@@ -18,13 +19,6 @@ from .registry import query, rounded, select_rounded
 
 H = ["series_id", "ds"]
 T = ["series_id", "target_ds"]
-# a fast selection of each kind; the presets hold the full sizes
-QUICK = {
-    "Ridge": ("ridge", dict(alpha=1.0)),
-    "ElasticNet": ("elastic_net", dict(alpha=0.1, l1_ratio=0.5)),
-    "RandomForest": ("forest", dict(numTrees=10, maxDepth=6)),
-    "KNN": ("knn", dict(k=5, weights="uniform")),
-}
 
 _W = "(partition by series_id order by ds)"
 _LAGS = (1, 7, 14, 28, 365)
@@ -108,37 +102,52 @@ def _(spark, d):
   w as (select (u * c - v * b) / (a * c - b * b) as w1, (v * a - u * b) / (a * c - b * b) as w7 from s),
   x as (select series_id, ds, my + w1 * (lag_1 - m1) + w7 * (lag_7 - m7) as prediction from f, m, w)""", "x", H, ["prediction"]))
 def _(spark, d):
-    rows = _lagged(spark, d).withColumnRenamed("raw", "features")
-    s = rows.agg(F.count("y").alias("n"), F.stddev_pop("y").alias("sd")).first()
-    model = ml.ridge(s["n"], s["sd"], 100.0, solver="normal").fit(rows)
+    rows = _lagged(spark, d).withColumnRenamed("raw", "features").persist()
+    model = ml.fit_model(rows, "ridge", dict(alpha=100.0))
     return rounded(model.transform(rows).select(*H, "prediction"))
 
 
-def _fitted(spark, d, kind, **settings):
-    """Fit one kind of model on the complete feature set and predict every row."""
-    frame = pf.feature_frame(orders_panel(spark, d), "complete")
-    rows = ml.assemble(frame, pf.model_features("complete"), "drop").select(*H, "y", "raw")
-    rows = Pipeline(stages=[ml.scaler("standard")]).fit(rows).transform(rows).persist()
-    return ml.fit_model(rows, kind, settings).transform(rows).select(*H, "prediction")
+# Rounds of boosting and trees of the versions whose full presets take hours on one
+# machine are a tenth here; README has the figures.
+TENTH = ("enhanced", "hybrid")
+TRAINED: dict = {}
 
 
-KINDS = {
-    "lasso": {}, "elastic_net": {}, "bayesian_ridge": {}, "huber": {},
-    "forest": dict(numTrees=20, maxDepth=8), "extra_trees": dict(numTrees=20, maxDepth=8),
-    "gbt": dict(maxIter=20, stepSize=0.1, maxDepth=5), "adaboost": dict(rounds=10),
-}
-for _kind, _settings in KINDS.items():
+def presets(version):
+    """The models of a version as its preset has them, those of ``TENTH`` with a tenth of
+    the rounds and trees."""
+    if version not in TENTH:
+        return MODELS[version]
+    sizes = ("maxIter", "numTrees", "rounds")
+    return {m: (k, {a: v // 10 if a in sizes else v for a, v in s.items()}) for m, (k, s) in MODELS[version].items()}
 
-    @query({"forest": "random_forest", "gbt": "gradient_boosting", "adaboost": "adaboost_r2"}.get(_kind, _kind))
-    def _(spark, d, kind=_kind, settings=_settings):
-        return _fitted(spark, d, kind, **settings)
+
+def _trained(spark, d, version):
+    """The history of the orders panel and the models of a version, trained once per
+    session and folder."""
+    key = (spark.sparkContext.applicationId, d, version)
+    if key not in TRAINED:
+        h = materialise(orders_panel(spark, d))
+        TRAINED[key] = h, plan.train(h, version, presets(version))
+    return TRAINED[key]
+
+
+for _name, _model in {
+    "lasso": "Lasso", "elastic_net": "ElasticNet", "bayesian_ridge": "BayesianRidge", "huber": "HuberRegressor",
+    "random_forest": "RandomForest", "extra_trees": "ExtraTrees", "gradient_boosting": "GradientBoosting",
+    "adaboost_r2": "AdaBoost",
+}.items():
+
+    @query(_name)
+    def _(spark, d, model=_model):
+        _, trained = _trained(spark, d, "complete")
+        rows = trained.prep.transform(trained.rows)
+        return trained.models[model].transform(rows).select(*H, "prediction")
 
 
 @query("ts_cv")
 def _(spark, d):
-    frame = pf.feature_frame(orders_panel(spark, d), "optimized")
-    rows = ml.assemble(frame, pf.model_features("optimized")).select(*H, "y", "raw")
-    return ml.ts_cv(rows, QUICK, 3)
+    return _trained(spark, d, "optimized")[1].scores
 
 
 # naive models scored by month: MAE of repeating the value some rows back
@@ -182,11 +191,6 @@ def _(spark, d):
     return rounded(ml.weighted_ensemble(p, weights))
 
 
-def _trained(spark, d, version):
-    h = materialise(orders_panel(spark, d))
-    return h, plan.train(h, version, QUICK)
-
-
 @query("ml_predictions")
 def _(spark, d):
     h, trained = _trained(spark, d, "complete")

@@ -127,12 +127,14 @@ def test_lag_regression_ridge_bayes_huber(two_years, frame, wanted):
     w = np.linalg.solve(xs.T @ xs + np.eye(8), xs.T @ (y - y.mean()))
     assert got["Ridge_Regression"].yhat == pytest.approx(z @ w + y.mean(), rel=1e-8)
     # Bayesian ridge is a ridge fit whose penalty is the ratio of its two precisions
-    bw, cov, noise = kernels.bayes_ridge(xs.T @ xs, xs.T @ (y - y.mean()), np.sum((y - y.mean()) ** 2), len(y))
+    bw, cov, noise, settled = kernels.bayes_ridge(xs.T @ xs, xs.T @ (y - y.mean()), np.sum((y - y.mean()) ** 2), len(y))
     assert got["BayesRidge"].yhat == pytest.approx(z @ bw + y.mean(), rel=1e-8)
     assert noise == pytest.approx(np.var(y - y.mean() - xs @ bw), rel=0.05)
     assert got["BayesRidge"].hi - got["BayesRidge"].yhat == pytest.approx(1.96 * np.sqrt(z @ cov @ z + noise), rel=1e-6)
     # the Huber fit is a minimum of its joint objective
-    beta, sigma = kernels.huber(xs, y)
+    assert settled
+    beta, sigma, settled = kernels.huber(xs, y)
+    assert settled
 
     def loss(b, s):
         r = np.abs(y - xs @ b[:-1] - b[-1]) / s

@@ -116,7 +116,11 @@ def smoothing(kind: str, model: str, grid: np.ndarray, period: int, min_obs: int
         out = []
         for t, sse, forecast in smoothing_paths(kind, padded(list(part.y)), grid, period):
             for i, sid, day in wanted.get(t, ()):
-                out.append((sid, day, model, float(forecast[i, np.argmin(sse[i])])))
+                # a grid point that broke down has lost; without any other there is no forecast
+                error = np.where(np.isfinite(sse[i]) & np.isfinite(forecast[i]), sse[i], np.inf)
+                best = int(np.argmin(error))
+                if np.isfinite(error[best]):
+                    out.append((sid, day, model, float(forecast[i, best])))
         yield pd.DataFrame(out, columns=["series_id", "day", "model", "yhat"])
 
     return run
@@ -131,12 +135,21 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram + np.eye(len(gram)) * (1e-10 * np.trace(gram) + 1e-12), x.T @ y)
 
 
-def hannan_rissanen(z: np.ndarray, ar_lags: list[int], ma_lags: list[int], const: bool) -> float:
-    """One-step forecast: residuals of a long autoregression, then one least-squares fit
-    on lagged values and lagged residuals.  NaN when there are too few rows."""
+#: Lags of the first autoregression, and by how many it exceeds the deepest lag of the model.
+LONG_LAGS, LONG_MORE = 10, 3
+
+
+def hannan_rissanen(
+    z: np.ndarray, ar_lags: list[int], ma_lags: list[int], const: bool, long_lags: int = LONG_LAGS
+) -> float:
+    """One-step forecast: residuals of an autoregression of ``long_lags`` lags (three more
+    than the model's deepest, if that is longer), then one least-squares fit on lagged
+    values and lagged residuals.  NaN when there are too few rows for either."""
     n, deepest = len(z), max([0, *ar_lags, *ma_lags])
-    long = min(max(deepest + 3, 10), max(n // 4, 1)) if ma_lags else 0
+    long = max(deepest + LONG_MORE, long_lags) if ma_lags else 0
     first = long + deepest
+    if ma_lags and n - long < long + 1 + 5:
+        return float("nan")
     if n - first < len(ar_lags) + len(ma_lags) + const + 5:
         return float("nan")
     resid = np.zeros(n)
@@ -219,22 +232,23 @@ def fourier(yearly: int, weekly: int, model: str, min_obs: int) -> Callable:
 
 def bayes_ridge(gram, cross, square, n, rounds: int = 300, tol: float = 1e-3):
     """Evidence iteration on the normal equations of centred data: weights, their
-    covariance and the noise variance, with flat 1e-6 gamma priors."""
+    covariance, the noise variance and whether the iteration settled within ``rounds``,
+    with flat 1e-6 gamma priors."""
     eig, vec = np.linalg.eigh(gram)
     eig, proj = np.maximum(eig, 0.0), vec.T @ cross
-    noise, prior, weights = n / max(square, 1e-12), 1.0, None
+    noise, prior, weights, settled = n / max(square, 1e-12), 1.0, None, False
     for _ in range(rounds):
         new = vec @ (noise * proj / (noise * eig + prior))
         rss = max(square - 2 * new @ cross + new @ gram @ new, 0.0)
         used = np.sum(noise * eig / (noise * eig + prior))
         if weights is not None and np.abs(new - weights).sum() < tol:
-            weights = new
+            weights, settled = new, True
             break
         weights = new
         prior = (used + 2e-6) / (new @ new + 2e-6)
         noise = (n - used + 2e-6) / (rss + 2e-6)
     cov = (vec / (noise * eig + prior)) @ vec.T
-    return weights, cov, 1.0 / noise
+    return weights, cov, 1.0 / noise, settled
 
 
 def gram_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,12 +263,12 @@ def gram_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
 
-def huber(x, y, start=None, eps: float = 1.35, alpha: float = 1e-4, rounds: int = 200, tol: float = 1e-7):
-    """Huber regression with a jointly estimated scale, by re-weighted least squares:
-    weights (intercept last) and scale, from ``start`` if given."""
+def huber(x, y, eps: float = 1.35, alpha: float = 1e-4, rounds: int = 500, tol: float = 1e-7):
+    """Huber regression with a jointly estimated scale, by re-weighted least squares from
+    the least-squares fit: weights (intercept last), scale and whether it settled."""
     x1 = np.column_stack([x, np.ones(len(y))])
     penalty = np.diag([alpha] * x.shape[1] + [0.0])
-    beta, sigma = start if start is not None else (least_squares(x1, y), np.std(y))
+    beta, sigma = least_squares(x1, y), np.std(y)
     for _ in range(rounds):
         r = np.abs(y - x1 @ beta)
         inside = r <= eps * sigma
@@ -265,16 +279,18 @@ def huber(x, y, start=None, eps: float = 1.35, alpha: float = 1e-4, rounds: int
         new = np.linalg.solve(xw.T @ x1 + penalty * sigma + 1e-10 * np.eye(len(beta)), xw.T @ y)
         moved, beta = np.abs(new - beta).max(), new
         if moved < tol * (1 + np.abs(beta).max()):
-            break
-    return beta, sigma
+            return beta, sigma, True
+    return beta, sigma, False
 
 
 def lag_regression(kinds: list[str], min_rows: int) -> Callable:
-    """Regressions on standardised features of each series, refitted before each target."""
+    """Regressions on standardised features of each series, refitted before each target
+    from a fresh start, so that no forecast depends on which others are asked for.  A fit
+    that did not settle gives no row."""
 
     def fit(row):
         days, y, out = np.asarray(row.days), np.asarray(row.y), []
-        x, warm = np.asarray(row.x).reshape(len(days), -1), None
+        x = np.asarray(row.x).reshape(len(days), -1)
         for target in sorted(row.targets, key=lambda t: t["day"]):
             day, x0 = target["day"], np.asarray(target["x"], dtype=float)
             n = int(np.searchsorted(days, day))
@@ -288,12 +304,14 @@ def lag_regression(kinds: list[str], min_rows: int) -> Callable:
                 w = np.linalg.solve(gram + np.eye(len(z)), cross)
                 out.append((int(day), "Ridge_Regression", float(z @ w + ymean), None, None))
             if "bayes" in kinds:
-                w, cov, noise = bayes_ridge(gram, cross, yc @ yc, n)
+                w, cov, noise, settled = bayes_ridge(gram, cross, yc @ yc, n)
                 value, half = z @ w + ymean, 1.96 * np.sqrt(z @ cov @ z + noise)
-                out.append((int(day), "BayesRidge", float(value), float(value - half), float(value + half)))
+                if settled:
+                    out.append((int(day), "BayesRidge", float(value), float(value - half), float(value + half)))
             if "huber" in kinds:
-                warm = huber(xs, y[:n], warm)
-                out.append((int(day), "Huber_Regression", float(z @ warm[0][:-1] + warm[0][-1]), None, None))
+                beta, _, settled = huber(xs, y[:n])
+                if settled:
+                    out.append((int(day), "Huber_Regression", float(z @ beta[:-1] + beta[-1]), None, None))
         return out
 
     return per_series(fit, ["day", "model", "yhat", "lo", "hi"])

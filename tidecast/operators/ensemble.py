@@ -145,7 +145,7 @@ def noon_adjust(forecast: DataFrame, actuals: DataFrame, ratios: DataFrame, keep
     ``(series_id, target_ds, noon)``; targets without a positive count are unchanged."""
     out = forecast.join(actuals.select(*IDS, "noon"), IDS, "left").join(ratios, "series_id", "left")
     ratio = F.coalesce("ratio", F.lit(DEFAULT_NOON_RATIO))
-    implied = F.col("noon") / ratio
+    implied = F.try_divide("noon", ratio)
     mixed = F.col("yhat") * keep + implied * (1 - keep)
     use = (F.col("noon") > 0) & (ratio > 0)
     return out.withColumn("yhat", F.when(use, mixed).otherwise(F.col("yhat"))).drop("noon", "ratio")
@@ -176,7 +176,7 @@ def _ladder(value: Column, steps: Sequence[tuple[float, int]], last: int) -> Col
 def confidence_cv(df: DataFrame, rule: str = "statistical") -> DataFrame:
     """Score from the coefficient of variation (in percent) of the models."""
     scores = (95, 85, 75, 65) if rule == "statistical" else (90, 80, 70, 60)
-    cv = F.col("std") / F.col("mean") * 100
+    cv = F.try_divide("std", "mean") * 100
     steps = list(zip((5.0, 10.0, 15.0), scores))
     return df.withColumns({"cv": cv, "confidence_score": _ladder(cv, steps, scores[3])})
 

@@ -16,10 +16,6 @@ from ..functions.columns import array_median, by_day, last_of
 
 ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
-# Features that contain the row's own total, so a model must not train on them.
-LEAKY = ("diff_", "pct_change_", "weekday_mean", "weekday_std", "month_mean", "month_std",
-         "week_of_month_mean", "weekday_month_mean")
-
 
 def lags(h: DataFrame, ns: Sequence[int], ahead: int = 0) -> DataFrame:
     """Values ``n`` rows back.  With ``ahead=1`` each row gets what the row after it
@@ -160,13 +156,3 @@ def same_weekday_mean(h: DataFrame, n: int = 4) -> DataFrame:
     """Mean of the previous ``n`` values on the same weekday."""
     frame = Window.partitionBy("series_id", F.weekday("ds")).orderBy("ds").rowsBetween(-n, -1)
     return h.withColumn("same_weekday_mean", F.avg("y").over(frame))
-
-
-def is_leaky(name: str) -> bool:
-    return name.startswith(LEAKY)
-
-
-def safe_features(columns: Sequence[str], exclude: Sequence[str] = ()) -> list[str]:
-    """Feature names without keys, the total, the year and anything that leaks."""
-    skip = {"series_id", "ds", "y", "partial_y", "year", *exclude}
-    return [c for c in columns if c not in skip and not is_leaky(c)]

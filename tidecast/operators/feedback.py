@@ -137,7 +137,8 @@ def backtest_base(h: DataFrame, years: int = 2, min_obs: int = 30) -> DataFrame:
 
 def backtest_corrected(base: DataFrame) -> DataFrame:
     """Run the bias correction through a back-test in date order: each day is corrected
-    from the last ten corrected errors.  Gives ledger rows (band 15 %, score 70)."""
+    from the last ten corrected errors.  Gives ledger rows (band 15 %, score 70); a day
+    without sales has no error in percent."""
     x = pack(base, "base", "p1", "y").mapInPandas(
         kernels.sequential_correction(MEMORY, FLOOR, RATE),
         "series_id string, days int, base double, p1 double, y double, correction double",
@@ -148,7 +149,7 @@ def backtest_corrected(base: DataFrame) -> DataFrame:
         "series_id", F.col("ds").alias("prediction_date"), "final_prediction",
         (F.col("final_prediction") * 0.85).alias("pred_lower"), (F.col("final_prediction") * 1.15).alias("pred_upper"),
         F.lit(70).alias("confidence_score"), F.col("base").alias("ml_prediction"), F.col("p1").alias("stat_prediction"),
-        F.col("y").alias("actual_value"), error.alias("error"), (error / F.col("y") * 100).alias("error_pct"),
+        F.col("y").alias("actual_value"), error.alias("error"), (F.try_divide(error, F.col("y")) * 100).alias("error_pct"),
         (F.col("correction") != 0).alias("bias_correction_applied"), F.col("correction").alias("bias_correction_amount"),
         F.unix_date("ds").cast("bigint").alias("seq"),
     )

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.calendar import CALENDAR
 from ..functions.columns import by_day
+from ..plans.presets import ORDERS, SEASONAL
 from .asof import Recipe, asof_attach, forecast_asof
 from .features import lags
 from .packed import FORECAST, as_predictions, deal, fit_each, spread
 
 IDS = ["series_id", "target_ds"]
-ORDERS = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 2), (0, 1, 1))
-SEASONAL = (((1, 1, 1), (1, 1, 1, 7)), ((1, 1, 1), (0, 1, 1, 7)), ((2, 1, 1), (1, 1, 0, 7)))
-
 
+# The orders that are running least squares, and their names.
 DIRECT = {(1, 0, 0): "ARIMA_100", (1, 1, 0): "ARIMA_110"}
 
 

@@ -47,10 +47,11 @@ def scaler(kind: str):
     return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
 
 
-def ridge(n: int, sd: float, alpha: float = 1.0, solver: str = "auto") -> LinearRegression:
-    """Spark scales the penalty by the label's deviation and the row count."""
+def ridge(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
+    """The normal equations; Spark scales the penalty by the label's population deviation
+    ``sd`` and the row count."""
     return LinearRegression(
-        labelCol="y", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n, solver=solver
+        labelCol="y", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n, solver="normal"
     )
 
 
@@ -59,7 +60,7 @@ def lasso(alpha: float = 0.1) -> LinearRegression:
 
 
 def elastic_net(sd: float, alpha: float = 0.1, l1_ratio: float = 0.5) -> LinearRegression:
-    """Only the quadratic part of the penalty is scaled by the label's deviation."""
+    """Only the quadratic part of the penalty is scaled by the label's sample deviation."""
     total = alpha * l1_ratio + alpha * (1 - l1_ratio) * sd
     return LinearRegression(
         labelCol="y", standardization=False, regParam=total, elasticNetParam=alpha * l1_ratio / total, maxIter=500
@@ -75,8 +76,8 @@ def forest(**kw) -> RandomForestRegressor:
 
 
 def extra_trees(**kw) -> RandomForestRegressor:
-    """Whole sample and a random third of the features per split; split points are the
-    best bins, as Spark has no random thresholds."""
+    """Whole sample; split points are the best bins, as Spark has no random thresholds, so
+    a random third of the features per split is what makes the trees differ."""
     return RandomForestRegressor(labelCol="y", seed=SEED, bootstrap=False, featureSubsetStrategy="onethird", **kw)
 
 
@@ -85,7 +86,8 @@ def gradient_boosting(**kw) -> GBTRegressor:
 
 
 class Linear:
-    """A fitted linear rule over the ``features`` vector, with an optional band."""
+    """A fitted linear rule over the ``features`` vector; with a covariance of the weights
+    also the predictive deviation ``prediction_sd``."""
 
     def __init__(self, weights, intercept: float, cov=None, noise: float = 0.0):
         self.weights, self.intercept, self.cov, self.noise = weights, intercept, cov, noise
@@ -94,7 +96,19 @@ class Linear:
         x = vector_to_array("features")
         w = F.array(*[F.lit(float(v)) for v in self.weights])
         dot = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return df.withColumn("prediction", dot + self.intercept)
+        out = df.withColumn("prediction", dot + self.intercept)
+        if self.cov is None:
+            return out
+        # One literal, which Catalyst folds: the rows of the covariance, one after the other.
+        flat = F.split(F.lit(",".join(repr(float(v)) for v in np.ravel(self.cov))), ",").cast("array<double>")
+        d = len(self.weights)
+
+        def through(v, i):
+            row = F.zip_with(F.slice(flat, i * d + 1, F.lit(d)), x, lambda a, b: a * b)
+            return v * F.aggregate(row, F.lit(0.0), lambda s, p: s + p)
+
+        spread = F.aggregate(F.transform(x, through), F.lit(float(self.noise)), lambda s, v: s + v)
+        return out.withColumn("prediction_sd", F.sqrt(F.greatest(spread, F.lit(0.0))))
 
 
 def bayesian_ridge(df: DataFrame) -> Linear:
@@ -111,7 +125,9 @@ def bayesian_ridge(df: DataFrame) -> Linear:
     n, ysum, xsum = g[0, 0], g[0, 1], g[0, 2:]
     gram = g[2:, 2:] - np.outer(xsum, xsum) / n
     cross = g[2:, 1] - xsum * ysum / n
-    w, cov, noise = kernels.bayes_ridge(gram, cross, max(g[1, 1] - ysum**2 / n, 0.0), n)
+    w, cov, noise, settled = kernels.bayes_ridge(gram, cross, max(g[1, 1] - ysum**2 / n, 0.0), n)
+    if not settled:
+        raise RuntimeError("the evidence iteration did not settle")
     return Linear(w, float(ysum / n - w @ xsum / n), cov, float(noise))
 
 
@@ -182,10 +198,13 @@ def fit_model(df: DataFrame, kind: str, settings: Mapping):
         return bayesian_ridge(df)
     if kind == "adaboost":
         return adaboost_r2(df, **settings)
-    if kind in ("ridge", "elastic_net"):
-        s = df.agg(F.count("y").alias("n"), F.stddev_samp("y").alias("sd")).first()
-        sd = s["sd"] or 1.0
-        return (ridge(s["n"], sd, **settings) if kind == "ridge" else elastic_net(sd, **settings)).fit(df)
+    if kind == "ridge":
+        s = df.agg(F.count("y").alias("n"), F.stddev_pop("y").alias("sd")).first()
+        return ridge(s["n"], s["sd"] or 1.0, **settings).fit(df)
+    if kind == "elastic_net":
+        return elastic_net(df.agg(F.stddev_samp("y")).first()[0] or 1.0, **settings).fit(df)
+    if kind == "gbt":
+        ensure_checkpoint_dir(df.sparkSession)  # long boosting runs cut their lineage there
     maker = {"lasso": lasso, "huber": huber, "forest": forest, "extra_trees": extra_trees, "gbt": gradient_boosting}
     return maker[kind](**settings).fit(df)
 
@@ -196,9 +215,22 @@ def neighbours(train: DataFrame, wanted: DataFrame, settings: Mapping) -> DataFr
     return nearest_neighbours(*arrays, "_x", **settings)
 
 
+#: Bytes of feature vectors that one task of a training pass should read.
+TASK_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, width: int) -> DataFrame:
+    """Rows of ``width`` features in as many partitions as their bytes ask for, kept in the
+    executors: a boosting round over too many tasks is all scheduling."""
+    rows = df.persist()
+    parts = max(1, math.ceil(rows.count() * width * 8 / TASK_BYTES))
+    return rows.coalesce(parts) if parts < rows.rdd.getNumPartitions() else rows
+
+
 def fold_ids(df: DataFrame, k: int, day: str = "ds") -> DataFrame:
     """Expanding-window folds over the days of the panel: the last ``k`` blocks of
-    ``days // (k + 1)`` days are test folds 1..k, everything earlier is fold 0.
+    ``days // (k + 1)`` days are test folds 1..k, everything earlier is fold 0; with no
+    more than ``k`` days there is only fold 0.
 
     Cutting by day keeps all series on the same side of a cut.  The day table has one
     row per calendar day, so numbering it in one place is bounded.
@@ -213,16 +245,22 @@ def fold_ids(df: DataFrame, k: int, day: str = "ds") -> DataFrame:
 
 
 def ts_cv(
-    df: DataFrame, models: Mapping[str, tuple[str, Mapping]], k: int, scale: str = "robust", parallelism: int = 4
+    df: DataFrame, models: Mapping[str, tuple[str, Mapping]], k: int, scale: str = "robust", parallelism: int = 8
 ) -> DataFrame:
     """Scores ``(model, fold, mae)`` of expanding-window validation on rows with ``raw``,
     ``y`` and ``ds``.  The scaler is fitted inside each fold; fits run side by side."""
-    folds = fold_ids(df, k).persist()
+    first = df.select("raw").first()
+    if first is None:
+        raise ValueError("no rows to validate on")
+    folds, kept = fold_ids(df, k).persist(), []
     try:
         def prepare(fold):
             train, test = folds.filter(F.col("fold") < fold), folds.filter(F.col("fold") == fold)
+            if test.isEmpty():
+                raise ValueError(f"{k} folds need more than {k} days")
             prep = Pipeline(stages=[scaler(scale)]).fit(train)
-            return prep.transform(train), prep.transform(test)
+            kept.append(sized(prep.transform(train), len(first["raw"])))
+            return kept[-1], prep.transform(test)
 
         def one(job):
             fold, name = job
@@ -243,15 +281,17 @@ def ts_cv(
             prepared = list(pool.map(prepare, range(1, k + 1)))
             scores = list(pool.map(one, [(f, m) for f in range(1, k + 1) for m in models]))
     finally:
-        folds.unpersist()
+        for rows in (folds, *kept):
+            rows.unpersist()
     return df.sparkSession.createDataFrame(scores, "model string, fold int, mae double")
 
 
-def fit_all(df: DataFrame, models: Mapping[str, tuple[str, Mapping]], scale: str = "robust", parallelism: int = 4):
+def fit_all(df: DataFrame, models: Mapping[str, tuple[str, Mapping]], scale: str = "robust", parallelism: int = 8):
     """Fit the scaler and every model on rows with ``raw`` and ``y``; models train side
     by side (nearest neighbours have nothing to fit).  Returns ``(scaler, {name: model})``."""
     prep = Pipeline(stages=[scaler(scale)]).fit(df)
-    rows = prep.transform(df).persist()
+    first = df.select("raw").first()
+    rows = sized(prep.transform(df), len(first["raw"]) if first else 1)
     jobs = [(name, *spec) for name, spec in models.items() if spec[0] != "knn"]
     try:
         with ThreadPoolExecutor(parallelism) as pool:
@@ -263,18 +303,24 @@ def fit_all(df: DataFrame, models: Mapping[str, tuple[str, Mapping]], scale: str
 
 def score(prep, models: Mapping, rows: DataFrame, floor: str = "clamp") -> DataFrame:
     """Long predictions of every model for rows with ``raw``; below zero is raised to
-    zero (``clamp``) or left out (``drop``)."""
-    out = prep.transform(rows)
+    zero (``clamp``) or left out (``drop``).  Models that know their predictive deviation
+    give a band of 1.96 of it."""
+    out, none = prep.transform(rows), F.lit(None).cast("double")
+    each = []
     for name, model in models.items():
         out = model.transform(out).withColumnRenamed("prediction", f"ML_{name}")
-    names = [f"ML_{m}" for m in models]
-    long = out.select("series_id", "target_ds", *names).unpivot(["series_id", "target_ds"], names, "model", "yhat")
+        half = none
+        if "prediction_sd" in out.columns:
+            out = out.withColumnRenamed("prediction_sd", f"ML_{name}_sd")
+            half = 1.96 * F.col(f"ML_{name}_sd")
+        y = F.col(f"ML_{name}")
+        each.append(F.struct(F.lit(f"ML_{name}").alias("model"), y.alias("yhat"), (y - half).alias("lo"), (y + half).alias("hi")))
+    long = out.select("series_id", "target_ds", F.explode(F.array(*each)).alias("p")).select("series_id", "target_ds", "p.*")
     if floor == "clamp":
         long = long.withColumn("yhat", F.greatest(F.lit(0.0), F.col("yhat")))
     else:
         long = long.filter((F.col("yhat") > 0) & ~F.isnan("yhat"))
-    none = F.lit(None).cast("double")
-    return long.select("series_id", "target_ds", "model", "yhat", none.alias("lo"), none.alias("hi"), F.lit("ml").alias("family"))
+    return long.withColumn("family", F.lit("ml"))
 
 
 def summarise(scores: DataFrame) -> DataFrame:

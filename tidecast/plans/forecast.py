@@ -16,6 +16,7 @@ from ..operators import analogs, baselines, diagnostics, ensemble, estimates, fe
 from ..operators.asof import Recipe, eligible_targets, forecast_asof
 from ..operators.features import exponential_mean
 from ..operators.packed import fit_each
+from ..session import ensure_checkpoint_dir
 from .features import feature_frame, model_features, serving_rows
 from .presets import FEATURES, MODELS, SCALER, SPLITS
 
@@ -99,8 +100,12 @@ def fitted_part(h: DataFrame, targets: DataFrame, version: str) -> list[DataFram
 
 
 def statistical_predictions(h: DataFrame, targets: DataFrame, version: str = "statistical") -> DataFrame:
-    """All statistical models of a version in long form, for targets with enough history."""
-    t = eligible_targets(h, targets.select(*IDS).distinct(), MIN_OBS[version]).select(*IDS)
+    """All statistical models of a version in long form, for targets with enough history.
+
+    Which targets have enough takes a pass over the history; its answer is written once
+    and read by every part."""
+    ensure_checkpoint_dir(h.sparkSession)
+    t = eligible_targets(h, targets.select(*IDS).distinct(), MIN_OBS[version]).select(*IDS).checkpoint()
     return learners.union_all([
         window_part(h, t, version), *seasonal_part(h, t, version),
         *previous_year_part(h, t, version), *fitted_part(h, t, version),
@@ -109,28 +114,41 @@ def statistical_predictions(h: DataFrame, targets: DataFrame, version: str = "st
 
 @dataclass
 class Trained:
-    """Fitted models of a version with their validation summary (model, mae, std)."""
+    """Fitted models of a version with their validation scores (model, fold, mae) and
+    summary (model, mae, std); ``rows`` are kept in the executors until ``release``."""
 
     version: str
     prep: object
     models: Mapping
     specs: Mapping
+    scores: DataFrame | None
     summary: DataFrame | None
     rows: DataFrame
 
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+# Fixed value: with fewer feature rows there is no machine learning.
+LEAST_ROWS = 50
+
 
 def train(
     h: DataFrame, version: str, models: Mapping | None = None, holidays: DataFrame | None = None,
-    validate: bool = True, parallelism: int = 4,
-) -> Trained:
+    validate: bool = True, parallelism: int = 8,
+) -> Trained | None:
     """Features, validation and fitting over the whole panel.  ``complete`` trains
-    without validation; ``optimized`` keeps the five best models."""
+    without validation; ``optimized`` keeps the five best models.  None with fewer than
+    ``LEAST_ROWS`` feature rows, which ``forecast`` takes as no machine learning."""
     specs = dict(models or MODELS[version])
     frame = feature_frame(h, version, holidays)
     rows = learners.assemble(frame, model_features(version), FEATURES[version]["nulls"]).select(
         "series_id", "ds", "y", "raw"
     ).persist()
-    summary = None
+    if rows.count() < LEAST_ROWS:
+        rows.unpersist()
+        return None
+    scores = summary = None
     if validate and version != "complete":
         scores = learners.ts_cv(rows, specs, SPLITS[version], SCALER[version], parallelism)
         summary = learners.summarise(scores)
@@ -138,7 +156,7 @@ def train(
             keep = [r["model"] for r in learners.top_models(summary).collect()]  # at most five names
             specs = {m: s for m, s in specs.items() if m in keep}
     prep, fitted = learners.fit_all(rows, specs, SCALER[version], parallelism)
-    return Trained(version, prep, fitted, specs, summary, rows)
+    return Trained(version, prep, fitted, specs, scores, summary, rows)
 
 
 def ml_predictions(

@@ -41,13 +41,14 @@ FEATURES = {
 }
 
 # model: (kind, settings).  Native boosting libraries and histogram boosting are all
-# presets of Spark's own histogram-binned gradient boosting.
+# presets of Spark's own histogram-binned gradient boosting; a share of columns is drawn
+# anew at every node there, not once per tree.
 MODELS = {
     "enhanced": {
-        "LightGBM": ("gbt", dict(maxIter=500, stepSize=0.05, maxDepth=8, subsamplingRate=0.8, minInstancesPerNode=20)),
-        "XGBoost": ("gbt", dict(maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8)),
+        "LightGBM": ("gbt", dict(maxIter=500, stepSize=0.05, maxDepth=8, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20)),
+        "XGBoost": ("gbt", dict(maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8")),
         "CatBoost": ("gbt", dict(maxIter=500, stepSize=0.05, maxDepth=6)),
-        "RandomForest": ("forest", dict(numTrees=300, maxDepth=15, minInstancesPerNode=2)),
+        "RandomForest": ("forest", dict(numTrees=300, maxDepth=15, featureSubsetStrategy="all", minInstancesPerNode=2)),
         "Ridge": ("ridge", dict(alpha=1.0)),
         "GradientBoosting": ("gbt", dict(maxIter=300, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, minInstancesPerNode=2)),
         "ExtraTrees": ("extra_trees", dict(numTrees=300, maxDepth=15, minInstancesPerNode=2)),
@@ -59,11 +60,11 @@ MODELS = {
         "AdaBoost": ("adaboost", dict(rounds=100, rate=0.1)),
     },
     "optimized": {
-        "LightGBM": ("gbt", dict(maxIter=300, stepSize=0.08, maxDepth=6, subsamplingRate=0.8, minInstancesPerNode=20)),
-        "XGBoost": ("gbt", dict(maxIter=300, stepSize=0.08, maxDepth=5, subsamplingRate=0.8)),
+        "LightGBM": ("gbt", dict(maxIter=300, stepSize=0.08, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20)),
+        "XGBoost": ("gbt", dict(maxIter=300, stepSize=0.08, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8")),
         "CatBoost": ("gbt", dict(maxIter=300, stepSize=0.08, maxDepth=5)),
         "HistGB": ("gbt", dict(maxIter=200, stepSize=0.08, maxDepth=8, minInstancesPerNode=20)),
-        "RandomForest": ("forest", dict(numTrees=200, maxDepth=12, minInstancesPerNode=3)),
+        "RandomForest": ("forest", dict(numTrees=200, maxDepth=12, featureSubsetStrategy="all", minInstancesPerNode=3)),
         "ExtraTrees": ("extra_trees", dict(numTrees=200, maxDepth=12, minInstancesPerNode=3)),
         "Ridge": ("ridge", dict(alpha=1.0)),
         "BayesianRidge": ("bayesian_ridge", {}),
@@ -75,7 +76,7 @@ MODELS = {
         "ElasticNet": ("elastic_net", dict(alpha=0.1, l1_ratio=0.5)),
         "BayesianRidge": ("bayesian_ridge", {}),
         "HuberRegressor": ("huber", {}),
-        "RandomForest": ("forest", dict(numTrees=100, maxDepth=10)),
+        "RandomForest": ("forest", dict(numTrees=100, maxDepth=10, featureSubsetStrategy="all")),
         "GradientBoosting": ("gbt", dict(maxIter=100, stepSize=0.1, maxDepth=5)),
         "ExtraTrees": ("extra_trees", dict(numTrees=100, maxDepth=10)),
         "AdaBoost": ("adaboost", dict(rounds=50, rate=1.0)),
@@ -86,6 +87,10 @@ MODELS = {
         "CatBoost": ("gbt", dict(maxIter=100, stepSize=0.03, maxDepth=5)),
     },
 }
+# Autoregressive orders (p, d, q), and with seasonal (P, D, Q, period).
+ORDERS = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 2), (0, 1, 1))
+SEASONAL = (((1, 1, 1), (1, 1, 1, 7)), ((1, 1, 1), (0, 1, 1, 7)), ((2, 1, 1), (1, 1, 0, 7)))
+
 MODELS["hybrid"] = MODELS["enhanced"]
 
 SPLITS = {"enhanced": 5, "hybrid": 5, "optimized": 3, "complete": 3}

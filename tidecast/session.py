@@ -25,12 +25,8 @@ def local_session(cores: str | int = "*", name: str = "tidecast") -> SparkSessio
 
 
 def planned_tasks(spark: SparkSession) -> int:
-    """How many tasks a stage of long-running rows is spread over: the session's shuffle
-    partitions, on a single machine no more than keep its cores busy."""
-    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        return min(planned, spark.sparkContext.defaultParallelism)
-    return planned
+    """How many tasks a stage of long-running rows is spread over: the session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -23,6 +23,10 @@ TOTAL_NAME = "合計"
 NOON_NAME = "件数(～12:00)"
 
 
+#: What the names of materialised histories begin with.
+MADE = "history_"
+
+
 def read_history(
     spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -128,9 +132,10 @@ def materialise(h: DataFrame) -> DataFrame:
 
     Every pass over it then starts from the daily rows, not from the facts, finds its
     series already together (windows over a bucketed table need no shuffle), and
-    survives a lost executor by reading the files again.
+    survives a lost executor by reading the files again.  ``drop_materialised`` removes
+    such tables when they are no longer read.
     """
-    spark, name = h.sparkSession, f"history_{uuid.uuid4().hex}"
+    spark, name = h.sparkSession, f"{MADE}{uuid.uuid4().hex}"
     folder = f"{ensure_checkpoint_dir(spark)}/{name}"
     tasks = planned_tasks(spark)
     (
@@ -140,6 +145,17 @@ def materialise(h: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def drop_materialised(spark: SparkSession) -> None:
+    """Drop the history tables of this session's catalog, and their files."""
+    jvm = spark.sparkContext._jvm
+    for t in spark.catalog.listTables():
+        if t.name.startswith(MADE):
+            where = spark.sql(f"describe formatted {t.name}").where("col_name = 'Location'").first()["data_type"]
+            spark.sql(f"drop table {t.name}")
+            path = jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def overview(h: DataFrame) -> DataFrame:
     """First and last day, number of days, mean and standard deviation per series."""
     return h.groupBy("series_id").agg(

@@ -1,7 +1,8 @@
 """The forecast ledger: a Parquet table partitioned by run.
 
 Writing a run twice (a retried job) replaces that run and touches no other, and readers
-take the latest run unless they name one, so a repeated back-test is not counted twice.
+take the run of the newest predictions unless they name one, so a repeated back-test is
+not counted twice.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ def append_ledger(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """One run of a ledger (the latest by name unless given); empty if nothing is there."""
+    """One run of a ledger, read from its own partition; empty if nothing is there.
+
+    Without a name it is the run with the newest prediction timestamp; of runs made in
+    the same instant the one whose name comes last, numbers in names by their value."""
     try:
         every = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     except AnalysisException as e:
@@ -51,8 +55,12 @@ def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> Da
             raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
     if run_id is None:
-        latest = every.agg(F.max("run_id").alias("run_id"))
-        return every.join(latest, "run_id").select(*COLUMNS)
+        number = F.try_to_number(F.regexp_extract("run_id", "([0-9]+)$", 1), F.lit("9" * 18))
+        runs = every.groupBy("run_id").agg(F.max("prediction_timestamp").alias("at"))
+        newest = runs.orderBy(F.desc_nulls_last("at"), F.desc_nulls_last(number), F.desc("run_id")).first()
+        if newest is None:
+            return every
+        run_id = newest["run_id"]
     return every.filter(F.col("run_id") == run_id)
 
 

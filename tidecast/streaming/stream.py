@@ -23,7 +23,7 @@ def daily_rollup_stream(
     cutoff_hour: int = 12, lateness: str = "1 day",
 ) -> DataFrame:
     """Daily totals and totals before ``cutoff_hour`` of a stream of facts.  Rows later
-    than ``lateness`` are dropped and closed days leave the state."""
+    than ``lateness`` are dropped; in append and update mode closed days leave the state."""
     amount = F.lit(1.0) if value is None else value.cast("double")
     x = events.select(
         F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("series_id"),
@@ -52,7 +52,9 @@ def noon_nowcast(totals: DataFrame, forecast: DataFrame, ratios: DataFrame, vers
 
 def running_bias(actuals: DataFrame) -> DataFrame:
     """Corrected forecasts as actuals ``(series_id, ds, base, y)`` arrive, each series'
-    days in order: the state of a series is its last corrected errors."""
+    days in order: the state of a series is its last corrected errors.  Days of one
+    micro-batch are put in order; a day that comes in a later batch than one after it
+    joins the errors when it comes, and nothing that was given out changes."""
     return actuals.groupBy("series_id").applyInPandasWithState(
         kernels.running_correction(MEMORY, FLOOR, RATE),
         "series_id string, ds date, base double, y double, correction double",
