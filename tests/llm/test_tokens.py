@@ -55,11 +55,15 @@ def test_both_encoders_equal_the_library(texts):
             assert vocab.decode(library_ids(t)) == LIBRARY.decode(library_ids(t), skip_special_tokens=False)
 
 
-def test_memory_of_pretokens_starts_afresh(monkeypatch):
+def test_many_small_gatherings_and_blocks(monkeypatch, small):
+    texts = [r.text for r in small]
     vocab = bpe.Vocabulary(PATH)
-    monkeypatch.setattr(bpe, "REMEMBER", 5)
-    for text in ("one two three four five six seven", "two three eight", "", "one"):
-        assert vocab.encode([text])[0].tolist() == library_ids(text)
+    whole = [r.tolist() for r in vocab.rows(texts)]
+    assert whole == [library_ids(t) for t in texts]
+    for pending, bits in ((1, 0), (7, 16), (100, 3)):
+        monkeypatch.setattr(bpe, "PENDING", pending)
+        monkeypatch.setattr(bpe, "BLOCK_BITS", bits)
+        assert [r.tolist() for r in vocab.rows(texts[:40])] == whole[:40]
 
 
 def plain_positions(rows):

@@ -1,7 +1,6 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index.
 
-A task splits its texts into pretokens and gathers the distinct ones that it has not encoded before.  Their
-bytes stand in one array of symbols, a linked list per pretoken.  An index maps the rank of each mergeable
+A task splits its texts into pretokens and gathers the distinct ones.  Their bytes stand in one array of symbols, a linked list per pretoken.  An index maps the rank of each mergeable
 pair to all positions at which the pair stands.  The active ranks are taken in ascending order: all
 positions of a rank are merged at once (in a run of equal symbols every other one, from the left), and the
 pairs that the merged symbols form with their neighbours are entered under their own ranks.  A rule's
@@ -9,7 +8,7 @@ result only stands in rules of higher rank, so this order is the one each pretok
 
 The vocabulary and its merges come from a ``tokenizers`` JSON file, whose path is a parameter; every
 executor needs the file at that path.  Special tokens of the file are cut out of the text first, as the library
-does.  Memory is bounded by the portion of texts in work and by ``REMEMBER`` pretokens kept between portions.
+does.  Memory is bounded by the portion of texts in work.
 
 Defined cases: null and empty texts have no ids, and decode to the empty text; a text of one very long
 pretoken is one list in the index; repeated rows each give a row.
@@ -21,10 +20,12 @@ import hashlib
 import heapq
 import json
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -36,8 +37,10 @@ LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACES = "\t-\r \x85\xa0"
 
-#: Pretokens whose ids a Python worker remembers; it starts afresh beyond.
-REMEMBER = 250_000
+#: Pretokens that are gathered before they are counted as distinct ones.
+PENDING = 1 << 17
+#: log2 of the ranks in a block of the index.
+BLOCK_BITS = 8
 
 
 def narrow_pattern() -> re.Pattern:
@@ -56,8 +59,21 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value and the indices at which it stands."""
+    if len(values) < 2:
+        if len(values):
+            yield int(values[0]), np.zeros(1, np.intp)
+        return
+    order = np.argsort(values, kind="stable")
+    held = values[order]
+    cuts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1], [True])))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(held[a]), order[a:b]
+
+
 class Vocabulary:
-    """Merges as sorted arrays, the bytes of each id, special tokens, and what has been encoded so far."""
+    """Merges as sorted arrays, the bytes of each id, special tokens."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -85,11 +101,6 @@ class Vocabulary:
         self.wide, self.narrow = regex.compile(PRETOKEN), narrow_pattern()
         cut = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, cut)) + ")") if cut else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.tokens, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def pretokens(self, text: str) -> list[str]:
         try:
@@ -109,89 +120,114 @@ class Vocabulary:
         """The rank of each pair of symbols, -1 where no rule joins them."""
         key = (a.astype(np.int64) << 32) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], -1)
+        return np.where(self.keys[at] == key, self.order[at], -1).astype(np.int32)
 
-    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
-        raw = [p.encode() for p in pieces]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        symbol = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        symbol = self.first[np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+        starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        starts = np.concatenate(([0], ends[:-1]))
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1], before[starts] = -1, -1
         alive = np.ones(n, bool)
-        index: dict[int, list[np.ndarray]] = {}
-        active: list[int] = []
+        # The index: per block of ranks, (rank, position) arrays; the ranks of the block in work are split up.
+        later: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range((len(self.keys) >> BLOCK_BITS) + 1)]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def enter(at: np.ndarray) -> None:
+        def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rank = self.ranks(symbol[at], symbol[after[at]])
-            at, rank = at[rank >= 0], rank[rank >= 0]
-            if not len(at):
-                return
-            order = np.argsort(rank, kind="stable")
-            at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            for r, positions in zip(rank[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts)):
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(active, r)
-                index[r].append(positions)
-
-        enter(np.flatnonzero(after >= 0))
-        while active:
-            r = heapq.heappop(active)
-            lists = index.pop(r)
-            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
-            a, b = self.left[r], self.right[r]
-            at = at[alive[at] & (symbol[at] == a) & (after[at] >= 0)]
-            at = at[symbol[after[at]] == b]
-            if a == b and len(at) > 1:
-                joined = np.concatenate(([False], after[at[:-1]] == at[1:]))
-                heads = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
-                at = at[(np.arange(len(at)) - heads) % 2 == 0]
-            if not len(at):
+            known = rank >= 0
+            return rank[known], at[known]
+
+        def enter(entries: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            rank, at = (np.concatenate([e[k] for e in entries]) for k in (0, 1))
+            for block, part in _runs(rank >> BLOCK_BITS):
+                later[block].append((rank[part], at[part]))
+
+        for first in range(0, n, PENDING):
+            enter([pairs(first + np.flatnonzero(after[first : first + PENDING] >= 0).astype(np.int32))])
+        for block, entries in enumerate(later):
+            if not entries:
                 continue
-            gone = after[at]
-            beyond = after[gone]
-            symbol[at], alive[gone], after[at] = self.result[r], False, beyond
-            inner = beyond >= 0
-            before[beyond[inner]] = at[inner]
-            enter(np.unique(np.concatenate((before[at][before[at] >= 0], at[inner]))))
-        counts = np.add.reduceat(alive.astype(np.int64), starts) if n else np.zeros(0, np.int64)
+            rank, at = (np.concatenate([e[k] for e in entries]) for k in (0, 1))
+            later[block] = []
+            lists = {r: [at[part]] for r, part in _runs(rank)}
+            active = list(lists)
+            heapq.heapify(active)
+            while active:
+                r = heapq.heappop(active)
+                own = lists.pop(r)
+                at = np.unique(np.concatenate(own) if len(own) > 1 else own[0])
+                a, b = self.left[r], self.right[r]
+                at = at[alive[at] & (symbol[at] == a)]
+                second = after[at]
+                right = (second >= 0) & (symbol[second] == b)
+                at, second = at[right], second[right]
+                if a == b and len(at) > 1:
+                    joined = np.concatenate(([False], second[:-1] == at[1:]))
+                    place = np.arange(len(at))
+                    every_other = (place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0
+                    at, second = at[every_other], second[every_other]
+                if not len(at):
+                    continue
+                beyond = after[second]
+                symbol[at], alive[second], after[at] = self.result[r], False, beyond
+                inner = at[beyond >= 0]
+                before[after[inner]] = inner
+                ahead = before[at]
+                ranks, places = pairs(np.concatenate((ahead[ahead >= 0], inner)))
+                if not len(places):
+                    continue
+                now = ranks >> BLOCK_BITS == block
+                if now.any():
+                    for r, part in _runs(ranks[now]):
+                        if r not in lists:
+                            lists[r] = []
+                            heapq.heappush(active, r)
+                        lists[r].append(places[now][part])
+                    ranks, places = ranks[~now], places[~now]
+                found.append((ranks, places))
+            if found:
+                enter(found)
+                found.clear()
+        counts = np.add.reduceat(alive, starts, dtype=np.int64) if n else np.zeros(0, np.int64)
         return symbol[alive], counts
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        if len(self.index) > REMEMBER:
-            self.forget()
-        known, index = len(self.index), self.index
-        seen, sizes = [], []
+    def distinct(self, texts: Iterable[str | None]) -> tuple[np.ndarray, list[int], pa.StringArray]:
+        """The number of each piece of all texts, how many pieces each text has, and the distinct pieces."""
+        chunks, pending, sizes = [], [], []
         for text in texts:
             pieces = self.pieces(text or "")
-            seen.append(np.fromiter((index.setdefault(p, len(index)) for p in pieces), np.int32, len(pieces)))
             sizes.append(len(pieces))
-        new = list(index)[known:]
-        if new:
-            plain = [p for p in new if p not in self.special]
-            tokens, counts = self.merge(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
-            if len(plain) < len(new):  # special tokens are their own only id
-                is_plain = np.array([p not in self.special for p in new])
-                all_counts = np.ones(len(new), np.int64)
-                all_counts[is_plain] = counts
-                all_tokens = np.array([self.special.get(p, 0) for p in new], np.int32).repeat(all_counts)
-                all_tokens[is_plain.repeat(all_counts)] = tokens
-                tokens, counts = all_tokens, all_counts
-            base = len(self.tokens)
-            self.tokens = np.concatenate((self.tokens, tokens))
-            self.starts = np.concatenate((self.starts, base + np.cumsum(counts) - counts))
-            self.counts = np.concatenate((self.counts, counts))
-        pieces = np.concatenate(seen) if seen else np.empty(0, np.int32)
-        length = self.counts[pieces]
-        ids = self.tokens[ragged(self.starts[pieces], length)]
-        ends = np.concatenate(([0], np.cumsum(length)))
-        bounds = ends[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)]
-        return ids, np.diff(bounds)
+            pending += pieces
+            if len(pending) > PENDING:
+                chunks.append(pa.array(pending, pa.string()).dictionary_encode())
+                pending = []
+        chunks.append(pa.array(pending, pa.string()).dictionary_encode())
+        whole = pa.chunked_array(chunks).unify_dictionaries()
+        return np.concatenate([c.indices.to_numpy() for c in whole.chunks]), sizes, whole.chunk(0).dictionary
+
+    def rows(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; the pieces of all are encoded before the first is laid out."""
+        numbers, sizes, pieces = self.distinct(texts)
+        special = {t: pc.index(pieces, t).as_py() for t in self.special}
+        tokens, counts = self.merge(pieces)
+        starts = np.cumsum(counts) - counts
+        for t, at in special.items():  # a special token is its own only id
+            if at >= 0:
+                starts[at], counts[at] = len(tokens), 1
+                tokens = np.append(tokens, np.int32(self.special[t]))
+        at = 0
+        for n in sizes:
+            own = numbers[at : at + n]
+            at += n
+            yield tokens[ragged(starts[own], counts[own])]
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        rows = list(self.rows(texts))
+        return np.concatenate([np.empty(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -203,19 +239,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _rows(texts: list[str | None], vocab: Vocabulary):
-    ids, counts = vocab.encode(texts)
-    at = 0
-    for n in counts.tolist():
-        yield ids[at : at + n].tolist()
-        at += n
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row."""
 
     def work(batch: pa.RecordBatch) -> list:
-        ids, counts = vocabulary(path).encode(batch.column("text").to_pylist())
+        ids, counts = vocabulary(path).encode(text.as_py() for text in batch.column("text"))
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
         return [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))]
 
@@ -238,7 +266,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def work(batch: pa.RecordBatch) -> list:
         vocab = vocabulary(path)
         n, of_ids, of_text = [], [], []
-        for ids in _rows(batch.column("text").to_pylist(), vocab):
+        for row in vocab.rows(text.as_py() for text in batch.column("text")):
+            ids = row.tolist()
             n.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(vocab.decimal.__getitem__, ids)).encode()).hexdigest())
             of_text.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())

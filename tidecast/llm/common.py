@@ -65,7 +65,7 @@ def per_document(
 
 
 #: Texts are worked on in portions of about so many bytes, so that memory follows this and not the batch.
-PORTION_BYTES = 24 << 20
+PORTION_BYTES = 12 << 20
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

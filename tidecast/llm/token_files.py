@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,13 +52,13 @@ class LibraryEncoder(Vocabulary):
         self.model = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_characters()))
 
-    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for piece in pieces:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids += [t.id for t in found]
-            counts.append(len(found))
-        return np.array(ids, np.int32), np.array(counts, np.int64)
+    def merge(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = array("i"), np.empty(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            found = self.model.tokenize(piece.as_py().encode().decode("latin-1").translate(self.letters))
+            ids.extend([t.id for t in found])
+            counts[k] = len(found)
+        return np.array(ids, np.int32), counts
 
 
 @lru_cache(maxsize=2)
@@ -74,7 +75,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
         at = 0
         for batch in batches:
             for part in portions(batch):
-                ids, counts = library_encoder(path).encode(part.column("text").to_pylist())
+                ids, counts = library_encoder(path).encode(text.as_py() for text in part.column("text"))
                 ends = np.cumsum(counts)
                 offsets = np.concatenate(([0], ends + np.arange(1, len(ends) + 1))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.insert(ids, ends, end_id).astype(np.int32)))
