@@ -64,19 +64,19 @@ def pattern_sql(strict):
   g as (select series_id, target_ds, sum(y * sc * (r + 1) / 2) / sum((r + 1) / 2) as v from tk where k <= 10 group by 1, 2)"""
 
 
-_STRICT_ROWS = """select x1.series_id, x1.target_ds, coalesce(v, overall) as yhat
+STRICT_ROWS = """select x1.series_id, x1.target_ds, coalesce(v, overall) as yhat
       from x1 left join g on g.series_id = x1.series_id and g.target_ds = x1.target_ds"""
 _WHOLE_ROWS = """select t.series_id, t.target_ds, coalesce(v, (select avg(y) from h where h.series_id = t.series_id)) as yhat
       from t left join g on g.series_id = t.series_id and g.target_ds = t.target_ds"""
 
-for _name, _strict, _rows in (("pattern_match", True, _STRICT_ROWS), ("pattern_match_whole", False, _WHOLE_ROWS)):
+for _name, _strict, _rows in (("pattern_match", True, STRICT_ROWS), ("pattern_match_whole", False, _WHOLE_ROWS)):
 
     @query(_name, long_sql([("pattern", _rows)], pattern_sql(_strict)))
     def _(spark, d, strict=_strict):
         return run(spark, d, a.pattern_match, strict=strict, panel=orders_panel)
 
 
-def _growth(source):
+def growth_sql(source):
     return f"""select series_id, target_ds, coalesce(mm * case when cy is not null and py is not null
       then least(greatest(cy / py, 0.8), 1.3) else 1.0 end, oa) as yhat from (
     select t.series_id, t.target_ds, avg(y) as oa, avg(y) filter (where year(ds) = year(target_ds)) as cy,
@@ -84,17 +84,17 @@ def _growth(source):
       avg(y) filter (where year(ds) = year(target_ds) - 1 and month(ds) = month(target_ds)) as mm from {source} group by 1, 2)"""
 
 
-@query("prev_year_trend", long_sql([("prev_year", _growth("p t"))]))
+@query("prev_year_trend", long_sql([("prev_year", growth_sql("p t"))]))
 def _(spark, d):
     return run(spark, d, a.prev_year_trend)
 
 
-@query("prev_year_trend_whole", long_sql([("prev_year", _growth("t join h on h.series_id = t.series_id"))]))
+@query("prev_year_trend_whole", long_sql([("prev_year", growth_sql("t join h on h.series_id = t.series_id"))]))
 def _(spark, d):
     return run(spark, d, a.prev_year_trend, strict=False)
 
 
-def _recent(weekday, overall):
+def recent_sql(weekday, overall):
     return f"""select o.series_id, o.target_ds, case when now is null then oa else
         coalesce(coalesce(same, wd) * least(greatest(now / oa, 0.7), 1.5), now) end as yhat
     from (select t.series_id, t.target_ds, avg(y) as oa from {overall} group by 1, 2) o
@@ -107,12 +107,12 @@ def _recent(weekday, overall):
       on w.series_id = o.series_id and w.target_ds = o.target_ds"""
 
 
-@query("recent_trend", long_sql([("trend", _recent("p t", "p t"))]))
+@query("recent_trend", long_sql([("trend", recent_sql("p t", "p t"))]))
 def _(spark, d):
     return run(spark, d, a.recent_trend)
 
 
-@query("recent_trend_whole", long_sql([("trend", _recent(*["t join h on h.series_id = t.series_id"] * 2))]))
+@query("recent_trend_whole", long_sql([("trend", recent_sql(*["t join h on h.series_id = t.series_id"] * 2))]))
 def _(spark, d):
     return run(spark, d, a.recent_trend, strict=False)
 

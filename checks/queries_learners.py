@@ -12,9 +12,10 @@ from tidecast.plans.presets import MODELS
 from tidecast.sources.history import materialise
 
 from .panels import SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
-from .queries_baselines import BASE
+from .queries_analogs import SIMILAR, STRICT_ROWS, growth_sql, pattern_sql, recent_sql
+from .queries_baselines import BASE, PAST
+from .queries_ensemble import ACC, BIAS, LEDGER, PRED, ledger, predictions
 from .queries_ensemble import MODELS as _P
-from .queries_ensemble import PRED, ledger, predictions
 from .registry import query, rounded, select_rounded
 
 H = ["series_id", "ds"]
@@ -233,7 +234,31 @@ def _(spark, d):
     return plan.forecast(h, targets(h), "enhanced", trained, plan.backtest(h))
 
 
-@query("forecast_analogs")
+# the four analog forecasts, the mean of the past where one is missing, fixed weights, the
+# bias of the ledger taken off, the band of 8 % and the score by past error
+_PATTERN = pattern_sql(True).split(PAST + ",")[1]
+_LEDGER = LEDGER.removeprefix(SUPPLIERS + ", ")
+ANALOGS = f"""{SIMILAR}, {_PATTERN}, {_LEDGER},
+  m as (select series_id, target_ds, 'similar' as model, v * least(greatest(power(1 + gr.g, year(target_ds) - yr), 0.7), 1.5) as yhat
+      from s join gr using (series_id, target_ds)
+    union all select series_id, target_ds, 'pattern', yhat from ({STRICT_ROWS})
+    union all select series_id, target_ds, 'prev_year', yhat from ({growth_sql("p t")})
+    union all select series_id, target_ds, 'trend', yhat from ({recent_sql("p t", "p t")})),
+  oa as (select series_id, target_ds, avg(y) as oa from p group by 1, 2),
+  four as (select oa.series_id, oa.target_ds, w, coalesce(m.yhat, oa) as yhat from oa
+    cross join (values ('similar', 0.35::double), ('pattern', 0.20::double), ('prev_year', 0.25::double), ('trend', 0.20::double)) n(model, w)
+    left join m on m.series_id = oa.series_id and m.target_ds = oa.target_ds and m.model = n.model),
+  bl as (select series_id, target_ds, sum(yhat * w) as stat, stddev_pop(yhat) / (avg(yhat) + 1e-8) as uncertainty from four group by 1, 2),
+  fx as (select bl.*, case when detected then -bias * 0.7::double else 0 end as correction, mae_pct from bl
+    left join ({BIAS.format(n=30)}) using (series_id) left join ({ACC}) using (series_id)),
+  x as (select series_id, target_ds, cast(trunc(stat + correction) as bigint) as final_prediction,
+    cast(trunc(greatest(0, (stat + correction) * (1 - 1.96::double * 0.08::double))) as bigint) as pred_lower,
+    cast(trunc((stat + correction) * (1 + 1.96::double * 0.08::double)) as bigint) as pred_upper,
+    case when mae_pct < 5 then 88 when mae_pct < 10 then 78 else 68 end as confidence_score, uncertainty, correction from fx)"""
+
+
+@query("forecast_analogs", select_rounded(
+    ANALOGS, "x", [*T, "final_prediction", "pred_lower", "pred_upper", "confidence_score"], ["uncertainty", "correction"]))
 def _(spark, d):
     h = materialise(supplier_panel(spark, d))
-    return plan.forecast(h, targets(h), "enhanced", ledger=ledger(spark, d))
+    return rounded(plan.forecast(h, targets(h), "enhanced", ledger=ledger(spark, d)))

@@ -1,8 +1,10 @@
 """Forecasts from similar days, similar patterns and the year before.
 
-Targets meet history per (series, slice of time), never per series: both sides are packed
-into one row per slice, so a long or hot series spreads over its slices, pairs are never
-rows, and only the best ``k`` of each slice travel on.
+Targets meet history per (series, slice of time): both sides are packed into one row per
+slice, so a long or hot series spreads over its slices, pairs are never rows, and only the
+best ``k`` of each slice travel on.  Similar days are scaled to what each target sees, so
+there a series' targets are dealt over tasks, each with the series' days, which the
+calendar bounds.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from ..functions import kernels
 from ..functions.columns import by_day, clip, one_model, week_of_month
 from .asof import asof_attach
 from .baselines import IDS, with_keys, year_means, year_to_date
-from .packed import spread
+from .packed import deal, spread
 
 # Weight of each calendar feature in the distance between two days.
 DAY_WEIGHTS = {
@@ -95,9 +97,10 @@ def similar_days(h: DataFrame, targets: DataFrame, years: int = 3, k: int = 20)
             vector(*day_features("target_ds").values()).alias("x"),
         ).alias("t"),
     ).groupBy("series_id").agg(F.collect_set("t").alias("targets"))
-    found = packed.join(asked, "series_id").select(
+    whole = packed.join(asked, "series_id").select(
         "series_id", "r.key", "r.year", "r.y", F.flatten("r.x").alias("x"), "targets"
-    ).mapInPandas(
+    )
+    found = deal(whole).mapInPandas(
         kernels.similar(k, list(DAY_WEIGHTS.values())),
         "series_id string, day int, growth double, distance double, year int, y double",
     )

@@ -8,6 +8,7 @@ series spread over the cluster by hash.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,22 @@ def deal(packed: DataFrame) -> DataFrame:
     return spread(parts, "series_id", "_first").drop("_first")
 
 
-def fit_each(h: DataFrame, targets: DataFrame, kernels_by_family: Sequence[tuple[Callable, str]]) -> DataFrame:
-    """Run kernels over the packed series that have targets, all in one pass over them;
-    forecasts in long form."""
-    packed = deal(pack(h, "y").join(pack_targets(targets), "series_id"))
-    out = packed.mapInPandas(kernels.chained(list(kernels_by_family)), FORECAST)
-    return as_predictions(out)
+def fit_each(
+    h: DataFrame, targets: DataFrame, kernels_by_family: Sequence[tuple[Callable, str]],
+    walks: Sequence[tuple[Callable, str]] = (),
+) -> DataFrame:
+    """Run kernels over the packed series that have targets; forecasts in long form.
+
+    ``kernels_by_family`` work per target, so many targets of a series are dealt over
+    tasks; ``walks`` serve all targets of a series by one walk over its days, which is
+    made once.  Both read the same packed rows."""
+    packed = pack(h, "y").join(pack_targets(targets), "series_id")
+    parts = []
+    if kernels_by_family:
+        parts.append(deal(packed).mapInPandas(kernels.chained(list(kernels_by_family)), FORECAST))
+    if walks:
+        parts.append(packed.mapInPandas(kernels.chained(list(walks)), FORECAST))
+    return as_predictions(reduce(DataFrame.unionByName, parts))
 
 
 def as_predictions(out: DataFrame) -> DataFrame:

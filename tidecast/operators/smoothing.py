@@ -36,4 +36,4 @@ def smooth_kernel(kind: str, period: int = 7) -> tuple[Callable, str]:
 def smooth(h: DataFrame, targets: DataFrame, kind: str, period: int = 7) -> DataFrame:
     """``ses``, ``holt``, ``damped``, ``hw_add`` or ``hw_mul``; history strictly before
     each target, all targets of a series served by one walk over its days."""
-    return fit_each(h, targets, [smooth_kernel(kind, period)])
+    return fit_each(h, targets, [], walks=[smooth_kernel(kind, period)])

@@ -86,14 +86,14 @@ def previous_year_part(h: DataFrame, targets: DataFrame, version: str) -> list[D
 def fitted_part(h: DataFrame, targets: DataFrame, version: str) -> list[DataFrame]:
     """Models fitted per series: one packing, all kernels over it."""
     if version == "optimized":
-        return [fit_each(h, targets, [smoothing.smooth_kernel("holt")])]
+        return [fit_each(h, targets, [], walks=[smoothing.smooth_kernel("holt")])]
     if version == "hybrid":
-        kernels = [smoothing.smooth_kernel(k) for k in ("ses", "holt", "hw_add")]
-        kernels += [lagreg.ar_kernel(((1, 1, 1), (2, 1, 2))), lagreg.seasonal_ar_kernel(lagreg.SEASONAL[:1])]
-        return [fit_each(h, targets, [*kernels, lagreg.fourier_kernel()])]
-    kernels = [smoothing.smooth_kernel(k) for k in smoothing.KINDS]
-    kernels += [lagreg.ar_kernel(), lagreg.seasonal_ar_kernel(), lagreg.fourier_kernel(), estimates.kde_kernel()]
-    parts = [fit_each(h, targets, kernels)]
+        walks = [smoothing.smooth_kernel(k) for k in ("ses", "holt", "hw_add")]
+        kernels = [lagreg.ar_kernel(((1, 1, 1), (2, 1, 2))), lagreg.seasonal_ar_kernel(lagreg.SEASONAL[:1])]
+        return [fit_each(h, targets, [*kernels, lagreg.fourier_kernel()], walks)]
+    walks = [smoothing.smooth_kernel(k) for k in smoothing.KINDS]
+    kernels = [lagreg.ar_kernel(), lagreg.seasonal_ar_kernel(), lagreg.fourier_kernel(), estimates.kde_kernel()]
+    parts = [fit_each(h, targets, kernels, walks)]
     if version == "statistical":
         parts.append(lagreg.lag_regression(h, targets))
     return parts
