@@ -5,6 +5,7 @@ from tidecast.operators import estimates, lagreg, smoothing
 from .panels import ORDERS, TARGETS, orders_panel
 from .queries_baselines import BASE, PAST, long_sql, run
 from .registry import query
+from .solve_sql import arma, fourier, lag_ridge
 
 
 def _grid(kind):
@@ -60,30 +61,52 @@ AR = f"""{BASE}, q as (select *, lag(y) over (partition by series_id, target_ds
   dd as (select *, y - x as dy, lag(y - x) over (partition by series_id, target_ds order by ds) as dx from q where n >= 30)"""
 
 
-@query("ar_first_order", long_sql([
+FIRST_ORDER = [
     ("ARIMA_100", """select series_id, target_ds, max(y) filter (where r = 1) * regr_slope(y, x) + regr_intercept(y, x) as yhat
        from dd group by 1, 2"""),
     ("ARIMA_110", """select series_id, target_ds, max(y) filter (where r = 1)
-       + max(dy) filter (where r = 1) * sum(dy * dx) / sum(case when dy is not null then dx * dx end) as yhat from dd group by 1, 2""")], AR))
+       + max(dy) filter (where r = 1) * sum(dy * dx) / sum(case when dy is not null then dx * dx end) as yhat from dd group by 1, 2""")]
+
+
+@query("ar_first_order", long_sql(FIRST_ORDER, AR))
 def _(spark, d):
     return run(spark, d, lagreg.first_order)
 
 
-@query("ar_forecast")
+PANEL = f"{ORDERS}, {TARGETS}, {PAST}"
+
+
+def models_sql(specs, ctes=PANEL, more=(), values=("yhat",)):
+    """Several fits, each (name, (CTEs, rows)), in long form."""
+    body = ",\n  ".join([ctes, *[c for _, (own, _) in specs for c in own]])
+    return long_sql([*more, *[(m, rows) for m, (_, rows) in specs]], body, values)
+
+
+# model: lags of values and of residuals
+AR_LAGS = {"ARIMA_111": ([1], [1]), "ARIMA_211": ([1, 2], [1]), "ARIMA_212": ([1, 2], [1, 2]), "ARIMA_011": ([], [1])}
+SEASONAL_LAGS = {"SARIMA_111_111": ([1, 7, 8], [1, 7, 8]), "SARIMA_111_011": ([1], [1, 7, 8]), "SARIMA_211_110": ([1, 2, 7, 8, 9], [1])}
+
+
+@query("ar_forecast", models_sql([(m, arma(m, m, 0, *ar, 30)) for m, ar in AR_LAGS.items()], AR.replace(BASE, PANEL), FIRST_ORDER))
 def _(spark, d):
     return run(spark, d, lagreg.ar_forecast, panel=orders_panel)
 
 
-@query("seasonal_ar_forecast")
+@query("seasonal_ar_forecast", models_sql([(m, arma(m, m, 7, *ar, 60)) for m, ar in SEASONAL_LAGS.items()]))
 def _(spark, d):
     return run(spark, d, lagreg.seasonal_ar_forecast, panel=orders_panel)
 
 
-@query("fourier_forecast")
+@query("fourier_forecast", models_sql([("Prophet", fourier(10, 3))], values=("yhat", "lo", "hi")))
 def _(spark, d):
     return run(spark, d, lagreg.fourier_forecast, panel=orders_panel, banded=True)
 
 
+@query("lag_ridge", models_sql([("Ridge_Regression", lag_ridge())]))
+def _(spark, d):
+    return run(spark, d, lagreg.lag_regression, kinds=("ridge",), panel=orders_panel)
+
+
 @query("lag_regression")
 def _(spark, d):
     return run(spark, d, lagreg.lag_regression, panel=orders_panel, banded=True)
