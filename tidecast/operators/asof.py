@@ -80,6 +80,34 @@ def forecast_asof(
         state |= r.state
     kept = h.select("series_id", *keys, "ds", *[c.alias(n) for n, c in state.items()])
     at = asof_attach(kept, targets.select("series_id", "target_ds", *keys), keys)
+    return _modelled(at, recipes)
+
+
+def forecast_by_keys(
+    h: DataFrame, targets: DataFrame, groups: Sequence[tuple[Sequence[str], Sequence[Recipe]]]
+) -> DataFrame:
+    """Recipes of several sets of keys in one pass: ``h`` and ``targets`` have all key
+    columns, both are put together once per series, and each set of keys takes its last
+    known day by a sort of its own within the series.  State names must differ."""
+    every = list(dict.fromkeys(k for keys, _ in groups for k in keys))
+    states = [{n: c for r in recipes for n, c in r.state.items()} for _, recipes in groups]
+    packs = [F.struct(*[c.alias(n) for n, c in s.items()]).alias(f"_state{i}") for i, s in enumerate(states)]
+    known = h.select("series_id", *every, F.col("ds").alias("_at"), F.lit(1).alias("_side"), *packs)
+    wanted = targets.select("series_id", *every, F.col("target_ds").alias("_at"), F.lit(0).alias("_side"))
+    # One exchange by series serves the windows of all keys.
+    at = wanted.unionByName(known, allowMissingColumns=True).repartition("series_id")
+    for i, (keys, _) in enumerate(groups):
+        before = Window.partitionBy("series_id", *keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        at = at.withColumn(f"_state{i}", F.last(f"_state{i}", ignorenulls=True).over(before))
+    at = at.filter(F.col("_side") == 0).select(
+        "series_id", F.col("_at").alias("target_ds"),
+        *[F.col(f"_state{i}.{n}").alias(n) for i, s in enumerate(states) for n in s],
+    )
+    return _modelled(at, [r for _, recipes in groups for r in recipes])
+
+
+def _modelled(at: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
+    """The recipes' models on the attached states, in long form."""
     if derived := {n: c for r in recipes for n, c in r.derived.items()}:
         at = at.withColumns(derived)
     rows = [

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analogs, baselines, diagnostics, ensemble, estimates, feedback, lagreg, learners, smoothing
-from ..operators.asof import Recipe, eligible_targets, forecast_asof
+from ..operators.asof import Recipe, eligible_targets, forecast_asof, forecast_by_keys
 from ..operators.features import exponential_mean
 from ..operators.packed import fit_each
 from ..session import ensure_checkpoint_dir
@@ -51,14 +51,18 @@ def window_part(h: DataFrame, targets: DataFrame, version: str) -> DataFrame:
 def seasonal_part(h: DataFrame, targets: DataFrame, version: str) -> list[DataFrame]:
     """Forecasts among days with the target's calendar keys."""
     recent = baselines.weekday_recent_recipe((4,) if version in ("hybrid", "optimized") else (4, 8))
-    weekday = [baselines.mean_so_far("Weekday_Mean", ["weekday"]), recent]
-    parts = [baselines.keyed_forecast(h, targets, ["weekday"], weekday)]
+    groups = [(["weekday"], [baselines.mean_so_far("Weekday_Mean", ["weekday"]), recent])]
     if version in ("statistical", "complete"):
-        parts += [
-            baselines.month_mean(h, targets), baselines.weekday_month_mean(h, targets),
-            baselines.week_of_month_mean(h, targets),
+        groups += [
+            (keys, [baselines.mean_so_far(model, keys)])
+            for model, keys in (
+                ("Month_Mean", ["month"]), ("Weekday_Month_Mean", ["weekday", "month"]),
+                ("WeekOfMonth_Mean", ["week_of_month"]),
+            )
         ]
-    return parts
+    keys = ["weekday"] if len(groups) == 1 else ["weekday", "month", "week_of_month"]
+    known, wanted = (baselines.with_keys(x, keys, day) for x, day in ((h, "ds"), (targets.select(*IDS), "target_ds")))
+    return [forecast_by_keys(known, wanted, groups)]
 
 
 def previous_year_part(h: DataFrame, targets: DataFrame, version: str) -> list[DataFrame]:
