@@ -108,6 +108,34 @@ def _(spark, d):
     return rounded(model.transform(rows).select(*H, "prediction"))
 
 
+# the evidence iteration on two features, one row of the recursion per round
+_M11, _M12, _M22 = "(noise * a + prior)", "(noise * b)", "(noise * c + prior)"
+_DET = f"({_M11} * {_M22} - {_M12} * {_M12})"
+EVIDENCE = f"""{LAGGED}, m as materialized (select avg(y) as my, avg(lag_1) as m1, avg(lag_7) as m7 from f),
+  s as materialized (select count(*) as n, sum((lag_1 - m1) * (lag_1 - m1)) as a, sum((lag_1 - m1) * (lag_7 - m7)) as b,
+    sum((lag_7 - m7) * (lag_7 - m7)) as c, sum((lag_1 - m1) * (y - my)) as u, sum((lag_7 - m7) * (y - my)) as v,
+    sum((y - my) * (y - my)) as sq from f, m),
+  it as (select 0 as k, null::double as w1, null::double as w7, n / sq as noise, 1.0::double as prior, false as done from s
+    union all
+    select k + 1, n1, n7, case when near then noise else (n - used + 2e-6) / (greatest(sq - 2 * (n1 * u + n7 * v)
+        + n1 * n1 * a + 2 * n1 * n7 * b + n7 * n7 * c, 0) + 2e-6) end,
+      case when near then prior else (used + 2e-6) / (n1 * n1 + n7 * n7 + 2e-6) end, near from (
+      select *, coalesce(abs(n1 - w1) + abs(n7 - w7) < 1e-3, false) as near from (
+        select it.*, s.*, noise * ({_M22} * u - {_M12} * v) / {_DET} as n1, noise * ({_M11} * v - {_M12} * u) / {_DET} as n7,
+          noise * (a * {_M22} - 2 * b * {_M12} + c * {_M11}) / {_DET} as used from it, s where not done and k < 300))),
+  fin as materialized (select it.*, {_M22} / {_DET} as c11, -{_M12} / {_DET} as c17, {_M11} / {_DET} as c77 from it, s where done),
+  x as (select series_id, ds, my + w1 * (lag_1 - m1) + w7 * (lag_7 - m7) as prediction,
+    sqrt(power(lag_1 - m1, 2) * c11 + 2 * (lag_1 - m1) * (lag_7 - m7) * c17 + power(lag_7 - m7, 2) * c77 + 1 / noise) as prediction_sd
+    from f, m, fin)"""
+
+
+@query("bayesian_ridge_two", select_rounded(EVIDENCE, "x", H, ["prediction", "prediction_sd"]))
+def _(spark, d):
+    rows = _lagged(spark, d).withColumnRenamed("raw", "features").persist()
+    out = ml.fit_model(rows, "bayesian_ridge", {}).transform(rows)
+    return rounded(out.select(*H, "prediction", "prediction_sd"))
+
+
 # three expanding folds by day; standardised on the training days, ridge by its normal equations
 CV_RIDGE = f"""{LAGGED}, dd as (select ds, row_number() over (order by ds) - 1 as i, count(*) over () as n from (select distinct ds from f)),
   fo as (select ds, case when i < n - 3 * (n // 4) then 0 else (i - (n - 3 * (n // 4))) // (n // 4) + 1 end as fold from dd),

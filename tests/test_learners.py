@@ -61,7 +61,8 @@ def test_bayesian_ridge_from_partial_grams(data):
     got = model.transform(df).select("prediction", "prediction_sd", "a", "b", "c", "d").first()
     z = np.array(got[2:])
     assert got.prediction == pytest.approx(z @ w + y.mean())
-    assert got.prediction_sd == pytest.approx(np.sqrt(z @ cov @ z + noise))
+    away = z - x.mean(axis=0)
+    assert got.prediction_sd == pytest.approx(np.sqrt(away @ cov @ away + noise))
 
 
 def test_boosting_beats_one_tree(data):

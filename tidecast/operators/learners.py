@@ -87,10 +87,12 @@ def gradient_boosting(**kw) -> GBTRegressor:
 
 class Linear:
     """A fitted linear rule over the ``features`` vector; with a covariance of the weights
-    also the predictive deviation ``prediction_sd``."""
+    also the predictive deviation ``prediction_sd``, from the distance to the ``centre`` of
+    the training rows."""
 
-    def __init__(self, weights, intercept: float, cov=None, noise: float = 0.0):
+    def __init__(self, weights, intercept: float, cov=None, noise: float = 0.0, centre=None):
         self.weights, self.intercept, self.cov, self.noise = weights, intercept, cov, noise
+        self.centre = np.zeros(len(weights)) if centre is None else centre
 
     def transform(self, df: DataFrame) -> DataFrame:
         x = vector_to_array("features")
@@ -100,6 +102,8 @@ class Linear:
         if self.cov is None:
             return out
         # One literal, which Catalyst folds: the rows of the covariance, one after the other.
+        mean = F.array(*[F.lit(float(v)) for v in self.centre])
+        x = F.zip_with(x, mean, lambda a, b: a - b)
         flat = F.split(F.lit(",".join(repr(float(v)) for v in np.ravel(self.cov))), ",").cast("array<double>")
         d = len(self.weights)
 
@@ -128,7 +132,7 @@ def bayesian_ridge(df: DataFrame) -> Linear:
     w, cov, noise, settled = kernels.bayes_ridge(gram, cross, max(g[1, 1] - ysum**2 / n, 0.0), n)
     if not settled:
         raise RuntimeError("the evidence iteration did not settle")
-    return Linear(w, float(ysum / n - w @ xsum / n), cov, float(noise))
+    return Linear(w, float(ysum / n - w @ xsum / n), cov, float(noise), xsum / n)
 
 
 class Boosted:
