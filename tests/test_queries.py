@@ -2,11 +2,15 @@
 
 import pytest
 
-from checks import ORACLES, QUERIES
+from checks import ORACLES, QUERIES, queries_learners
 from checks.compare import check, connect
+from tidecast.plans.presets import MODELS
 
 SF = "/root/testdata/sf0.001"
 
+# No test trains a preset in full: that is minutes per version.  The driver's run does.
+queries_learners.TENTH = tuple(MODELS)
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,7 +20,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     ok, note = check(spark, con, name, SF)
-    assert ok or note.startswith("0 rows"), note
+    assert ok, note
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
