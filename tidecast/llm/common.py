@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidecast.session import ensure_checkpoint_dir
 
@@ -47,10 +49,7 @@ def per_document(
     docs: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:
     """Map the Arrow batches of the named columns (cast to the given types) to those of a schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

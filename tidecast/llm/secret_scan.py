@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import per_document, portions
 
@@ -158,10 +159,7 @@ def without_spans(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The table with the secrets of column ``text`` replaced, and ``n_chars``, where it is, counted anew in
     rows that changed; every row and every other column stays."""
-    names = docs.columns
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(docs.schema)
+    names, schema = docs.columns, to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
