@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import kept
+
 BLOCK = 1 << 16
 CYCLE = 1024
 MOST_SOURCES = 256
@@ -104,7 +106,7 @@ def schedule(
         F.xxhash64("text").alias("tie"),
         F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1)).cast("long").alias("size"),
     ).withColumn("range", F.shiftrightunsigned("key", 64 - RANGE_BITS))
-    sums = rows.groupBy("number", "range").agg(F.sum("size").alias("sum"))
+    sums = kept(rows.groupBy("number", "range").agg(F.sum("size").alias("sum")))
     total = {x[0]: x[1] for x in sums.groupBy("number").agg(F.sum("sum")).collect()}
     plan = phases(dict(enumerate([*weights.values(), rest])), {i: -(-n // block) for i, n in total.items()}, cycle)
     before = sums.select(
