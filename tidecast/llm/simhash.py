@@ -39,7 +39,7 @@ from .components import connected
 SHINGLE = 3
 MOST_BITS = 3
 SEED = 42
-GROUPS = 5
+GROUPS = 6
 #: Points of a cell that are compared in one task.
 CELL = 4096
 #: Cells of so many points are compared pair by pair in one vector operation.
