@@ -19,6 +19,7 @@ from checks.panels import orders_panel, supplier_panel, table, targets
 from tidecast.operators import analogs, baselines, diagnostics, feedback, learners, smoothing
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
+from tidecast.plans.presets import MODELS
 from tidecast.session import local_session
 from tidecast.sources.history import daily_rollup, materialise
 
@@ -38,7 +39,14 @@ def nation_segment(spark, d):
 
 def cross_validation(h):
     rows = learners.assemble(pf.feature_frame(h, "complete"), pf.model_features("complete"), "drop")
-    return learners.ts_cv(rows.select("series_id", "ds", "y", "raw"), {"GBT": ("gbt", dict(maxIter=20, maxDepth=5))}, 5)
+    rows = rows.select("series_id", "ds", "y", "raw").persist()
+    return learners.ts_cv(rows, {"GBT": MODELS["complete"]["GradientBoosting"]}, 5)
+
+
+def trained(h):
+    """All fourteen models of a version, as its preset has them, and their forecasts."""
+    models = plan.train(h, "complete")
+    return plan.ml_predictions(models, h, targets(h, THIRTY))
 
 
 def jobs(spark, d):
@@ -76,9 +84,10 @@ def jobs(spark, d):
         "backtest_1000": lambda: feedback.backtest_corrected(feedback.backtest_base(h[1000])),
         "forecast_statistical_1": on(1, plan.forecast),
         "forecast_statistical_5": on(5, plan.forecast),
-        "forecast_statistical_1000": on(1000, plan.forecast, THIRTY[:6]),
-        "forecast_analogs_1000": on(1000, lambda m, t: plan.forecast(m, t, "enhanced"), THIRTY[:6]),
-        "boosted_cv_125": lambda: cross_validation(h[125]),
+        "forecast_statistical_1000": on(1000, plan.forecast),
+        "forecast_analogs_1000": on(1000, lambda m, t: plan.forecast(m, t, "enhanced")),
+        "boosted_cv_125_100_rounds": lambda: cross_validation(h[125]),
+        "train_complete_1": lambda: trained(h[1]),
     }
 
 
