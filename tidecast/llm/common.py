@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,30 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a function of this package, which the executors' Python can then import."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the executors, as ``--py-files`` would, once per application: they need no copy of
+    their own, and keep what a module remembers from task to task."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))  # copied from the driver by Spark itself
+    _SHIPPED.add(context.applicationId)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows of which no label may be learned: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -60,7 +87,7 @@ def per_document(
                     schema=out,
                 )
 
-    return docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()]).mapInArrow(run, schema)
+    return arrow_map(docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()]), run, schema)
 
 
 #: Texts are worked on in portions of about so many bytes, so that memory follows this and not the batch.

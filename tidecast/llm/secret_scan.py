@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import per_document, portions
+from .common import arrow_map, per_document, portions
 
 #: Code points between two parts that may belong together.
 SCOPE = 200
@@ -177,4 +177,4 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                     columns["n_chars"] = pa.array(sizes, schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns.values(), schema)], schema=schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

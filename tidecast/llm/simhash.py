@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, per_document
+from .common import arrow_map, kept, per_document
 from .components import connected
 
 SHINGLE = 3
@@ -187,7 +187,7 @@ def links(points: DataFrame, most_bits: int = MOST_BITS, groups: int = GROUPS, c
         a, b = _cell_links(keys, rows.column("fp").to_numpy().view(np.uint64), most_bits)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return arrow_map(dealt, work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

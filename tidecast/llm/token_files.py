@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from tidecast.session import ensure_checkpoint_dir
 
 from .bpe import Vocabulary, byte_characters
-from .common import kept, per_document, portions
+from .common import arrow_map, kept, per_document, portions
 
 #: Id after each document.
 END_ID = 0
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), seq, lists], ["doc_id", "seq", "ids"])
 
-    encoded = ordered.mapInArrow(run, "doc_id long, seq long, ids array<int>")
+    encoded = arrow_map(ordered, run, "doc_id long, seq long, ids array<int>")
     (
         encoded.write.option("compression", "zstd")
         .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_ROWS))

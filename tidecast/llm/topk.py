@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import arrow_map, kept
 
 SCALE = 1024
 #: Rows of a block of the index, and queries of a batch.
@@ -184,7 +184,7 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
     slim = pairs.select("dims", "block", "block_ids", "block_values", "batch_ids", "batch_values")
-    found = slim.mapInArrow(work, "query_id long, vec_id long, score long")
+    found = arrow_map(slim, work, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
