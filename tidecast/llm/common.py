@@ -86,6 +86,8 @@ def per_document(
                     [pa.array(a, f.type) if not isinstance(a, pa.Array) else a.cast(f.type) for a, f in zip(arrays, out)],
                     schema=out,
                 )
+            # Python workers live on beyond a task: hand back what Arrow keeps for reuse.
+            pa.default_memory_pool().release_unused()
 
     return arrow_map(docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()]), run, schema)
 
