@@ -11,6 +11,9 @@ from tidecast.llm import common, quality_model, queries, toxicity
 from tidecast.llm import quality_rules as q
 
 
+LARGER = "/root/testdata/sf0.1"
+
+
 def plain_measures(text):
     text = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
@@ -90,15 +93,14 @@ def test_held_out(spark):
 
 
 def held_out_rows(spark, got, column):
-    labels = {r.doc_id: r[column] for r in spark.read.parquet("/root/testdata/check_s/labels.parquet").collect()}
-    return [(r, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    return [(r, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
 
 
 @pytest.fixture(scope="module")
 def sample(spark):
-    """Every labelled row of the first file of a larger table, which is enough to learn from."""
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet/part-0000.parquet")
-    return docs, spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    """A larger table, which has enough labels to learn from."""
+    return tuple(spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
 
 
 def test_toxicity_on_held_out_rows(spark, sample):
