@@ -96,19 +96,19 @@ def per_document(
 PORTION_BYTES = 12 << 20
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about PORTION_BYTES; one long row is a run of its own."""
-    if batch.nbytes <= PORTION_BYTES or batch.num_rows <= 1:
+def portions(batch: pa.RecordBatch, most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of ``most`` bytes at the outside; one long row is a run of its own."""
+    if batch.nbytes <= most or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
         return
     half = batch.num_rows // 2
     for part in (batch.slice(0, half), batch.slice(half)):
         size = sum(b.nbytes for b in pa.Table.from_batches([part]).combine_chunks().columns)
-        if size <= PORTION_BYTES or part.num_rows <= 1:
+        if size <= most or part.num_rows <= 1:
             yield part
         else:
-            yield from portions(part)
+            yield from portions(part, most)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -38,6 +38,8 @@ from .common import arrow_map, kept, per_document, portions
 END_ID = 0
 #: Rows of a row group of the index; a document has some hundreds of ids.
 INDEX_ROWS = 1000
+#: Texts that are encoded at once: a larger portion has fewer distinct pretokens for its size.
+PORTION_BYTES = 24 << 20
 
 
 class LibraryEncoder(Vocabulary):
@@ -53,9 +55,14 @@ class LibraryEncoder(Vocabulary):
         self.letters = dict(enumerate(byte_characters()))
 
     def merge(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = array("i"), np.empty(len(pieces), np.int64)
-        for k, piece in enumerate(pieces):
-            found = self.model.tokenize(piece.as_py().encode().decode("latin-1").translate(self.letters))
+        ids, counts, blank = array("i"), np.empty(len(pieces), np.int64), self.letters[ord(" ")]
+        for k, piece in enumerate(pieces.to_pylist()):
+            # Printable ASCII stands for itself in the vocabulary, but for the blank.
+            if piece.isascii() and piece.isprintable():
+                letters = piece.replace(" ", blank)
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = self.model.tokenize(letters)
             ids.extend([t.id for t in found])
             counts[k] = len(found)
         return np.array(ids, np.int32), counts
@@ -74,7 +81,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, PORTION_BYTES):
                 ids, counts = library_encoder(path).encode(text.as_py() for text in part.column("text"))
                 ends = np.cumsum(counts)
                 offsets = np.concatenate(([0], ends + np.arange(1, len(ends) + 1))).astype(np.int32)
