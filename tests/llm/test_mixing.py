@@ -99,3 +99,44 @@ def test_mixed_keeps_rows_and_columns_in_order(odd, spark, tmp_path):
         place.setdefault((r.row.doc_id, r.row.text), []).append((r.slot, r.start))
     at = [place[r.doc_id, r.text] for r in got]
     assert [min(x) for x in at] == sorted(min(x) for x in at)
+
+
+def test_no_source_drifts_from_its_target_weight():
+    """Over many cycles and beyond the first source's end, against the weights themselves."""
+    from fractions import Fraction
+
+    from tidecast.llm.queries import MIX, MIX_REST
+
+    for weights, n in (
+        ([*MIX.values(), MIX_REST], [1500] + [700] * 20),
+        ([0.9997, 0.0003], [20_000, 20]),
+        ([1 / 3, 0.123456789, 0.5], [3000] * 3),
+    ):
+        first = {}
+        for s, a, b, start, slots in m.phases(dict(enumerate(weights)), dict(enumerate(n)), 64):
+            first.setdefault(start, {})[s] = [start + t for t in slots]
+            assert len(slots) == b - a
+        left = dict(enumerate(n))
+        for start, sent in sorted(first.items()):
+            exact = {s: Fraction(str(weights[s])) for s in left if left[s]}
+            total = sum(exact.values())
+            for s, slots in sent.items():
+                for k, t in enumerate(slots):
+                    due = (t - start) * exact[s] / total
+                    assert abs(k - due) < 1 and abs(k + 1 - due - exact[s] / total) < 1
+            for s, slots in sent.items():
+                left[s] -= len(slots)
+        assert not any(left.values())
+
+
+def test_periods_repeat(docs_of):
+    """A period shorter than the phase, in rows: release, slot and deadline follow from the weights."""
+    docs = docs_of(*[(i, "x", "ab"[i % 5 > 2]) for i in range(400)])
+    rows = m.schedule(docs, ["source"], {"a": 0.6, "b": 0.4}, 1.0, 1, least=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(400))
+    for r in rows:
+        if r.slot >= 390:  # one source ends, and the other begins a phase
+            continue
+        x = {"a": 3, "b": 2}[r.row.source]
+        assert (r.release, r.deadline) == (r.block * 5 // x, -(-(r.block + 1) * 5 // x))
+        assert r.release <= r.slot < r.deadline
