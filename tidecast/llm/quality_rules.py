@@ -3,9 +3,9 @@
 Every word and every pair of neighbouring words of a text falls into one of ``BUCKETS`` hash buckets.  Two
 multinomials are fitted over the buckets, one to trusted documents and one to the whole raw corpus; a
 document's score is the mean of log p_trusted / p_raw over its n-grams, and the document is kept if no base
-rule fails and the score reaches ``THRESHOLD``.  Everything is a DataFrame expression: the counting job adds
-up per task before its shuffle, so that at most ``BUCKETS`` rows leave a task; the scoring job has no
-shuffle and no state beyond one document.
+rule fails and the score reaches ``THRESHOLD``.  Everything is a DataFrame expression: an equi-join on the id
+marks all trusted documents, whatever their number; the counting job adds up per task before its shuffle, so
+that at most ``BUCKETS`` rows leave a task; the scoring job has no shuffle and no state beyond one document.
 
 Defined cases: a null or blank text has no word, all counts 0, no score (null) and is not kept; with fewer
 than five words there is no window and ``n_repeat_words`` is 0; repeated rows each give a row; a null id
@@ -26,8 +26,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 #: A kept document's least mean log-likelihood ratio.
 THRESHOLD = -0.15
-#: Trusted documents at most: the ids go to every task.
-TRUSTED_DOCS = 20_000
+#: Rows without an id, which match nothing, are dealt over so many keys of the join.
+NO_ID_KEYS = 1 << 10
 #: Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -50,17 +50,20 @@ def _buckets(h: Column) -> Column:
     return F.concat(single, pair)
 
 
-def trusted_ids(positives: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """At most ``most`` ids of trusted documents, the first by hash."""
-    ids = positives.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(positives: DataFrame) -> DataFrame:
+    """The ids of all trusted documents, each once."""
+    return positives.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, trusted): n-grams of all documents, and of the trusted ones."""
-    mark = F.broadcast(trusted.select(F.col("doc_id").alias("trusted_id")))
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        mark, F.col("doc_id") == F.col("trusted_id"), "left"
+    mark = trusted.select(F.col("doc_id").alias("trusted_id"), F.lit(0).alias("trusted_deal"))
+    # The same plan at every size: ids are dealt out with the texts, never sent to every task, and texts are not sorted.
+    deal = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NO_ID_KEYS)).cast("int")).otherwise(0)
+    flagged = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .withColumn("deal", deal)
+        .join(mark.hint("shuffle_hash"), (F.col("doc_id") == F.col("trusted_id")) & (F.col("deal") == F.col("trusted_deal")), "left")
     )
     grams = _hashed(flagged, "trusted_id").select("trusted_id", F.explode(_buckets(F.col("h"))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_id").alias("trusted"))
@@ -152,7 +155,7 @@ def good_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRES
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
-    ``trusted`` has the ids of trusted documents (``trusted_ids`` bounds them)."""
+    ``trusted`` has the ids of trusted documents, each once (as ``trusted_ids`` gives them)."""
     ratios = log_ratios(bucket_counts(docs, trusted))
     out = measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, "doc_id")
     return out.select(
