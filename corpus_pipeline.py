@@ -1,16 +1,18 @@
 """Raw documents to token ids: quality rules, near-duplicates, secrets, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
-all but the last return the columns of documents.  ``run`` writes each stage's rows as Parquet to the folder
+all but the last return the columns of documents; the last one's rows have their place in the mix.  ``run`` writes each stage's rows as Parquet to the folder
 that the executors share and reads them again, so a lost executor costs a part of one stage only.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidecast.llm import bpe, mixing, quality_rules, secret_scan, simhash
 from tidecast.llm.queries import MIX, MIX_REST, VOCABULARY, trusted
@@ -37,9 +39,28 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, MIX, MIX_REST)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``place``: a row's number, from 0, in the order of the files' names and of the rows in them, in
+    which Spark does not read them; null if the table does not come from files."""
+    if not docs.inputFiles():
+        return docs.withColumn("place", F.lit(None).cast("long"))
+    # One row per file; numbers within a name have no fixed width.
+    files = docs.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()
+    files.sort(key=lambda r: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", r["file"])])
+    before, first = 0, []
+    for r in files:
+        first.append((r["file"], before))
+        before += r["count"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(first, "place_file string, place_before long"))
+    read = docs.select(*docs.columns, F.col("_metadata.file_name").alias("place_name"), F.col("_metadata.row_index").alias("place_row"))
+    return read.join(starts, F.col("place_name") == F.col("place_file")).select(
+        *docs.columns, (F.col("place_before") + F.col("place_row")).alias("place")
+    )
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document and of the text that they decode to."""
-    return bpe.digests(docs, public_tokenizers.path(VOCABULARY))
+    """Digests of the ids of each document and of the text that they decode to, and ``place``, its number in the mix."""
+    return bpe.digests(placed(docs), public_tokenizers.path(VOCABULARY), {"place": "long"})
 
 
 STAGES = [

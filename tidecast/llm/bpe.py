@@ -260,8 +260,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return per_document(encoded, {"doc_id": "long", "ids": "array<int>"}, "doc_id long, text string", work)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded and decoded again in one pass."""
+def digests(docs: DataFrame, path: str, carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded and decoded again in one pass; then the columns
+    ``carry`` (names and types) as they are."""
+    carry = carry or {}
 
     def work(batch: pa.RecordBatch) -> list:
         vocab = vocabulary(path)
@@ -271,7 +273,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(vocab.decimal.__getitem__, ids)).encode()).hexdigest())
             of_text.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
-        return [batch.column("doc_id"), pa.array(n, pa.int64()), of_ids, of_text]
+        return [batch.column("doc_id"), pa.array(n, pa.int64()), of_ids, of_text, *[batch.column(c) for c in carry]]
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return per_document(docs, {"doc_id": "long", "text": "string"}, schema, work)
+    schema += "".join(f", `{c}` {kind}" for c, kind in carry.items())
+    return per_document(docs, {"doc_id": "long", "text": "string"} | carry, schema, work)
