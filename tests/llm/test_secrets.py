@@ -98,3 +98,15 @@ def test_redaction(docs_of, odd, spark):
     assert got[8].text is None and got[9].text == "clean"
     assert not any(plain_base(r.text) for r in got.values())
     assert s.redact(odd).count() == odd.count()
+
+
+def test_padded_identifiers_are_scanned():
+    for text in (
+        "username" + " " * 11 + "= bob\nkey AbCdEfGh1234567890ijKL",
+        "user" + " " * 15 + "= admin, AbCdEfGh1234567890ijKL",
+        "Access_Key_Id'" + " " * 500 + ": abc AbCdEfGh1234567890ijKL",
+    ):
+        base = s.strong_spans(text)
+        want = s.linked(base, s.weak_spans(text, base))
+        assert {k for *_, k in want} == {"identifier", "material"}
+        assert next(iter(s.scan(pa.array([text])))) == (base, want)

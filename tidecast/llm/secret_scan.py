@@ -57,7 +57,9 @@ ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+""", re.ASCII | r
 
 #: Texts that these do not match have no part that could be reported (linear-time engine, one pass each).
 MAY_BE_STRONG = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-MAY_BE_WEAK = r"(?i:user|login|client_?id|app_?id|account_?id|access_?key)[^\n]{0,14}[:=]"
+MAY_BE_WEAK = (
+    r"""(?i:user(?:_?name)?|login|client_?id|app_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]"""
+)
 
 Span = tuple[int, int, str]
 
