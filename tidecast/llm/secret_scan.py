@@ -52,7 +52,7 @@ IDENTIFIER = re.compile(
     r"""[A-Za-z0-9._@-]{3,}""",
     re.ASCII | re.IGNORECASE,
 )
-MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+""", re.ASCII | re.IGNORECASE)
 
 #: Texts that these do not match have no part that could be reported (linear-time engine, one pass each).
