@@ -81,3 +81,17 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.text, r.n_lines) for r in h.page_texts(pages).collect()), key=str)
     assert got == sorted([(1, "", 0), (None, "a", 1), (1, "", 0), (1, "", 0)], key=str)
     assert h.page_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("deep", [0, 149, 150, 151, 20_000])
+def test_rules_hold_at_any_depth(deep):
+    for tag in ("div", "font", "b"):
+        inner = "<div hidden>no<div>no</div></div><svg>no</svg><ul><li>x<li>y</ul><table><tr><td>1<td>2</table><pre>a  b</pre>"
+        got = h.render(f"<{tag}>" * deep + inner + f"</{tag}>" * deep + "end")
+        assert got == "- x\n- y\n\n1  2\n\na  b\n\nend"
+    # End tags of deeper elements do not end a hidden one further out.
+    assert h.render("<div hidden>" + "<div>" * deep + "</div>" * deep + "no</div>yes") == "yes"
+
+
+def test_deep_unclosed_tags_take_linear_time():
+    assert h.render("<b>" * 50_000 + "</i>" * 50_000 + "<p>x" * 1000).count("x") == 1000

@@ -8,8 +8,10 @@ walks the tree: inline text flows with collapsed blanks, blocks stand on lines o
 around paragraphs, headings, lists and tables, list items have their bullet or number and are indented,
 the cells of a table are aligned in columns, ``pre`` keeps its blanks.
 
-A page is rendered in one task.  Elements nested more than ``DEEPEST`` deep become siblings, so that neither
-depth nor memory grows without bound; a column of a table is aligned up to ``WIDEST`` characters.
+A page is rendered in one task.  Elements nest as deep as the page has them: the open ones are found by name and
+place, and the tree is walked without recursion.  A line that begins with ``FARTHEST`` blanks is moved in no
+further, so that a page's text does not grow with the square of its depth; a column of a table is aligned up to
+``WIDEST`` characters.
 
 Defined cases: null and empty pages give the empty text; unclosed and stray tags, and a ``<`` that begins no
 tag, never fail; repeated rows each give a row; all visible text is kept whole, at any length.
@@ -19,13 +21,16 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_document
 
-DEEPEST = 150
+FARTHEST = 300
 WIDEST = 80
 
 # The element names of the HTML standard that the rules speak of.
@@ -68,6 +73,7 @@ BROKEN = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>")
 UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+FAR = " " * FARTHEST
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -95,14 +101,43 @@ class Element:
         return "hidden" in a or bool(HIDING.search(a.get("style", "")))
 
 
+class Open:
+    """The open elements, outermost first, and the positions of each name and of what bounds a ``p``."""
+
+    def __init__(self, root: Element) -> None:
+        self.elements = [root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.bounds: list[int] = []
+
+    def top(self) -> Element:
+        return self.elements[-1]
+
+    def push(self, element: Element) -> None:
+        self.at[element.name].append(len(self.elements))
+        if element.name in BLOCKS or element.name in P_SCOPE:
+            self.bounds.append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, k: int) -> None:
+        """End the elements from position k on."""
+        while len(self.elements) > k:
+            self.at[self.elements.pop().name].pop()
+        while self.bounds and self.bounds[-1] >= k:
+            self.bounds.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The position of the innermost element of these names; 0, that of the root, if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+
 def tree(page: str) -> Element:
     """The element tree of a page; text is a child of type str."""
     root = Element("#root")
-    stack, at = [root], 0
+    stack, at = Open(root), 0
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            stack.top().children.append(html.unescape(s) if "&" in s else s)
 
     while True:
         start = page.find("<", at)
@@ -127,53 +162,41 @@ def tree(page: str) -> Element:
             continue
         _imply(stack, name)
         element = Element(name, m["rest"])
-        stack[-1].children.append(element)
+        stack.top().children.append(element)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
             if name == "textarea" and inner:
                 element.children.append(html.unescape(inner))
             at = end.end() if end else len(page)
-        elif name not in VOID and len(stack) < DEEPEST:
-            stack.append(element)
+        elif name not in VOID:
+            stack.push(element)
 
 
-def _close(stack: list[Element], name: str) -> None:
+def _close(stack: Open, name: str) -> None:
     """An end tag closes the nearest element of its name; a cell or table bounds what it can reach."""
     bound = () if name in ("table", "body", "html") else ("table",) if name in ("tr", "td", "th", "tbody", "thead", "tfoot") else ("td", "th", "table")
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in bound:
-            break
-    if name == "p":
-        stack[-1].children.append(Element("p"))
+    k = stack.last((name,))
+    if k and k >= stack.last(bound):
+        stack.cut(k)
+    elif name == "p":
+        stack.top().children.append(Element("p"))
 
 
-def _imply(stack: list[Element], name: str) -> None:
+def _imply(stack: Open, name: str) -> None:
     """End what the beginning element ends, and supply the row of a cell."""
-    if name in ENDS_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == "p":
-                del stack[k:]
-                break
-            if stack[k].name in P_SCOPE or stack[k].name in BLOCKS:
-                break
+    if name in ENDS_P and stack.bounds and stack.elements[stack.bounds[-1]].name == "p":
+        stack.cut(stack.bounds[-1])
     if name in CLOSES:
         ends, scope = CLOSES[name]
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in ends:
-                cut = k
-            elif stack[k].name in scope:
-                break
-        if cut is not None:
-            del stack[cut:]
-    if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot") and len(stack) < DEEPEST:
+        bound = stack.last(scope)
+        ended = [at[k] for n in ends if (at := stack.at.get(n)) and (k := bisect_right(at, bound)) < len(at)]
+        if ended:
+            stack.cut(min(ended))
+    if name in ("td", "th") and stack.top().name in ("table", "tbody", "thead", "tfoot"):
         row = Element("tr")
-        stack[-1].children.append(row)
-        stack.append(row)
+        stack.top().children.append(row)
+        stack.push(row)
 
 
 class Lines:
@@ -212,14 +235,37 @@ class Lines:
         self.gap = True
 
 
-def _lines(children: list, keep: bool = False) -> list[str]:
+#: A step of the walk: it yields the steps that it needs, is sent their results, and returns its own.
+Step = Generator
+
+
+def _walked(step: Step):
+    """The result of a step; the steps under way are a list, so depth is bounded by memory only."""
+    steps, result = [step], None
+    while steps:
+        try:
+            step = steps[-1].send(result)
+        except StopIteration as end:
+            steps.pop()
+            result = end.value
+        else:
+            steps.append(step)
+            result = None
+    return result
+
+
+def _moved(line: str, by: str) -> str:
+    return by + line if line and not line.startswith(FAR) else line
+
+
+def _lines(children: list, keep: bool = False) -> Step:
     out = Lines()
-    _flow(children, out, keep)
+    yield _flow(children, out, keep)
     out.end()
     return out.done
 
 
-def _flow(children: list, out: Lines, keep: bool) -> None:
+def _flow(children: list, out: Lines, keep: bool) -> Step:
     for child in children:
         if isinstance(child, str):
             if keep:
@@ -245,7 +291,8 @@ def _flow(children: list, out: Lines, keep: bool) -> None:
                 a = child.attributes()
                 if a.get("type", "text").lower() in ("submit", "button", "reset", "text") and a.get("value"):
                     out.write(a["value"])
-            _flow(child.children, out, keep)
+            if child.children:
+                yield _flow(child.children, out, keep)
             if name in ("button", "select", "textarea"):
                 out.blank = True
             continue
@@ -256,13 +303,13 @@ def _flow(children: list, out: Lines, keep: bool) -> None:
         if name == "hr":
             out.line("---")
         elif name == "table":
-            for line in _table(child):
+            for line in (yield _table(child)):
                 out.line(line)
         elif name in ("ul", "ol", "menu"):
-            for line in _list(child):
+            for line in (yield _list(child)):
                 out.line(line)
         elif name == "pre":
-            block = _lines(child.children, True)
+            block = yield _lines(child.children, True)
             while block and not block[0].strip():
                 block.pop(0)
             while block and not block[-1].strip():
@@ -270,12 +317,12 @@ def _flow(children: list, out: Lines, keep: bool) -> None:
             for line in block:
                 out.line(line)
         elif name in ("blockquote", "dd"):
-            for line in _lines(child.children, keep):
-                out.line("  " + line if line else "")
+            for line in (yield _lines(child.children, keep)):
+                out.line(_moved(line, "  "))
         elif name == "li":  # outside of a list
-            _item(out, "- ", _lines(child.children, keep))
+            _item(out, "- ", (yield _lines(child.children, keep)))
         else:
-            _flow(child.children, out, keep)
+            yield _flow(child.children, out, keep)
             out.end()
         if spaced:
             out.space()
@@ -283,34 +330,34 @@ def _flow(children: list, out: Lines, keep: bool) -> None:
 
 def _item(out: Lines, mark: str, lines: list[str]) -> None:
     for k, line in enumerate(lines or [""]):
-        out.line(mark + line if k == 0 else " " * len(mark) + line if line else "")
+        out.line(mark + line if k == 0 else _moved(line, " " * len(mark)))
 
 
-def _list(element: Element) -> list[str]:
+def _list(element: Element) -> Step:
     out, start = Lines(), element.attributes().get("start", "1") if element.name == "ol" else "1"
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     loose: list = []
 
-    def rest() -> None:
-        for line in _lines(loose):
-            out.line("  " + line if line else "")
+    def rest() -> Step:
+        for line in (yield _lines(loose)):
+            out.line(_moved(line, "  "))
         loose.clear()
 
     for child in element.children:
         if isinstance(child, Element) and child.name == "li":
-            rest()
+            yield rest()
             if not child.hidden():
                 mark = f"{number}. " if element.name == "ol" else "- "
-                lines = [x for x in _lines(child.children) if x]
+                lines = [x for x in (yield _lines(child.children)) if x]
                 _item(out, mark, lines)
                 number += 1
         else:
             loose.append(child)
-    rest()
+    yield rest()
     return out.done
 
 
-def _table(element: Element) -> list[str]:
+def _table(element: Element) -> Step:
     """Captions and loose content first, then the rows with their cells in columns two blanks apart."""
     rows: list[list[list[str]]] = []
     head: list[str] = []
@@ -319,7 +366,7 @@ def _table(element: Element) -> list[str]:
         child = todo.pop()
         if isinstance(child, str):
             if child.strip():
-                head += _lines([child])
+                head += yield _lines([child])
         elif child.hidden():
             continue
         elif child.name in ("thead", "tbody", "tfoot"):
@@ -329,15 +376,15 @@ def _table(element: Element) -> list[str]:
             for cell in child.children:
                 if isinstance(cell, str):
                     if cell.strip():
-                        cells.append(_lines([cell]))
+                        cells.append((yield _lines([cell])))
                 elif not cell.hidden():
-                    cells.append(_lines(cell.children if cell.name in ("td", "th") else [cell]))
+                    cells.append((yield _lines(cell.children if cell.name in ("td", "th") else [cell])))
                     span = cell.attributes().get("colspan", "1") if cell.rest else "1"
                     if cell.name in ("td", "th") and re.fullmatch(r"\d{1,4}", span):
                         cells += [[]] * (min(int(span), 100) - 1)
             rows.append(cells)
         else:
-            head += _lines([child])
+            head += yield _lines([child])
     widths: list[int] = []
     for cells in rows:
         for k, cell in enumerate(cells):
@@ -357,7 +404,7 @@ def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    lines = _lines(tree(page).children)
+    lines = _walked(_lines(tree(page).children))
     return "\n".join(line.rstrip() for line in lines).strip("\n")
 
 
