@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, topk, toxicity
+from . import bpe, html_text, mixing, quality_model, quality_rules, secret_scan, simhash, spelling, token_files, topk, toxicity
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
@@ -100,3 +100,48 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum is taken byte by byte; near words share what is left when one letter is taken out.
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE bits AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), runs AS MATERIALIZED (
+  SELECT d, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2
+), hashed AS MATERIALIZED (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(octet_length(b)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1]))) AS h
+  FROM (SELECT run, k, encode(d || ':' || run) AS b, hex(encode(d || ':' || run)) AS h FROM runs), bits
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM v)
+), near AS MATERIALIZED (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN cut b ON a.word = b.rest
+), best AS (
+  SELECT word, count(*) AS n_near, min((-other_n, other)) AS b FROM near GROUP BY 1
+), f AS MATERIALIZED (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word
+), walk AS (
+  SELECT word, word AS at FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f AS g ON g.word = walk.at WHERE g.form IS NULL
+"""
