@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, mixing, negatives, quality_model, quality_rules, secret_scan, simhash, spelling, token_files, topk, toxicity
+from . import bpe, html_text, mixing, negatives, packing, quality_model, quality_rules, secret_scan, simhash, spelling, token_files, topk, toxicity
 from .common import held_out, table
 
 #: The vocabulary file of the BPE operators.
@@ -177,3 +177,8 @@ WITH v AS MATERIALIZED (
 )
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
