@@ -219,10 +219,12 @@ class Root:
         wide = F.exists("v", lambda x: F.abs(x) > 1e15)  # their squares need no exact value: such a radius prunes nothing
         longest = rows.groupBy("dims").agg(F.max(F.when(wide, F.lit(float("inf"))).otherwise(squares)).alias("radius2"))
         self.spheres = {r.dims: Sphere(r.radius2 * (1 + 1e-12)) for r in longest.collect()}  # one row per length
-        order = W.partitionBy("dims").orderBy(F.xxhash64("id"), "key")
-        sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
+        # One row of each of SAMPLE buckets, picked before the shuffle and after it.
+        drawn = rows.groupBy("dims", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("bucket")).agg(
+            F.min(F.struct(F.xxhash64("id", "label"), "id", "key", "v")).alias("one")
+        )
         points: dict[int, list] = {}
-        for r in sample.orderBy("dims", "place").collect():
+        for r in sorted(drawn.select("dims", "bucket", "one.v").collect(), key=lambda r: (r.dims, r.bucket)):
             points.setdefault(r.dims, []).append(r.v)
         self.points = {}
         for dims, held in points.items():
