@@ -21,11 +21,10 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,15 +215,21 @@ class Stock:
         return (int(lengths[k]), int(other[k])) if total[k] else ()
 
 
+def unsigned(path: str) -> str:
+    """The type that holds every id of a vocabulary: two bytes where they suffice."""
+    return "<u2" if len(library_encoder(path).bytes) <= 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, path: str, folder: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
-    """Encode ``docs`` and cut them into pieces, written to ``folder``: (number, doc_id, piece, start, length, ids)."""
+    """Encode ``docs`` and cut them into pieces, written to ``folder``: (number, doc_id, piece, start, length, tokens),
+    the tokens as bytes of ``unsigned`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, PORTION_BYTES):
                 ids, counts = library_encoder(path).encode(text.as_py() for text in part.column("text"))
                 ends = np.cumsum(counts)
-                flat = np.insert(ids, ends, end_id).astype(np.int32)
+                flat = np.insert(ids, ends, end_id).astype(unsigned(path))
                 sizes = counts + 1
                 many = -(-sizes // room)
                 row = np.repeat(np.arange(len(sizes)), many)
@@ -233,16 +238,16 @@ def pieces(docs: DataFrame, path: str, folder: str, room: int = ROOM, end_id: in
                 over = sizes - (many - 1) * room
                 start = np.where(piece == 0, 0, over[row] + (piece - 1) * room)
                 length = np.where(piece == 0, over[row], room)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
+                offsets = (np.concatenate(([0], np.cumsum(length))) * flat.itemsize).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
-                     pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), tokens],
+                    ["doc_id", "piece", "start", "length", "tokens"],
                 )
             pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = arrow_map(texts, run, "doc_id long, piece int, start long, length long, ids array<int>")
+    cut = arrow_map(texts, run, "doc_id long, piece int, start long, length long, tokens binary")
     # Numbers are fixed once they are written.
     numbered = cut.select(F.monotonically_increasing_id().alias("number"), "*")
     numbered.write.option("compression", "zstd").parquet(folder)
@@ -314,8 +319,8 @@ def packed(lengths: DataFrame, room: int = ROOM, group: int = GROUP) -> DataFram
     return done[0]
 
 
-def pack(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset: every piece with its tokens and its place."""
+def placed(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:
+    """doc_id, piece, start, length, tokens, sequence_id, offset: every piece with its tokens, as bytes, and its place."""
     folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}"
     rows = pieces(docs, path, folder, room)
     bins = packed(rows.select("number", "length"), room, group)
@@ -326,28 +331,52 @@ def pack(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> Da
             "transform(p, (x, i) -> struct(x.number as number, aggregate(slice(p, 1, i), 0L, (s, y) -> s + y.length) as offset))"
         )).alias("at"),
     ).select("at.number", "sequence_id", "at.offset")
-    return rows.join(places, "number").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return rows.join(places, "number").select("doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset")
+
+
+PIECE = {"doc_id": "long", "piece": "int", "start": "long", "length": "long"}
+PLACE = {"sequence_id": "long", "offset": "long"}
 
 
-def sequences(placed: DataFrame) -> DataFrame:
-    """sequence_id, ids, doc_ids, offsets: the packed sequences of ``pack``, and what begins where in them."""
+def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of each piece."""
+    for tokens, n in zip(batch.column("tokens").to_pylist(), batch.column("length").to_pylist()):
+        yield np.frombuffer(tokens, f"<u{len(tokens) // n}")
+
+
+def _derived(rows: DataFrame, column: str, kind: str, made: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The pieces with a column made from their tokens in the tokens' stead."""
+
+    def work(batch: pa.RecordBatch) -> list:
+        return [*(batch.column(c) for c in PIECE), made(batch), *(batch.column(c) for c in PLACE)]
+
+    schema = ", ".join(f"{c} {t}" for c, t in (PIECE | {column: kind} | PLACE).items())
+    return per_document(rows, PIECE | {"tokens": "binary"} | PLACE, schema, work)
+
+
+def pack(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:
+    """doc_id, piece, start, length, ids, sequence_id, offset: every piece with its ids and its place."""
+
+    def ids(batch: pa.RecordBatch) -> pa.Array:
+        each = list(_tokens(batch))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each).astype(np.int32)))
+
+    return _derived(placed(docs, path, room, group), "ids", "array<int>", ids)
+
+
+def sequences(packed_rows: DataFrame) -> DataFrame:
+    """sequence_id, ids, doc_ids, offsets: the sequences of the rows of ``pack``, and what begins where in them."""
     order = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
-    return placed.groupBy("sequence_id").agg(order.alias("p")).select(
+    return packed_rows.groupBy("sequence_id").agg(order.alias("p")).select(
         "sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("offsets")
     )
 
 
-def checksums(placed: DataFrame) -> DataFrame:
-    """The pieces of ``pack`` with the CRC-32 of their ids, as little-endian unsigned numbers, in their stead."""
+def checksums(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:
+    """The packed pieces with the CRC-32 of their ids, as little-endian unsigned 32-bit numbers."""
 
-    def work(batch: pa.RecordBatch) -> list:
-        ids = batch.column("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).tolist()
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip([0, *ends], ends)]
-        return [*(batch.column(c) for c in ("doc_id", "piece", "start", "length")), pa.array(crc, pa.int64()),
-                *(batch.column(c) for c in ("sequence_id", "offset"))]
-
-    columns = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids": "array<int>", "sequence_id": "long", "offset": "long"}
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return per_document(placed, columns, schema, work)
+    def crc(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in _tokens(batch)], pa.int64())
+
+    return _derived(placed(docs, path, room, group), "ids_crc32", "long", crc)

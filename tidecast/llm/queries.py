@@ -181,4 +181,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
+    return packing.checksums(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
