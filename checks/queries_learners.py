@@ -1,6 +1,5 @@
 """Feature matrices, folds, pooled models, weights and whole forecasts."""
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -8,7 +7,6 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import learners as ml
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
-from tidecast.plans.presets import MODELS
 from tidecast.sources.history import materialise
 
 from .panels import SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
@@ -86,28 +84,60 @@ LAGGED = f"""{SUPPLIERS}, l as (select series_id, ds, y, lag(y, 1) over {_W} as
 def _(spark, d):
     rows = _lagged(spark, d)
     z = vector_to_array("features")
-    out = Pipeline(stages=[ml.scaler("standard")]).fit(rows).transform(rows)
+    out = ml.fit_scaler(rows, "standard").transform(rows)
     return rounded(out.select(*H, z[0].alias("z1"), z[1].alias("z7")))
 
 
-@query("robust_scale")
+_IQR = "(lag_{0} - quantile_cont(lag_{0}, 0.5) over ()) / (quantile_cont(lag_{0}, 0.75) over () - quantile_cont(lag_{0}, 0.25) over ())"
+
+
+@query("robust_scale", select_rounded(
+    f"{LAGGED}, x as (select series_id, ds, {_IQR.format(1)} as z1, {_IQR.format(7)} as z7 from f)", "x", H, ["z1", "z7"]))
 def _(spark, d):
     rows = _lagged(spark, d)
     z = vector_to_array("features")
-    return Pipeline(stages=[ml.scaler("robust")]).fit(rows).transform(rows).select(*H, z[0].alias("z1"), z[1].alias("z7"))
+    out = ml.fit_scaler(rows, "robust").transform(rows)
+    return rounded(out.select(*H, z[0].alias("z1"), z[1].alias("z7")))
+
 
+# sums around the means, in one row
+_SUMS = f"""{LAGGED}, m as materialized (select *, avg(y) over () as my, avg(lag_1) over () as m1, avg(lag_7) over () as m7, count(*) over () as n from f),
+  s as materialized (select max(n) as n, sum((lag_1 - m1) * (lag_1 - m1)) as a, sum((lag_1 - m1) * (lag_7 - m7)) as b,
+    sum((lag_7 - m7) * (lag_7 - m7)) as c, sum((lag_1 - m1) * (y - my)) as u, sum((lag_7 - m7) * (y - my)) as v from m)"""
 
-@query("ridge", select_rounded(f"""{LAGGED}, m as materialized (select avg(y) as my, avg(lag_1) as m1, avg(lag_7) as m7 from f),
-  s as materialized (select sum((lag_1 - m1) * (lag_1 - m1)) + 100 as a, sum((lag_1 - m1) * (lag_7 - m7)) as b,
-    sum((lag_7 - m7) * (lag_7 - m7)) + 100 as c, sum((lag_1 - m1) * (y - my)) as u, sum((lag_7 - m7) * (y - my)) as v from f, m),
-  w as materialized (select (u * c - v * b) / (a * c - b * b) as w1, (v * a - u * b) / (a * c - b * b) as w7 from s),
-  x as (select series_id, ds, my + w1 * (lag_1 - m1) + w7 * (lag_7 - m7) as prediction from f, m, w)""", "x", H, ["prediction"]))
+
+@query("ridge", select_rounded(f"""{_SUMS},
+  w as materialized (select (u * (c + 100) - v * b) / ((a + 100) * (c + 100) - b * b) as w1, (v * (a + 100) - u * b) / ((a + 100) * (c + 100) - b * b) as w7 from s),
+  x as (select series_id, ds, my + (select w1 from w) * (lag_1 - m1) + (select w7 from w) * (lag_7 - m7) as prediction from m)""", "x", H, ["prediction"]))
 def _(spark, d):
-    rows = _lagged(spark, d).withColumnRenamed("raw", "features").persist()
+    rows = _lagged(spark, d).withColumnRenamed("raw", "features")
     model = ml.fit_model(rows, "ridge", dict(alpha=100.0))
     return rounded(model.transform(rows).select(*H, "prediction"))
 
 
+def descent_sql(l1, l2):
+    """Two coordinates in turn, one row of the recursion per round, until both stand still."""
+    soft = "sign({0}) * greatest(abs({0}) - " + f"{l1!r}::double, 0)"
+    one, seven = soft.format("(u - b * w7) / n"), soft.format("(v - b * n1) / n")
+    return f"""{_SUMS}, it as (select 0 as k, 0.0::double as w1, 0.0::double as w7, false as done from s
+    union all
+    select k + 1, n1, n7, abs(n1 - w1) + abs(n7 - w7) < 1e-14 * (abs(n1) + abs(n7)) + 1e-300 from (
+      select *, {seven} / (c / n + {l2!r}::double) as n7 from (
+        select it.*, s.*, {one} / (a / n + {l2!r}::double) as n1 from it, s where not done and k < 500))),
+  w as materialized (select w1, w7 from it order by k desc limit 1),
+  x as (select series_id, ds, my + (select w1 from w) * (lag_1 - m1) + (select w7 from w) * (lag_7 - m7) as prediction from m)"""
+
+
+for _name, _settings, _l1, _l2 in (
+    ("lasso", dict(alpha=0.5), 0.5, 0.0), ("elastic_net", dict(alpha=4.0, l1_ratio=0.25), 1.0, 3.0),
+):
+
+    @query(_name, select_rounded(descent_sql(_l1, _l2), "x", H, ["prediction"]))
+    def _(spark, d, kind=_name, settings=_settings):
+        rows = _lagged(spark, d).withColumnRenamed("raw", "features")
+        return rounded(ml.fit_model(rows, kind, settings).transform(rows).select(*H, "prediction"))
+
+
 # the evidence iteration on two features, one row of the recursion per round
 _M11, _M12, _M22 = "(noise * a + prior)", "(noise * b)", "(noise * c + prior)"
 _DET = f"({_M11} * {_M22} - {_M12} * {_M12})"
@@ -131,7 +161,7 @@ EVIDENCE = f"""{LAGGED}, m as materialized (select avg(y) as my, avg(lag_1) as m
 
 @query("bayesian_ridge_two", select_rounded(EVIDENCE, "x", H, ["prediction", "prediction_sd"]))
 def _(spark, d):
-    rows = _lagged(spark, d).withColumnRenamed("raw", "features").persist()
+    rows = _lagged(spark, d).withColumnRenamed("raw", "features")
     out = ml.fit_model(rows, "bayesian_ridge", {}).transform(rows)
     return rounded(out.select(*H, "prediction", "prediction_sd"))
 
@@ -152,37 +182,25 @@ CV_RIDGE = f"""{LAGGED}, dd as (select ds, row_number() over (order by ds) - 1 a
 
 @query("ts_cv_ridge", select_rounded(CV_RIDGE, "x", ["model", "fold"], ["mae"]))
 def _(spark, d):
-    scores = ml.ts_cv(_lagged(spark, d).persist(), {"Ridge": ("ridge", dict(alpha=1.0))}, 3, "standard")
+    scores = ml.ts_cv(_lagged(spark, d), {"Ridge": ("ridge", dict(alpha=1.0))}, 3, "standard")
     return rounded(scores.withColumn("fold", F.col("fold").cast("bigint")))
 
 
-# Rounds of boosting and trees of the versions whose full presets take hours on one
-# machine are a tenth here; README has the figures.
-TENTH = ("enhanced", "hybrid")
 TRAINED: dict = {}
 
 
-def presets(version):
-    """The models of a version as its preset has them, those of ``TENTH`` with a tenth of
-    the rounds and trees."""
-    if version not in TENTH:
-        return MODELS[version]
-    sizes = ("maxIter", "numTrees", "rounds")
-    return {m: (k, {a: v // 10 if a in sizes else v for a, v in s.items()}) for m, (k, s) in MODELS[version].items()}
-
-
 def _trained(spark, d, version):
     """The history of the orders panel and the models of a version, trained once per
     session and folder."""
     key = (spark.sparkContext.applicationId, d, version)
     if key not in TRAINED:
         h = materialise(orders_panel(spark, d))
-        TRAINED[key] = h, plan.train(h, version, presets(version))
+        TRAINED[key] = h, plan.train(h, version)
     return TRAINED[key]
 
 
 for _name, _model in {
-    "lasso": "Lasso", "elastic_net": "ElasticNet", "bayesian_ridge": "BayesianRidge", "huber": "HuberRegressor",
+    "lasso_complete": "Lasso", "elastic_net_complete": "ElasticNet", "bayesian_ridge": "BayesianRidge", "huber": "HuberRegressor",
     "random_forest": "RandomForest", "extra_trees": "ExtraTrees", "gradient_boosting": "GradientBoosting",
     "adaboost_r2": "AdaBoost",
 }.items():

@@ -1,31 +1,26 @@
-"""Pooled machine-learning models over feature frames, on Spark ML.
+"""Pooled machine-learning models over feature frames.
 
-One model serves all series (their ``level`` is a feature).  Spark ML reads the training
-rows where they are; the driver holds coefficients, trees and scores only.
+One model serves all series (their ``level`` is a feature).  Training reads the rows where
+they are; the driver holds coefficients, trees and scores only.  Trees grow on one binned
+table (``trees``), linear models come from Gram sums (``linear``), both for all folds at
+once; Huber regression is Spark ML's.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..session import ensure_checkpoint_dir
+from ..functions.trees import Spec
+from . import linear, trees
 from .analogs import nearest_neighbours
 
 SEED = 42
@@ -39,50 +34,37 @@ def assemble(df: DataFrame, features: Sequence[str], nulls: str = "zero") -> Dat
     return VectorAssembler(inputCols=names, outputCol="raw").transform(filled)
 
 
-def scaler(kind: str):
-    """``robust`` centres on the median and divides by the quartile range (approximate
-    quantiles); ``standard`` uses mean and sample deviation."""
+def fit_scaler(df: DataFrame, kind: str):
+    """``robust`` centres on the median and divides by the quartile range; ``standard``
+    uses mean and sample deviation."""
     if kind == "robust":
-        return RobustScaler(inputCol="raw", outputCol="features", withCentering=True)
-    return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-
-
-def ridge(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
-    """The normal equations; Spark scales the penalty by the label's population deviation
-    ``sd`` and the row count."""
-    return LinearRegression(
-        labelCol="y", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n, solver="normal"
-    )
-
-
-def lasso(alpha: float = 0.1) -> LinearRegression:
-    return LinearRegression(labelCol="y", elasticNetParam=1.0, standardization=False, regParam=alpha, maxIter=500)
-
-
-def elastic_net(sd: float, alpha: float = 0.1, l1_ratio: float = 0.5) -> LinearRegression:
-    """Only the quadratic part of the penalty is scaled by the label's sample deviation."""
-    total = alpha * l1_ratio + alpha * (1 - l1_ratio) * sd
-    return LinearRegression(
-        labelCol="y", standardization=False, regParam=total, elasticNetParam=alpha * l1_ratio / total, maxIter=500
-    )
+        return linear.robust_scalers(df)[0]
+    return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(df)
 
 
 def huber(epsilon: float = 1.35, alpha: float = 1e-4) -> LinearRegression:
     return LinearRegression(labelCol="y", loss="huber", epsilon=epsilon, regParam=alpha, standardization=False)
 
 
-def forest(**kw) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol="y", seed=SEED, **kw)
-
-
-def extra_trees(**kw) -> RandomForestRegressor:
-    """Whole sample; split points are the best bins, as Spark has no random thresholds, so
-    a random third of the features per split is what makes the trees differ."""
-    return RandomForestRegressor(labelCol="y", seed=SEED, bootstrap=False, featureSubsetStrategy="onethird", **kw)
+#: Kinds whose models are trees.
+TREES = ("gbt", "forest", "extra_trees", "adaboost")
 
 
-def gradient_boosting(**kw) -> GBTRegressor:
-    return GBTRegressor(labelCol="y", seed=SEED, **kw)
+def tree_spec(kind: str, settings: Mapping) -> Spec:
+    """A tree model's settings as the kernel takes them."""
+    x = dict(settings)
+    seed = x.pop("seed", SEED)
+    if kind == "adaboost":
+        return Spec("median", x.pop("rounds", 50), x.pop("max_depth", 3), x.pop("rate", 1.0), 0.0, seed=seed)
+    rows = x.pop("minInstancesPerNode", 1)
+    if kind == "gbt":
+        return Spec(
+            "sum", x["maxIter"], x["maxDepth"], x["stepSize"], rows, row_share=x.get("subsamplingRate", 1.0),
+            column_share=float(x.get("featureSubsetStrategy", 1.0)), seed=seed,
+        )
+    return Spec(
+        "mean", x["numTrees"], x["maxDepth"], 1.0, rows, bootstrap=kind == "forest", random_cuts=kind == "extra_trees", seed=seed
+    )
 
 
 class Linear:
@@ -115,102 +97,26 @@ class Linear:
         return out.withColumn("prediction_sd", F.sqrt(F.greatest(spread, F.lit(0.0))))
 
 
-def bayesian_ridge(df: DataFrame) -> Linear:
-    """Bayesian ridge from one pass over the rows: every task sums its own Gram matrix,
-    the matrices are added up in a shuffle keyed by entry, and only the d x d sum (d
-    features) reaches the driver for the evidence iteration."""
-    rows = df.select(F.concat(F.array(F.lit(1.0), F.col("y")), vector_to_array("features")).alias("z"))
-    sums = rows.mapInPandas(kernels.gram_entries, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    entries = sums.collect()  # (d + 2)^2 numbers, whatever the number of rows
-    size = 1 + max(r.i for r in entries)
-    g = np.zeros((size, size))
-    for r in entries:
-        g[r.i, r.j] = r.v
-    n, ysum, xsum = g[0, 0], g[0, 1], g[0, 2:]
-    gram = g[2:, 2:] - np.outer(xsum, xsum) / n
-    cross = g[2:, 1] - xsum * ysum / n
-    w, cov, noise, settled = kernels.bayes_ridge(gram, cross, max(g[1, 1] - ysum**2 / n, 0.0), n)
-    if not settled:
-        raise RuntimeError("the evidence iteration did not settle")
-    return Linear(w, float(ysum / n - w @ xsum / n), cov, float(noise), xsum / n)
-
-
-class Boosted:
-    """Weighted median of trees (AdaBoost.R2)."""
-
-    def __init__(self, trees, weights):
-        self.trees, self.weights = trees, weights
-
-    def votes(self, df: DataFrame) -> DataFrame:
-        for i, tree in enumerate(self.trees):
-            df = tree.copy({tree.predictionCol: f"_v{i}"}).transform(df)
-        return df
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        names = [f"_v{i}" for i in range(len(self.trees))]
-        pairs = F.sort_array(F.array(*[
-            F.struct(F.col(c).alias("p"), F.lit(float(w)).alias("w")) for c, w in zip(names, self.weights)
-        ]))
-        half = sum(self.weights) / 2
-        walk = F.aggregate(
-            pairs, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p")),
-            lambda a, v: F.struct(
-                (a["s"] + v["w"]).alias("s"),
-                F.when(a["p"].isNull() & (a["s"] + v["w"] >= half), v["p"]).otherwise(a["p"]).alias("p"),
-            ),
-        )
-        return self.votes(df).withColumn("prediction", walk["p"]).drop(*names)
-
-
-def adaboost_r2(
-    df: DataFrame, rounds: int = 50, rate: float = 1.0, max_depth: int = 3, checkpoint_every: int = 10
-) -> Boosted:
-    """AdaBoost.R2 with linear loss.  Row weights follow from the errors of the trees so
-    far; every few rounds they are written to the cluster's checkpoint folder, so plans
-    stay short and a lost executor re-reads them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.select("features", "y", F.lit(1.0).alias("_w"))
-    trees, votes, recent = [], [], []
-    for _ in range(rounds):
-        rows = Boosted([t for t, *_ in recent], []).votes(base)
-        weight = F.col("_w")
-        for i, (_, beta, worst) in enumerate(recent):
-            loss = F.abs(F.col("y") - F.col(f"_v{i}")) / worst
-            weight = weight * F.pow(F.lit(beta), (1 - loss) * rate)
-        rows = rows.select("features", "y", weight.alias("_w"))
-        if len(recent) == checkpoint_every:
-            base, recent = rows.checkpoint(), []
-            rows = base
-        tree = DecisionTreeRegressor(labelCol="y", weightCol="_w", maxDepth=max_depth, seed=SEED).fit(rows)
-        seen = tree.transform(rows).withColumn("_e", F.abs(F.col("y") - F.col("prediction")))
-        got = seen.agg(F.max("_e").alias("worst"), (F.sum(F.col("_e") * F.col("_w")) / F.sum("_w")).alias("mean")).first()
-        loss = got["mean"] / got["worst"] if got["worst"] else 0.0
-        if loss <= 0 or loss >= 0.5:
-            if not trees:
-                trees, votes = [tree], [1.0]
-            break
-        beta = loss / (1 - loss)
-        trees.append(tree)
-        votes.append(math.log(1 / beta) * rate)
-        recent.append((tree, beta, got["worst"]))
-    return Boosted(trees, votes)
+def fit_linear(df: DataFrame, scale, models: Mapping[str, tuple[str, Mapping]]) -> dict[str, Linear]:
+    """Linear models on the ``features`` that ``scale`` makes of ``raw``, from one pass over the rows."""
+    if not models:
+        return {}
+    m = linear.moments(df.withColumn("fold", F.lit(0)))[0]
+    x = scale if isinstance(scale, linear.Scaler) else m.scaler()
+    return {name: Linear(*linear.solved(m, x, *spec)) for name, spec in models.items()}
 
 
 def fit_model(df: DataFrame, kind: str, settings: Mapping):
-    """Fit one model on rows with ``features`` and ``y``."""
-    if kind == "bayesian_ridge":
-        return bayesian_ridge(df)
-    if kind == "adaboost":
-        return adaboost_r2(df, **settings)
-    if kind == "ridge":
-        s = df.agg(F.count("y").alias("n"), F.stddev_pop("y").alias("sd")).first()
-        return ridge(s["n"], s["sd"] or 1.0, **settings).fit(df)
-    if kind == "elastic_net":
-        return elastic_net(df.agg(F.stddev_samp("y")).first()[0] or 1.0, **settings).fit(df)
-    if kind == "gbt":
-        ensure_checkpoint_dir(df.sparkSession)  # long boosting runs cut their lineage there
-    maker = {"lasso": lasso, "huber": huber, "forest": forest, "extra_trees": extra_trees, "gbt": gradient_boosting}
-    return maker[kind](**settings).fit(df)
+    """Fit one model on rows with ``raw``, ``features`` (scaled or not) and ``y``; trees also need
+    ``series_id`` and ``ds``."""
+    if kind in TREES:
+        return trees.fit(df, {kind: tree_spec(kind, settings)})[kind]
+    if kind in linear.KINDS:
+        plain = df.drop("raw").withColumnRenamed("features", "raw")
+        m = linear.moments(plain.withColumn("fold", F.lit(0)))[0]
+        none = linear.Scaler(np.zeros(len(m.around) - 1), np.ones(len(m.around) - 1))
+        return Linear(*linear.solved(m, none, kind, settings))
+    return huber(**settings).fit(df)
 
 
 def neighbours(train: DataFrame, wanted: DataFrame, settings: Mapping) -> DataFrame:
@@ -219,18 +125,6 @@ def neighbours(train: DataFrame, wanted: DataFrame, settings: Mapping) -> DataFr
     return nearest_neighbours(*arrays, "_x", **settings)
 
 
-#: Bytes of feature vectors that one task of a training pass should read.
-TASK_BYTES = 32 << 20
-
-
-def sized(df: DataFrame, width: int) -> DataFrame:
-    """Rows of ``width`` features in as many partitions as their bytes ask for, kept in the
-    executors: a boosting round over too many tasks is all scheduling."""
-    rows = df.persist()
-    parts = max(1, math.ceil(rows.count() * width * 8 / TASK_BYTES))
-    return rows.coalesce(parts) if parts < rows.rdd.getNumPartitions() else rows
-
-
 def fold_ids(df: DataFrame, k: int, day: str = "ds") -> DataFrame:
     """Expanding-window folds over the days of the panel: the last ``k`` blocks of
     ``days // (k + 1)`` days are test folds 1..k, everything earlier is fold 0; with no
@@ -248,27 +142,36 @@ def fold_ids(df: DataFrame, k: int, day: str = "ds") -> DataFrame:
     return df.join(days.select(day, fold.alias("fold")), day)
 
 
+def split_kinds(models: Mapping[str, tuple[str, Mapping]]) -> tuple[dict, dict, dict]:
+    """Tree models (as specs), linear ones, and all others."""
+    grown = {m: tree_spec(*spec) for m, spec in models.items() if spec[0] in TREES}
+    solved = {m: spec for m, spec in models.items() if spec[0] in linear.KINDS}
+    return grown, solved, {m: spec for m, spec in models.items() if m not in grown and m not in solved}
+
+
 def ts_cv(
     df: DataFrame, models: Mapping[str, tuple[str, Mapping]], k: int, scale: str = "robust", parallelism: int = 8
 ) -> DataFrame:
     """Scores ``(model, fold, mae)`` of expanding-window validation on rows with ``raw``,
-    ``y`` and ``ds``.  The scaler is fitted inside each fold; fits run side by side."""
-    first = df.select("raw").first()
-    if first is None:
+    ``y`` and ``ds``.  The scaler is fitted inside each fold.  All trees of all folds grow
+    together, all linear models come from one pass; what is left runs side by side."""
+    if df.isEmpty():
         raise ValueError("no rows to validate on")
     folds, kept = fold_ids(df, k).persist(), []
+    grown, solved, others = split_kinds(models)
     try:
+        if folds.where(F.col("fold") == k).isEmpty():
+            raise ValueError(f"{k} folds need more than {k} days")
+
         def prepare(fold):
             train, test = folds.filter(F.col("fold") < fold), folds.filter(F.col("fold") == fold)
-            if test.isEmpty():
-                raise ValueError(f"{k} folds need more than {k} days")
-            prep = Pipeline(stages=[scaler(scale)]).fit(train)
-            kept.append(sized(prep.transform(train), len(first["raw"])))
+            prep = fit_scaler(train, scale)
+            kept.append(prep.transform(train).persist())
             return kept[-1], prep.transform(test)
 
         def one(job):
             fold, name = job
-            kind, settings = models[name]
+            kind, settings = others[name]
             train, test = prepared[fold - 1]
             if kind == "knn":
                 asked = test.withColumnRenamed("ds", "target_ds")
@@ -281,9 +184,17 @@ def ts_cv(
             err = scored.agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"))
             return name, fold, err.first()["mae"]
 
+        together = []
+        if grown:
+            together.append(lambda: trees.validate(folds, grown, k).collect())
+        if solved:
+            together.append(lambda: linear.validate(folds, solved, k, scale).collect())
         with ThreadPoolExecutor(parallelism) as pool:
-            prepared = list(pool.map(prepare, range(1, k + 1)))
-            scores = list(pool.map(one, [(f, m) for f in range(1, k + 1) for m in models]))
+            waiting = [pool.submit(job) for job in together]
+            prepared = list(pool.map(prepare, range(1, k + 1))) if others else []
+            scores = list(pool.map(one, [(f, m) for f in range(1, k + 1) for m in others]))
+            for w in waiting:
+                scores += [(r.model, r.fold, r.mae) for r in w.result()]
     finally:
         for rows in (folds, *kept):
             rows.unpersist()
@@ -291,18 +202,19 @@ def ts_cv(
 
 
 def fit_all(df: DataFrame, models: Mapping[str, tuple[str, Mapping]], scale: str = "robust", parallelism: int = 8):
-    """Fit the scaler and every model on rows with ``raw`` and ``y``; models train side
-    by side (nearest neighbours have nothing to fit).  Returns ``(scaler, {name: model})``."""
-    prep = Pipeline(stages=[scaler(scale)]).fit(df)
-    first = df.select("raw").first()
-    rows = sized(prep.transform(df), len(first["raw"]) if first else 1)
-    jobs = [(name, *spec) for name, spec in models.items() if spec[0] != "knn"]
+    """Fit the scaler and every model on rows with ``raw`` and ``y`` (nearest neighbours have
+    nothing to fit).  Returns ``(scaler, {name: model})``."""
+    prep = fit_scaler(df, scale)
+    grown, solved, others = split_kinds(models)
+    rows = prep.transform(df).persist()
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            fitted = list(pool.map(lambda job: (job[0], fit_model(rows, *job[1:])), jobs))
+            jobs = [pool.submit(trees.fit, df, grown), pool.submit(fit_linear, df, prep, solved)]
+            jobs += [pool.submit(lambda m, spec: {m: fit_model(rows, *spec)}, m, spec) for m, spec in others.items() if spec[0] != "knn"]
+            fitted = {name: model for job in jobs for name, model in job.result().items()}
     finally:
         rows.unpersist()
-    return prep, dict(fitted)
+    return prep, {m: fitted[m] for m in models if m in fitted}
 
 
 def score(prep, models: Mapping, rows: DataFrame, floor: str = "clamp") -> DataFrame:
