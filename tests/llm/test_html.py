@@ -24,11 +24,93 @@ CASES = [
     ("</p></div>stray</table>", "stray"),
     ("<TABLE><TBODY><TR><TD>up<TABLE><TR><TD>in</TABLE><TD>x</TABLE>", "up  x\nin"),
     ("<select><option>a<option>b</select>", "a\nb"),
+    ("<p><a title=don't>Visible text</a> it's more</p><p>rest</p>", "Visible text it's more\n\nrest"),
+    ("<a href=/o'brien>Visible</a> text here … it's end", "Visible text here … it's end"),
+    ("<p a\"b c='>' =d e = \"x>y\"f>on</p>", "on"),
+    ("a<b title=\"x>y\"", "a"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>A<td rowspan=0>B<td>C<tr><td>D<td>E<tbody><tr><td>F<td>G<td>H</table>", "A  B  C\nD     E\nF  G  H"),
+    ("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C<tr><td>D<td>E<td>F</table>", "A     B\n      C\nD  E  F"),
+    ("<table><tr><td colspan=5000>A<td>B</table>", "A" + " " * 2000 + "B"),
+    ("<ul><li>x<pre>a\n\nb</pre></ul>", "- x\n  a\n\n  b"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>on</b></p>no<i>no</i></div>end", "yeson\n\nend"),
+    ("<ul><li style='visibility:hidden'>no<li>yes</ul>", "- yes"),
+    ("<div hidden><p style='visibility:visible'>no</p></div>yes", "yes"),
     ("", ""),
     (None, ""),
 ]
 
 
+def plain_tag(page, at):
+    """The end of the tag that begins at ``at`` and its attributes, by the states of the standard; None if it does not end.
+    A quoted value that is never closed is no value: the quote begins a name."""
+    at += 1 + (page[at + 1] == "/")
+    while page[at : at + 1] and page[at] not in " \t\n\r\f\v/>":
+        at += 1
+    found, name, value, state = {}, None, "", "before name"
+
+    def keep():
+        if name:
+            found.setdefault(name.lower(), value)
+
+    while at < len(page):
+        c, blank = page[at], page[at] in " \t\n\r\f\v"
+        if state == "before name":
+            if c == ">":
+                return at + 1, found
+            if not blank and c != "/":
+                name, value, state = c, "", "name"
+        elif state in ("name", "after name"):
+            if c == "=":
+                state = "before value"
+            elif c in ">/":
+                keep()
+                state = "before name"
+                at -= c == ">"
+            elif blank:
+                state = "after name"
+            elif state == "name":
+                name += c
+            else:
+                keep()
+                name, value, state = c, "", "name"
+        elif state == "before value":
+            if c in "\"'" and c in page[at + 1 :]:
+                end = page.index(c, at + 1)
+                value = page[at + 1 : end]
+                at = end
+                keep()
+                state = "before name"
+            elif c == ">" or c in "\"'":
+                keep()
+                state = "before name"
+                at -= 1
+            elif not blank:
+                value, state = c, "unquoted"
+        elif blank or c == ">":
+            keep()
+            state = "before name"
+            at -= c == ">"
+        else:
+            value += c
+        at += 1
+    return None
+
+
+def test_attributes_against_the_states_of_the_standard():
+    rng = random.Random(7)
+    bits = ["a", "b", "hidden", "'", '"', "=", " ", "/", "\n", "x>", ">", "text "]
+    for _ in range(20_000):
+        page = "<p" + rng.choice(["", " ", "/"]) + "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        want, m = plain_tag(page, 0), h.TAG.match(page)
+        if want is None:
+            assert m["unended"] is not None, page
+            continue
+        assert m["unended"] is None and m.end() == want[0], page
+        assert h.Element("p", m["rest"]).attributes() == want[1], page
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_layout(page, text):
     assert h.render(page) == text

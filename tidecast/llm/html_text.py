@@ -6,7 +6,8 @@ end tag, and tags that HTML implies are supplied (a new ``li`` ends an open ``li
 styles, the head, templates, and whatever the ``hidden`` attribute or an inline style hides.  Rendering
 walks the tree: inline text flows with collapsed blanks, blocks stand on lines of their own with a blank line
 around paragraphs, headings, lists and tables, list items have their bullet or number and are indented,
-the cells of a table are aligned in columns, ``pre`` keeps its blanks.
+the cells of a table are aligned in columns (also under a cell that spans rows), ``pre`` keeps its blanks.  What is
+visible inside of something with ``visibility: hidden`` is shown.
 
 A page is rendered in one task.  Elements nest as deep as the page has them: the open ones are found by name and
 place, and the tree is walked without recursion.  A line that begins with ``FARTHEST`` blanks is moved in no
@@ -14,7 +15,8 @@ further, so that a page's text does not grow with the square of its depth; a col
 ``WIDEST`` characters.
 
 Defined cases: null and empty pages give the empty text; unclosed and stray tags, and a ``<`` that begins no
-tag, never fail; repeated rows each give a row; all visible text is kept whole, at any length.
+tag, never fail; a quote opens an attribute's value only right after ``=`` and if it is closed again; a cell spans at most
+``MOST_COLUMNS`` columns and ``MOST_ROWS`` rows, as the standard has it; repeated rows each give a row; all visible text is kept whole, at any length.
 """
 
 from __future__ import annotations
@@ -64,41 +66,63 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.
 ENDS_P = SPACED | frozenset("address article aside center details div footer form header hgroup main nav search section".split())
 P_SCOPE = frozenset("td th caption button object body html".split())
 
+#: What follows a tag's name: blanks and slashes, and attributes.  A quote opens a value only right after "=" (and only if
+#: it is closed again); anywhere else it is part of a name or of an unquoted value.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+REST = rf"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{VALUE}?+)?+)*+"""
 TAG = re.compile(
-    r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*>)"""
-    r"""|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>)""",
+    r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*>)"
+    rf"|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{REST})(?:>|(?P<unended>\Z)))",
     re.DOTALL,
 )
-BROKEN = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>")
-UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({VALUE})?+)?+")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+#: The most columns and rows that a cell can span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 FAR = " " * FARTHEST
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("name", "rest", "children")
+    """``seen``: not under ``visibility: hidden``; ``holds``: not seen itself, but something in it is."""
+
+    __slots__ = ("name", "rest", "children", "seen", "holds")
 
     def __init__(self, name: str, rest: str = "") -> None:
-        self.name, self.rest, self.children = name, rest, []
+        self.name, self.rest, self.children, self.seen, self.holds = name, rest, [], True, False
 
     def attributes(self) -> dict[str, str]:
         found = {}
         for key, value in ATTRIBUTE.findall(self.rest):
-            found.setdefault(key.lower(), html.unescape(value.strip("\"'")))
+            found.setdefault(key.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
         return found
 
-    def hidden(self) -> bool:
-        if self.name in UNSEEN:
-            return True
+    def _may_hide(self) -> bool:
         if not self.rest or self.rest.isspace():
             return False
         low = self.rest.lower()
-        if "hidden" not in low and "style" not in low and "type" not in low:
+        return "hidden" in low or "style" in low
+
+    def visible(self, inherited: bool) -> bool:
+        """Visibility as its own style sets it, or as inherited."""
+        if not self._may_hide():
+            return inherited
+        set_to = VISIBILITY.findall(self.attributes().get("style", ""))
+        return set_to[-1].lower() == "visible" if set_to else inherited
+
+    def hidden(self) -> bool:
+        if self.name in UNSEEN or not (self.seen or self.holds):
+            return True
+        if not self._may_hide():
             return False
         a = self.attributes()
-        return "hidden" in a or bool(HIDING.search(a.get("style", "")))
+        return "hidden" in a or bool(NO_DISPLAY.search(a.get("style", "")))
+
+    def number(self, name: str, default: int) -> int:
+        """A whole number that an attribute begins with."""
+        m = re.match(r"\s*([+-]?\d{1,9})", self.attributes().get(name, "")) if self.rest else None
+        return int(m[1]) if m else default
 
 
 class Open:
@@ -112,6 +136,17 @@ class Open:
     def top(self) -> Element:
         return self.elements[-1]
 
+    def add(self, element: Element) -> None:
+        """Append to the innermost element, whose visibility it inherits."""
+        top = self.top()
+        element.seen = element.visible(top.seen)
+        top.children.append(element)
+        if element.seen and not top.seen:
+            for above in reversed(self.elements):
+                if above.seen or above.holds:
+                    break
+                above.holds = True
+
     def push(self, element: Element) -> None:
         self.at[element.name].append(len(self.elements))
         if element.name in BLOCKS or element.name in P_SCOPE:
@@ -136,7 +171,7 @@ def tree(page: str) -> Element:
     stack, at = Open(root), 0
 
     def text(s: str) -> None:
-        if s:
+        if s and stack.top().seen:
             stack.top().children.append(html.unescape(s) if "&" in s else s)
 
     while True:
@@ -145,8 +180,8 @@ def tree(page: str) -> Element:
             text(page[at:])
             return root
         text(page[at:start])
-        m = TAG.match(page, start) or BROKEN.match(page, start)
-        if m is None and UNENDED.match(page, start):  # the page ends within a tag
+        m = TAG.match(page, start)
+        if m and m["unended"] is not None:  # the page ends within a tag
             return root
         if m is None:  # a stray sign is text
             text("<")
@@ -162,11 +197,11 @@ def tree(page: str) -> Element:
             continue
         _imply(stack, name)
         element = Element(name, m["rest"])
-        stack.top().children.append(element)
+        stack.add(element)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
-            if name == "textarea" and inner:
+            if name == "textarea" and inner and element.seen:
                 element.children.append(html.unescape(inner))
             at = end.end() if end else len(page)
         elif name not in VOID:
@@ -180,7 +215,7 @@ def _close(stack: Open, name: str) -> None:
     if k and k >= stack.last(bound):
         stack.cut(k)
     elif name == "p":
-        stack.top().children.append(Element("p"))
+        stack.add(Element("p"))
 
 
 def _imply(stack: Open, name: str) -> None:
@@ -195,7 +230,7 @@ def _imply(stack: Open, name: str) -> None:
             stack.cut(min(ended))
     if name in ("td", "th") and stack.top().name in ("table", "tbody", "thead", "tfoot"):
         row = Element("tr")
-        stack.top().children.append(row)
+        stack.add(row)
         stack.push(row)
 
 
@@ -315,7 +350,7 @@ def _flow(children: list, out: Lines, keep: bool) -> Step:
             while block and not block[-1].strip():
                 block.pop()
             for line in block:
-                out.line(line)
+                out.line(line or " ")  # an empty line of its own, not a gap
         elif name in ("blockquote", "dd"):
             for line in (yield _lines(child.children, keep)):
                 out.line(_moved(line, "  "))
@@ -334,8 +369,7 @@ def _item(out: Lines, mark: str, lines: list[str]) -> None:
 
 
 def _list(element: Element) -> Step:
-    out, start = Lines(), element.attributes().get("start", "1") if element.name == "ol" else "1"
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    out, number = Lines(), element.number("start", 1)
     loose: list = []
 
     def rest() -> Step:
@@ -347,6 +381,7 @@ def _list(element: Element) -> Step:
         if isinstance(child, Element) and child.name == "li":
             yield rest()
             if not child.hidden():
+                number = child.number("value", number)
                 mark = f"{number}. " if element.name == "ol" else "- "
                 lines = [x for x in (yield _lines(child.children)) if x]
                 _item(out, mark, lines)
@@ -357,32 +392,53 @@ def _list(element: Element) -> Step:
     return out.done
 
 
+#: Marks the end of a section among a table's children.
+SECTION = Element("#section")
+
+
 def _table(element: Element) -> Step:
     """Captions and loose content first, then the rows with their cells in columns two blanks apart."""
     rows: list[list[list[str]]] = []
     head: list[str] = []
     todo = list(reversed(element.children))
+    reach: dict[int, int] = {}  # columns that cells of rows above still span, and for how many rows
     while todo:
         child = todo.pop()
         if isinstance(child, str):
             if child.strip():
                 head += yield _lines([child])
+        elif child is SECTION:
+            reach = {}
         elif child.hidden():
             continue
         elif child.name in ("thead", "tbody", "tfoot"):
-            todo += reversed(child.children)
+            # Cells do not span beyond their section.
+            reach = {}
+            todo += [SECTION, *reversed(child.children)]
         elif child.name == "tr":
             cells: list[list[str]] = []
+            below: dict[int, int] = {}
             for cell in child.children:
                 if isinstance(cell, str):
-                    if cell.strip():
-                        cells.append((yield _lines([cell])))
-                elif not cell.hidden():
-                    cells.append((yield _lines(cell.children if cell.name in ("td", "th") else [cell])))
-                    span = cell.attributes().get("colspan", "1") if cell.rest else "1"
-                    if cell.name in ("td", "th") and re.fullmatch(r"\d{1,4}", span):
-                        cells += [[]] * (min(int(span), 100) - 1)
+                    if not cell.strip():
+                        continue
+                    lines, wide, high = (yield _lines([cell])), 1, 1
+                elif cell.hidden():
+                    continue
+                elif cell.name in ("td", "th"):
+                    lines = yield _lines(cell.children)
+                    wide = min(max(cell.number("colspan", 1), 1), MOST_COLUMNS)
+                    high = min(cell.number("rowspan", 1), MOST_ROWS)
+                    high = MOST_ROWS if high == 0 else max(high, 1)
+                else:
+                    lines, wide, high = (yield _lines([cell])), 1, 1
+                while reach.get(len(cells), 0):
+                    cells.append([])
+                if high > 1:
+                    below |= {len(cells) + k: high - 1 for k in range(wide)}
+                cells += [lines] + [[]] * (wide - 1)
             rows.append(cells)
+            reach = {k: n - 1 for k, n in reach.items() if n > 1} | below
         else:
             head += yield _lines([child])
     widths: list[int] = []
