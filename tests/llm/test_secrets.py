@@ -55,6 +55,9 @@ TRICKY = [
     (5, "user=bob at https://db.example.com/x key AbCdEfGh1234567890ijKL and nothing else"),
     (6, "key AbCdEfGh1234567890ijKL and https://db.example.com/x"),
     (7, "user=bob" + " word" * 200 + " AbCdEfGh1234567890ijKL"),
+    (8, "my_user_name = bob123 key AbCdEfGh1234567890ijKL"),
+    (9, "aws_access_key_id: AKXXbob key AbCdEfGh1234567890ijKL"),
+    (10, "xuser = bob123 key AbCdEfGh1234567890ijKL"),
 ]
 
 
@@ -65,6 +68,8 @@ def test_odd_and_tricky_rows(spark, odd, odd_rows, no_docs, docs_of):
     linked = {r.doc_id: r.n_linked for r in got}
     # A name, a key and an address in one scope; no name; the name out of scope.
     assert (linked[5], linked[6], linked[7]) == (3, 0, 0)
+    # Names with a prefix are names; a longer word is none.
+    assert (linked[8], linked[9], linked[10]) == (2, 2, 0)
     assert s.secrets(no_docs).count() == 0
 
 

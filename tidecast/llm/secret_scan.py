@@ -48,7 +48,7 @@ LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 
 # Weak parts.
 IDENTIFIER = re.compile(
-    r"""\b(?:user(?:_?name)?|login|client_?id|app_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?"""
+    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]++[_-])*?(?:user(?:_?name)?|login|client_?id|app_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?"""
     r"""[A-Za-z0-9._@-]{3,}""",
     re.ASCII | re.IGNORECASE,
 )
