@@ -11,12 +11,13 @@ def plain(rows, asked, k):
     def whole(v):
         if v is None or any(x is None or not np.isfinite(x) for x in v):
             return None
-        return tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)
+        return tuple(1024 * int(np.float32(x)) if abs(x) > 1e12 else int(np.floor(1024 * float(np.float32(x)))) for x in v)
 
     held = sorted({(i, whole(v)) for i, v in rows if i is not None and whole(v) is not None})
     out = []
     for i, q in sorted({(i, whole(v)) for i, v in asked if i is not None and whole(v) is not None}):
-        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in held if j != i and len(v) == len(q))
+        scores = [(sum(a * b for a, b in zip(q, v)), j) for j, v in held if j != i and len(v) == len(q)]
+        scores = sorted((-min(max(x, -(1 << 63)), (1 << 63) - 1), j) for x, j in scores)
         out += [(i, n, j, -x) for n, (x, j) in enumerate(scores[:k], 1)]
     return out
 
@@ -35,6 +36,17 @@ def test_against_all_pairs(spark, block, batch):
     assert sorted(map(tuple, got.collect())) == sorted(plain(rows, asked, 10))
 
 
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(-3, 3)).tolist()) for i in range(60)]
+    rows += [(60 + i, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(5, 10)).tolist()) for i in range(25)]
+    rows += [(90, [1e30, 0.0, 1.0, -1e20]), (91, [-1e30, 3.0, 0.0, 1e25]), (92, [float(1 << 20), 0.5, 0.25, 0.0]), (90, [1e30, 0.0, 1.0, -1e20])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    asked = [r for r in rows if r[0] % 5 == 0]
+    got = topk.top_k(table, table.where("vec_id % 5 = 0"), 10, block=16, batch=4)
+    assert sorted(map(tuple, got.collect())) == sorted(plain(rows, asked, 10))
+
+
 def test_boundary_rows_cover_the_best():
     rng = np.random.default_rng(6)
     for n, dims in ((1, 3), (63, 4), (64, 4), (65, 9), (500, 16), (40, 0)):

@@ -45,21 +45,21 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 SLACK = 1e-6
 
 
-def floors(x: np.ndarray) -> np.ndarray:
-    """SCALE * x rounded down: whole numbers, as doubles."""
+def floors(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """scale * x rounded down: whole numbers, as doubles."""
     with np.errstate(over="ignore"):
-        return np.floor(SCALE * x)
+        return np.floor(scale * x)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def products(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """Inner products of the floors of all rows of a and of b, exact, held within a long."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    bound = a.shape[1] * (SCALE * float(np.abs(a).max()) + 1) * (SCALE * float(np.abs(b).max()) + 1)
+    bound = a.shape[1] * (scale * float(np.abs(a).max()) + 1) * (scale * float(np.abs(b).max()) + 1)
     if bound < 2**53:
-        return (floors(a) @ floors(b).T).astype(np.int64)
+        return (floors(a, scale) @ floors(b, scale).T).astype(np.int64)
     # From 2^53 on a double is a whole number.
-    whole = np.vectorize(lambda x: int(x) * SCALE if abs(x) >= 2**53 else int(np.floor(SCALE * x)), otypes=[object])
+    whole = np.vectorize(lambda x: int(x) * scale if abs(x) >= 2**53 else int(np.floor(scale * x)), otypes=[object])
     exact = whole(a) @ whole(b).T
     return np.vectorize(lambda x: min(max(x, LEAST), MOST), otypes=[np.int64])(exact)
 

@@ -13,8 +13,11 @@ Scale.  Blocks and batches have a set size, each pair of them is a row of an equ
 pair at a time.  Of a pair at most k rows per query leave the task; a window limit keeps k per query before
 and after the shuffle.  Blocks grow in number, not in size.
 
-Defined cases: vectors that are null or hold null, NaN, infinite or enormous components (2^20 or more) take
-no part; rows that repeat an id and vector count once; rows of one id with other vectors are rows of their own,
+Vectors with a component of ``WIDE`` or more, for which slices would be deep, stand beside the index: they are
+scored against all queries, and such queries against all rows, block by block in exact whole numbers.
+
+Defined cases: vectors that are null or hold null, NaN or infinite components take no part; scores beyond a long are held
+at its ends; rows that repeat an id and vector count once; rows of one id with other vectors are rows of their own,
 and a query never meets rows of its id; vectors of another length than the query's take no part in its
 result; ties go to the smaller id; null ids take no part.
 """
@@ -30,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, kept
+from .negatives import products
 
 SCALE = 1024
 #: Rows of a block of the index, and queries of a batch.
@@ -38,7 +42,8 @@ BLOCK, BATCH = 8192, 256
 DROP = 3
 #: Queries that are added at once, which bounds the memory of the sums.
 AT_ONCE = 64
-LARGEST = float(1 << 20)
+#: From here on a component is scored beside the index.
+WIDE = float(1 << 20)
 
 
 class Block:
@@ -126,13 +131,21 @@ class Block:
             yield i, self.ids[at][order], score[order]
 
 
-def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, v): the vectors that take part, as whole numbers; repeated rows once."""
+def sound(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, v, wide, dims): the vectors that take part, with doubles, and whether they stand beside the index."""
     v = F.col(f"`{vector_column}`").cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
-    whole = F.transform(v, lambda x: F.floor(x * SCALE).cast("long"))
-    taken = vectors.where(v.isNotNull() & sound & F.col(f"`{id_column}`").isNotNull())
-    return taken.select(F.col(f"`{id_column}`").cast("long").alias("id"), whole.alias("v")).distinct()
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    taken = vectors.where(v.isNotNull() & finite & F.col(f"`{id_column}`").isNotNull())
+    return taken.select(
+        F.col(f"`{id_column}`").cast("long").alias("id"), v.alias("v"), F.exists(v, lambda x: F.abs(x) >= WIDE).alias("wide"),
+        F.size(v).alias("dims"),
+    )
+
+
+def quantised(rows: DataFrame) -> DataFrame:
+    """The rows of the index, as whole numbers; repeated ones once."""
+    whole = F.transform("v", lambda x: F.floor(x * SCALE).cast("long"))
+    return rows.where("not wide").select("id", whole.alias("v"), "dims").distinct()
 
 
 def _dealt(rows: DataFrame, size: int, seed: int, name: str) -> DataFrame:
@@ -146,13 +159,51 @@ def _dealt(rows: DataFrame, size: int, seed: int, name: str) -> DataFrame:
     )
 
 
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _beside(every: DataFrame, asked: DataFrame, k: int, block: int, batch: int) -> list[DataFrame]:
+    """The k best rows of each block for the pairs of which the index has one side or none: all queries against wide
+    rows, and wide queries against the others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            for i in range(data.num_rows):
+                def column(name: str) -> np.ndarray:
+                    return data.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023
+
+                ids, query_ids, dims = column("block_ids"), column("batch_ids"), data.column("dims")[i].as_py()
+                values, weights = column("block_values").reshape(len(ids), dims), column("batch_values").reshape(len(query_ids), dims)
+                for a in range(0, len(query_ids), AT_ONCE):
+                    for q, score in zip(query_ids[a : a + AT_ONCE], products(weights[a : a + AT_ONCE], values, SCALE)):
+                        at = np.flatnonzero(ids != q)
+                        # ~ turns the order round, without overflow.
+                        at = at[np.lexsort((ids[at], ~score[at]))][:k]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), q)), pa.array(ids[at]), pa.array(score[at])], ["query_id", "vec_id", "score"]
+                        )
+
+    wide = every.where("wide")
+    if wide.isEmpty() and asked.where("wide").isEmpty():
+        return []
+    out = []
+    for queries, rows in ((asked, wide), (asked.where("wide"), every.where("not wide"))):
+        pick = ("id", "v", "dims")
+        blocks = _dealt(rows.select(*pick).distinct(), block, 1, "block").drop("parts")
+        pairs = _dealt(queries.select(*pick).distinct(), batch, 2, "batch").drop("parts").join(blocks, "dims")
+        slim = pairs.select("dims", "block_ids", "block_values", "batch_ids", "batch_values")
+        out.append(arrow_map(slim, work, FOUND))
+    return out
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding",
     block: int = BLOCK, batch: int = BATCH,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest integer inner product."""
-    rows = kept(quantised(vectors, id_column, vector_column).withColumn("dims", F.size("v")))
-    asked = quantised(queries, id_column, vector_column).withColumn("dims", F.size("v"))
+    every, all_asked = sound(vectors, id_column, vector_column), sound(queries, id_column, vector_column)
+    rows = kept(quantised(every))
+    asked = quantised(all_asked)
     index = kept(_dealt(rows, block, 1, "block"))
     blocks = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     batches = _dealt(asked, batch, 2, "batch").drop("parts").join(blocks, "dims")
@@ -184,7 +235,9 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
     slim = pairs.select("dims", "block", "block_ids", "block_values", "batch_ids", "batch_values")
-    found = arrow_map(slim, work, "query_id long, vec_id long, score long")
+    found = arrow_map(slim, work, FOUND)
+    for more in _beside(every, all_asked, k, block, batch):
+        found = found.unionByName(more)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
