@@ -4,12 +4,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidecast.functions.columns import by_day
+from tidecast.functions.trees import Spec
 from tidecast.operators import learners as ml
+from tidecast.operators import trees
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
 from tidecast.sources.history import materialise
 
-from .panels import SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
+from .panels import ORDERS, SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
 from .queries_analogs import SIMILAR, STRICT_ROWS, growth_sql, pattern_sql, recent_sql
 from .queries_baselines import BASE, PAST
 from .queries_ensemble import ACC, BIAS, LEDGER, PRED, ledger, predictions
@@ -186,6 +188,74 @@ def _(spark, d):
     return rounded(scores.withColumn("fold", F.col("fold").cast("bigint")))
 
 
+# stumps on two lags of the orders panel: the cut points are quantiles of the columns, the best one lessens the squared
+# error most (ties to the first column, then to the lowest cut)
+_PANEL = f"""{ORDERS}, l as (select series_id, ds, y, lag(y, 1) over {_W} as lag_1, lag(y, 7) over {_W} as lag_7 from h),
+  f as materialized (select * from l where lag_7 is not null),
+  cuts as materialized (select distinct c, v from (
+    select 1 as c, unnest(quantile_disc(lag_1, [{', '.join(f'{i}/32' for i in range(1, 32))}])) as v from f
+    union all select 7, unnest(quantile_disc(lag_7, [{', '.join(f'{i}/32' for i in range(1, 32))}])) from f))"""
+
+
+def stump_sql(name, source, target):
+    """The best cut ``name`` of a target and what either side says, ``name``_p per row of ``source``."""
+    return f"""{name}_n as materialized (select c, v, count(*) filter (where (case c when 1 then lag_1 else lag_7 end) <= v) as n,
+      sum({target}) filter (where (case c when 1 then lag_1 else lag_7 end) <= v) as s, count(*) as n_all, sum({target}) as s_all
+    from {source} cross join cuts group by 1, 2),
+  {name} as materialized (select c, v, s / n as low, (s_all - s) / (n_all - n) as high from {name}_n where n > 0 and n < n_all
+    order by round(s * s / n + (s_all - s) * (s_all - s) / (n_all - n), 4) desc, c, v limit 1),
+  {name}_p as materialized (select q.*, case when (case k.c when 1 then lag_1 else lag_7 end) <= k.v then low else high end as {name}_said
+    from {source} q cross join {name} k)"""
+
+
+def _panel_lags(spark, d):
+    frame = pf.feature_frame(orders_panel(spark, d), "optimized")
+    return ml.assemble(frame.select(*H, "y", "lag_1", "lag_7"), ["lag_1", "lag_7"], "drop")
+
+
+@query("tree_stump", select_rounded(f"""{_PANEL}, {stump_sql("one", "f", "y")},
+  x as (select series_id, ds, one_said as prediction from one_p)""", "x", H, ["prediction"]))
+def _(spark, d):
+    rows = _panel_lags(spark, d)
+    model = trees.fit(rows, {"stump": Spec("mean", 1, 1)})["stump"]
+    return rounded(model.transform(rows).select(*H, "prediction"))
+
+
+@query("boosted_stumps", select_rounded(f"""{_PANEL}, a as materialized (select *, avg(y) over () as start from f),
+  {stump_sql("one", "a", "(y - start)")}, {stump_sql("two", "one_p", "(y - start - 0.5::double * one_said)")},
+  x as (select series_id, ds, start + 0.5::double * (one_said + two_said) as prediction from two_p)""", "x", H, ["prediction"]))
+def _(spark, d):
+    rows = _panel_lags(spark, d)
+    model = trees.fit(rows, {"two": Spec("sum", 2, 1, 0.5)}, task_bytes=0)["two"]
+    return rounded(model.transform(rows).select(*H, "prediction"))
+
+
+# two rounds of AdaBoost.R2: rows weigh more the worse the first stump fits them; the weighted median of two votes is
+# that of the larger one, or of the lesser value if they are equal
+def _weighted(name, source, weight):
+    return f"""{name}_n as materialized (select c, v, sum({weight}) filter (where (case c when 1 then lag_1 else lag_7 end) <= v) as n,
+      sum({weight} * y) filter (where (case c when 1 then lag_1 else lag_7 end) <= v) as s, sum({weight}) as n_all, sum({weight} * y) as s_all
+    from {source} cross join cuts group by 1, 2),
+  {name} as materialized (select c, v, s / n as low, (s_all - s) / (n_all - n) as high from {name}_n where n > 0 and n < n_all
+    order by round(s * s / n + (s_all - s) * (s_all - s) / (n_all - n), 4) desc, c, v limit 1),
+  {name}_p as materialized (select q.*, case when (case k.c when 1 then lag_1 else lag_7 end) <= k.v then low else high end as {name}_said
+    from {source} q cross join {name} k),
+  {name}_e as materialized (select *, abs(y - {name}_said) as {name}_err, max(abs(y - {name}_said)) over () as {name}_worst from {name}_p),
+  {name}_l as materialized (select *, sum({weight} * {name}_err / {name}_worst) over () / sum({weight}) over () as {name}_loss from {name}_e)"""
+
+
+@query("adaboost_two_rounds", select_rounded(f"""{_PANEL}, {_weighted("one", "f", "1.0::double")},
+  w as materialized (select *, power(one_loss / (1 - one_loss), 1 - one_err / one_worst) as weight from one_l),
+  {_weighted("two", "w", "weight")},
+  x as (select series_id, ds, case when ln((1 - one_loss) / one_loss) > ln((1 - two_loss) / two_loss) then one_said
+    when ln((1 - one_loss) / one_loss) < ln((1 - two_loss) / two_loss) then two_said else least(one_said, two_said) end as prediction from two_l)""",
+    "x", H, ["prediction"]))
+def _(spark, d):
+    rows = _panel_lags(spark, d)
+    model = trees.fit(rows, {"two": Spec("median", 2, 1, 1.0, 0.0)}, task_bytes=0)["two"]
+    return rounded(model.transform(rows).select(*H, "prediction"))
+
+
 TRAINED: dict = {}
 
 

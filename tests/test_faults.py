@@ -26,8 +26,45 @@ def test_the_tenth_run_is_newer_than_the_ninth(spark, tmp_path):
     # a repeated older run has newer predictions
     store.append_ledger(record(spark, 99).drop("prediction_timestamp"), path, "run-9")
     assert [r.final_prediction for r in store.read_ledger(spark, path).collect()] == [99.0]
-    plan_text = store.read_ledger(spark, path)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_id" in plan_text
+    assert store.runs(spark, path) == ["run-9", "run-10"]
+    # One run's folder is read, of the three that were written.
+    assert len({f.rsplit("/", 1)[0] for f in store.read_ledger(spark, path).inputFiles()}) == 1
+    assert len(list((tmp_path / "l" / "runs").glob("*/*"))) == 3
+
+
+def test_a_killed_write_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "l")
+    store.append_ledger(record(spark, 1), path, "run-1")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_record", killed)
+        for run in ("run-1", "run-2"):
+            with pytest.raises(KeyboardInterrupt):
+                store.append_ledger(record(spark, 2, dt.datetime(2025, 1, 1)), path, run)
+    assert store.runs(spark, path) == ["run-1"] and store.read_ledger(spark, path).first().final_prediction == 1.0
+    assert store.read_ledger(spark, path, "run-2").count() == 0
+    store.append_ledger(record(spark, 2), path, "run-1")
+    assert [r.final_prediction for r in store.read_ledger(spark, path, "run-1").collect()] == [2.0]
+
+
+def test_trimming_keeps_the_newest_runs(spark, tmp_path):
+    path = str(tmp_path / "l")
+    for k in range(5):
+        store.append_ledger(record(spark, k, dt.datetime(2024, 1, 1 + k)), path, f"a/b {k}")
+    store.append_ledger(record(spark, 44, dt.datetime(2024, 1, 5)), path, "a/b 4")
+    held = store.read_ledger(spark, path)
+    store.trim_ledger(spark, path, 2)
+    assert store.runs(spark, path) == ["a/b 4", "a/b 3"] and held.first().final_prediction == 44.0
+    assert len(list((tmp_path / "l" / "runs").glob("*/*"))) == 6  # within the grace
+    store.trim_ledger(spark, path, 2, grace_hours=-1)
+    assert len(list((tmp_path / "l" / "runs").glob("*/*"))) == 2
+    assert len(list((tmp_path / "l" / "_commits").glob("*.json"))) == 1
+    assert store.runs(spark, path) == ["a/b 4", "a/b 3"] and store.read_ledger(spark, path, "a/b 3").first().final_prediction == 3.0
+    store.trim_ledger(spark, str(tmp_path / "none"), 2)
+    assert store.runs(spark, str(tmp_path / "none")) == []
 
 
 def test_runs_of_one_instant_go_by_their_number(spark, tmp_path):

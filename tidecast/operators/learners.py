@@ -9,7 +9,6 @@ once; Huber regression is Spark ML's.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.trees import Spec
 from . import linear, trees
 from .analogs import nearest_neighbours
+from .scheduling import side_by_side
 
 SEED = 42
 
@@ -172,7 +172,7 @@ def ts_cv(
         def one(job):
             fold, name = job
             kind, settings = others[name]
-            train, test = prepared[fold - 1]
+            train, test = prepared[fold]
             if kind == "knn":
                 asked = test.withColumnRenamed("ds", "target_ds")
                 found = neighbours(train, asked, settings)
@@ -184,17 +184,14 @@ def ts_cv(
             err = scored.agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"))
             return name, fold, err.first()["mae"]
 
-        together = []
-        if grown:
-            together.append(lambda: trees.validate(folds, grown, k).collect())
+        spark, every = df.sparkSession, range(1, k + 1)
+        prepared = side_by_side(spark, {f: lambda f=f: prepare(f) for f in every} if others else {}, parallelism)
+        work = {f"{m}-{f}": lambda job=(f, m): [one(job)] for f in every for m in others}
         if solved:
-            together.append(lambda: linear.validate(folds, solved, k, scale).collect())
-        with ThreadPoolExecutor(parallelism) as pool:
-            waiting = [pool.submit(job) for job in together]
-            prepared = list(pool.map(prepare, range(1, k + 1))) if others else []
-            scores = list(pool.map(one, [(f, m) for f in range(1, k + 1) for m in others]))
-            for w in waiting:
-                scores += [(r.model, r.fold, r.mae) for r in w.result()]
+            work["linear"] = lambda: linear.validate(folds, solved, k, scale).collect()
+        if grown:
+            work["trees"] = lambda: trees.validate(folds, grown, k).collect()
+        scores = [tuple(row) for rows in side_by_side(spark, work, parallelism).values() for row in rows]
     finally:
         for rows in (folds, *kept):
             rows.unpersist()
@@ -208,10 +205,9 @@ def fit_all(df: DataFrame, models: Mapping[str, tuple[str, Mapping]], scale: str
     grown, solved, others = split_kinds(models)
     rows = prep.transform(df).persist()
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            jobs = [pool.submit(trees.fit, df, grown), pool.submit(fit_linear, df, prep, solved)]
-            jobs += [pool.submit(lambda m, spec: {m: fit_model(rows, *spec)}, m, spec) for m, spec in others.items() if spec[0] != "knn"]
-            fitted = {name: model for job in jobs for name, model in job.result().items()}
+        work = {m: lambda m=m, spec=spec: {m: fit_model(rows, *spec)} for m, spec in others.items() if spec[0] != "knn"}
+        work |= {"linear": lambda: fit_linear(df, prep, solved), "trees": lambda: trees.fit(df, grown)}
+        fitted = {m: model for got in side_by_side(df.sparkSession, work, parallelism).values() for m, model in got.items()}
     finally:
         rows.unpersist()
     return prep, {m: fitted[m] for m in models if m in fitted}

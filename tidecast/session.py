@@ -14,6 +14,7 @@ def local_session(cores: str | int = "*", name: str = "tidecast") -> SparkSessio
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TIDECAST_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

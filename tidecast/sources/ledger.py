@@ -1,14 +1,21 @@
-"""The forecast ledger: a Parquet table partitioned by run.
+"""The forecast ledger: one folder of Parquet files per write of a run, and a catalogue of commits.
 
-Writing a run twice (a retried job) replaces that run and touches no other, and readers
-take the run of the newest predictions unless they name one, so a repeated back-test is
-not counted twice.
+A write puts its rows into a folder of its own and then adds a commit record, which alone makes them visible: a
+write that was killed leaves nothing to read, and writing a run again (a retried job) replaces it in one step.  Readers
+look up the run of the newest predictions, unless they name one, in the catalogue, one small record per write, and
+read that run's folder only.  ``trim_ledger`` keeps the newest runs, merges the records of the catalogue and
+removes the folders that no reader can reach.
 """
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of a ledger record.
@@ -35,33 +42,89 @@ def as_ledger(df: DataFrame, run_id: str) -> DataFrame:
     return df.select(*out)
 
 
-def append_ledger(df: DataFrame, path: str, run_id: str) -> None:
-    """Write the records of one run."""
-    (
-        as_ledger(df, run_id).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-    )
-
+COMMIT_SCHEMA = "run_id string, folder string, at bigint, rows bigint, committed bigint"
 
-def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """One run of a ledger, read from its own partition; empty if nothing is there.
 
-    Without a name it is the run with the newest prediction timestamp; of runs made in
-    the same instant the one whose name comes last, numbers in names by their value."""
+def _commits(spark: SparkSession, path: str) -> list[Row]:
+    """The commit that holds for each run, the newest run first: by its latest prediction, then by its name, numbers in
+    names by their value."""
     try:
-        every = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+        every = spark.read.schema(COMMIT_SCHEMA).json(f"{path}/_commits").collect()  # one small record per write
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return []
+    last: dict[str, Row] = {}
+    for c in sorted(every, key=lambda c: (c.committed, c.folder)):
+        last[c.run_id] = c
+
+    def order(c: Row):
+        number = re.search(r"([0-9]{1,18})$", c.run_id)
+        return (c.at is not None, c.at or 0, int(number[1]) if number else -1, c.run_id)
+
+    return sorted(last.values(), key=order, reverse=True)
+
+
+def _record(spark: SparkSession, path: str, commits: list[tuple]) -> None:
+    # Spark moves finished files into the folder, so that a record is there as a whole or not at all.
+    spark.createDataFrame(commits, COMMIT_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/_commits")
+
+
+def _folder(path: str, run_id: str, folder: str) -> str:
+    return f"{path}/runs/{quote(run_id, safe='')}/{folder}"
+
+
+def append_ledger(df: DataFrame, path: str, run_id: str) -> None:
+    """Write the records of one run and commit them."""
+    spark, folder = df.sparkSession, uuid.uuid4().hex
+    here = _folder(path, run_id, folder)
+    as_ledger(df, run_id).write.parquet(here)
+    written = spark.read.schema(LEDGER_SCHEMA).parquet(here)
+    got = written.agg(F.unix_micros(F.max("prediction_timestamp")).alias("at"), F.count(F.lit(1)).alias("rows")).first()
+    _record(spark, path, [(run_id, folder, got["at"], got["rows"], time.time_ns())])
+
+
+def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """One committed run of a ledger, the newest if none is named, read from its own folder; empty if there is none."""
+    commit = next((c for c in _commits(spark, path) if run_id in (None, c.run_id)), None)
+    if commit is None:
         return spark.createDataFrame([], LEDGER_SCHEMA)
-    if run_id is None:
-        number = F.try_to_number(F.regexp_extract("run_id", "([0-9]+)$", 1), F.lit("9" * 18))
-        runs = every.groupBy("run_id").agg(F.max("prediction_timestamp").alias("at"))
-        newest = runs.orderBy(F.desc_nulls_last("at"), F.desc_nulls_last(number), F.desc("run_id")).first()
-        if newest is None:
-            return every
-        run_id = newest["run_id"]
-    return every.filter(F.col("run_id") == run_id)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(_folder(path, commit.run_id, commit.folder))
+
+
+def runs(spark: SparkSession, path: str) -> list[str]:
+    """The names of the committed runs, the newest first."""
+    return [c.run_id for c in _commits(spark, path)]
+
+
+def trim_ledger(spark: SparkSession, path: str, keep: int, grace_hours: float = 24.0) -> None:
+    """Keep the newest ``keep`` runs, with one file of records, and remove all other folders.
+
+    Folders without a commit may belong to a write that is under way: they go once they are older than
+    ``grace_hours``, as do those that a reader may just have looked up."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def below(folder: str) -> list:
+        at = hadoop(folder)
+        return list(files.listStatus(at)) if files.exists(at) else []
+
+    old = [s.getPath() for s in below(f"{path}/_commits")]
+    kept = _commits(spark, path)[:keep]
+    if kept:
+        # First the merged records, then the old ones go: a record that is there twice does no harm.
+        _record(spark, path, [tuple(c) for c in kept])
+    for p in old:
+        files.delete(p, False)
+    reachable = {(quote(c.run_id, safe=""), c.folder) for c in kept}
+    before = (time.time() - grace_hours * 3600) * 1000
+    for run in below(f"{path}/runs"):
+        for s in below(run.getPath().toString()):
+            name = run.getPath().getName(), s.getPath().getName()
+            if name not in reachable and s.getModificationTime() <= before:
+                files.delete(s.getPath(), True)
+        if not below(run.getPath().toString()):
+            files.delete(run.getPath(), True)
 
 
 def with_actuals(ledger: DataFrame, h: DataFrame) -> DataFrame:
