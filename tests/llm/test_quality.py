@@ -174,3 +174,103 @@ def test_every_trusted_document_counts(spark):
     labels = spark.range(n).select(F.col("id").alias("doc_id"))
     got = q.bucket_counts(docs, q.trusted_ids(labels.union(labels))).collect()
     assert (sum(r.raw for r in got), sum(r.trusted for r in got)) == (n + 150, n)
+
+
+def small_network(rng):
+    """A toxicity network in doubles over 30 words, and texts of it as both embedding rows of each word."""
+    net = toxicity.Network(np.arange(1, 31, dtype=np.uint32), 3)
+    net.rows, net.out, net.base = (x.astype(float) for x in (net.rows, net.out, net.base + 0.3))
+    net.filters, net.bias = [f.astype(float) for f in net.filters], [b + rng.normal(0, 0.1, len(b)) for b in net.bias]
+    texts = [rng.integers(0, 31, (n, 2)).astype(np.int32) for n in (1, 2, 3, 9, 40, 0)]
+    return net, texts
+
+
+def plain_logit(net, text):
+    """One text, place by place: the sum of both rows of each word, every filter at every place, the largest, the output."""
+    gap = max(toxicity.WIDTHS) - 1
+    words = [net.rows[a] + net.rows[b] for a, b in text] or [np.zeros(toxicity.DIMS)]
+    held = words + [np.zeros(toxicity.DIMS)] * gap
+    out, at = net.base[0], 0
+    for filters, bias in zip(net.filters, net.bias):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(held[p + o] @ filters[o][:, f] for o in range(len(filters))) for p in range(len(words)))
+            out += max(best + bias[f], 0) * net.out[at]
+            at += 1
+    return out
+
+
+def test_toxicity_forward_pass_by_hand():
+    rng = np.random.default_rng(1)
+    net, texts = small_network(rng)
+    pairs = rng.integers(1, 31, (12, 2)).astype(np.uint32)  # buckets of the words 1 to 12
+    numbered = [rng.integers(1, 13, n).astype(np.int32) for n in (1, 2, 3, 9, 40)]
+    got = net.logits(pairs, numbered)
+    want = [plain_logit(net, net.lookup(pairs[t - 1].ravel()).reshape(-1, 2)) for t in numbered]
+    np.testing.assert_allclose(got, want, rtol=1e-4)
+
+
+def test_toxicity_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    net, texts = small_network(rng)
+    labels = np.array([1, 0, 1, 0, 1, 0.0])
+    index, starts = toxicity.laid_out(texts)
+
+    def loss():
+        z = np.array([plain_logit(net, t) for t in texts])
+        decay = sum((p * p).sum() for p in (*net.filters, net.out)) * toxicity.DECAY / 2
+        return (np.logaddexp(0, z) - labels * z).mean() + decay
+
+    for k, grad, at in toxicity.gradients(net, index, starts, labels):
+        param, whole = net.params()[k], np.zeros_like(net.params()[k])
+        whole[at] = grad
+        for place in rng.choice(param.size, min(param.size, 25), replace=False):
+            where = np.unravel_index(place, param.shape)
+            if k == 0 and where[0] == 0:
+                continue  # the row of unknown words stays zero
+            had = param[where]
+            param[where] = had + 1e-6
+            up = loss()
+            param[where] = had - 1e-6
+            down = loss()
+            param[where] = had
+            assert whole[where] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_quality_forward_pass_and_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    for prior in (None, 0.3, 1.2):
+        net = quality_model.Network(np.zeros(quality_model.FEATURES), np.ones(quality_model.FEATURES), 4)
+        p, u = rng.normal(0.5, 1, (20, quality_model.FEATURES)), rng.normal(-0.2, 1, (30, quality_model.FEATURES))
+        if prior == 1.2:
+            net.params[3] += 4  # the negative part falls below zero
+        w, b, v, c = net.params
+
+        def plain(rows):
+            return np.array([sum(np.tanh(sum(x * w[i, h] for i, x in enumerate(row)) + b[h]) * v[h] for h in range(len(b))) + c[0] for row in rows])
+
+        np.testing.assert_allclose(net.logits(p), plain(np.clip(p, -6, 6)), rtol=1e-9)
+        p, u = net.scaled(p), net.scaled(u)
+
+        def risk():
+            zp, zu = (np.tanh(x @ w + b) @ v + c[0] for x in (p, u))
+            plus, minus, of_u = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zp).mean(), np.logaddexp(0, zu).mean()
+            decay = quality_model.DECAY / 2 * ((w * w).sum() + (v * v).sum())
+            if prior is None:
+                return plus + of_u + decay
+            part = of_u - prior * minus
+            return (prior * plus + part if part >= 0 else -quality_model.TURN_BACK * part) + decay
+
+        x = np.concatenate((p, u))
+        z = np.tanh(x @ w + b) @ v + c[0]
+        if prior:
+            assert (np.logaddexp(0, z[20:]).mean() < prior * np.logaddexp(0, z[:20]).mean()) == (prior > 1)
+        for param, grad in zip(net.params, net.gradients(x, quality_model.pull(z[:20], z[20:], prior))):
+            for place in rng.choice(param.size, min(param.size, 20), replace=False):
+                where = np.unravel_index(place, param.shape)
+                had = param[where]
+                param[where] = had + 1e-6
+                up = risk()
+                param[where] = had - 1e-6
+                down = risk()
+                param[where] = had
+                assert grad[where] == pytest.approx((up - down) / 2e-6, abs=1e-7)

@@ -127,14 +127,17 @@ class Network:
         w, b, v, c = self.params
         return np.tanh(self.scaled(x) @ w + b) @ v + c[0]
 
-    def step(self, x: np.ndarray, back: np.ndarray, rate: float) -> None:
-        """One step against the gradient ``back`` of the risk in the logits of scaled rows ``x``."""
+    def gradients(self, x: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+        """Of a risk with the gradient ``back`` in the logits of scaled rows ``x``, and of the decay."""
         w, b, v, c = self.params
         h = np.tanh(x @ w + b)
         inner = np.outer(back, v) * (1 - h * h)
-        grads = [x.T @ inner + DECAY * w, inner.sum(axis=0), h.T @ back + DECAY * v, np.array([back.sum()])]
+        return [x.T @ inner + DECAY * w, inner.sum(axis=0), h.T @ back + DECAY * v, np.array([back.sum()])]
+
+    def step(self, x: np.ndarray, back: np.ndarray, rate: float) -> None:
+        """One step of Adam against the gradient."""
         self.steps += 1
-        for p, g, m, s in zip(self.params, grads, self.first, self.second):
+        for p, g, m, s in zip(self.params, self.gradients(x, back), self.first, self.second):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             p -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + 1e-8)
@@ -144,6 +147,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def pull(zp: np.ndarray, zu: np.ndarray, prior: float | None) -> np.ndarray:
+    """The gradient of the risk in the logits of positives and of unlabelled rows.  Where the negative part of the
+    non-negative risk is below zero it is that part's, turned round."""
+    toward, away = (_sigmoid(zp) - 1) / len(zp), _sigmoid(zp) / len(zp)  # of loss(+) and loss(-) on positives
+    of_u = _sigmoid(zu) / len(zu)
+    if prior is None:
+        return np.concatenate((toward, of_u))
+    if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+        return np.concatenate((prior * (toward - away), of_u))
+    return TURN_BACK * np.concatenate((prior * away, -of_u))
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5) -> Network:
     """With a prior the non-negative risk, without one positives against unlabelled rows."""
     net = Network(unlabelled.mean(axis=0), unlabelled.std(axis=0), seed)
@@ -156,16 +171,7 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed
         z = np.tanh(x @ w + b) @ v + c[0]
         zp, zu = z[:BATCH], z[BATCH:]
         rate = RATE * (1 - k / STEPS)
-        toward, away = (_sigmoid(zp) - 1) / BATCH, _sigmoid(zp) / BATCH  # of loss(+) and loss(-) on positives
-        of_u = _sigmoid(zu) / BATCH
-        if prior is None:
-            net.step(x, np.concatenate((toward, of_u)), rate)
-            continue
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            net.step(x, np.concatenate((prior * (toward - away), of_u)), rate)
-        else:
-            net.step(x, TURN_BACK * np.concatenate((prior * away, -of_u)), rate)
+        net.step(x, pull(zp, zu, prior), rate)
     return net
 
 
