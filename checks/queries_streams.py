@@ -64,7 +64,10 @@ def _(spark, d):
                               "error_pct", "bias_correction_applied", "run_id"))
 
 
-@query("ledger_actuals", select_rounded(f"""{LEDGER}, x as (select led.series_id, led.seq, prediction_date, final_prediction,
+_STORED = LEDGER.replace("h as (", "h as materialized (", 1).replace("led as (", "led as materialized (", 1)
+
+
+@query("ledger_actuals", select_rounded(f"""{_STORED}, x as (select led.series_id, led.seq, prediction_date, final_prediction,
   h.y as actual_value, final_prediction - h.y as error, (final_prediction - h.y) / h.y * 100 as error_pct
   from led join h on h.series_id = led.series_id and h.ds = prediction_date)""", "x",
   ["series_id", "seq", "prediction_date"], ["final_prediction", "actual_value", "error", "error_pct"]))
