@@ -105,3 +105,15 @@ def _(spark, d):
     base = materialise(backtest_base(orders_panel(spark, d)).select("series_id", "ds", "base", "y"))
     parts = [base.where(F.year("ds") < 2000), base.where(F.year("ds") == 2000), base.where(F.year("ds") > 2000)]
     return rounded(_drain(_folder(spark, "bias"), parts, stream.running_bias, "append").drop("batch"))
+
+
+# days shuffled over three deliveries, up to 20 days late; those that the last watermark has passed are out
+@query("stream_bias_in_order", select_rounded(CORRECTED.replace("x as (select series_id, ds as prediction_date", "x0 as (select series_id, ds as prediction_date")
+    + ", x as (select series_id, ds, base, y, correction from wk where ds < (select max(ds) from wk) - interval 30 day)",
+    "x", ["series_id", "ds"], ["base", "y", "correction"]))
+def _(spark, d):
+    base = materialise(backtest_base(orders_panel(spark, d)).select("series_id", "ds", "base", "y"))
+    come = F.date_add("ds", F.pmod(F.hash("series_id", "ds"), F.lit(20)).cast("int"))
+    parts = [base.where(F.year(come) < 2000), base.where(F.year(come) == 2000), base.where(F.year(come) > 2000)]
+    in_order = lambda rows: stream.running_bias_in_order(rows, "30 days")
+    return rounded(_drain(_folder(spark, "ordered"), [p.orderBy(F.hash("ds", "y")) for p in parts], in_order, "append").drop("batch"))

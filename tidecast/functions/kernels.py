@@ -6,6 +6,7 @@ some series as arrays (at most one value per calendar day) and returns plain row
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Callable, Iterator
 
@@ -552,3 +553,42 @@ def running_correction(memory: int, floor: float, rate: float) -> Callable:
         yield rows.assign(series_id=key[0], correction=fixes)[["series_id", "ds", "base", "y", "correction"]]
 
     return update
+
+
+def ordered_correction(memory: int, floor: float, rate: float, idle_ms: int) -> Callable:
+    """The walk in order of event time: days wait in the state, sorted, until the watermark has passed their end.
+    A series without days for ``idle_ms`` after its last one leaves the state."""
+    day_ms = 86_400_000
+
+    def update(key, batches, state):
+        errors, days, bases, ys, last = ([*x] if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get) if state.exists else ([], [], [], [], 0)
+        waiting = list(zip(days, bases, ys))
+        for rows in batches:
+            at = (pd.to_datetime(rows.ds) - pd.Timestamp(0)) // pd.Timedelta(days=1)
+            waiting += zip(at.astype(int).tolist(), rows.base.tolist(), rows.y.tolist())
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        due = sum((day + 1) * day_ms <= mark for day, _, _ in waiting)
+        out = []
+        for day, base, y in waiting[:due]:
+            held = np.full((1, memory), np.nan)
+            held[0, : len(errors)] = errors
+            fix = float(bias_step(held, np.array([len(errors)]), floor, rate)[0])
+            errors = [*errors, base + fix - y][-memory:]
+            out.append((key[0], dt.date.fromordinal(EPOCH + day), base, y, fix))
+        waiting = waiting[due:]
+        last = max([last, *(day for day, _, _ in waiting), *((d.toordinal() - EPOCH) for _, d, *_ in out)])
+        end = (waiting[0][0] + 1) * day_ms if waiting else (last + 1) * day_ms + idle_ms
+        if not waiting and end <= mark:
+            state.remove()
+        else:
+            state.update((errors, *([w[i] for w in waiting] for i in range(3)), last))
+            state.setTimeoutTimestamp(max(end, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["series_id", "ds", "base", "y", "correction"])
+
+    return update
+
+
+#: The day that Spark counts from.
+EPOCH = dt.date(1970, 1, 1).toordinal()

@@ -60,3 +60,18 @@ def running_bias(actuals: DataFrame) -> DataFrame:
         "series_id string, ds date, base double, y double, correction double",
         "errors array<double>", "append", "NoTimeout",
     )
+
+
+def running_bias_in_order(actuals: DataFrame, lateness: str = "7 days", idle_days: int = 400) -> DataFrame:
+    """Corrected forecasts of ``(series_id, ds, base, y)`` whose days may come in any order: the batch answer.
+
+    A day waits until the watermark, ``lateness`` behind the newest day of the stream, has passed its end; then the days of
+    its series are folded in order.  Days that come later still are dropped.  State is the last errors and the
+    waiting days of a series, at most ``lateness`` of them; it leaves after ``idle_days`` without one."""
+    # Whole days as instants in UTC, whatever the session's zone.
+    marked = actuals.withColumn("at", F.timestamp_seconds(F.unix_date("ds") * 86400)).withWatermark("at", lateness)
+    return marked.groupBy("series_id").applyInPandasWithState(
+        kernels.ordered_correction(MEMORY, FLOOR, RATE, idle_days * 86_400_000),
+        "series_id string, ds date, base double, y double, correction double",
+        "errors array<double>, days array<long>, bases array<double>, ys array<double>, last long", "append", "EventTimeTimeout",
+    )
