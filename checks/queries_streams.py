@@ -9,6 +9,7 @@ from tidecast.operators.ensemble import noon_ratio
 from tidecast.operators.feedback import backtest_base
 from tidecast.session import ensure_checkpoint_dir
 from tidecast.sources import ledger as store
+from tidecast.sources.deliveries import deliver, read_deliveries
 from tidecast.sources.history import materialise
 from tidecast.streaming import stream
 
@@ -117,3 +118,17 @@ def _(spark, d):
     parts = [base.where(F.year(come) < 2000), base.where(F.year(come) == 2000), base.where(F.year(come) > 2000)]
     in_order = lambda rows: stream.running_bias_in_order(rows, "30 days")
     return rounded(_drain(_folder(spark, "ordered"), [p.orderBy(F.hash("ds", "y")) for p in parts], in_order, "append").drop("batch"))
+
+
+# the history after three deliveries by year, every seventh order of the first years late by one
+@query("delivered_history", """select o_orderpriority as series_id, cast(o_orderdate as date) as ds,
+  cast(sum(floor(o_totalprice / 1000)) as double) as y,
+  cast(coalesce(sum(floor(o_totalprice / 1000)) filter (where hour(o_orderdate) < 12), 0) as double) as partial_y from orders group by 1, 2""")
+def _(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    part = F.when(F.year("o_orderdate") < 1997, 0).when(F.year("o_orderdate") < 2000, 1).otherwise(2)
+    part = F.least(part + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0), F.lit(2))
+    path = _folder(spark, "delivered")
+    for k in range(3):
+        deliver(orders.where(part == k), path, f"part-{k}", "o_orderdate", ["o_orderpriority"], F.floor(F.col("o_totalprice") / 1000), buckets=2)
+    return read_deliveries(spark, path)
