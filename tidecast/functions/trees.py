@@ -8,9 +8,14 @@ row, column or node, so it does not depend on how rows are dealt.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
+
+# Ship what this module holds with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 32
 #: Cells (node, column, bin) and rows that are worked on at once.

@@ -8,10 +8,12 @@ and elastic net are solved by coordinate descent on the matrix.  One more pass s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from .quantiles import exact_quantiles
 
+# Ship what this module holds with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KINDS = ("ridge", "lasso", "elastic_net", "bayesian_ridge")
 
 

@@ -8,14 +8,19 @@ rank.  A task sends at most one count per distinct value of its own; one row per
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ship what this module holds with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bits fixed by each pass.
 PASSES = (22, 21, 21)
 SIGN = np.uint64(1 << 63)

@@ -17,12 +17,14 @@ Both ways grow the same trees (up to the order of additions), as sampling is by
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from ..functions import trees as kernel
 from ..functions.trees import BINS, Ensemble, Growth, Spec, Splits
 from ..session import ensure_checkpoint_dir
 
+# Ship what this module holds with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes of binned rows that one task may hold whole.
 TASK_BYTES = 32 << 20
 #: Trees of a forest that a task (or a job) grows.
@@ -182,7 +187,7 @@ def _in_tasks(rows: DataFrame, fits: Sequence[Fit], edges: np.ndarray, tested: b
                 )
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([fit.model]), pa.array([fit.first], pa.int32()), pa.array([pickle.dumps(ensemble)], pa.binary())],
+                    [pa.array([fit.model]), pa.array([fit.first], pa.int32()), pa.array([pickle.dumps(packed(ensemble))], pa.binary())],
                     ["model", "part", "blob"],
                 )
 
@@ -191,6 +196,16 @@ def _in_tasks(rows: DataFrame, fits: Sequence[Fit], edges: np.ndarray, tested: b
     return copies.mapInArrow(run, "model string, part int, blob binary")
 
 
+def packed(e: Ensemble) -> tuple:
+    """An ensemble as numbers and arrays only."""
+    return e.start, e.votes, [(t.column, t.cut, t.left, t.value) for t in e.trees]
+
+
+def unpacked(spec: Spec, blob: bytes) -> Ensemble:
+    start, votes, trees = pickle.loads(blob)
+    return Ensemble(spec, start, [kernel.Tree(*t) for t in trees], votes)
+
+
 def joined(parts: Sequence[Ensemble]) -> Ensemble:
     """One ensemble of the groups of a forest."""
     first = parts[0]
@@ -425,7 +440,7 @@ def fit(df: DataFrame, models: Mapping[str, Spec], task_bytes: int = TASK_BYTES)
     try:
         fits = planned(models, [1])
         if fits_one_task(rows, len(edges), task_bytes):
-            got = [(r.model, r.part, pickle.loads(r.blob)) for r in _in_tasks(rows, fits, edges, False).collect()]
+            got = [(r.model, r.part, unpacked(models[r.model], r.blob)) for r in _in_tasks(rows, fits, edges, False).collect()]
         else:
             _by_levels(rows, fits, edges)
             got = [(f.model, f.first, Ensemble(f.spec, f.start, f.trees, f.votes)) for f in fits]
