@@ -71,17 +71,26 @@ def _record(spark: SparkSession, path: str, commits: list[tuple]) -> None:
 
 
 def _folder(path: str, run_id: str, folder: str) -> str:
-    return f"{path}/runs/{quote(run_id, safe='')}/{folder}"
+    return f"{path}/run_id={quote(run_id, safe='')}/write={folder}"
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def append_ledger(df: DataFrame, path: str, run_id: str) -> None:
-    """Write the records of one run and commit them."""
+    """Write the records of one run and commit them; what was written for that run before goes then."""
     spark, folder = df.sparkSession, uuid.uuid4().hex
+    replaced = [c for c in _commits(spark, path) if c.run_id == run_id]
     here = _folder(path, run_id, folder)
     as_ledger(df, run_id).write.parquet(here)
     written = spark.read.schema(LEDGER_SCHEMA).parquet(here)
     got = written.agg(F.unix_micros(F.max("prediction_timestamp")).alias("at"), F.count(F.lit(1)).alias("rows")).first()
     _record(spark, path, [(run_id, folder, got["at"], got["rows"], time.time_ns())])
+    for c in replaced:
+        _files(spark, path)[1].delete(_files(spark, _folder(path, run_id, c.folder))[0], True)
 
 
 def read_ledger(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
@@ -102,11 +111,10 @@ def trim_ledger(spark: SparkSession, path: str, keep: int, grace_hours: float =
 
     Folders without a commit may belong to a write that is under way: they go once they are older than
     ``grace_hours``, as do those that a reader may just have looked up."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = _files(spark, path)[1]
 
     def below(folder: str) -> list:
-        at = hadoop(folder)
+        at = _files(spark, folder)[0]
         return list(files.listStatus(at)) if files.exists(at) else []
 
     old = [s.getPath() for s in below(f"{path}/_commits")]
@@ -116,9 +124,11 @@ def trim_ledger(spark: SparkSession, path: str, keep: int, grace_hours: float =
         _record(spark, path, [tuple(c) for c in kept])
     for p in old:
         files.delete(p, False)
-    reachable = {(quote(c.run_id, safe=""), c.folder) for c in kept}
+    reachable = {tuple(_folder("", c.run_id, c.folder).split("/")[1:]) for c in kept}
     before = (time.time() - grace_hours * 3600) * 1000
-    for run in below(f"{path}/runs"):
+    for run in below(path):
+        if not run.getPath().getName().startswith("run_id="):
+            continue
         for s in below(run.getPath().toString()):
             name = run.getPath().getName(), s.getPath().getName()
             if name not in reachable and s.getModificationTime() <= before:
