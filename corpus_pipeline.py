@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
 all but the last return the columns of documents; the last one's rows have their place in the mix.  ``run`` writes each stage's rows as Parquet to the folder
 that the executors share and reads them again, so a lost executor costs a part of one stage only.
+
+In every stage nulls are allowed in any column, repeated rows are rows of their own, more columns of ``documents`` are
+carried as they are, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,22 +23,25 @@ from tidecast.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule or resemble the raw corpus more than the trusted one go."""
+    """Documents that fail a base rule or resemble the raw corpus more than the trusted one go.  Null, empty and very
+    short texts (under 10 words) fail; a document without id is judged by its text and trusted by nobody."""
     return quality_rules.good_documents(docs, trusted(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the smallest id stays."""
+    """Of each component of near-duplicates the smallest id stays; of equal rows, or rows of one id in a component, one.
+    Texts without words have fingerprint zero and are duplicates of each other."""
     return simhash.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by their kind."""
+    """Every document stays; its secrets are replaced by their kind.  A null text stays null, one without secrets as it is."""
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, once; the files and their rows stand in the order of the mix."""
+    """Every document stays, once; the files and their rows stand in the order of the mix.  Null and unnamed sources share
+    one weight; null and empty texts count as one character; ties go by the hash of the text."""
     return mixing.mixed(docs, MIX, MIX_REST)
 
 
@@ -59,7 +65,8 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document and of the text that they decode to, and ``place``, its number in the mix."""
+    """Digests of the ids of each document and of the text that they decode to, and ``place``, its number in the mix.
+    Null and empty texts have no ids and decode to the empty text."""
     return bpe.digests(placed(docs), public_tokenizers.path(VOCABULARY), {"place": "long"})
 
 
