@@ -70,9 +70,16 @@ def _counts(rows: DataFrame, known: dict[int, list[int]], done: int, bits: int)
     return found.groupBy("fold", "col", "prefix", "next").agg(F.sum("n").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, shares: Sequence[float], upto: Sequence[int] | None = None) -> dict[int, np.ndarray]:
+def exact_quantiles(
+    df: DataFrame, shares: Sequence[float], upto: Sequence[int] | None = None, between: bool = True
+) -> dict[int, np.ndarray]:
     """Per fold of ``upto``, (shares, columns) quantiles of ``raw`` over the rows of earlier folds, with linear
-    interpolation between neighbours; without folds, of all rows under 0."""
+    interpolation between neighbours; without folds, of all rows under 0.  Without ``between`` the least value that at
+    least that share of the rows does not exceed."""
+
+    def place(n: int, share: float) -> float:
+        return (n - 1) * share if between else max(int(np.ceil(n * share)), 1) - 1
+
     fold = F.col("fold").cast("int") if upto is not None else F.lit(-1)
     rows = df.select(fold.alias("fold"), vector_to_array("raw").alias("x"))
     sizes = {r.fold: r.n for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -86,7 +93,7 @@ def exact_quantiles(df: DataFrame, shares: Sequence[float], upto: Sequence[int]
         n = sum(v for k, v in sizes.items() if k < e)
         if not n:
             raise ValueError(f"no rows before fold {e}")
-        ranks[e] = sorted({int(r) for s in shares for r in (np.floor((n - 1) * s), np.ceil((n - 1) * s))})
+        ranks[e] = sorted({int(r) for s in shares for r in (np.floor(place(n, s)), np.ceil(place(n, s)))})
     # (end, col, rank among all) -> (prefix so far, rank within the prefix)
     state = {(e, c, r): (0, r) for e in ends for c in range(width) for r in ranks[e]}
     spark, done = df.sparkSession, 0
@@ -114,7 +121,7 @@ def exact_quantiles(df: DataFrame, shares: Sequence[float], upto: Sequence[int]
         value = {(c, r): float(unordered(np.array([state[e, c, r][0]], np.uint64))[0]) for c in range(width) for r in ranks[e]}
         grid = np.empty((len(shares), width))
         for i, s in enumerate(shares):
-            at = (n - 1) * s
+            at = place(n, s)
             low, high = int(np.floor(at)), int(np.ceil(at))
             grid[i] = [value[c, low] + (value[c, high] - value[c, low]) * (at - low) for c in range(width)]
         out[e] = grid

@@ -1,6 +1,6 @@
 """Boosting, forests and AdaBoost.R2 over one binned feature table, for all models and folds together.
 
-Every column's cut points come from one pass of mergeable quantile sketches; then a value is a byte, and the table with
+Every column's cut points are exact quantiles, the same however the rows are dealt; then a value is a byte, and the table with
 its folds is stored once.  What happens next depends on whether histograms have to be exchanged:
 
 - A table of at most ``TASK_BYTES`` bytes would be one partition, whose histogram is the whole one.  Its fits (a model on
@@ -33,6 +33,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import trees as kernel
 from ..functions.trees import BINS, Ensemble, Growth, Spec, Splits
 from ..session import ensure_checkpoint_dir
+from .quantiles import exact_quantiles
 
 # Ship what this module holds with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,20 +44,20 @@ TASK_BYTES = 32 << 20
 GROUP = 20
 #: Rounds after which the stored column is rewritten.
 STORE_EVERY = 10
-#: Relative accuracy of the quantile sketches.
-ACCURACY = 10_000
 
 
 def cut_points(df: DataFrame) -> np.ndarray:
     """(columns, BINS) upper ends of the bins of the ``raw`` vector, by equal shares of the rows; the last is the
     largest value."""
-    first = df.select("raw").first()
-    if first is None:
+    if df.select("raw").first() is None:
         raise ValueError("no rows to train on")
-    shares = [i / BINS for i in range(1, BINS + 1)]
-    x = df.select(vector_to_array("raw").alias("x"))
-    got = x.agg(*[F.percentile_approx(F.col("x")[i], shares, ACCURACY).alias(f"c{i}") for i in range(len(first["raw"]))]).first()
-    return np.array([list(c) for c in got])
+    return exact_quantiles(df, [i / BINS for i in range(1, BINS + 1)], between=False)[0].T
+
+
+def held(df: DataFrame) -> DataFrame:
+    """What a fit reads of its rows, worked out once."""
+    fold = ["fold"] if "fold" in df.columns else []
+    return df.select("series_id", "ds", *fold, "y", "raw").persist()
 
 
 def to_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -435,8 +436,9 @@ def fit(df: DataFrame, models: Mapping[str, Spec], task_bytes: int = TASK_BYTES)
     if not models:
         return {}
     ensure_checkpoint_dir(df.sparkSession)
-    edges = cut_points(df)
-    rows = binned(df, edges).withColumn("fold", F.lit(0)).persist()
+    table = held(df)
+    edges = cut_points(table)
+    rows = binned(table, edges).withColumn("fold", F.lit(0)).persist()
     try:
         fits = planned(models, [1])
         if fits_one_task(rows, len(edges), task_bytes):
@@ -446,15 +448,17 @@ def fit(df: DataFrame, models: Mapping[str, Spec], task_bytes: int = TASK_BYTES)
             got = [(f.model, f.first, Ensemble(f.spec, f.start, f.trees, f.votes)) for f in fits]
     finally:
         rows.unpersist()
+        table.unpersist()
     return {m: TreeModel(joined([e for name, _, e in sorted(got, key=lambda g: g[1]) if name == m]), edges) for m in models}
 
 
 def validate(df: DataFrame, models: Mapping[str, Spec], k: int, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(model, fold, mae) on the folds 1 to ``k`` of rows with a ``fold``, each model trained on the folds before."""
     ensure_checkpoint_dir(df.sparkSession)
-    edges = cut_points(df)
+    table = held(df)
+    edges = cut_points(table)
     width = len(edges)
-    rows = binned(df, edges).persist()
+    rows = binned(table, edges).persist()
     try:
         fits = planned(models, range(1, k + 1))
         if fits_one_task(rows, width, task_bytes):
@@ -483,4 +487,5 @@ def validate(df: DataFrame, models: Mapping[str, Spec], k: int, task_bytes: int
         scores = each.groupBy("model", "fold").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae")).collect()
     finally:
         rows.unpersist()
+        table.unpersist()
     return df.sparkSession.createDataFrame(scores, "model string, fold int, mae double")
