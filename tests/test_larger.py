@@ -1,10 +1,12 @@
 """Results that must not change with the order and number of the rows."""
 
+import datetime as dt
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidecast.operators import trees
+from tidecast.operators import baselines, ensemble, trees
 
 
 def test_cut_points_are_exact_however_the_rows_are_dealt(spark):
@@ -16,3 +18,36 @@ def test_cut_points_are_exact_however_the_rows_are_dealt(spark):
         raw = df.repartition(parts).select(array_to_vector(F.array("a", "b")).alias("raw"))
         got = trees.cut_points(raw)
         assert np.array_equal(got[0], want) and np.array_equal(got[1], want * want), parts
+
+
+def test_equal_analogs_are_their_own_blend(spark):
+    day = dt.date(2024, 1, 1)
+    names = list(ensemble.ANALOG_WEIGHTS)
+    rows = [(f"{v}-{k}", day, m, float(v), "analog") for v in range(1, 200) for k in range(4) for m in names[k:] + names[:k]]
+    p = spark.createDataFrame(rows, "series_id string, target_ds date, model string, yhat double, family string")
+    got = ensemble.blend_fixed(p.repartition(1)).collect()
+    assert len(got) == 4 * 199
+    assert all(r.stat == r.yhat == float(r.series_id.split("-")[0]) for r in got)
+
+
+def test_mean_and_spread_do_not_depend_on_the_order_of_models(spark):
+    day, rng = dt.date(2024, 1, 1), np.random.default_rng(5)
+    values = [rng.normal(40, 8, 12).round(3) / 7 for _ in range(100)]
+    rows = [(f"{i}-{k}", day, f"m{j}", "stat", float(x)) for i, v in enumerate(values) for k in range(6) for j, x in enumerate(rng.permutation(v))]
+    p = spark.createDataFrame(rows, "series_id string, target_ds date, model string, family string, yhat double").repartition(1)
+    seen = {}
+    for r in ensemble.ensemble_stats(p).collect():
+        seen.setdefault(r.series_id.split("-")[0], set()).add((r["mean"], r["std"]))
+    assert len(seen) == 100 and all(len(v) == 1 for v in seen.values())
+
+
+def test_only_days_before_targets_carry_states_on(spark, make, wanted):
+    h = make({"a": [(k, k * k) for k in range(60)], "b": [(3, 7), (9, 5)]})
+    day = lambda k: dt.date(2021, 1, 1) + dt.timedelta(days=k)
+    t = wanted(("a", day(0)), ("a", day(10)), ("a", day(10)), ("a", day(11)), ("a", day(99)), ("b", day(9)), ("b", day(30)), ("c", day(5)))
+    got = baselines.sma(h, t, (1, 3)).collect()
+    rows = sorted((r.series_id, r.target_ds, r.model, round(r.yhat, 9)) for r in got)
+    a = lambda k: [("a", day(k), "SMA_1", float((min(k, 60) - 1) ** 2)),
+                   ("a", day(k), "SMA_3", round(sum((min(k, 60) - j) ** 2 for j in (1, 2, 3)) / 3, 9))]
+    want = [*a(10), *a(10), *a(11), *a(99), ("b", day(9), "SMA_1", 7.0), ("b", day(30), "SMA_1", 5.0)]
+    assert rows == sorted(want)

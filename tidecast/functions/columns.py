@@ -24,6 +24,18 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def careful_sum(a: Column) -> Column:
+    """Sum that carries along what each addition rounds off (Neumaier), so that it hardly depends on the order."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def step(acc: Column, x: Column) -> Column:
+        t = acc["s"] + x
+        lost = F.when(F.abs(acc["s"]) >= F.abs(x), (acc["s"] - t) + x).otherwise((x - t) + acc["s"])
+        return F.struct(t.alias("s"), (acc["c"] + lost).alias("c"))
+
+    return F.aggregate(a, start, step, lambda acc: acc["s"] + acc["c"])
+
+
 def array_mean(a: Column) -> Column:
     return F.try_divide(array_sum(a), F.size(a))
 

@@ -8,11 +8,12 @@ machine-learning side carries the family ``ml``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_sum, trimmed_mean
+from ..functions.columns import array_mean, array_sum, careful_sum, trimmed_mean
 
 IDS = ["series_id", "target_ds"]
 
@@ -54,21 +55,29 @@ def combine(p: DataFrame, rule: str = "statistical") -> DataFrame:
     trimmed mean, mean inside the quartiles, spread and outer percentiles, and the blend
     ``yhat`` of the machine-learning and statistical centres (the one side that exists
     if the other is missing; ``statistical`` is the plain median)."""
-    centre = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    # Sums go over sorted values and lose nothing, so they do not depend on the order in which the rows came.
+    def careful_mean(a: Column) -> Column:
+        return F.try_divide(careful_sum(a), F.size(a))
+
+    centre = {
+        "mean": lambda c: careful_mean(F.sort_array(F.collect_list(c))), "median": lambda c: F.percentile(c, F.lit(0.5))
+    }
     ml_stat, ml_weight, stat_stat, stat_weight = BLENDS.get(rule, ("median", 0.0, "median", 1.0))
     is_ml, y = F.col("family") == "ml", F.col("yhat")
     g = p.groupBy(*IDS).agg(
-        F.count(y).alias("model_count"), F.avg(y).alias("mean"), centre["median"](y).alias("median"),
-        F.stddev_pop(y).alias("std"),
+        F.count(y).alias("model_count"), centre["median"](y).alias("median"),
         F.percentile(y, F.array(*[F.lit(x) for x in (0.025, 0.25, 0.75, 0.975)])).alias("q"),
         F.sort_array(F.collect_list(y)).alias("v"),
         centre[ml_stat](F.when(is_ml, y)).alias("ml"),
         centre[stat_stat](F.when(~is_ml, y)).alias("stat"),
     )
+    # Around the least value, so that equal values have no spread.
+    g = g.withColumn("_off", F.transform("v", lambda x: x - F.get("v", F.lit(0)))).withColumn("_m", array_mean(F.col("_off")))
+    spread = F.sqrt(array_mean(F.transform("_off", lambda x: (x - F.col("_m")) * (x - F.col("_m")))))
     inner = F.filter("v", lambda x: (x >= F.get("q", F.lit(1))) & (x <= F.get("q", F.lit(2))))
     both = F.col("ml") * ml_weight + F.col("stat") * stat_weight
     return g.select(
-        *IDS, "model_count", "mean", "median", "std",
+        *IDS, "model_count", careful_mean(F.col("v")).alias("mean"), "median", spread.alias("std"),
         trimmed_mean(F.col("v"), 0.1).alias("trimmed"),
         F.coalesce(F.try_divide(array_sum(inner), F.size(inner)), "median").alias("iqr_mean"),
         F.get("q", F.lit(0)).alias("p_low"), F.get("q", F.lit(3)).alias("p_high"), "ml", "stat",
@@ -110,12 +119,11 @@ def blend_fixed(analogs: DataFrame, ml: DataFrame | None = None) -> DataFrame:
     """Fixed weights over the four analog forecasts, then 65/35 with the ML ensemble
     ``(.., yhat, std)`` where there is one; ``uncertainty`` is the spread over the mean
     of all values, ``std`` the spread of the ML models."""
-    weight = F.lit(0.0)
-    for name, w in ANALOG_WEIGHTS.items():
-        weight = F.when(F.col("model") == name, w).otherwise(weight)
-    g = analogs.groupBy(*IDS).agg(
-        F.sum(F.col("yhat") * weight).alias("stat"), F.sort_array(F.collect_list("yhat")).alias("v")
-    )
+    one = {name: F.max(F.when(F.col("model") == name, F.col("yhat"))).alias(f"_{name}") for name in ANALOG_WEIGHTS}
+    g = analogs.groupBy(*IDS).agg(*one.values(), F.sort_array(F.collect_list("yhat")).alias("v"))
+    # Added up in one order, however the rows came: four equal whole numbers then have that very mean.
+    parts = [F.coalesce(F.col(f"_{name}") * w, F.lit(0.0)) for name, w in ANALOG_WEIGHTS.items()]
+    g = g.select(*IDS, reduce(lambda a, b: a + b, parts).alias("stat"), "v")
     if ml is None:
         none = F.lit(None).cast("double")
         g = g.withColumns({"ml": none, "std": none})
