@@ -9,6 +9,8 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import baselines as b
 from tidecast.operators import ensemble as e
 from tidecast.operators import feedback as f
+from tidecast.operators.asof import forecast_asof
+from tidecast.sources.history import materialise
 
 from .panels import EVENTS, ORDERS, SUPPLIERS, events_panel, orders_panel, supplier_panel, targets
 from .queries_baselines import BASE, IDS, MO, WD, back, strict_mean, tail
@@ -27,10 +29,10 @@ PRED = BASE + ", pr as (" + " union all ".join(
 
 
 def predictions(spark, d) -> DataFrame:
-    h = supplier_panel(spark, d)
+    h = materialise(supplier_panel(spark, d))
     t = targets(h)
-    parts = [b.sma(h, t), b.wma(h, t), b.recent_median(h, t, (7, 30)), b.weekday_mean(h, t),
-             b.weekday_month_mean(h, t), b.prev_year_same_weekday(h, t)]
+    recent = [b.sma_recipe(), b.wma_recipe(), b.median_recipe((7, 30))]
+    parts = [forecast_asof(h, t, recent), b.weekday_mean(h, t), b.weekday_month_mean(h, t), b.prev_year_same_weekday(h, t)]
     p = reduce(DataFrame.unionByName, parts).drop("lo", "hi")
     ml = F.col("model").startswith("WMA") | F.col("model").startswith("Median")
     return p.withColumn("family", F.when(ml, "ml").otherwise(F.col("family")))

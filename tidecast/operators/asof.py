@@ -73,14 +73,28 @@ def windows(family: str, models: Mapping[str, Column]) -> Recipe:
 def forecast_asof(
     h: DataFrame, targets: DataFrame, recipes: Sequence[Recipe], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Run any number of recipes in one pass over history and one as-of attach; ``keys``
-    must be columns of both sides.  Models without a value leave no row."""
+    """Run any number of recipes in one pass over history; ``keys`` must be columns of both sides.  Models without a
+    value leave no row, so neither does a target with no earlier day.
+
+    The states are wide and wanted of few days.  So only days and values are sorted; targets between them mark the
+    last day before each, and of the states worked out in the same order just those of marked days go on."""
     state: dict[str, Column] = {}
     for r in recipes:
         state |= r.state
-    kept = h.select("series_id", *keys, "ds", *[c.alias(n) for n, c in state.items()])
-    at = asof_attach(kept, targets.select("series_id", "target_ds", *keys), keys)
-    return _modelled(at, recipes)
+    part = ["series_id", *keys]
+    wanted = targets.select(*part, F.col("target_ds").alias("ds"), F.lit(0).alias("_side"))
+    both = wanted.unionByName(h.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy(*part).orderBy("ds", "_side")
+    day = F.when(F.col("_side") == 1, F.col("ds"))
+    marked = both.withColumns({
+        "_next": F.lead("_side").over(order),
+        "_last": F.last(day, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    known = marked.filter(F.col("_side") == 1).select(
+        *part, F.col("ds").alias("_last"), "_next", *[c.alias(n) for n, c in state.items()]
+    ).filter(F.col("_next") == 0).drop("_next")
+    asked = marked.filter(F.col("_side") == 0).select(*part, F.col("ds").alias("target_ds"), "_last")
+    return _modelled(asked.join(known, [*part, "_last"]), recipes)
 
 
 def forecast_by_keys(
