@@ -72,9 +72,9 @@ def _(spark, d):
 
 
 def _lagged(spark, d, names=("lag_1", "lag_7")):
-    """Two lags as the raw vector, rows with both known."""
+    """Two lags as the raw vector, rows with both known; written once, as every fit passes over them several times."""
     frame = pf.feature_frame(supplier_panel(spark, d), "optimized")
-    return ml.assemble(frame.select(*H, "y", *names), list(names), "drop")
+    return materialise(ml.assemble(frame.select(*H, "y", *names), list(names), "drop"))
 
 
 LAGGED = f"""{SUPPLIERS}, l as (select series_id, ds, y, lag(y, 1) over {_W} as lag_1, lag(y, 7) over {_W} as lag_7 from h),
