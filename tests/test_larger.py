@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidecast.operators import baselines, ensemble, trees
+from tidecast.operators import baselines, diagnostics, ensemble, feedback, trees
 
 
 def test_cut_points_are_exact_however_the_rows_are_dealt(spark):
@@ -51,3 +51,9 @@ def test_only_days_before_targets_carry_states_on(spark, make, wanted):
                    ("a", day(k), "SMA_3", round(sum((min(k, 60) - j) ** 2 for j in (1, 2, 3)) / 3, 9))]
     want = [*a(10), *a(10), *a(11), *a(99), ("b", day(9), "SMA_1", 7.0), ("b", day(30), "SMA_1", 5.0)]
     assert rows == sorted(want)
+
+
+def test_windows_of_several_orders_hold_a_share_of_a_stage(spark, two_years):
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for out in (feedback.backtest_base(two_years), diagnostics.decompose(two_years, robust=True), diagnostics.with_remainder(two_years)):
+        assert out.rdd.getNumPartitions() == tasks

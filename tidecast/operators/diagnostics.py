@@ -11,7 +11,7 @@ from ..functions.columns import array_mean, array_sum, by_day
 from ..functions.distributions import chi2_tail_even, t_quantile
 from .asof import Recipe, forecast_asof
 from .baselines import TAIL, last_values, recent_values
-from .packed import pack
+from .packed import pack, spread_sorts
 
 
 def profile(h: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def decompose(h: DataFrame, period: int = 7, robust: bool = False) -> DataFrame:
         df = df.withColumn("seasonal", F.col("_s") - F.avg("_s").over(every))
         return df.withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal")).drop("_left", "_s")
 
-    out = h.withColumn("phase", ((F.row_number().over(w) - 1) % period).cast("int"))
+    out = spread_sorts(h).withColumn("phase", ((F.row_number().over(w) - 1) % period).cast("int"))
     out = split(out, F.lit(1.0))
     if robust:
         scale = 6 * F.percentile(F.abs("resid"), F.lit(0.5)).over(every)
@@ -198,7 +198,7 @@ def with_remainder(h: DataFrame, period: int = 7) -> DataFrame:
     """History with its phase, the remainder from full centred frames and the mean
     remainder of its phase so far."""
     w, half = by_day(), period // 2
-    rows = h.withColumn("_phase", (F.row_number().over(w) - 1) % period)
+    rows = spread_sorts(h).withColumn("_phase", (F.row_number().over(w) - 1) % period)
     rows = rows.withColumn("_left", F.col("y") - F.avg("y").over(w.rowsBetween(-half, half)))
     same = by_day("_phase").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_season", F.avg("_left").over(same))

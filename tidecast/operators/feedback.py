@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.columns import by_day
-from .packed import pack
+from .packed import pack, spread_sorts
 
 MEMORY, FLOOR, RATE = 10, 10.0, 0.7
 
@@ -108,7 +108,7 @@ def backtest_base(h: DataFrame, years: int = 2, min_obs: int = 30) -> DataFrame:
     year ago (else p1), ``p3``: the last 30 days (else p1), blended .4/.4/.2.  All of it
     is windows on one shuffle; no day re-reads its history.
     """
-    x = h.select(
+    x = spread_sorts(h.select("series_id", "ds", "y")).select(
         "series_id", "ds", "y", F.weekday("ds").alias("_wd"), F.month("ds").alias("_mo"),
         F.year("ds").alias("_yr"), F.unix_date("ds").alias("_day"),
     )

@@ -25,6 +25,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(planned_tasks(df.sparkSession), *keys)
 
 
+#: Sorts of its rows that one task of several windows may hold at a time.
+SORTS = 4
+
+
+def spread_sorts(df: DataFrame) -> DataFrame:
+    """Partition by series for windows of several orders, which sort and hold their rows side by side: so many times
+    the planned tasks, so that all sorts of a task together are no more than one of a plain stage."""
+    return df.repartition(SORTS * planned_tasks(df.sparkSession), "series_id")
+
+
 def pack(h: DataFrame, *columns: str) -> DataFrame:
     """Arrays in date order: ``days`` (days since 1970) and one per column."""
     rows = spread(h.select("series_id", F.struct(F.unix_date("ds").alias("days"), *columns).alias("r")), "series_id")
