@@ -9,10 +9,11 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import baselines as b
 from tidecast.operators import ensemble as e
 from tidecast.operators import feedback as f
-from tidecast.operators.asof import forecast_asof
+from tidecast.operators.asof import forecast_packed
+from tidecast.operators.packed import pack_rows
 from tidecast.sources.history import materialise
 
-from .panels import EVENTS, ORDERS, SUPPLIERS, events_panel, orders_panel, supplier_panel, targets
+from .panels import EVENTS, ORDERS, SUPPLIERS, TARGET_DATES, events_panel, orders_panel, supplier_panel, targets
 from .queries_baselines import BASE, IDS, MO, WD, back, strict_mean, tail
 from .registry import query, rounded, select_rounded
 
@@ -29,11 +30,11 @@ PRED = BASE + ", pr as (" + " union all ".join(
 
 
 def predictions(spark, d) -> DataFrame:
-    h = materialise(supplier_panel(spark, d))
-    t = targets(h)
+    """All models of one pass over the packed series, of which every target is a row until its models are listed."""
+    packed = pack_rows(supplier_panel(spark, d)).withColumn("targets", F.array(*[F.lit(x).cast("date") for x in TARGET_DATES]))
     recent = [b.sma_recipe(), b.wma_recipe(), b.median_recipe((7, 30))]
-    parts = [forecast_asof(h, t, recent), b.weekday_mean(h, t), b.weekday_month_mean(h, t), b.prev_year_same_weekday(h, t)]
-    p = reduce(DataFrame.unionByName, parts).drop("lo", "hi")
+    keys = {"Weekday_Mean": ["weekday"], "Weekday_Month_Mean": ["weekday", "month"]}
+    p = forecast_packed(packed, recent, keys, {"PrevYear_SameWeekday": 364}).drop("lo", "hi")
     ml = F.col("model").startswith("WMA") | F.col("model").startswith("Median")
     return p.withColumn("family", F.when(ml, "ml").otherwise(F.col("family")))
 

@@ -324,7 +324,7 @@ _NAMES = ", ".join(f"('{m}', {len(m)} / 10.0::double)" for m, _, _ in _P)
     from pr join w using (model) group by 1, 2)""", "x", [*T, "model_count"], ["yhat", "std"]))
 def _(spark, d):
     p = predictions(spark, d)
-    weights = p.select("model").distinct().withColumn("weight", F.length("model") / 10)
+    weights = spark.createDataFrame([(m, len(m) / 10) for m, _, _ in _P], "model string, weight double")
     return rounded(ml.weighted_ensemble(p, weights))
 
 

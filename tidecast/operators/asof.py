@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_day, prediction
+from ..functions.calendar import CALENDAR
+from ..functions.columns import array_mean, by_day, prediction
 
 
 def asof_attach(state: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -120,6 +122,38 @@ def forecast_by_keys(
     return _modelled(at, [r for _, recipes in groups for r in recipes])
 
 
+def forecast_packed(
+    packed: DataFrame, recipes: Sequence[Recipe], means: Mapping[str, Sequence[str]] = {}, back: Mapping[str, int] = {}
+) -> DataFrame:
+    """Forecasts of few targets from one row per series, with its ``rows`` (structs of ``ds`` and ``y`` in date order) and
+    ``targets`` (dates), so that no day is sorted or moved again for a model.
+
+    The state of the ``recipes`` is the last values alone (``recent_values``); ``means`` are of the known days that share
+    the target's calendar keys, ``back`` looks up the day so many days before the target."""
+    at = packed.select("series_id", "rows", F.explode("targets").alias("target_ds"))
+    known = at.withColumn("_known", F.filter("rows", lambda r: r["ds"] < F.col("target_ds")))
+    n, derived, models = F.size("_known"), {}, {}
+    for tail in {name for r in recipes for name in r.state}:
+        size = int(tail.removeprefix("_tail"))
+        derived[tail] = F.when(n > 0, F.slice("_known", F.greatest(n - size + 1, F.lit(1)), F.lit(size))["y"])
+    # Fewer keys first: days found for some keys are looked through for more.
+    def on(keys: Sequence[str]):
+        return lambda r: reduce(lambda a, b: a & b, [CALENDAR[k](r["ds"]) == CALENDAR[k](F.col("target_ds")) for k in keys])
+
+    seen: dict[tuple[str, ...], str] = {(): "_known"}
+    steps = [derived]
+    for model, keys in sorted(means.items(), key=lambda m: len(m[1])):
+        base = max((k for k in seen if set(k) <= set(keys)), key=len)
+        name = f"_days{len(seen)}"
+        steps.append({name: F.filter(seen[base], on([k for k in keys if k not in base]))})
+        seen[tuple(keys)], models[model] = name, array_mean(F.col(name)["y"])
+    for step in steps:
+        known = known.withColumns(step) if step else known
+    # The days are in order, and one row each.
+    years = {m: F.get("_known.y", F.array_position("_known.ds", F.date_sub("target_ds", d)).cast("int") - 1) for m, d in back.items()}
+    return _modelled(known, [*recipes, Recipe("seasonal", {}, models), Recipe("previous_year", {}, years)])
+
+
 def _modelled(at: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
     """The recipes' models on the attached states, in long form."""
     if derived := {n: c for r in recipes for n, c in r.derived.items()}:

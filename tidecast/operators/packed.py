@@ -42,6 +42,12 @@ def pack(h: DataFrame, *columns: str) -> DataFrame:
     return lists.select("series_id", *[F.col(f"_rows.{c}").alias(c) for c in ("days", *columns)])
 
 
+def pack_rows(h: DataFrame) -> DataFrame:
+    """``rows``: structs of ``ds`` and ``y`` in date order."""
+    rows = spread(h.select("series_id", F.struct("ds", "y").alias("r")), "series_id")
+    return rows.groupBy("series_id").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+
+
 def pack_targets(targets: DataFrame) -> DataFrame:
     days = F.sort_array(F.collect_set(F.unix_date("target_ds")))
     return targets.groupBy("series_id").agg(days.alias("targets"))

@@ -108,11 +108,9 @@ def daily_rollup(
     """
     amount = F.lit(1.0) if value is None else value.cast("double")
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    series = (
-        cols[0].cast("string")
-        if len(cols) == 1
-        else F.concat_ws("|", *[c.cast("string") for c in cols])
-    )
+    # A whole number is grouped as it is, which is less to hash and to ship than its text.
+    whole = len(cols) == 1 and isinstance(facts.select(cols[0]).schema[0].dataType, T.IntegralType)
+    series = cols[0] if whole else F.concat_ws("|", *[c.cast("string") for c in cols]) if len(cols) > 1 else cols[0].cast("string")
     return (
         facts.select(
             series.alias("series_id"),
@@ -123,6 +121,7 @@ def daily_rollup(
         .filter(F.col("ds").isNotNull() & F.col("series_id").isNotNull())
         .groupBy("series_id", "ds")
         .agg(F.sum("v").alias("y"), F.coalesce(F.sum("early"), F.lit(0.0)).alias("partial_y"))
+        .withColumn("series_id", F.col("series_id").cast("string"))
     )
 
 
