@@ -9,6 +9,7 @@ from tidecast.operators import learners as ml
 from tidecast.operators import trees
 from tidecast.plans import features as pf
 from tidecast.plans import forecast as plan
+from tidecast.plans.presets import MODELS
 from tidecast.sources.history import materialise
 
 from .panels import ORDERS, SUPPLIERS, TARGETS, orders_panel, supplier_panel, targets
@@ -259,13 +260,15 @@ def _(spark, d):
 TRAINED: dict = {}
 
 
-def _trained(spark, d, version):
-    """The history of the orders panel and the models of a version, trained once per
-    session and folder."""
-    key = (spark.sparkContext.applicationId, d, version)
+def _trained(spark, d, version, model=None):
+    """The history of the orders panel and the models of a version, or the one that is asked for, as the preset has
+    it; trained once per session and folder."""
+    whole, key = ((spark.sparkContext.applicationId, d, version, m) for m in (None, model))
+    if whole in TRAINED:
+        return TRAINED[whole]
     if key not in TRAINED:
         h = materialise(orders_panel(spark, d))
-        TRAINED[key] = h, plan.train(h, version)
+        TRAINED[key] = h, plan.train(h, version, {model: MODELS[version][model]} if model else None)
     return TRAINED[key]
 
 
@@ -277,7 +280,7 @@ for _name, _model in {
 
     @query(_name)
     def _(spark, d, model=_model):
-        _, trained = _trained(spark, d, "complete")
+        _, trained = _trained(spark, d, "complete", model)
         rows = trained.prep.transform(trained.rows)
         return trained.models[model].transform(rows).select(*H, "prediction")
 
