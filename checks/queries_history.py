@@ -239,12 +239,12 @@ def _rolling_sql(panel, windows, stats, full):
 
 @query("rolling", _rolling_sql(SUPPLIERS, WINDOWS, ("mean", "std", "min", "max"), False))
 def _(spark, d):
-    return rounded(features.rolling(supplier_panel(spark, d), WINDOWS).drop("y"))
+    return rounded(features.rolling_apart(supplier_panel(spark, d), WINDOWS).drop("y"))
 
 
 @query("rolling_full", _rolling_sql(SUPPLIERS, (7, 14, 21, 30), ("mean", "std", "min", "max"), True))
 def _(spark, d):
-    return rounded(features.rolling(supplier_panel(spark, d), (7, 14, 21, 30), min_periods=None).drop("y"))
+    return rounded(features.rolling_apart(supplier_panel(spark, d), (7, 14, 21, 30), min_periods=None).drop("y"))
 
 
 @query("rolling_median", _rolling_sql(ORDERS, WINDOWS, ("median",), False))

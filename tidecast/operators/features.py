@@ -7,12 +7,21 @@ Spark plans them behind a single shuffle; extra keys only cost a local sort.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import array_median, by_day, last_of
+from .packed import spread
+
+# Helpers travel with the jobs that use them; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -57,6 +66,65 @@ def rolling(
     return h.withColumns(out)
 
 
+def _frames(windows: Sequence[int], stats: Sequence[str], need: Mapping[int, int], y: np.ndarray, known: np.ndarray, place: np.ndarray) -> list:
+    """Statistics of the values before each of the last ``len(place)`` rows; ``place`` counts its series' rows before it."""
+    first, out = len(y) - len(place), {}
+
+    def back(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values ``k`` rows back and which of them there are."""
+        at = np.maximum(np.arange(first - k, len(y) - k), 0)
+        return y[at], (place >= k) & known[at]
+
+    n, total = np.zeros(len(place), np.int64), np.zeros(len(place))
+    least, most = np.full(len(place), np.nan), np.full(len(place), -np.inf)
+    for k in range(1, max(windows) + 1):
+        v, has = back(k)
+        n, total = n + has, total + np.where(has, v, 0.0)
+        least, most = np.fmin(least, np.where(has, v, np.nan)), np.maximum(most, np.where(has, v, -np.inf))
+        if k in windows:
+            enough = n >= max(need[k], 1)
+            mean = total / np.maximum(n, 1)
+            out[k] = {"mean": (mean, enough), "min": (least, enough), "max": (most, enough)}
+            if "std" in stats:
+                spread = np.zeros(len(place))
+                for j in range(1, k + 1):
+                    v, has = back(j)
+                    spread += np.where(has, (v - mean) ** 2, 0.0)
+                out[k]["std"] = np.sqrt(spread / np.maximum(n - 1, 1)), enough & (n > 1)
+    return [pa.array(out[w][s][0], mask=~out[w][s][1]) for w in windows for s in stats]
+
+
+def rolling_apart(
+    h: DataFrame, windows: Sequence[int], stats: Sequence[str] = ("mean", "std", "min", "max"), min_periods: int | None = 1
+) -> DataFrame:
+    """``rolling`` of whole columns of sorted days, a batch at a time with the longest window before it: for many long
+    windows a small part of the work, but windows that follow have to deal and sort the rows again."""
+    need = {n: n if min_periods is None else min_periods for n in windows}
+    rows = spread(h, "series_id").sortWithinPartitions("series_id", "ds")
+    names = [f"rolling_{s}_{n}" for n in windows for s in stats]
+    keep, columns = max(windows), h.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, known, last, before = np.empty(0), np.empty(0, bool), None, 0
+        for batch in filter(lambda b: b.num_rows, batches):
+            column, series = batch.column(columns.index("y")), batch.column(columns.index("series_id"))
+            y = np.concatenate((y, column.fill_null(0.0).to_numpy(zero_copy_only=False)))
+            known = np.concatenate((known, column.is_valid().to_numpy(zero_copy_only=False)))
+            # Rows of a series follow each other: a row's place counts from the first of its run.
+            code = series.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            place = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+            if series[0].as_py() == last:
+                place[: starts[1] if len(starts) > 1 else len(code)] += before
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *_frames(windows, stats, need, y, known, place)], names=[*columns, *names]
+            )
+            last, before, y, known = series[-1].as_py(), int(place[-1]) + 1, y[-keep:], known[-keep:]
+
+    schema = T.StructType([*h.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
+    return rows.mapInArrow(run, schema)
+
+
 def _decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
