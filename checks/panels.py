@@ -29,10 +29,10 @@ ORDERS = """h as (
   from orders group by 1, 2 having sum(floor(o_totalprice / 1000)) > 0)"""
 
 
-def supplier_panel(spark: SparkSession, d: str) -> DataFrame:
+def supplier_panel(spark: SparkSession, d: str, text: bool = True) -> DataFrame:
     """Daily shipped quantity, one series per supplier."""
     facts = table(spark, d, "lineitem")
-    return daily_rollup(facts, "l_shipdate", ["l_suppkey"], F.col("l_quantity")).select(
+    return daily_rollup(facts, "l_shipdate", ["l_suppkey"], F.col("l_quantity"), text=text).select(
         "series_id", "ds", "y"
     ).filter("y > 0")
 

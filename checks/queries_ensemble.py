@@ -1,5 +1,7 @@
 """Blending, intervals, scores, noon adjustment, ledger feedback and back-test."""
 
+import datetime as dt
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -9,8 +11,7 @@ from tidecast.functions.columns import by_day
 from tidecast.operators import baselines as b
 from tidecast.operators import ensemble as e
 from tidecast.operators import feedback as f
-from tidecast.operators.asof import forecast_packed
-from tidecast.operators.packed import pack_rows
+from tidecast.operators.asof import forecast_dates, one_by_one
 from tidecast.sources.history import materialise
 
 from .panels import EVENTS, ORDERS, SUPPLIERS, TARGET_DATES, events_panel, orders_panel, supplier_panel, targets
@@ -29,14 +30,19 @@ PRED = BASE + ", pr as (" + " union all ".join(
     for m, fam, q in MODELS) + ")"
 
 
-def predictions(spark, d) -> DataFrame:
-    """All models of one pass over the packed series, of which every target is a row until its models are listed."""
-    packed = pack_rows(supplier_panel(spark, d)).withColumn("targets", F.array(*[F.lit(x).cast("date") for x in TARGET_DATES]))
-    recent = [b.sma_recipe(), b.wma_recipe(), b.median_recipe((7, 30))]
+def gathered(spark, d) -> DataFrame:
+    """All models of one pass over the days of each series, a row per target with its list of models."""
+    dates = [dt.date.fromisoformat(x) for x in TARGET_DATES]
+    recent = [b.sma_recipe(), replace(b.wma_recipe(), family="ml"), replace(b.median_recipe((7, 30)), family="ml")]
     keys = {"Weekday_Mean": ["weekday"], "Weekday_Month_Mean": ["weekday", "month"]}
-    p = forecast_packed(packed, recent, keys, {"PrevYear_SameWeekday": 364}).drop("lo", "hi")
-    ml = F.col("model").startswith("WMA") | F.col("model").startswith("Median")
-    return p.withColumn("family", F.when(ml, "ml").otherwise(F.col("family")))
+    # Suppliers are numbers, which is less to gather by than their text.
+    made = forecast_dates(supplier_panel(spark, d, text=False), dates, recent, keys, {"PrevYear_SameWeekday": 364})
+    return made.withColumn("series_id", F.col("series_id").cast("string"))
+
+
+def predictions(spark, d) -> DataFrame:
+    """All models of ``gathered``, a row each."""
+    return one_by_one(gathered(spark, d)).drop("lo", "hi")
 
 
 def key_rounded(ctes, body, keys, values):
@@ -67,7 +73,7 @@ STAT_COLS = ["mean", "median", "std", "p_low", "p_high", "trimmed", "iqr_mean"]
 
 @query("ensemble_stats", key_rounded(PRED, STATS, [*IDS, "model_count"], STAT_COLS))
 def _(spark, d):
-    return rounded(e.ensemble_stats(predictions(spark, d)))
+    return rounded(e.ensemble_stats(gathered(spark, d)))
 
 
 def _rules():
@@ -79,13 +85,13 @@ def _rules():
   from (select distinct pr.*, category from pr join {_rules()} on contains(model, txt)) group by 1, 2, 3""",
     [*IDS, "category", "n_models"], ["median"]))
 def _(spark, d):
-    return rounded(e.category_summary(predictions(spark, d)))
+    return rounded(e.category_summary(gathered(spark, d)))
 
 
 @query("category_summary_exclusive", key_rounded(PRED, """select series_id, target_ds, family as category, median(yhat) as median,
   count(*) as n_models from pr group by 1, 2, 3""", [*IDS, "category", "n_models"], ["median"]))
 def _(spark, d):
-    return rounded(e.category_summary(predictions(spark, d), exclusive=True))
+    return rounded(e.category_summary(gathered(spark, d), exclusive=True))
 
 
 for _rule, (_m, _mw, _s, _sw) in e.BLENDS.items():
@@ -95,12 +101,12 @@ for _rule, (_m, _mw, _s, _sw) in e.BLENDS.items():
       select series_id, target_ds, {_agg[_m]}(yhat) filter (where family = 'ml') as ml,
         {_agg[_s]}(yhat) filter (where family <> 'ml') as stat from pr group by 1, 2)""", IDS, ["ml", "stat", "yhat"]))
     def _(spark, d, rule=_rule):
-        return rounded(e.blend(predictions(spark, d), rule))
+        return rounded(e.blend(gathered(spark, d), rule))
 
 
 @query("blend_statistical", key_rounded(PRED, "select series_id, target_ds, median(yhat) as yhat from pr group by 1, 2", IDS, ["yhat"]))
 def _(spark, d):
-    return rounded(e.blend(predictions(spark, d), "statistical").select(*IDS, "yhat"))
+    return rounded(e.blend(gathered(spark, d), "statistical").select(*IDS, "yhat"))
 
 
 FOUR = {"similar": "SMA_7", "pattern": "SMA_14", "prev_year": "Weekday_Mean", "trend": "SMA_30"}
@@ -153,7 +159,7 @@ for _kind, (_lo, _hi) in INTERVALS.items():
     @query(f"interval_{_kind}", key_rounded(PRED, f"""select series_id, target_ds, yhat, {_lo} as lo, {_hi} as hi
       from (select *, median as yhat from ({STATS}))""", IDS, ["yhat", "lo", "hi"]))
     def _(spark, d, kind=_kind):
-        s = e.ensemble_stats(predictions(spark, d)).withColumn("yhat", F.col("median"))
+        s = e.ensemble_stats(gathered(spark, d)).withColumn("yhat", F.col("median"))
         return rounded(e.interval(s, kind).select(*IDS, "yhat", "lo", "hi"))
 
 
@@ -167,7 +173,7 @@ for _name, _scores in (("statistical", (95, 85, 75, 65)), ("hybrid", (90, 80, 70
       {_ladder_sql('std / mean * 100', list(zip((5, 10, 15), _scores)), _scores[3])} as confidence_score from ({STATS})""",
         [*IDS, "confidence_score"], ["cv"]))
     def _(spark, d, rule=_name):
-        return rounded(e.confidence_cv(e.ensemble_stats(predictions(spark, d)), rule).select(*IDS, "cv", "confidence_score"))
+        return rounded(e.confidence_cv(e.ensemble_stats(gathered(spark, d)), rule).select(*IDS, "cv", "confidence_score"))
 
 
 FINAL = f"""select series_id, target_ds, cast(trunc(median) as bigint) as final_prediction, cast(trunc(p_low) as bigint) as pred_lower,
@@ -177,7 +183,7 @@ FINAL = f"""select series_id, target_ds, cast(trunc(median) as bigint) as final_
 
 @query("final_record", key_rounded(PRED, FINAL, [*RECORD, "confidence_score", "model_count"], ["cv"]))
 def _(spark, d):
-    s = e.confidence_cv(e.ensemble_stats(predictions(spark, d)).withColumn("yhat", F.col("median")))
+    s = e.confidence_cv(e.ensemble_stats(gathered(spark, d)).withColumn("yhat", F.col("median")))
     return rounded(e.final_record(e.interval(s, "percentile"), "cv", "model_count"))
 
 

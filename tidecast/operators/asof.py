@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CALENDAR
 from ..functions.columns import array_mean, by_day, prediction
+from .packed import spread
+
+# Helpers travel with the jobs that use them; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def asof_attach(state: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -154,15 +163,119 @@ def forecast_packed(
     return _modelled(known, [*recipes, Recipe("seasonal", {}, models), Recipe("previous_year", {}, years)])
 
 
-def _modelled(at: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
-    """The recipes' models on the attached states, in long form."""
-    if derived := {n: c for r in recipes for n, c in r.derived.items()}:
-        at = at.withColumns(derived)
-    rows = [
+#: Calendar keys of days since 1970, as ``CALENDAR`` has them for dates.
+NUMBERS = {
+    "weekday": lambda day: (day + 3) % 7,
+    "month": lambda day: day.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64) % 12 + 1,
+    "year": lambda day: day.astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970,
+}
+#: Days a task looks at together.
+CHUNK = 262_144
+
+
+def forecast_dates(
+    h: DataFrame, dates: Sequence[dt.date], recipes: Sequence[Recipe], means: Mapping[str, Sequence[str]] = {},
+    back: Mapping[str, int] = {},
+) -> DataFrame:
+    """Forecasts of the same few dates for every series, one row per series and date with its ``models`` (a list of
+    structs); models without a value are left out, and so are dates without a model.
+
+    Parameters as in ``forecast_packed``, keys being those of ``NUMBERS``.  The days are dealt and gathered by series
+    once, in any order; a task takes some whole series at a time, sorts their days as numbers and finds the last values,
+    the means and the looked-up days of all dates on whole columns."""
+    tails = sorted({int(n.removeprefix("_tail")) for r in recipes for n in r.state})
+    wanted = np.array([(x - dt.date(1970, 1, 1)).days for x in dates], np.int64)
+    rows = spread(h.filter(F.col("y").isNotNull()).select("series_id", F.struct(F.unix_date("ds").alias("day"), "y").alias("r")), "series_id")
+    lists = [f"_tail{n} array<double>" for n in tails]
+    values = [f"{c}{i} double" for c, names in (("_mean", means), ("_back", back)) for i in range(len(names))]
+    at = rows.groupBy("series_id").agg(F.collect_list("r").alias("rows")).mapInArrow(
+        _known_before(wanted, tails, list(means.values()), list(back.values())),
+        ", ".join([f"series_id {h.schema['series_id'].dataType.simpleString()}", "target_ds date", *lists, *values]))
+    models = [
+        Recipe("seasonal", {}, {m: F.col(f"_mean{i}") for i, m in enumerate(means)}),
+        Recipe("previous_year", {}, {m: F.col(f"_back{i}") for i, m in enumerate(back)}),
+    ]
+    every = F.filter(F.array(*_structs([*recipes, *models])), lambda m: m["yhat"].isNotNull())
+    # Generated, so that the filter does not work the models out anew.
+    at = _derived(at, recipes).select("series_id", "target_ds", F.explode(F.array(every)).alias("models"))
+    return at.filter(F.size("models") > 0)
+
+
+def one_by_one(gathered: DataFrame) -> DataFrame:
+    """The long form of ``forecast_dates``: a row per series, date and model."""
+    return gathered.select("series_id", "target_ds", F.explode("models").alias("_p")).select("series_id", "target_ds", "_p.*")
+
+
+def _known_before(wanted: np.ndarray, tails: Sequence[int], means: Sequence[Sequence[str]], back: Sequence[int]):
+    """Per series and wanted day with an earlier one: the last values, means of the days of the same keys, values so many
+    days back."""
+
+    def states(series: pa.Array, rows: pa.ListArray) -> pa.RecordBatch:
+        size = np.diff(rows.offsets.to_numpy())
+        some, each = len(series), rows.flatten()
+        day, y = each.field(0).to_numpy().astype(np.int64), each.field(1).to_numpy(zero_copy_only=False)
+        # One number in the order of series and days; days are within 32 bits of 1970.
+        number = lambda of, d: (of << 33) + d + (1 << 32)
+        key = number(np.repeat(np.arange(some), size), day)
+        if not (key[1:] > key[:-1]).all():
+            order = np.argsort(key)
+            key, day, y = key[order], day[order], y[order]
+        at = number(np.arange(some)[:, None], wanted).ravel()
+        end, first = np.searchsorted(key, at), np.repeat(np.cumsum(size) - size, len(wanted))
+        kept = np.flatnonzero(end > first)
+        end, first, then = end[kept], first[kept], at[kept]
+        target = kept % len(wanted)
+        out = [series.take(pa.array(kept // len(wanted))), pa.array(wanted[target].astype(np.int32)).cast(pa.date32())]
+        for n in tails:
+            length = np.minimum(end - first, n)
+            offsets = np.concatenate(([0], np.cumsum(length)))
+            place = np.arange(offsets[-1]) + np.repeat(end - offsets[1:], length)
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(y[place])))
+        parts = {k: NUMBERS[k](day) for keys in means for k in keys}
+        of = np.repeat(np.arange(some), size)
+        for keys in means:
+            total, count = np.zeros((some, len(wanted))), np.zeros((some, len(wanted)), np.int64)
+            for i, d in enumerate(wanted):
+                same = reduce(np.logical_and, [parts[k] == NUMBERS[k](wanted[i:i + 1]) for k in keys], day < d)
+                on = np.flatnonzero(same)
+                # Added up in the order of days.
+                total[:, i], count[:, i] = np.bincount(of[on], y[on], some), np.bincount(of[on], minlength=some)
+            total, count = total.ravel()[kept], count.ravel()[kept]
+            out.append(pa.array(total / np.maximum(count, 1), mask=count == 0))
+        for days in back:
+            place = np.minimum(np.searchsorted(key, then - days), len(key) - 1)
+            out.append(pa.array(y[place], mask=key[place] != then - days))
+        columns = [f"_tail{n}" for n in tails] + [f"_mean{i}" for i in range(len(means))] + [f"_back{i}" for i in range(len(back))]
+        return pa.RecordBatch.from_arrays(out, names=["series_id", "target_ds", *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series, rows = batch.column("series_id"), batch.column("rows")
+            ends, first = rows.offsets.to_numpy()[1:], 0
+            while first < len(series):
+                before = rows.offsets[first].as_py()
+                last = max(int(np.searchsorted(ends, before + CHUNK, "right")), first + 1)
+                yield states(series.slice(first, last - first), rows.slice(first, last - first))
+                first = last
+
+    return run
+
+
+def _derived(at: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
+    derived = {n: c for r in recipes for n, c in r.derived.items()}
+    return at.withColumns(derived) if derived else at
+
+
+def _structs(recipes: Sequence[Recipe]) -> list[Column]:
+    return [
         F.struct(*prediction(m, *((v[0], r.family, v[1], v[2]) if isinstance(v, tuple) else (v, r.family))))
         for r in recipes for m, v in r.models.items()
     ]
-    long = at.select("series_id", "target_ds", F.explode(F.array(*rows)).alias("_p"))
+
+
+def _modelled(at: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
+    """The recipes' models on the attached states, in long form."""
+    long = _derived(at, recipes).select("series_id", "target_ds", F.explode(F.array(*_structs(recipes))).alias("_p"))
     return long.select("series_id", "target_ds", "_p.*").filter(F.col("yhat").isNotNull())
 
 

@@ -2,7 +2,9 @@
 intervals, scores and noon adjustment that follow.
 
 A target has as many rows as there are models, so each grouping here is small; the
-machine-learning side carries the family ``ml``.
+machine-learning side carries the family ``ml``.  ``combine``, what is made of it and
+``category_summary`` also take one row per target with the list of its ``models``
+(``asof.forecast_dates``), and then group nothing.
 """
 
 from __future__ import annotations
@@ -50,6 +52,19 @@ def valid(p: DataFrame) -> DataFrame:
 STATS = ["model_count", "mean", "median", "std", "trimmed", "iqr_mean", "p_low", "p_high"]
 
 
+def values_of(take) -> Column:
+    """The forecasts of the ``models`` that are taken, in ascending order."""
+    return F.sort_array(F.transform(F.filter("models", take), lambda m: m["yhat"]))
+
+
+def quantile_of(ordered: Column, q: float) -> Column:
+    """``percentile`` of a list in ascending order; null if it is empty."""
+    place = (F.size(ordered) - 1) * F.lit(float(q))
+    low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, high)
+    return F.when(a == b, a).otherwise((high - place) * a + (place - low) * b)
+
+
 def combine(p: DataFrame, rule: str = "statistical") -> DataFrame:
     """Everything a forecast takes from its models, in one aggregation: mean, median,
     trimmed mean, mean inside the quartiles, spread and outer percentiles, and the blend
@@ -59,18 +74,30 @@ def combine(p: DataFrame, rule: str = "statistical") -> DataFrame:
     def careful_mean(a: Column) -> Column:
         return F.try_divide(careful_sum(a), F.size(a))
 
-    centre = {
-        "mean": lambda c: careful_mean(F.sort_array(F.collect_list(c))), "median": lambda c: F.percentile(c, F.lit(0.5))
-    }
+    outer = (0.025, 0.25, 0.75, 0.975)
     ml_stat, ml_weight, stat_stat, stat_weight = BLENDS.get(rule, ("median", 0.0, "median", 1.0))
-    is_ml, y = F.col("family") == "ml", F.col("yhat")
-    g = p.groupBy(*IDS).agg(
-        F.count(y).alias("model_count"), centre["median"](y).alias("median"),
-        F.percentile(y, F.array(*[F.lit(x) for x in (0.025, 0.25, 0.75, 0.975)])).alias("q"),
-        F.sort_array(F.collect_list(y)).alias("v"),
-        centre[ml_stat](F.when(is_ml, y)).alias("ml"),
-        centre[stat_stat](F.when(~is_ml, y)).alias("stat"),
-    )
+    if "models" in p.columns:
+        centre = {"mean": careful_mean, "median": lambda a: quantile_of(a, 0.5)}
+        g = p.select(
+            *IDS, values_of(lambda m: F.lit(True)).alias("v"), values_of(lambda m: m["family"] == "ml").alias("_ml"),
+            values_of(lambda m: m["family"] != "ml").alias("_stat"),
+        ).select(
+            *IDS, F.size("v").cast("bigint").alias("model_count"), quantile_of(F.col("v"), 0.5).alias("median"),
+            F.array(*[quantile_of(F.col("v"), x) for x in outer]).alias("q"), "v",
+            centre[ml_stat](F.col("_ml")).alias("ml"), centre[stat_stat](F.col("_stat")).alias("stat"),
+        )
+    else:
+        centre = {
+            "mean": lambda c: careful_mean(F.sort_array(F.collect_list(c))), "median": lambda c: F.percentile(c, F.lit(0.5))
+        }
+        is_ml, y = F.col("family") == "ml", F.col("yhat")
+        g = p.groupBy(*IDS).agg(
+            F.count(y).alias("model_count"), centre["median"](y).alias("median"),
+            F.percentile(y, F.array(*[F.lit(x) for x in outer])).alias("q"),
+            F.sort_array(F.collect_list(y)).alias("v"),
+            centre[ml_stat](F.when(is_ml, y)).alias("ml"),
+            centre[stat_stat](F.when(~is_ml, y)).alias("stat"),
+        )
     # Around the least value, so that equal values have no spread.
     g = g.withColumn("_off", F.transform("v", lambda x: x - F.get("v", F.lit(0)))).withColumn("_m", array_mean(F.col("_off")))
     spread = F.sqrt(array_mean(F.transform("_off", lambda x: (x - F.col("_m")) * (x - F.col("_m")))))
@@ -94,16 +121,31 @@ def category_summary(
 ) -> DataFrame:
     """Median and number of models per category.  By name a model may be in several;
     ``exclusive`` uses its family instead."""
+    def hit(model, texts):
+        found = F.lit(False)
+        for t in texts:
+            found = found | model.contains(t)
+        return found
+
+    def named(texts):
+        return lambda m: hit(m["model"], texts)
+
+    if "models" in p.columns:
+        if exclusive:
+            lists = F.transform(F.array_distinct("models.family"), lambda f: F.struct(
+                f.alias("category"), values_of(lambda m: m["family"] == f).alias("v")))
+        else:
+            lists = F.array(*[
+                F.struct(F.lit(c).alias("category"), values_of(named(texts)).alias("v"))
+                for c, texts in rules.items()
+            ])
+        parts = p.select(*IDS, F.explode(F.array(lists)).alias("_c")).select(*IDS, F.explode("_c").alias("_c"))
+        return parts.filter(F.size("_c.v") > 0).select(
+            *IDS, "_c.category", quantile_of(F.col("_c.v"), 0.5).alias("median"), F.size("_c.v").cast("bigint").alias("n_models"))
     if exclusive:
         tagged = p.withColumn("category", F.col("family"))
     else:
-        def hit(texts):
-            found = F.lit(False)
-            for t in texts:
-                found = found | F.col("model").contains(t)
-            return found
-
-        tags = F.array_compact(F.array(*[F.when(hit(texts), c) for c, texts in rules.items()]))
+        tags = F.array_compact(F.array(*[F.when(hit(F.col("model"), texts), c) for c, texts in rules.items()]))
         tagged = p.withColumn("category", F.explode(tags))
     return tagged.groupBy(*IDS, "category").agg(
         F.percentile("yhat", F.lit(0.5)).alias("median"), F.count("yhat").alias("n_models")

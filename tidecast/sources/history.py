@@ -99,19 +99,20 @@ def daily_rollup(
     keys: Sequence[str | Column],
     value: Column | None = None,
     cutoff_hour: int = 12,
+    text: bool = True,
 ) -> DataFrame:
     """Facts to daily totals with the part seen before ``cutoff_hour``.
 
     One aggregation with map-side partials: a task ships at most one row per
     (series, day) it saw, so a series holding a third of the facts costs no more
-    shuffle than a small one.
+    shuffle than a small one.  Without ``text`` a series named by a whole number keeps it.
     """
     amount = F.lit(1.0) if value is None else value.cast("double")
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     # A whole number is grouped as it is, which is less to hash and to ship than its text.
     whole = len(cols) == 1 and isinstance(facts.select(cols[0]).schema[0].dataType, T.IntegralType)
     series = cols[0] if whole else F.concat_ws("|", *[c.cast("string") for c in cols]) if len(cols) > 1 else cols[0].cast("string")
-    return (
+    daily = (
         facts.select(
             series.alias("series_id"),
             F.to_date(ts).alias("ds"),
@@ -121,8 +122,8 @@ def daily_rollup(
         .filter(F.col("ds").isNotNull() & F.col("series_id").isNotNull())
         .groupBy("series_id", "ds")
         .agg(F.sum("v").alias("y"), F.coalesce(F.sum("early"), F.lit(0.0)).alias("partial_y"))
-        .withColumn("series_id", F.col("series_id").cast("string"))
     )
+    return daily.withColumn("series_id", F.col("series_id").cast("string")) if text else daily
 
 
 def materialise(h: DataFrame) -> DataFrame:
