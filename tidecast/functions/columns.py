@@ -58,11 +58,11 @@ def array_dot(a: Column, weights: list[float]) -> Column:
     return F.when(F.size(a) == len(weights), array_sum(F.zip_with(a, w, lambda x, y: x * y)))
 
 
-def trimmed_mean(values: Column, cut: float) -> Column:
-    """Mean of an array after dropping ``int(cut * n)`` values at each end."""
+def trimmed_mean(values: Column, cut: float, ordered: bool = False) -> Column:
+    """Mean of an array, which may be ``ordered`` already, after dropping ``int(cut * n)`` values at each end."""
     n = F.size(values)
     k = F.floor(F.lit(cut) * n).cast("int")
-    kept = F.slice(F.array_sort(values), k + 1, F.greatest(n - 2 * k, F.lit(0)))
+    kept = F.slice(values if ordered else F.array_sort(values), k + 1, F.greatest(n - 2 * k, F.lit(0)))
     return F.try_divide(array_sum(kept), F.size(kept))
 
 

@@ -105,7 +105,7 @@ def combine(p: DataFrame, rule: str = "statistical") -> DataFrame:
     both = F.col("ml") * ml_weight + F.col("stat") * stat_weight
     return g.select(
         *IDS, "model_count", careful_mean(F.col("v")).alias("mean"), "median", spread.alias("std"),
-        trimmed_mean(F.col("v"), 0.1).alias("trimmed"),
+        trimmed_mean(F.col("v"), 0.1, ordered=True).alias("trimmed"),
         F.coalesce(F.try_divide(array_sum(inner), F.size(inner)), "median").alias("iqr_mean"),
         F.get("q", F.lit(0)).alias("p_low"), F.get("q", F.lit(3)).alias("p_high"), "ml", "stat",
         (F.col("median") if rule == "statistical" else F.coalesce(both, "ml", "stat")).alias("yhat"),
