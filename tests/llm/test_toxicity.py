@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,3 +61,37 @@ def test_chunks_do_not_change_gradients(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 7)
     for (k, a, at), (j, b, where) in zip(whole, toxicity.gradients(net, index, starts, labels)):
         assert k == j and np.allclose(a, b, atol=1e-6) and (not isinstance(at, np.ndarray) or np.array_equal(at, where))
+
+
+def test_a_partition_holds_one_shard(spark, monkeypatch):
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "SHARD", 500)
+    rows, shards, _ = toxicity.training_rows(docs, labels)
+    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("shard").alias("s")).collect()
+    assert shards == 10 and sorted(r["s"] for r in found) == [[k] for k in range(10)]
+
+
+def test_kept_files_are_those_of_shards(spark, monkeypatch):
+    """Each kept file costs its executor several processes, so their number must not follow the session's partitions."""
+    rows = [(k, f"plain day x{k % 11} " + ("vile" if k % 5 == 0 else "")) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "SHARD", 450)
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    top = Path(common.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.rglob("part-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert toxicity.train(docs, labels) is not None
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(set(top.rglob("part-*")) - before) == 2 * 2  # rows and scores of two shards
+
+
+def test_portions_of_a_size_of_ones_own(spark):
+    docs = spark.range(400).select(F.repeat(F.lit("x"), 100).alias("text")).coalesce(1)
+    work = lambda batch: [[batch.num_rows] * batch.num_rows]
+    got = [r["n"] for r in common.per_document(docs, {"text": "string"}, "n long", work, 4000).collect()]
+    assert len(got) == 400 and max(got) * 100 <= 4000

@@ -73,14 +73,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def per_document(
-    docs: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], list[pa.Array]]
+    docs: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], list[pa.Array]], most: int | None = None
 ) -> DataFrame:
-    """Map the Arrow batches of the named columns (cast to the given types) to those of a schema."""
+    """Map the Arrow batches of the named columns (cast to the given types) to those of a schema, in portions of ``most``
+    bytes (``PORTION_BYTES``)."""
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, most or PORTION_BYTES):
                 arrays = work(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, f.type) if not isinstance(a, pa.Array) else a.cast(f.type) for a, f in zip(arrays, out)],
