@@ -95,3 +95,14 @@ def test_portions_of_a_size_of_ones_own(spark):
     work = lambda batch: [[batch.num_rows] * batch.num_rows]
     got = [r["n"] for r in common.per_document(docs, {"text": "string"}, "n long", work, 4000).collect()]
     assert len(got) == 400 and max(got) * 100 <= 4000
+
+
+def test_languages_from_numbered_words():
+    texts = ["the man of the house and le chat", "", "xyz xyz", "der die the of", "le les des une the"]
+    numbers = toxicity.Numbers()
+    own = [[numbers[w] for w in toxicity.word_list(t)] for t in texts]
+    of = np.append(0, toxicity.languages_of(numbers))
+    want = ["en", "", "", "en", "fr"]  # of equal counts the first
+    assert list(numbers.values()) == list(range(1, len(numbers) + 1)) and [list(numbers)[k - 1] for k in own[2]] == [b"xyz"] * 2
+    assert [toxicity.LANGUAGES[toxicity.guess(of[np.array(t, np.int32)])] for t in own] == want
+    assert [toxicity.LANGUAGES[toxicity.guess(toxicity.languages_of(toxicity.word_list(t)))] for t in texts] == want

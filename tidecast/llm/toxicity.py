@@ -24,7 +24,7 @@ teach nothing; repeated rows each give a row.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -86,14 +86,24 @@ def hashed(words: Iterable[bytes]) -> np.ndarray:
     return np.array([buckets(w) for w in words], np.uint32).reshape(-1, 2)
 
 
-def guess(words: list[bytes]) -> int:
-    """The number of the language whose function words a text has most of, 0 if it has none."""
-    counts = [0] * len(LANGUAGES)
-    for w in words:
-        k = LANGUAGE_OF.get(w)
-        if k:
-            counts[k] += 1
-    return int(np.argmax(counts))
+def languages_of(words: Collection[bytes]) -> np.ndarray:
+    """The language whose function word each is, 0 for none."""
+    return np.fromiter((LANGUAGE_OF.get(w, 0) for w in words), np.int64, len(words))
+
+
+def guess(languages: np.ndarray) -> int:
+    """The number of the language whose function words a text has most of, 0 if it has none, from those of its words."""
+    counts = np.bincount(languages, minlength=len(LANGUAGES))
+    counts[0] = 0
+    return int(counts.argmax())
+
+
+class Numbers(dict):
+    """Numbers words from 1 on as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
 
 class Network:
@@ -272,7 +282,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, l
         for text in batch.column("text"):
             words = word_list(text.as_py())
             flat.append(hashed(words).ravel().view(np.int32))
-            languages.append(guess(words))
+            languages.append(guess(languages_of(words)))
         return [*(batch.column(c) for c in ("shard", "id", "label", "apart")), pa.array(languages, pa.int32()), flat]
 
     # One exchange brings labels and texts of a shard together; of a repeated id the first text teaches.
@@ -444,14 +454,13 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
         model = shared.value
         if model is None:
             return [batch.column("doc_id"), pa.array(np.zeros(batch.num_rows))]
-        index: dict[bytes, int] = {}
-        texts, languages = [], []
+        index, texts = Numbers(), []
         for text in batch.column("text"):
             words = word_list(text.as_py())
-            texts.append(np.fromiter((index.setdefault(w, len(index) + 1) for w in words), np.int32, len(words)))
-            languages.append(guess(words))
+            texts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+        of = np.append(0, languages_of(index))
         logits = model.logits(hashed(index), texts)
-        z = np.clip(logits.astype(np.float64) - model.thresholds[languages], -500, 500)
+        z = np.clip(logits.astype(np.float64) - model.thresholds[[guess(of[t]) for t in texts]], -500, 500)
         return [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))]
 
     return per_document(docs, {"doc_id": "long", "text": "string"}, "doc_id long, score double", work, WORKED_BYTES)
